@@ -1,9 +1,37 @@
-"""The queries of this subpackage, by name."""
+"""The queries of this subpackage, by name, and their SQL where SQL can express them."""
 
 from __future__ import annotations
 
+from . import decontaminate, url_rules
+from .chat_format import op4_chat_format
+from .decontaminate import op3_decontaminate
+from .line_dedup import op8_line_dedup
 from .packing import op10_packing
+from .quality import op9_quality
+from .secrets import op5_secrets
+from .simhash import op1_simhash
+from .substring_dedup import op6_substring_dedup
 from .token_output import op2_token_output
+from .url_rules import op7_url_rules
 
-QUERIES = {"op2_token_output": op2_token_output, "op10_packing": op10_packing}
-ORACLE_SQL: dict[str, str] = {}
+
+def pipeline(spark, sf_dir: str):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {
+    "op1_simhash": op1_simhash,
+    "op2_token_output": op2_token_output,
+    "op3_decontaminate": op3_decontaminate,
+    "op4_chat_format": op4_chat_format,
+    "op5_secrets": op5_secrets,
+    "op6_substring_dedup": op6_substring_dedup,
+    "op7_url_rules": op7_url_rules,
+    "op8_line_dedup": op8_line_dedup,
+    "op9_quality": op9_quality,
+    "op10_packing": op10_packing,
+    "pipeline": pipeline,
+}
+ORACLE_SQL = {"op3_decontaminate": decontaminate.ORACLE, "op7_url_rules": url_rules.ORACLE}

@@ -31,6 +31,22 @@ _BITS = np.array([b for _, b in PACKS])
 _WIDEST = 60
 
 
+def bit_lengths(ids: np.ndarray) -> np.ndarray:
+    """Bits of each id, at least 1."""
+    if ids.max() < 1 << 16:
+        return _BIT_LENGTHS[ids]
+    out = np.ones(len(ids), np.uint8)
+    for shift in range(1, 64):
+        rest = ids >> np.uint64(shift)
+        if not rest.any():
+            break
+        out[rest > 0] = shift + 1
+    return out
+
+
+_BIT_LENGTHS = np.maximum(1, np.ceil(np.log2(np.arange(1 << 16) + 1))).astype(np.uint8)
+
+
 def encode_blocks(ids: np.ndarray, lengths: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pack the documents of one batch, all their blocks side by side.
 
@@ -46,21 +62,16 @@ def encode_blocks(ids: np.ndarray, lengths: np.ndarray, block: int = BLOCK) -> t
     n = len(ids)
     if not n:
         return np.zeros(0, "<u8"), np.zeros(len(lengths), np.int64), np.zeros(0, np.int64)
-    # The largest id of the next 1, 2, 3 ... places, by selector; a pack fits where that is below its bound.
+    # The widest of the next 1, 2, 3 ... ids, by selector; a pack fits where that is within its bits.
     choice = np.full(n, ESCAPE, np.uint8)
-    widest, reach = {1: ids}, 1
-    for count, _ in reversed(PACKS[:-1]):
-        wide = np.zeros(n, np.uint64)
-        a, room = widest[reach], n - (count - reach)
-        if room > 0 and count <= 2 * reach:
-            wide[:room] = np.maximum(a[:room], a[count - reach :])
-        else:  # the steps of PACKS are at most doublings
-            raise AssertionError
-        wide[max(0, n - count + 1) :] = np.iinfo(np.uint64).max
-        widest[count], reach = wide, count
-    for selector in range(len(PACKS) - 1, -1, -1):
+    widest, reach = bit_lengths(ids), 1
+    for selector in range(len(PACKS) - 1, -1, -1):  # the packs' counts rise by at most doubling
         count, bits = PACKS[selector]
-        choice[widest[count] < (np.uint64(1) << np.uint64(bits))] = selector
+        wide = np.full(n, 255, np.uint8)
+        if (room := n - count + 1) > 0:
+            np.maximum(widest[:room], widest[count - reach : count - reach + room], out=wide[:room])
+            choice[wide <= bits] = selector
+        widest, reach = wide, count
     left = np.zeros(n, np.int64)  # ids up to the end of the block
     left[:] = np.repeat(end, end - start) - np.arange(n)
     fits = np.searchsorted(-_COUNTS, -np.minimum(left, 60))  # first selector with no more ids than are left

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import re
+from contextlib import suppress
 from itertools import chain
 
 import numpy as np
@@ -19,8 +20,8 @@ _PIECE = re.compile(r"[ \n\r\t]*[^ \n\r\t]+|[ \n\r\t]+")
 _MARK = "\x01"
 _START = "\x00"
 _BLANKS = " \n\r\t"
-#: Pieces kept by each of the two generations of the memory.
-REMEMBERED = 700_000
+#: Pieces remembered by a Python worker (about 250 MB at most); then it starts anew.
+REMEMBERED = 1_400_000
 
 _open: dict[str, "Encoder"] = {}
 
@@ -39,8 +40,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.remembered = remembered
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.dtype = np.dtype("<u2" if self.width == 2 else "<u4")
         pre, normal = str(self.tokenizer.pre_tokenizer), str(self.tokenizer.normalizer)
@@ -94,11 +94,11 @@ class Encoder:
                 cuts = np.flatnonzero(ids == self.mark)
                 firsts = np.concatenate([[0], cuts[:-1] + 1])
             assert len(cuts) == len(joined)
-            raw, w, young = ids.tobytes(), self.width, self.young
+            raw, w, known = ids.tobytes(), self.width, self.known
             for p, a, b in zip(joined, (firsts * w).tolist(), (cuts * w).tolist()):
-                young[key_of[p]] = raw[a:b]
+                known[key_of[p]] = raw[a:b]
         for p, ids in zip(alone, self._plain(alone)):
-            self.young[key_of[p]] = ids.tobytes()
+            self.known[key_of[p]] = ids.tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian words of ``self.width`` bytes."""
@@ -107,28 +107,25 @@ class Encoder:
         cut = self._cut
         odd = {i for i, t in enumerate(texts) if _ODD_SPACE.search(t)}
         pieces = [[] if i in odd else cut(t) for i, t in enumerate(texts)]
-        young = self.young
-        found = list(map(young.get, chain.from_iterable(pieces)))
-        if None in found:
-            missed, old = [], self.old
-            for p in {p for p, ids in zip(chain.from_iterable(pieces), found) if ids is None}:
-                if (ids := old.get(p)) is None:
-                    missed.append(p)
-                else:
-                    young[p] = ids
-            if missed:
-                self._learn(missed)
-            get = young.__getitem__
-            out = [b"".join(map(get, ps)) for ps in pieces]
-        else:
-            out, at = [], 0
-            for ps in pieces:
-                out.append(b"".join(found[at : at + len(ps)]))
-                at += len(ps)
-        if len(young) > self.remembered:
-            self.old, self.young = young, {}
+        known = self.known
+        flat = list(chain.from_iterable(pieces))
+        found = list(map(known.get, flat))
+        places, at = [], -1
+        with suppress(ValueError):  # raised by index() after the last one
+            while True:
+                places.append(at := found.index(None, at + 1))
+        if places:
+            self._learn(list({flat[i] for i in places}))
+            for i in places:
+                found[i] = known[flat[i]]
+        out, at = [], 0
+        for ps in pieces:
+            out.append(b"".join(found[at : at + len(ps)]))
+            at += len(ps)
+        if len(known) > self.remembered:
+            known.clear()
         if odd:
-            places = sorted(odd)
-            for i, ids in zip(places, self._plain([texts[i] for i in places])):
+            whole = sorted(odd)
+            for i, ids in zip(whole, self._plain([texts[i] for i in whole])):
                 out[i] = ids.tobytes()
         return out
