@@ -70,16 +70,65 @@ def _repeats(words: Column) -> Column:
     return F.when(F.size(words) < RUN + 1, F.lit(0)).otherwise(_bind(hashed, runs)).cast("long")
 
 
-def js_distance(p: list[Column], q: list[Column]) -> Column:
-    """Jensen-Shannon distance of two distributions given bin by bin."""
+def js_distance(p: Column, q: Column) -> Column:
+    """Jensen-Shannon distance of two distributions given as arrays of equal length."""
 
     def part(a: Column, b: Column) -> Column:
         return F.when(a > 0, a * F.log2(2 * a / (a + b))).otherwise(F.lit(0.0))
 
-    total = F.lit(0.0)
-    for a, b in zip(p, q):
-        total = total + part(a, b) + part(b, a)
-    return F.sqrt(F.greatest(F.lit(0.0), total / 2))
+    parts = F.zip_with(p, q, lambda a, b: part(a, b) + part(b, a))
+    total = F.aggregate(parts, F.lit(0.0), lambda total, x: total + x)
+    return F.sqrt(F.when(total < 0, F.lit(0.0)).otherwise(total / 2))
+
+
+def _with_rest(shares: Column) -> Column:
+    """The shares and, as the last bin, what is left of the whole."""
+    rest = F.lit(1.0) - F.aggregate(shares, F.lit(0.0), lambda total, x: total + x)
+    return F.concat(shares, F.array(F.greatest(F.lit(0.0), rest)))
+
+
+def judged(text: Column, lang: Column) -> Column:
+    """All figures and the verdict as one struct. Each costly value is bound once, so that a filter on the struct, which
+    Spark pushes below projections, doesn't repeat it."""
+    every = sorted({w for known in COMMON_WORDS.values() for w in known})
+    listed, shares = F.lit(None).cast("array<string>"), F.lit(None).cast("array<double>")
+    for name, known in COMMON_WORDS.items():
+        listed = F.when(lang == name, F.array(*map(F.lit, known))).otherwise(listed)
+        shares = F.when(lang == name, F.array(*map(F.lit, known.values()))).otherwise(shares)
+    lines = F.filter(F.split(text, "\n"), lambda x: F.regexp_like(x, F.lit(r"[^\x20\x09-\x0D]")))
+    step = F.struct(text.alias("s"), F.array(F.length(text)).alias("n"))
+    for kind in CLASSES:  # what a step removes is that class's count
+        step = _bind(step, _without(kind))
+
+    def measured(words: Column) -> Column:
+        common = F.filter(F.transform(words, lambda w: F.lower(w)), lambda w: w.isin(every))
+        common = F.when((F.size(words) >= COMPARED_WORDS) & listed.isNotNull(), common)
+        counts = _bind(common, lambda c: F.transform(listed, lambda w: F.size(F.filter(c, lambda x: x == w))))
+        return F.struct(
+            F.size(words).cast("long").alias("n_words"), F.length(F.array_join(words, "")).cast("long").alias("word_chars"), step["n"].alias("left"),
+            _bind(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"), _repeats(words).alias("n_repeat_words"), counts.alias("counts"),
+        )
+
+    def compared(m: Column) -> Column:
+        n, left, size = m["n_words"], m["left"], len(CLASSES)
+        classes = F.transform(F.sequence(F.lit(0), F.lit(size)), lambda k: F.when(k < size, F.get(left, k) - F.coalesce(F.get(left, k + 1), F.lit(0))).otherwise(F.get(left, k)) / F.get(left, F.lit(0)))
+        reference = F.array(*(F.lit(x / sum(CLASS_SHARES)) for x in CLASS_SHARES))
+        by_word = js_distance(_with_rest(F.transform(m["counts"], lambda c: c / n)), _with_rest(shares))
+        failed = (n < LEAST_WORDS) | (100 * m["n_repeat_words"] > MOST_REPEATED_PERCENT * n)
+        return F.struct(
+            *(m[k].alias(k) for k in ("n_words", "word_chars", "n_dup_lines", "n_repeat_words")), (F.get(left, F.lit(size - 1)) - F.get(left, F.lit(size))).cast("long").alias("n_symbols"),
+            F.when(n >= COMPARED_WORDS, js_distance(classes, reference)).alias("class_distance"), by_word.alias("word_distance"), failed.alias("base_failed"),
+        )
+
+    def verdict(r: Column) -> Column:
+        close = (F.coalesce(r["class_distance"], F.lit(0.0)) <= MOST_CLASS_DISTANCE) & (F.coalesce(r["word_distance"], F.lit(0.0)) <= MOST_WORD_DISTANCE)
+        return F.struct(*(r[k].alias(k) for k in FIGURES[:-1]), (~r["base_failed"] & close).alias("kept"))
+
+    words = F.filter(F.split(text, BLANKS), lambda w: w != "")
+    return _bind(_bind(_bind(words, measured), compared), verdict)
+
+
+FIGURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "class_distance", "word_distance", "base_failed", "kept")
 
 
 def quality_rules(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -90,56 +139,19 @@ def quality_rules(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     those of a null or unknown language a null word_distance; a null distance never rejects. Repeated rows are judged alike.
     An empty table gives no rows. If ``docs`` has a column of such a name already, the new one ends in ``_``.
     """
-    q = {n: free_name(docs, n) for n in ("words", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "class_distance", "word_distance", "base_failed", "kept", "text0", "common", "classes")}
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.withColumn(q["words"], F.filter(F.split(text, BLANKS), lambda w: w != ""))
-    words = F.col(q["words"])
+    found = free_name(docs, "quality_figures")
+    rows = docs.withColumn(found, _judged_row(docs, text_col, lang_col))
+    return rows.select(*(F.col(f"`{c}`") for c in docs.columns), *(F.col(found)[k].alias(free_name(docs, k)) for k in FIGURES))
 
-    # Each class goes in turn, from ever shorter strings; what a step removes is that class's count.
-    step = F.struct(text.alias("s"), F.array(F.length(text)).alias("n"))
-    for kind in CLASSES:
-        step = _bind(step, _without(kind))
-    lengths = step["n"]
 
-    lines = F.filter(F.split(text, "\n"), lambda x: F.regexp_like(x, F.lit(r"[^\x20\x09-\x0D]")))
-    every = sorted({w for known in COMMON_WORDS.values() for w in known})
+def _judged_row(docs: DataFrame, text_col: str, lang_col: str) -> Column:
     lang = F.col(lang_col) if lang_col in docs.columns else F.lit(None).cast("string")
-    listed = F.lit(None).cast("array<string>")
-    shares = F.lit(None).cast("array<double>")
-    for name, known in COMMON_WORDS.items():
-        listed = F.when(lang == name, F.array(*map(F.lit, known))).otherwise(listed)
-        shares = F.when(lang == name, F.array(*map(F.lit, known.values()))).otherwise(shares)
-    common = F.filter(F.transform(words, lambda w: F.lower(w)), lambda w: w.isin(every))
-    rows = rows.withColumns({
-        q["n_words"]: F.size(words).cast("long"),
-        q["word_chars"]: F.length(F.array_join(words, "")).cast("long"),
-        q["n_repeat_words"]: _repeats(words),
-        q["n_dup_lines"]: _bind(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
-        q["classes"]: lengths,
-        q["common"]: F.when(F.size(words) >= COMPARED_WORDS, common),
-    })
-    n, classes = F.col(q["n_words"]), F.col(q["classes"])
-    share = [(classes[k] - classes[k + 1]) / classes[0] for k in range(6)] + [classes[6] / classes[0]]
-    by_class = js_distance(share, [F.lit(x / sum(CLASS_SHARES)) for x in CLASS_SHARES])
-    counts = F.transform(listed, lambda w: F.size(F.filter(F.col(q["common"]), lambda x: x == w)) / n)
-    size = len(next(iter(COMMON_WORDS.values())))
-    has = n >= COMPARED_WORDS
-    q["counts"], q["shares"] = free_name(docs, "counts"), free_name(docs, "shares")
-    rows = rows.withColumns({q["n_symbols"]: (classes[5] - classes[6]).cast("long"), q["class_distance"]: F.when(has, by_class), q["counts"]: F.when(has, counts), q["shares"]: shares})
-    p, r = F.col(q["counts"]), F.col(q["shares"])
-    rest = lambda x: F.lit(1.0) - F.aggregate(x, F.lit(0.0), lambda a, y: a + y)
-    by_word = js_distance([*(p[k] for k in range(size)), F.greatest(F.lit(0.0), rest(p))], [*(r[k] for k in range(size)), rest(r)])
-    rows = rows.withColumn(q["word_distance"], F.when(p.isNotNull() & r.isNotNull(), by_word))
-    rows = rows.withColumn(q["base_failed"], (n < LEAST_WORDS) | (100 * F.col(q["n_repeat_words"]) > MOST_REPEATED_PERCENT * n))
-    close = (F.coalesce(F.col(q["class_distance"]), F.lit(0.0)) <= MOST_CLASS_DISTANCE) & (F.coalesce(F.col(q["word_distance"]), F.lit(0.0)) <= MOST_WORD_DISTANCE)
-    rows = rows.withColumn(q["kept"], ~F.col(q["base_failed"]) & close)
-    return rows.select(*(F.col(f"`{c}`") for c in docs.columns), *(F.col(q[c]) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "class_distance", "word_distance", "base_failed", "kept")))
+    return judged(F.coalesce(F.col(text_col), F.lit("")), lang)
 
 
 def drop_low_quality(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows that the rules keep, with their own columns."""
-    kept = free_name(docs, "kept")
-    return quality_rules(docs, text_col, lang_col).filter(F.col(kept)).select(*(F.col(f"`{c}`") for c in docs.columns))
+    return docs.filter(_judged_row(docs, text_col, lang_col)["kept"])
 
 
 def op9_quality(spark, sf_dir: str) -> DataFrame:
