@@ -1 +1,89 @@
-"""Queries."""
+"""Digests: selection, highlights, markdown and listings."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..bindings import Tables
+from ..operators import digest as ops
+from ..registry import query
+
+_RANK = "CASE confidence WHEN 'confirmed' THEN 3 WHEN 'firm' THEN 2 WHEN 'tentative' THEN 1 ELSE 0 END"
+_C = "c AS (SELECT CAST(stage1_analyzed_at + to_hours(8) AS DATE) AS day, *, insight_score >= 75 AS high FROM b_items WHERE analysis_stage >= 1 AND insight_score >= 40)"
+_ORDER = f"insight_score DESC, {_RANK} DESC, title, id"
+
+
+def _day(df):
+    return df.withColumn("day", F.col("day").cast("string"))
+
+
+@query("digest_counts", f"WITH {_C} SELECT CAST(day AS VARCHAR) AS day, domain, count(*) AS n_items, count(*) FILTER (WHERE high) AS n_high, count(*) FILTER (WHERE NOT high) AS n_lower FROM c GROUP BY ALL")
+def digest_counts(t: Tables):
+    return _day(ops.digest_counts(ops.digest_items(t.items)))
+
+
+@query("digest_highlights", f"""WITH {_C}, r AS (SELECT *, CAST(row_number() OVER (PARTITION BY day, domain, category ORDER BY {_ORDER}) AS INT) AS rank FROM c WHERE high)
+SELECT CAST(day AS VARCHAR) AS day, domain, category, rank, id, insight_score FROM r WHERE rank <= 5""")
+def digest_highlights(t: Tables):
+    return _day(ops.highlights(ops.digest_items(t.items))).select("day", "domain", "category", "rank", "id", "insight_score")
+
+
+@query("digest_highlight_items", f"""WITH {_C}, r AS (SELECT *, CAST(row_number() OVER (PARTITION BY day, domain, category ORDER BY {_ORDER}) AS INT) AS rank FROM c WHERE high)
+SELECT CAST(r.day AS VARCHAR) AS day, r.domain, r.category, r.rank, i.id, i.title, s.name FROM r JOIN b_items i ON i.id = r.id JOIN b_sources s ON s.id = i.source_id WHERE rank <= 5""")
+def digest_highlight_items(t: Tables):
+    """A digest's highlights, stored as ordered id lists, joined back to items and sources."""
+    stored = ops.highlights(ops.digest_items(t.items)).groupBy("day", "domain", "category").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "id"))), lambda x: x["id"]).alias("item_ids"))
+    listed = stored.select("day", "domain", "category", F.posexplode("item_ids").alias("at", "id")).withColumn("rank", F.col("at") + 1)
+    named = t.items.select("id", "title", "source_id").join(t.sources.select(F.col("id").alias("source_id"), "name"), "source_id")
+    return _day(listed.join(named, "id").select("day", "domain", "category", "rank", "id", "title", "name"))
+
+
+@query("digest_lower", f"""WITH {_C} SELECT CAST(day AS VARCHAR) AS day, domain, id, CAST(row_number() OVER (PARTITION BY day, domain ORDER BY {_ORDER}) AS INT) AS rank FROM c WHERE NOT high""")
+def digest_lower(t: Tables):
+    return _day(ops.lower_value(ops.digest_items(t.items))).select("day", "domain", "id", "rank")
+
+
+@query("digest_overview_input", f"""WITH {_C}, r AS (SELECT *, row_number() OVER (PARTITION BY day, domain ORDER BY doc_id, id) AS rank FROM c WHERE high)
+SELECT CAST(day AS VARCHAR) AS day, domain, count(*) AS n, string_agg(id, ',' ORDER BY rank) AS ids FROM r WHERE rank <= 20 GROUP BY ALL""")
+def digest_overview_input(t: Tables):
+    made = ops.overview_input(ops.digest_items(t.items))
+    parsed = F.from_json("payload", "array<struct<id:string>>")
+    return _day(made.select("day", "domain", F.size(parsed).cast("long").alias("n"), F.array_join(parsed["id"], ",").alias("ids")))
+
+
+def _totals(t: Tables):
+    collected = t.attempts.groupBy(F.to_date("attempt_at").alias("day")).agg(F.sum("n_items").alias("collected"), F.count_distinct(F.when(~F.col("ok"), F.col("source_id"))).alias("failed_sources"))
+    analyzed = t.items.filter("analysis_stage >= 1").groupBy(F.to_date("fetched_at").alias("day")).agg(F.count("*").alias("analyzed"))
+    return collected.join(analyzed, "day", "full_outer")
+
+
+_LABEL = "CASE category " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in ops.LABELS.items()) + " END"
+
+
+@query("digest_markdown", f"""WITH {_C},
+r AS (SELECT *, row_number() OVER (PARTITION BY day, domain, category ORDER BY {_ORDER}) AS rank FROM c WHERE high),
+g AS (SELECT day, domain, category, string_agg('- **' || title || '**' || chr(10) || '  - score: ' || insight_score || chr(10) || '  - source: ' || source_id
+  || coalesce(chr(10) || '  - summary: ' || nullif(summary_zh, ''), '') || coalesce(chr(10) || '  - action: ' || nullif(action_suggestion, ''), '') || chr(10) || chr(10), '' ORDER BY rank) AS body FROM r WHERE rank <= 5 GROUP BY ALL),
+h AS (SELECT day, domain, string_agg('### ' || {_LABEL} || chr(10) || chr(10) || body, '' ORDER BY category) AS t FROM g GROUP BY ALL),
+l AS (SELECT day, domain, string_agg('- ' || title || ' (score ' || insight_score || ')', chr(10) ORDER BY {_ORDER}) AS t FROM c WHERE NOT high GROUP BY ALL),
+k AS (SELECT CAST(attempt_at AS DATE) AS day, sum(n_items) AS collected, count(DISTINCT source_id) FILTER (WHERE NOT ok) AS failed FROM b_fetch_attempts GROUP BY 1),
+a AS (SELECT CAST(fetched_at AS DATE) AS day, count(*) AS analyzed FROM b_items WHERE analysis_stage >= 1 GROUP BY 1),
+n AS (SELECT day, domain, count(*) FILTER (WHERE high) AS high FROM c GROUP BY ALL)
+SELECT CAST(n.day AS VARCHAR) AS day, n.domain, 'intelligence-' || n.domain || '-' || n.day || '.md' AS file,
+  '---' || chr(10) || 'title: ' || CASE n.domain WHEN 'security' THEN '安全情报日报' WHEN 'ai' THEN 'AI 情报日报' ELSE '情报日报' END || ' · ' || n.day || chr(10) || 'tags:' || chr(10) || '  - intelligence' || chr(10) || '  - ' || n.domain || chr(10)
+  || 'categories:' || chr(10) || '  - 情报日报' || chr(10) || '---' || chr(10) || chr(10) || '## High Value' || chr(10) || chr(10) || coalesce(h.t, '暂无高价值情报。' || chr(10) || chr(10)) || '## Lower-value Mentions' || chr(10) || chr(10) || coalesce(l.t, '暂无。')
+  || chr(10) || chr(10) || '## Stats' || chr(10) || chr(10) || '- Collected: ' || CAST(coalesce(k.collected, 0) AS BIGINT) || chr(10) || '- Analyzed: ' || coalesce(a.analyzed, 0) || chr(10) || '- High value: ' || n.high || chr(10) || '- Failed sources: ' || coalesce(k.failed, 0) || chr(10) AS content
+FROM n LEFT JOIN h ON h.day = n.day AND h.domain = n.domain LEFT JOIN l ON l.day = n.day AND l.domain = n.domain LEFT JOIN k ON k.day = n.day LEFT JOIN a ON a.day = n.day""")
+def digest_markdown(t: Tables):
+    return _day(ops.render(ops.digest_items(t.items), _totals(t)).select("day", "domain", "file", "content"))
+
+
+@query("digest_listing", "SELECT id, CAST(day AS VARCHAR) AS day, domain, n_items, n_high, 'intelligence-' || domain || '-' || day || '.md' AS path FROM b_digests WHERE domain IN ('security', 'ai') ORDER BY day DESC, domain LIMIT 20")
+def digest_listing(t: Tables):
+    seen = t.table("b_digests").filter(F.col("domain").isin("security", "ai")).orderBy(F.desc("day"), "domain").limit(20)
+    return seen.select("id", F.col("day").cast("string").alias("day"), "domain", "n_items", "n_high", ops.file_name(F.col("domain"), F.col("day")).alias("path"))
+
+
+@query("digest_latest", "SELECT domain, arg_max(id, day) AS id FROM b_digests GROUP BY domain")
+def digest_latest(t: Tables):
+    return t.table("b_digests").groupBy("domain").agg(F.max_by("id", "day").alias("id"))
