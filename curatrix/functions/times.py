@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Feed date patterns, tried in order.
-FEED_PATTERNS = ("EEE, d MMM yyyy HH:mm:ss Z", "EEE, d MMM yyyy HH:mm:ss zzz", "d MMM yyyy HH:mm:ss Z", "yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd'T'HH:mm:ss.SSSXXX", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd")
+FEED_PATTERNS = ("d MMM yyyy HH:mm:ss Z", "d MMM yyyy HH:mm Z", "d MMM yyyy HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd'T'HH:mm:ss.SSSXXX", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd")
 ISO_PATTERNS = ("yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd'T'HH:mm:ss.SSSXXX", "yyyy-MM-dd'T'HH:mm:ss.SSS", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd'T'HH:mmXXX", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd")
 
 
@@ -15,8 +15,9 @@ def _first(text: Column, patterns: tuple[str, ...]) -> Column:
 
 
 def parse_feed_date(*fields: Column) -> Column:
-    """The first field that one of the patterns reads; else null."""
-    return F.coalesce(*(_first(F.trim(f), FEED_PATTERNS) for f in fields))
+    """The first field that one of the patterns reads; else null. A weekday ahead is ignored, names of UTC are offsets."""
+    plain = lambda f: F.regexp_replace(F.regexp_replace(F.trim(f), r"^[A-Za-z]+,\s*", ""), r" (?:GMT|UTC?|Z)$", " +0000")
+    return F.coalesce(*(_first(plain(f), FEED_PATTERNS) for f in fields))
 
 
 def parse_iso(text: Column) -> Column:

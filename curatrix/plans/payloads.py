@@ -1 +1,103 @@
-"""Queries."""
+"""Payload readers and page texts. Payloads are made from the shared tables, so that their work grows with those."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..bindings import Tables
+from ..functions.html import page_text as text_of
+from ..functions.ids import extract_ghsa
+from ..operators import links
+from ..registry import query
+from ..sources import readers
+
+
+def _docs(t: Tables, groups: int = 50):
+    """Documents in payload-sized groups."""
+    return t.table("documents").select("doc_id", "source", F.substring("text", 1, 60).alias("title"), F.floor(F.col("doc_id") / groups).alias("g"))
+
+
+@query("api_items", "SELECT source AS source_id, CAST(doc_id AS VARCHAR) AS native_id, trim(substr(text, 1, 60)) AS title, 'https://x.example.org/' || doc_id AS canonical_url FROM documents WHERE doc_id % 3 <> 2")
+def api_items(t: Tables):
+    body = F.to_json(F.struct(F.col("doc_id").alias("id"), "title", F.concat(F.lit("https://x.example.org/"), "doc_id").alias("link")))
+    entry = F.when(F.col("doc_id") % 3 == 2, F.to_json(F.array(F.lit("not an object")))).otherwise(body)
+    grouped = _docs(t).groupBy("source", "g").agg(F.concat(F.lit('{"items":[],"data":['), F.array_join(F.collect_list(entry), ","), F.lit("]}")).alias("payload"))
+    return readers.records(grouped.withColumnRenamed("source", "source_id")).select("source_id", "native_id", F.trim("title").alias("title"), "canonical_url")
+
+
+@query("nvd_items", """
+SELECT source AS source_id, 'CVE-2024-' || doc_id AS native_id, 'CVE-2024-' || doc_id || ': ' || substr(text, 1, 60) AS title, 'https://nvd.nist.gov/vuln/detail/CVE-2024-' || doc_id AS canonical_url,
+  CASE WHEN doc_id % 2 = 0 THEN CAST(doc_id % 10 AS DOUBLE) ELSE 5.5 END AS cvss FROM documents""")
+def nvd_items(t: Tables):
+    metric = lambda x: F.array(F.struct(F.struct(x.cast("double").alias("baseScore")).alias("cvssData")))
+    even = F.col("doc_id") % 2 == 0
+    metrics = F.struct(F.when(even, metric(F.col("doc_id") % 10)).alias("cvssMetricV31"), metric(F.lit(5.5)).alias("cvssMetricV2"))
+    about = F.array(F.struct(F.lit("zh").alias("lang"), F.lit("x").alias("value")), F.struct(F.lit("en").alias("lang"), F.col("title").alias("value")))
+    cve = F.struct(F.concat(F.lit("CVE-2024-"), "doc_id").alias("id"), F.lit("2024-01-05T10:00:00.000").alias("published"), about.alias("descriptions"), metrics.alias("metrics"))
+    grouped = _docs(t).groupBy("source", "g").agg(F.to_json(F.struct(F.collect_list(F.struct(cve.alias("cve"))).alias("vulnerabilities"))).alias("payload"))
+    return readers.nvd(grouped.withColumnRenamed("source", "source_id")).select("source_id", "native_id", "title", "canonical_url", F.get_json_object("metadata", "$.cvss").cast("double").alias("cvss"))
+
+
+@query("advisory_items", """
+SELECT source AS source_id, 'GHSA-' || doc_id AS native_id, 'GHSA-' || doc_id || ': ' || substr(text, 1, 60) AS title, 'https://github.com/advisories/GHSA-' || doc_id AS canonical_url, 'CVE-' || doc_id AS cves FROM documents""")
+def advisory_items(t: Tables):
+    key = F.concat(F.lit("GHSA-"), "doc_id")
+    ids = F.array(F.struct(F.lit("GHSA").alias("type"), key.alias("value")), F.struct(F.lit("CVE").alias("type"), F.concat(F.lit("CVE-"), "doc_id").alias("value")))
+    entry = F.struct(key.alias("ghsa_id"), F.col("title").alias("summary"), F.concat(F.lit("https://github.com/advisories/"), key).alias("html_url"), ids.alias("identifiers"))
+    grouped = _docs(t).groupBy("source", "g").agg(F.to_json(F.collect_list(entry)).alias("payload"))
+    cves = F.array_join(F.from_json(F.get_json_object("metadata", "$.cve_ids"), "array<string>"), ",")
+    return readers.advisories(grouped.withColumnRenamed("source", "source_id")).select("source_id", "native_id", "title", "canonical_url", cves.alias("cves"))
+
+
+@query("story_items", """
+WITH r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS pos FROM documents)
+SELECT source AS source_id, pos, CAST(doc_id AS VARCHAR) AS native_id, CASE WHEN doc_id % 2 = 0 THEN 'https://s.example.org/' || doc_id ELSE 'https://news.ycombinator.com/item?id=' || doc_id END AS canonical_url FROM r WHERE pos < 30 AND doc_id % 5 <> 0""")
+def story_items(t: Tables):
+    docs = _docs(t)
+    lists = docs.groupBy(F.col("source").alias("source_id")).agg(F.to_json(F.sort_array(F.collect_list("doc_id"))).alias("payload"))
+    detail = F.to_json(F.struct(F.when(F.col("doc_id") % 5 == 0, "comment").otherwise("story").alias("type"), "title", F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("https://s.example.org/"), "doc_id")).alias("url"), (F.col("doc_id") + 1700000000).alias("time")))
+    return readers.stories(lists, docs.select(F.col("doc_id").alias("id"), detail.alias("payload")), 30).select("source_id", "pos", "native_id", "canonical_url")
+
+
+@query("feed_items_xml", "SELECT source AS source_id, CAST(doc_id AS VARCHAR) AS native_id, 'Item ' || doc_id AS title, 'https://f.example.org/' || doc_id AS canonical_url, '2024-01-05 10:00:00' AS published FROM documents")
+def feed_items_xml(t: Tables):
+    item = F.concat(F.lit("<item><title>Item "), "doc_id", F.lit("</title><link>https://f.example.org/"), "doc_id", F.lit("</link><guid>"), "doc_id", F.lit("</guid><pubDate>Fri, 05 Jan 2024 10:00:00 +0000</pubDate></item>"))
+    grouped = _docs(t).groupBy(F.col("source").alias("source_id"), "g").agg(F.concat(F.lit("<rss><channel>"), F.array_join(F.collect_list(item), ""), F.lit("</channel></rss>")).alias("payload"))
+    return readers.feed(grouped).select("source_id", "native_id", "title", "canonical_url", F.date_format(F.to_utc_timestamp("published_at", F.current_timezone()), "yyyy-MM-dd HH:mm:ss").alias("published"))
+
+
+@query("page_text")
+def page_text(t: Tables):
+    return t.table("pages").select("page_id", text_of(F.col("html")).alias("text"))
+
+
+@query("link_mentions", r"""
+WITH m AS (SELECT page_id, unnest(regexp_extract_all(html, 'href="(/[^"/]+)', 1)) AS hit, generate_subscripts(regexp_extract_all(html, 'href="(/[^"/]+)', 1), 1) AS place FROM pages),
+c AS (SELECT page_id, regexp_replace(hit, '[.,);]+$', '') AS target, place FROM m), n AS (SELECT page_id, target, count(*) AS n, min(place) AS first FROM c GROUP BY ALL)
+SELECT page_id, target, n FROM n QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY n DESC, first) = 1""")
+def link_mentions(t: Tables):
+    return links.most_mentioned(t.table("pages"), "page_id", "html", r'href="(/[^"/]+)', ())
+
+
+@query("advisory_fix_commit", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'own/r' || doc_id ELSE 'other/x' END AS repo, CASE WHEN doc_id % 2 = 0 THEN 'bbbbbbb' ELSE 'aaaaaaa' END AS commit FROM documents")
+def advisory_fix_commit(t: Tables):
+    url = lambda repo, sha: F.concat(F.lit("https://github.com/"), repo, F.lit(f"/commit/{sha}"))
+    own = F.concat(F.lit("own/r"), F.col("doc_id").cast("string"))
+    refs = F.array(F.lit("https://example.org/"), url(F.lit("other/x"), "aaaaaaa"), F.when(F.col("doc_id") % 2 == 0, url(own, "bbbbbbb")).otherwise(F.lit("-")))
+    rows = t.table("documents").select("doc_id", refs.alias("refs"), F.concat(F.lit("https://github.com/"), own).alias("home"))
+    return links.fix_commit(rows, "doc_id", "refs", "home")
+
+
+@query("repo_pick", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'a/official' ELSE 'b/stars' END AS repo FROM documents")
+def repo_pick(t: Tables):
+    rows = t.table("documents").select("doc_id", F.posexplode(F.array(
+        F.struct(F.lit("https://example.org/x").alias("url"), F.lit(True).alias("official"), F.lit(900).alias("stars")),
+        F.struct(F.lit("https://github.com/c/few").alias("url"), F.lit(False).alias("official"), F.lit(5).alias("stars")),
+        F.struct(F.lit("https://github.com/b/stars.git").alias("url"), F.lit(False).alias("official"), F.lit(50).alias("stars")),
+        F.struct(F.lit("https://github.com/a/official").alias("url"), (F.col("doc_id") % 3 == 0).alias("official"), F.lit(1).alias("stars")))).alias("pos", "x")).select("doc_id", "pos", "x.*")
+    return links.best_repository(rows, "doc_id")
+
+
+@query("advisory_ids", "SELECT doc_id, CASE WHEN regexp_extract(advisory_text, '(?i)(GHSA(-[0-9a-z]{4}){3})', 1) <> '' THEN 'GHSA' || lower(substr(regexp_extract(advisory_text, '(?i)(GHSA(-[0-9a-z]{4}){3})', 1), 5)) END AS ghsa FROM b_candidates")
+def advisory_ids(t: Tables):
+    return t.table("b_candidates").select("doc_id", extract_ghsa(F.col("canonical_url"), F.col("id"), F.col("advisory_text")).alias("ghsa"))
