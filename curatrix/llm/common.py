@@ -61,3 +61,12 @@ def free_name(df: DataFrame, wish: str) -> str:
     while wish.lower() in taken:
         wish += "_"
     return wish
+
+
+#: Rows of a few hashes up to which a side may be broadcast (16 to 32 MB); beyond, the join shuffles.
+BROADCAST_ROWS = 1_000_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """A broadcast hint where the rows, counted, are within the bound."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df

@@ -3,9 +3,10 @@
 A fixed-depth tree sorts lines: first by their number of tokens, then by their ``LEAD`` leading tokens, with
 variable fields (tokens with a digit) replaced by a wildcard throughout. Below a leaf, lines that recur as they are make
 templates of their own; among the others a token stays only where ``least`` lines of the leaf share it at its
-position, and any other token becomes the wildcard. A template recurs if it stands in ``least`` or more different texts and between
-``least`` or more different neighbours, also as a share of those texts: a boilerplate line stands in ever new
-surroundings, while a line of a document that was copied many times keeps its own and is left to near-dedup.
+position, and any other token becomes the wildcard. A template recurs if it stands in ``least`` or more different texts, and
+on one side of it both the next line and the one beyond (the next again, at a text's edge) differ ``least`` times or more,
+also as a share of those texts: boilerplate stands in ever new surroundings, while a line of a document that was copied
+many times, with an edit here and there, keeps its own and is left to near-dedup.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import content_key, free_name, slices, stage, table, texts
+from .common import content_key, free_name, slices, small, stage, table, texts
 
 WILDCARD = "<*>"
 LEAD = 3
@@ -28,8 +29,8 @@ LEAST_DOCS = 10
 LEAST_SPREAD = 0.25
 #: Share of tokens that a generalised template keeps.
 LEAST_FIXED = 0.6
-#: Rows of hashes up to which a side may be broadcast (16 MB); beyond, the join shuffles.
-BROADCAST_ROWS = 1_000_000
+#: Hashes of the lines before and after.
+AROUND = ("before", "before2", "after", "after2")
 
 _VARIABLE = re.compile(r"(?<!\S)[^\s\d]*\d\S*")
 _DIGIT = re.compile(r"\d")
@@ -40,7 +41,8 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from xxhash import xxh3_64_intdigest as h
 
     for batch in slices(batches):
-        keys, numbers, sizes, leaves, hashes, before, after, masked = [], [], [], [], [], [], [], []
+        keys, numbers, sizes, leaves, hashes, masked = [], [], [], [], [], []
+        around: list[list[int]] = [[] for _ in AROUND]
         for key, text in zip(batch.column("row_key").to_pylist(), texts(batch, "text")):
             if _DIGIT.search(text):
                 text = _VARIABLE.sub(WILDCARD, text)
@@ -56,42 +58,38 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     sizes.append(len(tokens))
                     leaves.append(h(f"{len(tokens)} {' '.join(tokens[:LEAD])}") & _M)
                     hashes.append(own)
-                    before.append(rows[k - 1][3] if k else 0)
-                    after.append(rows[k + 1][3] if k + 1 < len(rows) else 0)
+                    last = len(rows) - 1
+                    for places, at in zip(around, (k - 1, max(0, k - 2), k + 1, min(last, k + 2))):
+                        places.append(rows[at][3] if 0 <= at <= last and at != k else 0)
                     masked.append(line)
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(numbers, pa.int32()), pa.array(sizes, pa.int32()), *(pa.array(x, pa.int64()) for x in (leaves, hashes, before, after)), pa.array(masked, pa.string())], names=["row_key", "line", "tokens", "leaf", "own", "before", "after", "masked"])
-
-
-def _small(df: DataFrame) -> DataFrame:
-    """A broadcast hint where the counted rows are within the bound."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(numbers, pa.int32()), pa.array(sizes, pa.int32()), *(pa.array(x, pa.int64()) for x in (leaves, hashes, *around)), pa.array(masked, pa.string())], names=["row_key", "line", "tokens", "leaf", "own", *AROUND, "masked"])
 
 
 def _recurring(lines: DataFrame, template: str, least: int, spread: float) -> DataFrame:
     """The templates that recur: in ``least`` texts, with ``least`` neighbours that also make up ``spread`` of the texts."""
-    distinct = lines.select(template, "row_key", "before", "after").distinct()
-    counts = distinct.groupBy(template).agg(F.count_distinct("row_key").alias("n"), F.count_distinct("before").alias("b"), F.count_distinct("after").alias("a"))
-    around = F.greatest("a", "b")
+    distinct = lines.select(template, "row_key", *AROUND).distinct()
+    counts = distinct.groupBy(template).agg(F.count_distinct("row_key").alias("n"), *(F.count_distinct(c).alias(c) for c in AROUND))
+    around = F.greatest(F.least("before", "before2"), F.least("after", "after2"))
     return counts.filter((F.col("n") >= least) & (around >= least) & (around >= spread * F.col("n"))).select(F.col(template).alias("of_template"))
 
 
 def template_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST_DOCS, spread: float = LEAST_SPREAD, fixed: float = LEAST_FIXED) -> DataFrame:
     """(row_key, gone): the numbers of each text's lines, from 0, that recurring templates drop."""
     rows = docs.select(content_key(text_col).alias("row_key"), F.col(text_col).alias("text")).filter(F.col("text") != "")
-    lines = stage(rows.mapInArrow(_lines, "row_key binary, line int, tokens int, leaf long, own long, before long, after long, masked string"), "lines")
+    lines = stage(rows.mapInArrow(_lines, "row_key binary, line int, tokens int, leaf long, own long, before long, before2 long, after long, after2 long, masked string"), "lines")
     often = stage(lines.groupBy("own").agg(F.count("*").alias("n")).filter(F.col("n") >= least).select(F.col("own").alias("of_own")), "often")
-    often = _small(often)
+    often = small(often)
     same = lines.drop("masked", "tokens", "leaf").join(often, F.col("own") == F.col("of_own"), "left_semi")
-    exact = _small(stage(_recurring(same, "own", least, spread), "exact"))
+    exact = small(stage(_recurring(same, "own", least, spread), "exact"))
     dropped = same.join(exact, F.col("own") == F.col("of_template"), "left_semi").select("row_key", "line")
 
     others = lines.join(often, F.col("own") == F.col("of_own"), "left_anti")
-    full = _small(stage(others.groupBy("leaf").agg(F.count("*").alias("n")).filter(F.col("n") >= least).select(F.col("leaf").alias("of_leaf")), "leaves"))
+    full = small(stage(others.groupBy("leaf").agg(F.count("*").alias("n")).filter(F.col("n") >= least).select(F.col("leaf").alias("of_leaf")), "leaves"))
     varied = stage(others.join(full, F.col("leaf") == F.col("of_leaf"), "left_semi"), "varied")
-    tokens = varied.select("row_key", "line", "leaf", "tokens", "before", "after", F.posexplode(F.split("masked", " ")).alias("at", "token"))
+    tokens = varied.select("row_key", "line", "leaf", "tokens", *AROUND, F.posexplode(F.split("masked", " ")).alias("at", "token"))
     common = tokens.groupBy("leaf", "at", "token").agg(F.count("*").alias("n")).filter(F.col("n") >= least).select(F.col("leaf").alias("l"), F.col("at").alias("p"), F.col("token").alias("t"))
     held = tokens.join(common, (F.col("leaf") == F.col("l")) & (F.col("at") == F.col("p")) & (F.col("token") == F.col("t")))
-    general = held.groupBy("row_key", "line", "leaf", "tokens", "before", "after").agg(F.sort_array(F.collect_set(F.struct("at", "token"))).alias("kept"))
+    general = held.groupBy("row_key", "line", "leaf", "tokens", *AROUND).agg(F.sort_array(F.collect_set(F.struct("at", "token"))).alias("kept"))
     general = general.filter(F.size("kept") >= fixed * F.col("tokens")).withColumn("template", F.xxhash64("leaf", F.col("kept").cast("string"))).drop("kept")
     general = stage(general, "general")
     more = general.join(_recurring(general, "template", least, spread), F.col("template") == F.col("of_template"), "left_semi").select("row_key", "line")
