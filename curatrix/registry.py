@@ -25,7 +25,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from .plans import digests, ingest, listing, payloads, queue, runs, scoring, sources, stats  # noqa: F401
+    from .plans import digests, ingest, listing, payloads, queue, runs, scoring, sources, stats, streams  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

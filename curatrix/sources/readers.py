@@ -46,7 +46,7 @@ def feed(payloads: DataFrame, since: str | None = None, native: str = "plain", t
     link = F.coalesce(_blank(F.regexp_extract("xml", r"<link[^>]*href=[\"']([^\"']*)[\"']", 1)), _blank(F.regexp_extract("xml", r"(?s)<link>(.*?)</link>", 1)))
     e = F.from_xml(F.regexp_replace(F.regexp_replace("xml", r"<link[^>]*/>|(?s)<link>.*?</link>", ""), r"(</?)(?:dc|content|atom):", "$1"), ENTRY)
     rows = entries.withColumn("link_", link).withColumn("e", e)
-    who = F.coalesce(F.when(_blank(F.col("e.author")) != "?", _blank(F.col("e.author"))), _blank(F.col("e.creator")), _blank(F.array_join(F.regexp_extract_all("xml", F.lit(r"(?s)<name>(.*?)</name>"), 1), ", ")))
+    who = F.coalesce(F.when((_blank(F.col("e.author")) != "?") & ~F.col("e.author").contains("<"), _blank(F.col("e.author"))), _blank(F.col("e.creator")), _blank(F.array_join(F.regexp_extract_all("xml", F.lit(r"(?s)<name>(.*?)</name>"), 1), ", ")))
     own = F.coalesce(_blank(F.col("e.guid")), _blank(F.regexp_extract("xml", r"(?s)<id>(.*?)</id>", 1)), F.col("link_"))
     terms = F.concat(F.coalesce(F.filter("e.category", lambda c: c.isNotNull()), F.array().cast("array<string>")), F.regexp_extract_all("xml", F.lit(r"<category[^>]*term=[\"']([^\"']*)[\"']"), 1))
     return _raw(rows.select("source_id", F.col("pos").cast("long").alias("pos"), F.trim("e.title").alias("title"), F.col("link_").alias("canonical_url"),
