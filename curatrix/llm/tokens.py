@@ -20,8 +20,8 @@ _PIECE = re.compile(r"[ \n\r\t]*[^ \n\r\t]+|[ \n\r\t]+")
 _MARK = "\x01"
 _START = "\x00"
 _BLANKS = " \n\r\t"
-#: Pieces remembered by a Python worker (about 250 MB at most); then it starts anew.
-REMEMBERED = 1_400_000
+#: Pieces that a Python worker remembers (about 110 MB); later ones are encoded each time, until they are so many that it starts anew.
+REMEMBERED = 600_000
 
 _open: dict[str, "Encoder"] = {}
 
@@ -70,8 +70,9 @@ class Encoder:
             return pieces
         return (_START + text.replace("\n", " \n")).split(" ")
 
-    def _learn(self, keys: list[str]) -> None:
-        """Encode pieces not seen before, all in one text where the seams are certain."""
+    def _learn(self, keys: list[str]) -> dict[str, bytes]:
+        """Ids of pieces that aren't remembered, encoded in one text where the seams are certain."""
+        learnt: dict[str, bytes] = {}
         if self.keeps_blanks:
             pieces = [k[1:] if k[0] == _START else k if k[0] in _BLANKS else " " + k for k in keys]
             joined = [p for p in pieces if p[0] in _BLANKS and p[-1] not in _BLANKS and "<|" not in p]
@@ -94,18 +95,20 @@ class Encoder:
                 cuts = np.flatnonzero(ids == self.mark)
                 firsts = np.concatenate([[0], cuts[:-1] + 1])
             assert len(cuts) == len(joined)
-            raw, w, known = ids.tobytes(), self.width, self.known
+            raw, w = ids.tobytes(), self.width
             for p, a, b in zip(joined, (firsts * w).tolist(), (cuts * w).tolist()):
-                known[key_of[p]] = raw[a:b]
+                learnt[key_of[p]] = raw[a:b]
         for p, ids in zip(alone, self._plain(alone)):
-            self.known[key_of[p]] = ids.tobytes()
+            learnt[key_of[p]] = ids.tobytes()
+        return learnt
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian words of ``self.width`` bytes."""
         if not (self.keeps_blanks or self.drops_blanks):
             return [x.tobytes() for x in self._plain(texts)]
         cut = self._cut
-        odd = {i for i, t in enumerate(texts) if _ODD_SPACE.search(t)}
+        # Printable texts have no white space but blanks, which is quicker to tell.
+        odd = {i for i, t in enumerate(texts) if not t.replace("\n", " ").isprintable() and _ODD_SPACE.search(t)}
         pieces = [[] if i in odd else cut(t) for i, t in enumerate(texts)]
         known = self.known
         flat = list(chain.from_iterable(pieces))
@@ -115,15 +118,17 @@ class Encoder:
             while True:
                 places.append(at := found.index(None, at + 1))
         if places:
-            self._learn(list({flat[i] for i in places}))
+            learnt = self._learn(list({flat[i] for i in places}))
             for i in places:
-                found[i] = known[flat[i]]
+                found[i] = learnt[flat[i]]
+            if 4 * len(places) > len(flat) and len(known) >= self.remembered:
+                known.clear()
+            if len(known) < self.remembered:
+                known.update(learnt)
         out, at = [], 0
         for ps in pieces:
             out.append(b"".join(found[at : at + len(ps)]))
             at += len(ps)
-        if len(known) > self.remembered:
-            known.clear()
         if odd:
             whole = sorted(odd)
             for i, ids in zip(whole, self._plain([texts[i] for i in whole])):
