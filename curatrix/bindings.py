@@ -10,8 +10,8 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: The instant at which the queries look at the tables, and its day.
-NOW, TODAY = "2024-01-16 12:00:00", "2024-01-16"
+#: The instant at which ingest, runs and queue look at the tables, and the day that the statistics show.
+NOW, TODAY = "2024-01-16 12:00:00", "2024-01-05"
 
 _SHARED_TABLES = ("documents", "pages", "events")
 
