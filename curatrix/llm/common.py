@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 
 _own_folder: str | None = None
 
+#: Rows of an Arrow batch. Whole texts may be long, and the JVM and Python each hold a batch; Spark's own 10,000 rows of
+#: some kB take much of an executor.
+BATCH_ROWS = 1000
+
 #: A-Z to a-z on UTF-8 bytes; other bytes stay.
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -26,15 +30,24 @@ def shared_folder(spark: SparkSession) -> str:
     return _own_folder
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Let Arrow batches hold at most BATCH_ROWS rows in this session; a smaller setting stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def stage(df: DataFrame, name: str, sorted_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: lineage ends here, and a lost executor loses nothing."""
     spark = df.sparkSession
+    bound_batches(spark)
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     (df.sortWithinPartitions(*sorted_by) if sorted_by else df).write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -48,6 +61,7 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+    pa.default_memory_pool().release_unused()
 
 
 def texts(batch: pa.RecordBatch, name: str) -> list[str]:
