@@ -203,7 +203,7 @@ def label(found: DataFrame) -> DataFrame:
     return found.join(of, F.col("fp") == F.col("of_fp"), "left").withColumn("component_id", F.coalesce("component_id", "doc_id")).drop("of_fp")
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """One row of each component stays, that with the least id (ties: the least content key), with all its columns.
 
     Rows without an id are only dropped for a component that has one with an id, or all but one of their own.
