@@ -157,3 +157,29 @@ def drop_low_quality(docs: DataFrame, text_col: str = "text", lang_col: str = "l
 def op9_quality(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return quality_rules(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def oracle() -> str:
+    """The same figures in DuckDB's SQL, made from the same fixed values."""
+    chain, left = "t", ["length(t)"]
+    for kind in CLASSES:
+        quoted = kind.replace("'", "''")
+        chain = f"regexp_replace({chain}, '{quoted}', '', 'g')"
+        left.append(f"length({chain})")
+    listed = "CASE lang " + " ".join(f"WHEN '{k}' THEN [{', '.join(repr(w) for w in v)}]" for k, v in COMMON_WORDS.items()) + " END"
+    shares = "CASE lang " + " ".join(f"WHEN '{k}' THEN [{', '.join(f'{x}::DOUBLE' for x in v.values())}]" for k, v in COMMON_WORDS.items()) + " END"
+    classes = f"[{', '.join(f'{x / sum(CLASS_SHARES)!r}::DOUBLE' for x in CLASS_SHARES)}]"
+    part = lambda a, b: f"CASE WHEN {a} > 0 THEN {a} * log2(2 * {a} / ({a} + {b})) ELSE 0 END"
+    js = lambda p, q: f"sqrt(greatest(0, list_sum(list_transform(list_zip({p}, {q}), lambda z: {part('z[1]', 'z[2]')} + {part('z[2]', 'z[1]')})) / 2))"
+    rest = lambda x: f"list_append({x}, greatest(0, 1 - list_sum({x})))"
+    return rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, lang, list_filter(regexp_split_to_array(coalesce(text, ''), '{BLANKS}'), lambda x: x <> '') AS w FROM documents),
+g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, s) AS n FROM (SELECT doc_id, i, array_to_string(w[i : i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5))),
+r AS (SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, unnest(range(i, i + 5)) AS j FROM g WHERE n > 1) GROUP BY doc_id),
+m AS (SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ 	-]')) AS lines,
+  CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words, [{', '.join(left)}] AS l, {listed} AS listed, {shares} AS shares, list_transform(w, lambda x: lower(x)) AS low FROM d LEFT JOIN r ON r.doc_id = d.doc_id),
+f AS (SELECT *, n_words < {LEAST_WORDS} OR 100 * n_repeat_words > {MOST_REPEATED_PERCENT} * n_words AS base_failed,
+  list_transform(range(1, {len(CLASSES) + 2}), lambda k: (l[k] - coalesce(l[k + 1], 0)) * 1.0::DOUBLE / greatest(1, l[1])) AS p, list_transform(listed, lambda c: len(list_filter(low, lambda x: x = c)) * 1.0::DOUBLE / greatest(1, n_words)) AS q FROM m)
+SELECT doc_id, n_words, word_chars, CAST(l[{len(CLASSES)}] - l[{len(CLASSES) + 1}] AS BIGINT) AS n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND (n_words < {COMPARED_WORDS} OR ({js('p', classes)} <= {MOST_CLASS_DISTANCE} AND coalesce({js(rest('q'), rest('shares'))}, 0) <= {MOST_WORD_DISTANCE})) AS kept FROM f
+"""

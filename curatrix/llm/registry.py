@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, url_rules
+from . import chat_format, decontaminate, quality, substring_dedup, url_rules
 from .chat_format import op4_chat_format
 from .decontaminate import op3_decontaminate
 from .line_dedup import op8_line_dedup
@@ -34,4 +34,4 @@ QUERIES = {
     "op10_packing": op10_packing,
     "pipeline": pipeline,
 }
-ORACLE_SQL = {"op3_decontaminate": decontaminate.ORACLE, "op7_url_rules": url_rules.ORACLE}
+ORACLE_SQL = {"op3_decontaminate": decontaminate.ORACLE, "op4_chat_format": chat_format.ORACLE, "op6_substring_dedup": substring_dedup.ORACLE, "op7_url_rules": url_rules.ORACLE, "op9_quality": quality.oracle()}

@@ -7,10 +7,12 @@ The first pass sketches, the second groups exactly:
   an anchor that occurs twice; there are about fourteen times fewer anchors than windows.
 * Each partition makes a count-min sketch of its anchors. Partition sketches are merged slice by slice in
   a shuffle, counts saturating at two, and only the map of cells that were hit twice is kept: a fixed
-  ``2 ** WIDTH_BITS * DEPTH / 8`` bytes (16 MB), whatever the corpus. That is all that is broadcast. A cell never counts too few,
+  ``2 ** WIDTH_BITS * DEPTH / 8`` bytes (32 MB), whatever the corpus. That is all that is broadcast. A cell never counts too few,
   so no repeated window is lost; in a corpus so large that the sketch fills up, more windows pass on.
 * Windows with an anchor estimated to repeat are grouped exactly on 128-bit hashes; those that start more
-  than once remove their words.
+  than once remove their words. A task first groups its own windows, so that a window which many documents share
+  passes on once a task, and no key is hot. Of texts that are exact copies of each other one stands for all in this pass:
+  the copies' words all go anyway, and other texts meet the windows of the one.
 """
 
 from __future__ import annotations
@@ -23,11 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import content_key, free_name, slices, stage, table, texts
+from .common import content_key, slices, small, stage, table, texts
 
 WINDOW = 35
 ANCHOR = 12
-WIDTH_BITS = 26
+WIDTH_BITS = 27
 DEPTH = 2
 SLICES = 64
 _B1, _B2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -192,28 +194,67 @@ def _estimate(bits: np.ndarray, anchors: np.ndarray) -> np.ndarray:
     return out
 
 
+def _runs(places: np.ndarray) -> list[int]:
+    """Ascending places as half-open runs: first, end, first, end ..."""
+    if not len(places):
+        return []
+    breaks = np.flatnonzero(np.diff(places) != 1)
+    firsts, lasts = places[np.concatenate([[0], breaks + 1])], places[np.concatenate([breaks, [len(places) - 1]])]
+    return np.stack([firsts, lasts + 1], axis=1).ravel().tolist()
+
+
+def _flushed(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+    """Group what is held first, as a map-side combine: a window that repeats here is known to, and passes on once, for the others."""
+    h1, h2 = (np.concatenate([x[k] for x in held]) for k in (2, 3))
+    order = np.lexsort((h2, h1))
+    new = np.ones(len(order), bool)
+    new[1:] = (h1[order][1:] != h1[order][:-1]) | (h2[order][1:] != h2[order][:-1])
+    group = np.cumsum(new) - 1
+    many = np.bincount(group, minlength=1)[group] > 1 if len(order) else np.zeros(0, bool)
+    repeats, first = np.zeros(len(order), bool), np.zeros(len(order), bool)
+    repeats[order], first[order] = many, new
+    done = 0
+    for columns, place, one, two, cuts in held:
+        mine, lead = repeats[done : done + len(place)], first[done : done + len(place)]
+        done += len(place)
+        known = [_runs(place[a:b][mine[a:b]]) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+        sent = ~mine | lead
+        at = np.where(mine, -1, place)[sent].astype(np.int32)
+        inner = pa.StructArray.from_arrays([pa.array(at), pa.array(one[sent]), pa.array(two[sent])], names=["at", "h1", "h2"])
+        ends = np.concatenate([[0], np.cumsum(sent)])[cuts]
+        yield pa.RecordBatch.from_arrays([*columns.values(), pa.array(known, pa.list_(pa.int32())), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), inner)], names=[*columns, "known", "windows"])
+
+
+#: Suspect windows that a task holds before it groups them (about 60 MB).
+HELD = 2_000_000
+
+
 def _suspects(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = shared.value
+        from pyspark import TaskContext
+
+        bits, row = shared.value, TaskContext.get().partitionId() << 40
         hashes = _WordHashes()
+        held: list[tuple] = []
         for batch in slices(batches):
             docs = [t.encode().split() for t in texts(batch, "text")]
             w = Windows(docs, hashes)
             starts = np.flatnonzero(w.starts)
             starts = starts[_estimate(bits, w.least[starts])]
-            h1, h2 = (rolling(w.h, WINDOW, b) for b in (_B1, _B2))
-            h1, h2 = mixed(h1)[starts].view(np.int64), mixed(h2)[starts].view(np.int64)
+            h1, h2 = (mixed(rolling(w.h, WINDOW, b))[starts].view(np.int64) for b in (_B1, _B2))
             owner = np.searchsorted(w.first, starts, side="right") - 1
             # Documents without words share their first place with the next one: the last of those has the words.
-            place = starts - w.first[owner]
             cuts = np.searchsorted(owner, np.arange(len(docs) + 1))
-            inner = pa.StructArray.from_arrays([pa.array(place.astype(np.int32)), pa.array(h1), pa.array(h2)], names=["at", "h1", "h2"])
-            windows = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), inner)
-            shas = [hashlib.sha256(b" ".join(d)).hexdigest() for d in docs]
-            names = [c for c in batch.schema.names if c != "text"]
-            n_suspect = np.diff(cuts)
-            text = pa.array([t if k else None for t, k in zip(batch.column("text").to_pylist(), n_suspect.tolist())], pa.string())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(w.n), pa.array(shas), text, windows], names=[*names, "n_words", "sha", "text", "windows"])
+            text = pa.array([t if k else None for t, k in zip(batch.column("text").to_pylist(), np.diff(cuts).tolist())], pa.string())
+            columns = {"row": pa.array(np.arange(row, row + len(docs)))} | {c: batch.column(c) for c in batch.schema.names if c != "text"}
+            columns |= {"n_words": pa.array(w.n), "sha": pa.array([hashlib.sha256(b" ".join(d)).hexdigest() for d in docs]), "text": text}
+            row += len(docs)
+            held.append((columns, starts - w.first[owner], h1, h2, cuts))
+            if sum(len(x[1]) for x in held) > HELD or len(held) > 32:
+                yield from _flushed(held)
+                held = []
+        if held:
+            yield from _flushed(held)
 
     return run
 
@@ -229,14 +270,15 @@ def covered(starts: np.ndarray, n: int, window: int = WINDOW) -> np.ndarray:
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
         removed, shas, kept_texts = [], [], []
-        for text, sha, starts in zip(*(batch.column(c).to_pylist() for c in ("text", "sha", "starts"))):
-            if not starts:
+        for text, sha, known, starts, copied in zip(*(batch.column(c).to_pylist() for c in ("text", "sha", "known", "starts", "copied"))):
+            if not known and not starts and not copied:
                 removed.append(0)
                 shas.append(sha)
                 kept_texts.append(None)
                 continue
             words = text.encode().split()
-            gone = covered(np.array(starts, np.int64), len(words))
+            places = [np.arange(a, b) for a, b in zip(known[::2], known[1::2])] + [np.array(starts or [], np.int64)]
+            gone = np.ones(len(words), bool) if copied else covered(np.concatenate(places), len(words))
             kept = b" ".join([w for w, g in zip(words, gone.tolist()) if not g])
             removed.append(int(gone.sum()))
             shas.append(hashlib.sha256(kept).hexdigest())
@@ -250,17 +292,35 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Null and empty texts and those shorter than a window lose nothing. Repeated rows count as two documents,
     so all their windows go. An empty table gives no rows. Other columns are left out.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), content_key(id_col, text_col).alias("row_key"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), content_key(text_col).alias("text_key"), F.col(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(repeated_cells(rows.select("text")))
-    found = stage(rows.mapInArrow(_suspects(shared), f"doc_id {kind}, row_key binary, n_words long, sha string, text string, windows array<struct<at:int,h1:long,h2:long>>"), "windows")
-    each = found.select("row_key", F.explode("windows").alias("w")).select("row_key", "w.at", "w.h1", "w.h2")
-    repeated = each.groupBy("h1", "h2").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("h1").alias("r1"), F.col("h2").alias("r2"))
-    starts = each.join(repeated, (F.col("h1") == F.col("r1")) & (F.col("h2") == F.col("r2"))).groupBy("row_key").agg(F.collect_set("at").alias("starts")).withColumnRenamed("row_key", "of_key")
+    found = stage(rows.mapInArrow(_suspects(shared), f"row long, doc_id {kind}, text_key binary, n_words long, sha string, text string, known array<int>, windows array<struct<at:int,h1:long,h2:long>>"), "windows")
+    suspects = found.filter("text IS NOT NULL")  # each has a window at least
+    sets = suspects.groupBy("text_key").agg(F.count("*").alias("n"), F.min("row").alias("one")).filter("n > 1").select(F.col("text_key").alias("of_key"), "one")
+    copies = stage(suspects.select("row", "text_key").join(sets, F.col("text_key") == F.col("of_key")).select("row", (F.col("row") == F.col("one")).alias("is_one")), "copies")
+    others = small(copies.filter("NOT is_one").select(F.col("row").alias("of_row")))
+    each = suspects.select("row", "windows").join(others, F.col("row") == F.col("of_row"), "left_anti").select("row", F.explode("windows").alias("w")).select("row", "w.at", "w.h1", "w.h2")
+    repeated = each.groupBy("h1", "h2").agg(F.sum(F.when(F.col("at") < 0, 2).otherwise(1)).alias("n")).filter("n > 1").select(F.col("h1").alias("r1"), F.col("h2").alias("r2"))
+    starts = each.filter("at >= 0").join(repeated, (F.col("h1") == F.col("r1")) & (F.col("h2") == F.col("r2"))).groupBy("row").agg(F.collect_set("at").alias("starts"))
+    told = starts.withColumn("copied", F.lit(False)).unionByName(copies.select("row", F.lit(None).cast("array<int>").alias("starts"), F.lit(True).alias("copied")))
+    told = told.groupBy("row").agg(F.any_value("starts", True).alias("starts"), F.bool_or("copied").alias("copied")).withColumnRenamed("row", "of_row")
     plain = found.filter("text IS NULL").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("sha").alias("kept_sha256"), F.lit(None).cast("string").alias("kept_text"))
-    suspect = found.filter("text IS NOT NULL").drop("windows").join(starts, F.col("row_key") == F.col("of_key"), "left").select("doc_id", "n_words", "sha", "text", "starts")
-    return plain.union(suspect.mapInArrow(_cut, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string, kept_text string"))
+    cut = suspects.drop("windows").join(told, F.col("row") == F.col("of_row"), "left").select("doc_id", "n_words", "sha", "text", "known", "starts", "copied")
+    return plain.union(cut.mapInArrow(_cut, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string, kept_text string"))
 
 
 def op6_substring_dedup(spark, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents")).drop("kept_text")
+
+
+ORACLE = r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+p AS (SELECT doc_id, i, md5(array_to_string(w[i : i + 34], ' ')) AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35)),
+r AS (SELECT s FROM p GROUP BY s HAVING count(*) > 1),
+c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS j FROM p SEMI JOIN r USING (s)),
+k AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS j FROM d),
+kept AS (SELECT k.doc_id, string_agg(word, ' ' ORDER BY k.j) AS text, count(*) AS n FROM k ANTI JOIN c ON k.doc_id = c.doc_id AND k.j = c.j GROUP BY k.doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(len(d.w) - coalesce(kept.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM d LEFT JOIN kept ON kept.doc_id = d.doc_id
+"""
