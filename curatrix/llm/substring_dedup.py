@@ -2,14 +2,14 @@
 
 The first pass sketches, the second groups exactly:
 
-* Every window is represented in the sketch by its anchors: the hashed word runs (``ANCHOR`` words) that are
-  least in some window. Equal windows have equal anchors at equal places, so a window that starts twice has
-  an anchor that occurs twice; there are about fourteen times fewer anchors than windows.
+* Every window is represented in the sketch by its anchors: the hashed word runs (``ANCHOR`` words) that are the
+  least of ``SPAN`` neighbouring ones. Equal windows have equal anchors at equal places, so all anchors of a window
+  that starts twice occur twice; there are about six times fewer anchors than windows.
 * Each partition makes a count-min sketch of its anchors. Partition sketches are merged slice by slice in
   a shuffle, counts saturating at two, and only the map of cells that were hit twice is kept: a fixed
   ``2 ** WIDTH_BITS * DEPTH / 8`` bytes (32 MB), whatever the corpus. That is all that is broadcast. A cell never counts too few,
   so no repeated window is lost; in a corpus so large that the sketch fills up, more windows pass on.
-* Windows with an anchor estimated to repeat are grouped exactly on 128-bit hashes; those that start more
+* Windows of which all anchors are estimated to repeat are grouped exactly on 128-bit hashes; those that start more
   than once remove their words. A task first groups its own windows, so that a window which many documents share
   passes on once a task, and no key is hot. Of texts that are exact copies of each other one stands for all in this pass:
   the copies' words all go anyway, and other texts meet the windows of the one.
@@ -29,6 +29,8 @@ from .common import content_key, slices, small, stage, table, texts
 
 WINDOW = 35
 ANCHOR = 12
+#: Neighbouring word runs of which the least is an anchor.
+SPAN = 12
 WIDTH_BITS = 27
 DEPTH = 2
 SLICES = 64
@@ -108,10 +110,11 @@ class Windows:
         self.h = hashes(flat)
         self.starts = place + window <= end  # a window of its document starts here
         grams = mixed(rolling(self.h, anchor, _B1)) | np.uint64(1)  # never 0, which stands for no window below
-        span = window - anchor + 1
-        self.least = _running(grams, span, np.minimum)  # at a window's start: its anchor
-        reached = np.where(self.starts, self.least, np.uint64(0))
-        # A gram is an anchor if it is the least of some window that holds it: of those starting up to span - 1 before it.
+        span = SPAN
+        self.least = _running(grams, span, np.minimum)  # where a span starts: its anchor
+        self.spans = place + anchor + span - 1 <= end  # a span of its document starts here
+        reached = np.where(self.spans, self.least, np.uint64(0))
+        # A gram is an anchor if it is the least of some span that holds it: of those starting up to span - 1 before it.
         back = _running(reached[::-1], span, np.maximum)[::-1] if len(flat) else reached
         self.is_anchor = (back == grams) & (place + anchor <= end)
         self.grams = grams
@@ -239,8 +242,10 @@ def _suspects(shared):
         for batch in slices(batches):
             docs = [t.encode().split() for t in texts(batch, "text")]
             w = Windows(docs, hashes)
-            starts = np.flatnonzero(w.starts)
-            starts = starts[_estimate(bits, w.least[starts])]
+            again = np.zeros(len(w.h), bool)  # spans whose anchor is estimated to repeat
+            spans = np.flatnonzero(w.spans)
+            again[spans] = _estimate(bits, w.least[spans])
+            starts = np.flatnonzero(w.starts & _running(again, WINDOW - ANCHOR - SPAN + 2, np.logical_and))
             h1, h2 = (mixed(rolling(w.h, WINDOW, b))[starts].view(np.int64) for b in (_B1, _B2))
             owner = np.searchsorted(w.first, starts, side="right") - 1
             # Documents without words share their first place with the next one: the last of those has the words.
