@@ -190,10 +190,10 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return label(found)
 
 
-def label(found: DataFrame) -> DataFrame:
-    """Add component_id to rows with doc_id and fp."""
+def label(found: DataFrame, find=links) -> DataFrame:
+    """Add component_id to rows with doc_id and fp; ``find`` gives the links of distinct values of fp."""
     distinct = stage(found.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")), "distinct")
-    roots = components(links(distinct.select("fp")))
+    roots = components(find(distinct.select("fp")))
     tops = roots.select(F.col("root").alias("node")).distinct().withColumn("root", F.col("node"))
     members = roots.union(tops).join(distinct, F.col("node") == F.col("fp")).select("fp", "root", "least")
     least = members.groupBy("root").agg(F.min("least").alias("component_id")).withColumnRenamed("root", "of_root")
@@ -208,8 +208,12 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     Rows without an id are only dropped for a component that has one with an id, or all but one of their own.
     """
+    return keep_first(docs, simhash_components(docs, id_col, text_col, shingle), id_col, text_col)
+
+
+def keep_first(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The first row of each component of ``found`` (doc_id, row_key, fp, component_id)."""
     key, rank, of_key = (free_name(docs, x) for x in ("row_key", "row_rank", "of_key"))
-    found = simhash_components(docs, id_col, text_col, shingle)
     group = F.coalesce(F.concat(F.lit("c"), F.col("component_id").cast("string")), F.concat(F.lit("f"), F.col("fp").cast("string")))
     first = found.groupBy(group.alias("group")).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")).alias("x"))
     kept = first.select(F.col("x.row_key").alias(of_key)).distinct()
