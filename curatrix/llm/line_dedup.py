@@ -2,11 +2,12 @@
 
 A fixed-depth tree sorts lines: first by their number of tokens, then by their ``LEAD`` leading tokens, with
 variable fields (tokens with a digit) replaced by a wildcard throughout. Below a leaf, lines that recur as they are make
-templates of their own; among the others a token stays only where ``least`` lines of the leaf share it at its
-position, and any other token becomes the wildcard. A template recurs if it stands in ``least`` or more different texts, and
-on one side of it both the next line and the one beyond (the next again, at a text's edge) differ ``least`` times or more,
-also as a share of those texts: boilerplate stands in ever new surroundings, while a line of a document that was copied
-many times, with an edit here and there, keeps its own and is left to near-dedup.
+templates of their own; among the others a token stays where ``least`` lines of the leaf share it at its position, and any
+other token becomes the wildcard. A line recurs if a template of it stands in ``least`` or more different texts. Recurring lines that
+follow each other make a run, judged by what surrounds it: a template goes if on one side of its runs both the next line and
+the one beyond (the next again, at a text's edge) differ ``least`` times or more, also as a share of its texts. Boilerplate
+stands in ever new surroundings, while a document that was copied many times, with an edit here and there, consists of
+recurring lines for the most part: such texts say nothing about surroundings, and are left to near-dedup.
 """
 
 from __future__ import annotations
@@ -38,62 +39,86 @@ _M = (1 << 63) - 1
 
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each line that isn't blank; those of fewer than LEAST_TOKENS tokens have no leaf."""
     from xxhash import xxh3_64_intdigest as h
 
     for batch in slices(batches):
         keys, numbers, sizes, leaves, hashes, masked = [], [], [], [], [], []
-        around: list[list[int]] = [[] for _ in AROUND]
         for key, text in zip(batch.column("row_key").to_pylist(), texts(batch, "text")):
             if _DIGIT.search(text):
                 text = _VARIABLE.sub(WILDCARD, text)
-            rows = []
             for number, line in enumerate(text.split("\n")):
                 if tokens := line.split():
-                    line = " ".join(tokens)
-                    rows.append((number, tokens, line, h(line) & _M))
-            for k, (number, tokens, line, own) in enumerate(rows):
-                if len(tokens) >= LEAST_TOKENS:
+                    line, long = " ".join(tokens), len(tokens) >= LEAST_TOKENS
                     keys.append(key)
                     numbers.append(number)
                     sizes.append(len(tokens))
-                    leaves.append(h(f"{len(tokens)} {' '.join(tokens[:LEAD])}") & _M)
-                    hashes.append(own)
-                    last = len(rows) - 1
-                    for places, at in zip(around, (k - 1, max(0, k - 2), k + 1, min(last, k + 2))):
-                        places.append(rows[at][3] if 0 <= at <= last and at != k else 0)
-                    masked.append(line)
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(numbers, pa.int32()), pa.array(sizes, pa.int32()), *(pa.array(x, pa.int64()) for x in (leaves, hashes, *around)), pa.array(masked, pa.string())], names=["row_key", "line", "tokens", "leaf", "own", *AROUND, "masked"])
+                    leaves.append(h(f"{len(tokens)} {' '.join(tokens[:LEAD])}") & _M if long else None)
+                    hashes.append(h(line) & _M)
+                    masked.append(line if long else None)
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(numbers, pa.int32()), pa.array(sizes, pa.int32()), *(pa.array(x, pa.int64()) for x in (leaves, hashes)), pa.array(masked, pa.string())], names=["row_key", "line", "tokens", "leaf", "own", "masked"])
 
 
-def _recurring(lines: DataFrame, template: str, least: int, spread: float) -> DataFrame:
-    """The templates that recur: in ``least`` texts, with ``least`` neighbours that also make up ``spread`` of the texts."""
-    distinct = lines.select(template, "row_key", *AROUND).distinct()
-    counts = distinct.groupBy(template).agg(F.count_distinct("row_key").alias("n"), *(F.count_distinct(c).alias(c) for c in AROUND))
-    around = F.greatest(F.least("before", "before2"), F.least("after", "after2"))
-    return counts.filter((F.col("n") >= least) & (around >= least) & (around >= spread * F.col("n"))).select(F.col(template).alias("of_template"))
+def _surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each recurring line the two lines on each side of its run; null where they say nothing."""
+    for batch in slices(batches):
+        keys, numbers = [], []
+        around: list[list[int | None]] = [[] for _ in AROUND]
+        for key, rows in zip(batch.column("row_key").to_pylist(), batch.column("rows").to_pylist()):
+            rows = sorted((r["line"], r["own"], r["recurs"]) for r in rows)
+            mostly, last, at = 2 * sum(r[2] for r in rows) > len(rows), len(rows) - 1, 0
+            while at <= last:
+                if not rows[at][2]:
+                    at += 1
+                    continue
+                end = at
+                while end < last and rows[end + 1][2]:
+                    end += 1
+                found = []
+                for near, beyond in ((at - 1, max(0, at - 2)), (end + 1, min(last, end + 2))):
+                    alone = mostly or not 0 <= near <= last
+                    found += [None if alone else rows[near][1], None if alone or rows[beyond][2] else rows[beyond][1]]
+                for number, _, _ in rows[at : end + 1]:
+                    keys.append(key)
+                    numbers.append(number)
+                    for places, x in zip(around, found):
+                        places.append(x)
+                at = end + 1
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(numbers, pa.int32()), *(pa.array(x, pa.int64()) for x in around)], names=["row_key", "line", *AROUND])
 
 
 def template_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST_DOCS, spread: float = LEAST_SPREAD, fixed: float = LEAST_FIXED) -> DataFrame:
     """(row_key, gone): the numbers of each text's lines, from 0, that recurring templates drop."""
     rows = docs.select(content_key(text_col).alias("row_key"), F.col(text_col).alias("text")).filter(F.col("text") != "")
-    lines = stage(rows.mapInArrow(_lines, "row_key binary, line int, tokens int, leaf long, own long, before long, before2 long, after long, after2 long, masked string"), "lines")
+    every = stage(rows.mapInArrow(_lines, "row_key binary, line int, tokens int, leaf long, own long, masked string"), "lines")
+    lines = every.filter("leaf IS NOT NULL")
     often = stage(lines.groupBy("own").agg(F.count("*").alias("n")).filter(F.col("n") >= least).select(F.col("own").alias("of_own")), "often")
     often = small(often)
-    same = lines.drop("masked", "tokens", "leaf").join(often, F.col("own") == F.col("of_own"), "left_semi")
-    exact = small(stage(_recurring(same, "own", least, spread), "exact"))
-    dropped = same.join(exact, F.col("own") == F.col("of_template"), "left_semi").select("row_key", "line")
+    same = lines.join(often, F.col("own") == F.col("of_own"), "left_semi").select("row_key", "line", F.col("own").alias("template"))
 
     others = lines.join(often, F.col("own") == F.col("of_own"), "left_anti")
-    full = small(stage(others.groupBy("leaf").agg(F.count("*").alias("n")).filter(F.col("n") >= least).select(F.col("leaf").alias("of_leaf")), "leaves"))
-    varied = stage(others.join(full, F.col("leaf") == F.col("of_leaf"), "left_semi"), "varied")
-    tokens = varied.select("row_key", "line", "leaf", "tokens", *AROUND, F.posexplode(F.split("masked", " ")).alias("at", "token"))
-    common = tokens.groupBy("leaf", "at", "token").agg(F.count("*").alias("n")).filter(F.col("n") >= least).select(F.col("leaf").alias("l"), F.col("at").alias("p"), F.col("token").alias("t"))
+    full = small(stage(others.groupBy("leaf").agg(F.count("*").alias("size")).filter(F.col("size") >= least).withColumnRenamed("leaf", "of_leaf"), "leaves"))
+    varied = stage(others.join(full, F.col("leaf") == F.col("of_leaf")).drop("of_leaf"), "varied")
+    tokens = varied.select("row_key", "line", "leaf", "size", "tokens", F.posexplode(F.split("masked", " ")).alias("at", "token"))
+    common = tokens.groupBy("leaf", "at", "token").agg(F.count("*").alias("n")).filter(F.col("n") >= least).select(F.col("leaf").alias("l"), F.col("at").alias("p"), F.col("token").alias("t"), "n")
     held = tokens.join(common, (F.col("leaf") == F.col("l")) & (F.col("at") == F.col("p")) & (F.col("token") == F.col("t")))
-    general = held.groupBy("row_key", "line", "leaf", "tokens", *AROUND).agg(F.sort_array(F.collect_set(F.struct("at", "token"))).alias("kept"))
-    general = general.filter(F.size("kept") >= fixed * F.col("tokens")).withColumn("template", F.xxhash64("leaf", F.col("kept").cast("string"))).drop("kept")
-    general = stage(general, "general")
-    more = general.join(_recurring(general, "template", least, spread), F.col("template") == F.col("of_template"), "left_semi").select("row_key", "line")
-    return dropped.union(more).groupBy("row_key").agg(F.collect_set("line").alias("gone"))
+    held = held.groupBy("row_key", "line", "leaf", "tokens").agg(F.sort_array(F.collect_set(F.struct("at", "token"))).alias("kept"))
+    general = held.filter(F.size("kept") >= fixed * F.col("tokens"))
+    general = general.select("row_key", "line", F.xxhash64("leaf", F.col("kept").cast("string")).alias("template"))
+
+    marked = stage(same.union(general), "marked")
+    counts = marked.select("template", "row_key").distinct().groupBy("template").agg(F.count("*").alias("texts")).filter(F.col("texts") >= least)
+    marked = stage(marked.join(small(stage(counts, "counts")), "template"), "recurring")
+    places = marked.select("row_key", "line").distinct().withColumn("recurs", F.lit(True))
+    held = every.select("row_key", "line", "own").join(marked.select("row_key").distinct(), "row_key", "left_semi").distinct().join(places, ["row_key", "line"], "left")
+    whole = held.groupBy("row_key").agg(F.collect_list(F.struct("line", "own", F.coalesce("recurs", F.lit(False)).alias("recurs"))).alias("rows"))
+    around = whole.mapInArrow(_surroundings, "row_key binary, line int, before long, before2 long, after long, after2 long")
+    judged = stage(marked.distinct().join(around, ["row_key", "line"]), "judged")
+    found = judged.groupBy("template").agg(F.max("texts").alias("texts"), *(F.count_distinct(c).alias(c) for c in AROUND))
+    differ = F.greatest(F.least("before", "before2"), F.least("after", "after2"))
+    found = found.filter((differ >= least) & (differ >= spread * F.col("texts"))).select(F.col("template").alias("of_template"))
+    dropped = judged.join(small(stage(found, "templates")), F.col("template") == F.col("of_template"), "left_semi")
+    return dropped.groupBy("row_key").agg(F.collect_set("line").alias("gone"))
 
 
 def drop_template_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST_DOCS, **rules) -> DataFrame:
