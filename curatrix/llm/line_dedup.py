@@ -2,8 +2,9 @@
 
 A fixed-depth tree sorts lines: first by their number of tokens, then by their ``LEAD`` leading tokens, with
 variable fields (tokens with a digit) replaced by a wildcard throughout. Below a leaf, lines that recur as they are make
-templates of their own; among the others a token stays where ``least`` lines of the leaf share it at its position, and any
-other token becomes the wildcard. A line recurs if a template of it stands in ``least`` or more different texts. Recurring lines that
+templates of their own; the others have two: a token stays where ``least`` lines of the leaf share it at its position, and
+where also SHARE of the leaf's lines do, so that the values of a variable word field go at every size; any other token
+becomes the wildcard. A line recurs if a template of it stands in ``least`` or more different texts. Recurring lines that
 follow each other make a run, judged by what surrounds it: a template goes if on one side of its runs both the next line and
 the one beyond (the next again, at a text's edge) differ ``least`` times or more, also as a share of its texts. Boilerplate
 stands in ever new surroundings, while a document that was copied many times, with an edit here and there, consists of
@@ -30,6 +31,8 @@ LEAST_DOCS = 10
 LEAST_SPREAD = 0.25
 #: Share of tokens that a generalised template keeps.
 LEAST_FIXED = 0.6
+#: Share of a leaf's lines that fix a token in the wider of a line's two templates.
+SHARE = 0.1
 #: Hashes of the lines before and after.
 AROUND = ("before", "before2", "after", "after2")
 
@@ -102,8 +105,9 @@ def template_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     tokens = varied.select("row_key", "line", "leaf", "size", "tokens", F.posexplode(F.split("masked", " ")).alias("at", "token"))
     common = tokens.groupBy("leaf", "at", "token").agg(F.count("*").alias("n")).filter(F.col("n") >= least).select(F.col("leaf").alias("l"), F.col("at").alias("p"), F.col("token").alias("t"), "n")
     held = tokens.join(common, (F.col("leaf") == F.col("l")) & (F.col("at") == F.col("p")) & (F.col("token") == F.col("t")))
-    held = held.groupBy("row_key", "line", "leaf", "tokens").agg(F.sort_array(F.collect_set(F.struct("at", "token"))).alias("kept"))
-    general = held.filter(F.size("kept") >= fixed * F.col("tokens"))
+    held = held.groupBy("row_key", "line", "leaf", "tokens").agg(F.sort_array(F.collect_set(F.struct("at", "token", (F.col("n") >= SHARE * F.col("size")).alias("wide")))).alias("kept"))
+    kept = F.array(F.transform("kept", lambda x: F.struct(x["at"], x["token"])), F.transform(F.filter("kept", lambda x: x["wide"]), lambda x: F.struct(x["at"], x["token"])))
+    general = held.select("row_key", "line", "leaf", "tokens", F.explode(F.array_distinct(kept)).alias("kept")).filter(F.size("kept") >= fixed * F.col("tokens"))
     general = general.select("row_key", "line", F.xxhash64("leaf", F.col("kept").cast("string")).alias("template"))
 
     marked = stage(same.union(general), "marked")

@@ -1,7 +1,9 @@
-"""Line dedup: blocks of boilerplate."""
+"""Line dedup: blocks of boilerplate, and templates with several word fields at several sizes."""
 
 from __future__ import annotations
 
+import random
+
 import pytest
 
 from curatrix.llm import line_dedup
@@ -37,3 +39,12 @@ def test_edited_copies_stay(spark):
         mine[i % 10] = unique(i, 0)
         docs.append((i, "\n".join(mine)))
     assert cut(spark, docs) == dict(docs)
+
+
+@pytest.mark.parametrize("n", [60, 2500])
+def test_two_word_fields_go_at_every_size(spark, n):
+    rng = random.Random(n)
+    word = lambda k: "".join(chr(97 + k // 26**j % 26) for j in range(3))
+    docs = [(i, f"q{word(i)} begins\n{word(i)} r {word(i + 1)} s\nPosted by user {word(rng.randrange(50))} in the forum about {word(1000 + rng.randrange(100))} today\nt {word(i)} u v {word(i + 2)}\nends {word(i)}") for i in range(n)]
+    got = cut(spark, docs)
+    assert all("Posted by" not in t and t.count("\n") == 3 for t in got.values())
