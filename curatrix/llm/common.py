@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -30,24 +31,32 @@ def shared_folder(spark: SparkSession) -> str:
     return _own_folder
 
 
-def bound_batches(spark: SparkSession) -> None:
-    """Let Arrow batches hold at most BATCH_ROWS rows in this session; a smaller setting stays."""
+@contextlib.contextmanager
+def bounded_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of at most BATCH_ROWS rows within; a smaller setting stays, and the session's own returns afterwards.
+
+    Spark bounds the bytes of a batch itself (``arrow.maxBytesPerBatch``).
+    """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key, "10000")) <= BATCH_ROWS:
+    before = spark.conf.get(key)
+    if not 0 < int(before) <= BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 def stage(df: DataFrame, name: str, sorted_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: lineage ends here, and a lost executor loses nothing."""
     spark = df.sparkSession
-    bound_batches(spark)
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    (df.sortWithinPartitions(*sorted_by) if sorted_by else df).write.option("compression", "zstd").parquet(path)
+    with bounded_batches(spark):
+        (df.sortWithinPartitions(*sorted_by) if sorted_by else df).write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -1,14 +1,13 @@
 """Line dedup by log templates.
 
 A fixed-depth tree sorts lines: first by their number of tokens, then by their ``LEAD`` leading tokens, with
-variable fields (tokens with a digit) replaced by a wildcard throughout. Below a leaf, lines that recur as they are make
-templates of their own; the others have two: a token stays where ``least`` lines of the leaf share it at its position, and
-where also SHARE of the leaf's lines do, so that the values of a variable word field go at every size; any other token
-becomes the wildcard. A line recurs if a template of it stands in ``least`` or more different texts. Recurring lines that
-follow each other make a run, judged by what surrounds it: a template goes if on one side of its runs both the next line and
-the one beyond (the next again, at a text's edge) differ ``least`` times or more, also as a share of its texts. Boilerplate
-stands in ever new surroundings, while a document that was copied many times, with an edit here and there, consists of
-recurring lines for the most part: such texts say nothing about surroundings, and are left to near-dedup.
+variable fields (tokens with a digit) replaced by a wildcard throughout. Below a leaf, lines that stand in ``least`` texts as
+they are make templates of their own; the others have two: a token stays where lines of ``least`` texts of the leaf share it at
+its position, and where also SHARE of the leaf's do, so that the values of a variable word field go at every size; any other
+token becomes the wildcard. A template that stands in ``least`` or more different texts recurs, and its lines go, whatever
+stands around them. A document that was copied many times with an edit here and there consists of recurring lines for the most
+part: a text in which candidates hold more than ``most`` of the tokens doesn't count for a template (else all copies would
+lose everything), and is left to near-dedup; recurring templates still go from it.
 """
 
 from __future__ import annotations
@@ -24,17 +23,13 @@ from .common import content_key, free_name, slices, small, stage, table, texts
 
 WILDCARD = "<*>"
 LEAD = 3
-#: Shorter lines are no log lines: they say too little to tell a template.
-LEAST_TOKENS = 3
 LEAST_DOCS = 10
-#: Different neighbours as a share of the texts that have the template.
-LEAST_SPREAD = 0.25
+#: Share of a text's tokens that recurring lines hold at most if the text is to count for their templates.
+MOST_RECURRING = 0.5
 #: Share of tokens that a generalised template keeps.
 LEAST_FIXED = 0.6
 #: Share of a leaf's lines that fix a token in the wider of a line's two templates.
 SHARE = 0.1
-#: Hashes of the lines before and after.
-AROUND = ("before", "before2", "after", "after2")
 
 _VARIABLE = re.compile(r"(?<!\S)[^\s\d]*\d\S*")
 _DIGIT = re.compile(r"\d")
@@ -42,86 +37,65 @@ _M = (1 << 63) - 1
 
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each line that isn't blank; those of fewer than LEAST_TOKENS tokens have no leaf."""
+    """A row for each line that has a token which is no variable field; ``size`` counts the tokens of the whole text."""
     from xxhash import xxh3_64_intdigest as h
 
     for batch in slices(batches):
-        keys, numbers, sizes, leaves, hashes, masked = [], [], [], [], [], []
+        keys, numbers, tokens, sizes, leaves, hashes, masked = [], [], [], [], [], [], []
         for key, text in zip(batch.column("row_key").to_pylist(), texts(batch, "text")):
             if _DIGIT.search(text):
                 text = _VARIABLE.sub(WILDCARD, text)
-            for number, line in enumerate(text.split("\n")):
-                if tokens := line.split():
-                    line, long = " ".join(tokens), len(tokens) >= LEAST_TOKENS
+            split = [(number, found) for number, line in enumerate(text.split("\n")) if (found := line.split())]
+            size = sum(len(found) for _, found in split)
+            for number, found in split:
+                if any(x != WILDCARD for x in found):
+                    line = " ".join(found)
                     keys.append(key)
                     numbers.append(number)
-                    sizes.append(len(tokens))
-                    leaves.append(h(f"{len(tokens)} {' '.join(tokens[:LEAD])}") & _M if long else None)
+                    tokens.append(len(found))
+                    sizes.append(size)
+                    leaves.append(h(f"{len(found)} {' '.join(found[:LEAD])}") & _M)
                     hashes.append(h(line) & _M)
-                    masked.append(line if long else None)
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(numbers, pa.int32()), pa.array(sizes, pa.int32()), *(pa.array(x, pa.int64()) for x in (leaves, hashes)), pa.array(masked, pa.string())], names=["row_key", "line", "tokens", "leaf", "own", "masked"])
+                    masked.append(line)
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), *(pa.array(x, pa.int32()) for x in (numbers, tokens, sizes)), *(pa.array(x, pa.int64()) for x in (leaves, hashes)), pa.array(masked, pa.string())], names=["row_key", "line", "tokens", "size", "leaf", "own", "masked"])
 
 
-def _surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each recurring line the two lines on each side of its run; null where they say nothing."""
-    for batch in slices(batches):
-        keys, numbers = [], []
-        around: list[list[int | None]] = [[] for _ in AROUND]
-        for key, rows in zip(batch.column("row_key").to_pylist(), batch.column("rows").to_pylist()):
-            rows = sorted((r["line"], r["own"], r["recurs"]) for r in rows)
-            mostly, last, at = 2 * sum(r[2] for r in rows) > len(rows), len(rows) - 1, 0
-            while at <= last:
-                if not rows[at][2]:
-                    at += 1
-                    continue
-                end = at
-                while end < last and rows[end + 1][2]:
-                    end += 1
-                found = []
-                for near, beyond in ((at - 1, max(0, at - 2)), (end + 1, min(last, end + 2))):
-                    alone = mostly or not 0 <= near <= last
-                    found += [None if alone else rows[near][1], None if alone or rows[beyond][2] else rows[beyond][1]]
-                for number, _, _ in rows[at : end + 1]:
-                    keys.append(key)
-                    numbers.append(number)
-                    for places, x in zip(around, found):
-                        places.append(x)
-                at = end + 1
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(numbers, pa.int32()), *(pa.array(x, pa.int64()) for x in around)], names=["row_key", "line", *AROUND])
+def _generalised(varied: DataFrame, least: int, fixed: float) -> DataFrame:
+    """(of_own, template): up to two templates of each distinct line (own, leaf, n texts, leaf_n texts of the leaf, tokens, masked)."""
+    tokens = varied.select("own", "leaf", "n", "leaf_n", "tokens", F.posexplode(F.split("masked", " ")).alias("at", "token"))
+    common = tokens.groupBy("leaf", "at", "token").agg(F.sum("n").alias("shared")).filter(F.col("shared") >= least).select(F.col("leaf").alias("l"), F.col("at").alias("p"), F.col("token").alias("t"), "shared")
+    held = tokens.join(common, (F.col("leaf") == F.col("l")) & (F.col("at") == F.col("p")) & (F.col("token") == F.col("t")))
+    wide = F.col("shared") >= SHARE * F.col("leaf_n")
+    held = held.groupBy("own", "leaf", "tokens").agg(F.sort_array(F.collect_list(F.struct("at", "token", wide.alias("wide")))).alias("kept"))
+    kept = F.array(F.transform("kept", lambda x: F.struct(x["at"], x["token"])), F.transform(F.filter("kept", lambda x: x["wide"]), lambda x: F.struct(x["at"], x["token"])))
+    held = held.select("own", "leaf", "tokens", F.explode(F.array_distinct(kept)).alias("kept")).filter(F.size("kept") >= fixed * F.col("tokens"))
+    return held.select(F.col("own").alias("of_own"), F.xxhash64("leaf", F.col("kept").cast("string")).alias("template"))
 
 
-def template_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST_DOCS, spread: float = LEAST_SPREAD, fixed: float = LEAST_FIXED) -> DataFrame:
-    """(row_key, gone): the numbers of each text's lines, from 0, that recurring templates drop."""
+def template_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST_DOCS, most: float = MOST_RECURRING, fixed: float = LEAST_FIXED) -> DataFrame:
+    """(row_key, gone): the numbers of each text's lines, from 0, that recurring templates drop. Copies of a text count once."""
     rows = docs.select(content_key(text_col).alias("row_key"), F.col(text_col).alias("text")).filter(F.col("text") != "")
-    every = stage(rows.mapInArrow(_lines, "row_key binary, line int, tokens int, leaf long, own long, masked string"), "lines")
-    lines = every.filter("leaf IS NOT NULL")
-    often = stage(lines.groupBy("own").agg(F.count("*").alias("n")).filter(F.col("n") >= least).select(F.col("own").alias("of_own")), "often")
-    often = small(often)
-    same = lines.join(often, F.col("own") == F.col("of_own"), "left_semi").select("row_key", "line", F.col("own").alias("template"))
-
-    others = lines.join(often, F.col("own") == F.col("of_own"), "left_anti")
-    full = small(stage(others.groupBy("leaf").agg(F.count("*").alias("size")).filter(F.col("size") >= least).withColumnRenamed("leaf", "of_leaf"), "leaves"))
-    varied = stage(others.join(full, F.col("leaf") == F.col("of_leaf")).drop("of_leaf"), "varied")
-    tokens = varied.select("row_key", "line", "leaf", "size", "tokens", F.posexplode(F.split("masked", " ")).alias("at", "token"))
-    common = tokens.groupBy("leaf", "at", "token").agg(F.count("*").alias("n")).filter(F.col("n") >= least).select(F.col("leaf").alias("l"), F.col("at").alias("p"), F.col("token").alias("t"), "n")
-    held = tokens.join(common, (F.col("leaf") == F.col("l")) & (F.col("at") == F.col("p")) & (F.col("token") == F.col("t")))
-    held = held.groupBy("row_key", "line", "leaf", "tokens").agg(F.sort_array(F.collect_set(F.struct("at", "token", (F.col("n") >= SHARE * F.col("size")).alias("wide")))).alias("kept"))
-    kept = F.array(F.transform("kept", lambda x: F.struct(x["at"], x["token"])), F.transform(F.filter("kept", lambda x: x["wide"]), lambda x: F.struct(x["at"], x["token"])))
-    general = held.select("row_key", "line", "leaf", "tokens", F.explode(F.array_distinct(kept)).alias("kept")).filter(F.size("kept") >= fixed * F.col("tokens"))
-    general = general.select("row_key", "line", F.xxhash64("leaf", F.col("kept").cast("string")).alias("template"))
-
-    marked = stage(same.union(general), "marked")
-    counts = marked.select("template", "row_key").distinct().groupBy("template").agg(F.count("*").alias("texts")).filter(F.col("texts") >= least)
-    marked = stage(marked.join(small(stage(counts, "counts")), "template"), "recurring")
-    places = marked.select("row_key", "line").distinct().withColumn("recurs", F.lit(True))
-    held = every.select("row_key", "line", "own").join(marked.select("row_key").distinct(), "row_key", "left_semi").distinct().join(places, ["row_key", "line"], "left")
-    whole = held.groupBy("row_key").agg(F.collect_list(F.struct("line", "own", F.coalesce("recurs", F.lit(False)).alias("recurs"))).alias("rows"))
-    around = whole.mapInArrow(_surroundings, "row_key binary, line int, before long, before2 long, after long, after2 long")
-    judged = stage(marked.distinct().join(around, ["row_key", "line"]), "judged")
-    found = judged.groupBy("template").agg(F.max("texts").alias("texts"), *(F.count_distinct(c).alias(c) for c in AROUND))
-    differ = F.greatest(F.least("before", "before2"), F.least("after", "after2"))
-    found = found.filter((differ >= least) & (differ >= spread * F.col("texts"))).select(F.col("template").alias("of_template"))
-    dropped = judged.join(small(stage(found, "templates")), F.col("template") == F.col("of_template"), "left_semi")
+    lines = stage(rows.mapInArrow(_lines, "row_key binary, line int, tokens int, size int, leaf long, own long, masked string"), "lines")
+    # Distinct lines with the number of texts that have each: made of distinct pairs, so that neither copies nor a hot line gather.
+    each = lines.groupBy("own", "row_key").agg(F.any_value("leaf").alias("leaf"))
+    distinct = stage(each.groupBy("own").agg(F.any_value("leaf").alias("leaf"), F.count("*").alias("n")), "distinct-lines")
+    often = small(stage(distinct.filter(F.col("n") >= least).select(F.col("own").alias("of_own")), "often"))
+    same = lines.join(often, F.col("own") == F.col("of_own"), "left_semi").select("row_key", "line", "tokens", "size", F.col("own").alias("template"))
+
+    others = distinct.filter(F.col("n") < least)
+    full = stage(others.groupBy("leaf").agg(F.sum("n").alias("leaf_n")).filter(F.col("leaf_n") >= least).withColumnRenamed("leaf", "of_leaf"), "leaves")
+    varied = others.join(small(full), F.col("leaf") == F.col("of_leaf")).select("own", "n", "leaf_n")
+    shown = lines.join(small(full.select("of_leaf")), F.col("leaf") == F.col("of_leaf"), "left_semi").groupBy(F.col("own").alias("of_own")).agg(*(F.any_value(c).alias(c) for c in ("leaf", "tokens", "masked")))
+    varied = stage(varied.join(shown, F.col("own") == F.col("of_own")).drop("of_own"), "varied")
+    general = small(stage(_generalised(varied, least, fixed), "general"))
+    other = lines.join(general, F.col("own") == F.col("of_own")).select("row_key", "line", "tokens", "size", "template")
+
+    marked = stage(same.union(other).distinct(), "marked")
+    recurs = lambda rows: rows.select("template", "row_key").distinct().groupBy(F.col("template").alias("of_template")).agg(F.count("*").alias("texts")).filter(F.col("texts") >= least).select("of_template")
+    marked = stage(marked.join(small(stage(recurs(marked), "candidates")), F.col("template") == F.col("of_template"), "left_semi"), "recurring")
+    held = marked.select("row_key", "line", "tokens", "size").distinct().groupBy(F.col("row_key").alias("of_key")).agg(F.sum("tokens").alias("held"), F.any_value("size").alias("size"))
+    counts = marked.join(held.filter(F.col("held") <= most * F.col("size")).select("of_key"), F.col("row_key") == F.col("of_key"), "left_semi")
+    dropped = marked.join(small(stage(recurs(counts), "templates")), F.col("template") == F.col("of_template"), "left_semi")
     return dropped.groupBy("row_key").agg(F.collect_set("line").alias("gone"))
 
 
@@ -129,8 +103,9 @@ def drop_template_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """All rows and columns, with the lines of recurring templates cut from the text, and the columns n_lines and n_dropped.
 
     A null text stays null and an empty one empty, with no lines. Repeated rows and copies of a text count once and are
-    cut alike. Blank lines stay. An empty table gives no rows. Columns of the same names are kept under theirs; the new
-    ones then end in ``_``.
+    cut alike. Blank lines and those of variable fields alone stay. Texts and lines of any length are judged whole; a text
+    is held by one task. An empty table gives no rows. Columns of the same names are kept under theirs; the new ones then
+    end in ``_``.
     """
     key, of_key, gone = (free_name(docs, x) for x in ("row_key", "of_key", "gone"))
     n_lines, n_dropped = free_name(docs, "n_lines"), free_name(docs, "n_dropped")

@@ -1,14 +1,15 @@
 """Packing by shortest-pack-first over the length histogram.
 
 Documents are cut into whole windows and a rest. Only the histogram of lengths (at most ``window``
-bins, whatever the corpus) goes to the driver, which places lengths longest first into the pack that
-they leave the least room in, a whole count of equal packs at a time. The resulting patterns are joined
+bins, whatever the corpus) goes to the driver, which places lengths longest first into the shortest
+pack that holds them, a whole count of equal packs at a time. The resulting patterns are joined
 back to the documents by rank: the r-th piece of a length takes the r-th place that the patterns keep
 for it. Ranks are made of counts by partition, so that no length's pieces meet in one task.
 """
 
 from __future__ import annotations
 
+import heapq
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -25,43 +26,55 @@ WINDOW = 4096
 
 
 def pack_histogram(counts: dict[int, int], window: int = WINDOW) -> list[tuple[int, tuple[int, ...]]]:
-    """(how many, lengths in order) of each pattern. Shortest pack first: the pack with the least room that still suffices.
+    """(how many, lengths in order) of each pattern, lengths longest first. A piece goes to the shortest pack that holds it,
+    which is the one with the most room; only where none does, a new pack is opened.
 
-    The number of patterns is bounded by the number of bins, not by the number of pieces.
+    Equal pieces are placed a whole count of equal packs at a time; a count that is larger than what is left is split in two.
+    The number of patterns is bounded by the number of bins, not by the number of pieces. Packs are linked lists, as they
+    grow by a length at a time: (length, how often, rest of the pack).
     """
-    by_room: dict[int, dict[tuple[int, ...], int]] = defaultdict(dict)
+    by_room: dict[int, list[list]] = defaultdict(list)  # room -> [how many packs, their contents]
     for length in sorted(counts, reverse=True):
         left = counts[length]
-        rooms = sorted(r for r, packs in by_room.items() if packs and r >= length)
-        for room in rooms:
-            packs = by_room[room]
-            for lengths in list(packs):
-                if not left:
-                    break
-                # As many of this length as the pack holds go into each pack at once.
-                each = min(room // length, left)
-                n = min(packs[lengths], left // each)
-                packs[lengths] -= n
-                if not packs[lengths]:
-                    del packs[lengths]
-                new = (*lengths, *[length] * each)
-                target = by_room[room - length * each]
-                target[new] = target.get(new, 0) + n
-                left -= n * each
-            if not left:
-                break
-        if left:
-            each = window // length
-            full, rest = divmod(left, each)
-            if full:
-                target = by_room[window - each * length]
-                new = (length,) * each
-                target[new] = target.get(new, 0) + full
-            if rest:
-                target = by_room[window - rest * length]
-                new = (length,) * rest
-                target[new] = target.get(new, 0) + 1
-    return sorted(((n, lengths) for packs in by_room.values() for lengths, n in packs.items()), key=lambda x: x[1], reverse=True)
+        rooms = [-r for r, packs in by_room.items() if packs and r >= length]
+        heapq.heapify(rooms)
+        while left and rooms:
+            room = -heapq.heappop(rooms)
+            packs, smaller = by_room[room], room - length
+            if not by_room[smaller] and smaller >= length:
+                heapq.heappush(rooms, -smaller)
+            while left and packs:
+                n, held = packs.pop()
+                if n > left:
+                    packs.append([n - left, held])
+                    n = left
+                by_room[smaller].append([n, _with(held, length, 1)])
+                left -= n
+        # A new pack stays the shortest one until it holds no further piece of this length.
+        each = window // length
+        for n, times in ((left // each, each), (1 if left % each else 0, left % each)):
+            if n:
+                by_room[window - times * length].append([n, _with(None, length, times)])
+    patterns: dict[tuple[int, ...], int] = defaultdict(int)
+    for packs in by_room.values():
+        for n, held in packs:
+            patterns[_contents(held)] += n
+    return sorted(((n, lengths) for lengths, n in patterns.items()), key=lambda x: x[1], reverse=True)
+
+
+def _with(held: tuple | None, length: int, times: int) -> tuple:
+    """The pack ``held`` with ``times`` pieces of a length more."""
+    if held and held[0] == length:
+        return (length, held[1] + times, held[2])
+    return (length, times, held)
+
+
+def _contents(held: tuple | None) -> tuple[int, ...]:
+    runs = []
+    while held:
+        length, times, held = held
+        runs.append([length] * times)
+    return tuple(x for run in reversed(runs) for x in run)
 
 
 def places(patterns: list[tuple[int, tuple[int, ...]]]) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:

@@ -2,11 +2,14 @@
 
 A 64-bit fingerprint is cut into 32 segments of two bits and mapped to its vector of bit counts. The
 Manhattan distance of two vectors never exceeds the Hamming distance of the fingerprints, so fingerprints
-within ``MOST_BITS`` bits lie within that Manhattan distance. The vectors' 32 coordinates form six groups;
-a distance of at most three leaves at least three groups alike, so the range join needs only cells of the
-20 grids that three of the six groups span. In a cell the Manhattan distance rules out most pairs and the
-fingerprints themselves decide. Cells with one fingerprint go before anything is compared, cells with many
-are compared in pairs of bounded blocks, and each comparison returns a spanning forest, not all its pairs.
+within ``MOST_BITS`` bits lie within that Manhattan distance. The range join runs on grids of unit cells: the
+32 coordinates are cut into two halves, and of a distance of at most three at most one falls to one of the
+halves. So each vector stands in its own cell of both grids and in the neighbouring cells one step up; two vectors
+within the range meet in a cell where one of them is at home. There the Manhattan distance of the whole vectors
+rules out most pairs and the fingerprints themselves decide. From ``FINER_FROM`` distinct fingerprints on the grids span
+two thirds of the coordinates (four of six groups), which takes ten times the rows and a fourteenth of the candidates.
+Cells with one fingerprint go before anything is compared, cells with many are compared in pairs of bounded blocks, and each
+comparison returns a spanning forest, not all its pairs.
 """
 
 from __future__ import annotations
@@ -25,23 +28,30 @@ MOST_BITS = 3
 SHINGLE = 3
 #: Fingerprints of a cell that are compared at once; larger cells are dealt out in pairs of such blocks.
 BLOCK = 2048
+#: Distinct fingerprints from which finer grids pay: candidates of a row grow with them, rows don't.
+FINER_FROM = 1 << 31
+#: (coordinates of each group, groups that a grid spans).
+COARSE, FINER = ((16, 16), 1), ((6, 6, 5, 5, 5, 5), 4)
 _EVEN = 0x5555555555555555
-_GROUPS = (6, 6, 5, 5, 5, 5)
 
 
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _grid_masks() -> list[int]:
-    masks, at = [], 0
-    for n in _GROUPS:
-        masks.append(((1 << 2 * n) - 1) << at)
-        at += 2 * n
-    return [sum(c) for c in itertools.combinations(masks, len(_GROUPS) - MOST_BITS)]
+def grids(groups: tuple[int, ...], spanned: int) -> list[tuple[int, list[int]]]:
+    """The mask and the coordinates of each grid: all choices of ``spanned`` groups.
 
-
-GRIDS = _grid_masks()
+    However MOST_BITS steps fall on the groups, some choice has at most one of them, which its cells' neighbours cover.
+    """
+    spread = (x for x in itertools.product(range(MOST_BITS + 1), repeat=len(groups)) if sum(x) == MOST_BITS)
+    assert max(sum(sorted(x)[:spanned]) for x in spread) <= 1
+    firsts = [sum(groups[:k]) for k in range(len(groups))]
+    found = []
+    for chosen in itertools.combinations(range(len(groups)), spanned):
+        coordinates = [c for g in chosen for c in range(firsts[g], firsts[g] + groups[g])]
+        found.append((sum(3 << 2 * c for c in coordinates), coordinates))
+    return found
 
 
 def _fingerprints(shingle: int):
@@ -94,13 +104,16 @@ def _vector(fp: np.ndarray) -> np.ndarray:
     return fp - ((fp >> np.uint64(1)) & np.uint64(_EVEN))
 
 
-def forest(cell: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links within cells (``cell`` sorted) as places (i, root of i): a spanning forest of those within MOST_BITS."""
+def forest(cell: np.ndarray, home: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links within cells as places (i, root of i): a spanning forest of those within MOST_BITS of one that is at home.
+
+    Rows come sorted by cell, those at home first.
+    """
     n = len(fp)
     root = np.arange(n)
     vector = _vector(fp)
     ends = np.searchsorted(cell, cell, side="right")
-    live, step = np.arange(n), 1
+    live, step = np.flatnonzero(home), 1
     while len(live := live[live + step < ends[live]]):
         i = live[root[live] != root[live + step]]
         i = i[manhattan(vector[i], vector[i + step]) <= MOST_BITS]
@@ -119,41 +132,65 @@ def forest(cell: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by cell; the last cell of a batch waits for the next one."""
 
-    def linked(cells, fps):
-        _, cell = np.unique(cells, return_inverse=True)
-        order = np.argsort(cell, kind="stable")
-        cell, fp = cell[order], fps[order].view(np.uint64)
-        i, r = forest(cell, fp)
+    def linked(cells, homes, fps):
+        order = np.lexsort((~homes, cells))
+        fp = fps[order].view(np.uint64)
+        i, r = forest(cells[order], homes[order], fp)
         return pa.RecordBatch.from_arrays([pa.array(fp[i].view(np.int64)), pa.array(fp[r].view(np.int64))], names=["a", "b"])
 
-    cells, fps = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    held: list[tuple[np.ndarray, ...]] = []  # parts of one cell
     for batch in batches:
-        cells = np.concatenate([cells, batch.column("cell").to_numpy()])
-        fps = np.concatenate([fps, batch.column("fp").to_numpy()])
-        if len(cells) and cells[0] != cells[-1]:
-            cut = int(np.searchsorted(-(cells[::-1] == cells[-1]).astype(int), 0))  # length of the last run
-            cut = len(cells) - cut
-            yield linked(cells[:cut], fps[:cut])
-            cells, fps = cells[cut:], fps[cut:]
-    if len(cells):
-        yield linked(cells, fps)
-
-
-def links(fingerprints: DataFrame, block: int = BLOCK) -> DataFrame:
+        rows = (batch.column("cell").to_numpy(), batch.column("home").to_numpy(zero_copy_only=False), batch.column("fp").to_numpy())
+        if not len(rows[0]):
+            continue
+        cut = int(np.searchsorted(rows[0], rows[0][-1]))
+        if held and (cut or held[0][0][0] != rows[0][0]):
+            held.append(tuple(x[:cut] for x in rows))
+            yield linked(*(np.concatenate(x) for x in zip(*held)))
+            held = []
+        elif cut:
+            yield linked(*(x[:cut] for x in rows))
+        held.append(tuple(x[cut:] for x in rows))
+    if held:
+        yield linked(*(np.concatenate(x) for x in zip(*held)))
+
+
+def _stands(k: int, mask: int, coordinates: list[int]) -> Column:
+    """(grid, cell, home) of one grid: a vector's own cell and the next one up in each coordinate that has one."""
+    vector = F.col("vector")
+    own = vector.bitwiseAND(F.lit(_signed(mask)).cast("long"))
+    units = F.filter(F.array(*(F.lit(_signed(1 << 2 * c)).cast("long") for c in coordinates)), lambda u: vector.bitwiseAND(F.shiftleft(u, 1)) == 0)  # a count of two has none
+
+    def row(cell: Column, home: bool) -> Column:
+        return F.struct(F.lit(k).alias("grid"), cell.alias("cell"), F.lit(home).alias("home"))
+
+    def up(u: Column) -> Column:
+        return own.bitwiseXOR(F.when(own.bitwiseAND(u) == 0, u).otherwise(u.bitwiseOR(F.shiftleft(u, 1))))
+
+    return F.concat(F.array(row(own, True)), F.transform(units, lambda u: row(up(u), False)))
+
+
+def cells(fingerprints: DataFrame, kind: tuple[tuple[int, ...], int] = COARSE) -> DataFrame:
+    """(fp, grid, cell, home): the cells that each fingerprint stands in, its own and those one step up."""
+    stands = F.concat(*(_stands(k, *grid) for k, grid in enumerate(grids(*kind))))
+    rows = fingerprints.select("fp", counts_vector(F.col("fp")).alias("vector"))
+    return rows.select("fp", F.explode(stands).alias("c")).select("fp", "c.grid", "c.cell", "c.home")
+
+
+def links(fingerprints: DataFrame, block: int = BLOCK, kind: tuple[tuple[int, ...], int] = COARSE) -> DataFrame:
     """Links (a, b) that connect just those distinct fingerprints which pairs within MOST_BITS connect.
 
     fingerprints: one column ``fp``, each value once.
     """
-    vector = counts_vector(F.col("fp"))
-    grids = F.array(*(F.xxhash64(F.lit(k), vector.bitwiseAND(F.lit(_signed(m)))) for k, m in enumerate(GRIDS)))
-    rows = fingerprints.select("fp", F.explode(grids).alias("cell"))
-    shared = rows.groupBy("cell").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("cell").alias("of_cell"), F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-    rows = rows.join(shared, F.col("cell") == F.col("of_cell")).select("fp", "cell", "blocks")
+    rows = cells(fingerprints, kind)
+    shared = rows.groupBy("grid", "cell").agg(F.count("*").alias("n"), F.bool_or("home").alias("lived")).filter("n > 1 AND lived")
+    shared = shared.select(F.col("grid").alias("of_grid"), F.col("cell").alias("of_cell"), F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    rows = rows.join(shared, (F.col("grid") == F.col("of_grid")) & (F.col("cell") == F.col("of_cell"))).select("fp", "grid", "cell", "home", "blocks")
     # Block b of a large cell meets each other block once: pair (least, most).
     own = F.expr("cast(pmod(xxhash64(fp, 7L), blocks) as int)")
     rows = rows.withColumn("own", own).withColumn("other", F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))))
-    rows = rows.select("fp", F.when(F.col("blocks") == 1, F.col("cell")).otherwise(F.xxhash64("cell", F.least("own", "other"), F.greatest("own", "other"))).alias("cell"))
-    return rows.repartition("cell").sortWithinPartitions("cell", "fp").mapInArrow(_compare, "a long, b long").distinct()
+    rows = rows.select("fp", "home", F.xxhash64("grid", "cell", F.least("own", "other"), F.greatest("own", "other")).alias("cell"))
+    return rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(_compare, "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -182,15 +219,19 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     Null and empty texts have fingerprint zero, which links like any other. Rows without an id keep a row
     each and take part with their text; a component of such rows only has a null id. Repeated rows fall
-    into one component. An empty table gives no rows. Other columns are left out, save ``row_key``, the
-    content key of id and text.
+    into one component. An empty table gives no rows. Texts of any length are read whole; a text's shingle
+    hashes are held by one task. Other columns are left out, save ``row_key``, the content key of id and text.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), content_key(id_col, text_col).alias("row_key"), F.col(text_col).alias("text"))
     found = stage(rows.mapInArrow(_fingerprints(shingle), "doc_id long, row_key binary, fp long"), "fingerprints")
     return label(found)
 
 
-def label(found: DataFrame, find=links) -> DataFrame:
+def _links(fingerprints: DataFrame) -> DataFrame:
+    return links(fingerprints, kind=FINER if fingerprints.count() >= FINER_FROM else COARSE)
+
+
+def label(found: DataFrame, find=_links) -> DataFrame:
     """Add component_id to rows with doc_id and fp; ``find`` gives the links of distinct values of fp."""
     distinct = stage(found.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")), "distinct")
     roots = components(find(distinct.select("fp")))

@@ -6,13 +6,14 @@ The first pass sketches, the second groups exactly:
   least of ``SPAN`` neighbouring ones. Equal windows have equal anchors at equal places, so all anchors of a window
   that starts twice occur twice; there are about six times fewer anchors than windows.
 * Each partition makes a count-min sketch of its anchors. Partition sketches are merged slice by slice in
-  a shuffle, counts saturating at two, and only the map of cells that were hit twice is kept: a fixed
-  ``2 ** WIDTH_BITS * DEPTH / 8`` bytes (32 MB), whatever the corpus. That is all that is broadcast. A cell never counts too few,
+  a shuffle, counts saturating at two, and only the map of cells that were hit twice is kept and broadcast:
+  ``2 ** bits * DEPTH / 8`` bytes, 64 MB at most, whatever the corpus. A cell never counts too few,
   so no repeated window is lost; in a corpus so large that the sketch fills up, more windows pass on.
-* Windows of which all anchors are estimated to repeat are grouped exactly on 128-bit hashes; those that start more
-  than once remove their words. A task first groups its own windows, so that a window which many documents share
-  passes on once a task, and no key is hot. Of texts that are exact copies of each other one stands for all in this pass:
-  the copies' words all go anyway, and other texts meet the windows of the one.
+* Windows of which all anchors are estimated to repeat are grouped exactly, on hashes of 95 bits. They travel packed: a task
+  gathers the windows of many documents (a *flush*), groups those first, so that a window which many documents share passes on
+  once a flush and no key is hot, and sends one binary of twelve bytes a window for each hash bucket. The
+  bucket's task answers one bit for each of them, in their order, and the flush's documents take their bits in that
+  order. Documents whose windows are all settled inside their flush, or that have none, wait for no answer.
 """
 
 from __future__ import annotations
@@ -25,13 +26,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import content_key, slices, small, stage, table, texts
+from .common import slices, stage, table, texts
 
 WINDOW = 35
 ANCHOR = 12
 #: Neighbouring word runs of which the least is an anchor.
 SPAN = 12
-WIDTH_BITS = 27
+#: Bits of a cell's number: as many cells a row of the sketch as four times the anchors (about one in 36 characters), within bounds.
+LEAST_BITS, MOST_BITS = 20, 28
+CHARS_PER_ANCHOR = 36
 DEPTH = 2
 SLICES = 64
 _B1, _B2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -120,30 +123,42 @@ class Windows:
         self.grams = grams
 
 
-def _cells(anchors: np.ndarray, width_bits: int = WIDTH_BITS) -> list[np.ndarray]:
-    mask = np.uint64((1 << width_bits) - 1)
-    return [(anchors & mask).astype(np.int64), (anchors >> np.uint64(64 - width_bits)).astype(np.int64)][:DEPTH]
+def _cells(anchors: np.ndarray, bits: int) -> list[np.ndarray]:
+    mask = np.uint64((1 << bits) - 1)
+    return [(anchors & mask).astype(np.int64), (anchors >> np.uint64(64 - bits)).astype(np.int64)][:DEPTH]
 
 
-def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """This partition's sketch: by row of the sketch and slice, its cells hit once, and more than once."""
+def sketch_bits(chars: int) -> int:
+    return min(MOST_BITS, max(LEAST_BITS, (4 * chars // CHARS_PER_ANCHOR).bit_length()))
+
+
+def anchors_of(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
     hashes = _WordHashes()
-    gathered: list[np.ndarray] = []
     for batch in slices(batches):
         w = Windows([t.encode().split() for t in texts(batch, "text")], hashes)
-        gathered.append(w.grams[w.is_anchor])
-        if sum(map(len, gathered)) > 4_000_000:
-            yield from _slices_of(np.concatenate(gathered))
-            gathered = []
-    if gathered:
-        yield from _slices_of(np.concatenate(gathered))
+        yield w.grams[w.is_anchor]
+
 
+def _sketch(bits: int, hashed):
+    """This partition's sketch: by row of the sketch and slice, its cells hit once, and more than once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gathered: list[np.ndarray] = []
+        for found in hashed(batches):
+            gathered.append(found)
+            if sum(map(len, gathered)) > 4_000_000:
+                yield _slices_of(np.concatenate(gathered), bits)
+                gathered = []
+        if gathered:
+            yield _slices_of(np.concatenate(gathered), bits)
 
-def _slices_of(anchors: np.ndarray) -> Iterator[pa.RecordBatch]:
-    per = 1 << WIDTH_BITS
-    cut = per // SLICES
+    return run
+
+
+def _slices_of(anchors: np.ndarray, bits: int) -> pa.RecordBatch:
+    cut = (1 << bits) // SLICES
     keys, once, more = [], [], []
-    for row, cells in enumerate(_cells(anchors)):
+    for row, cells in enumerate(_cells(anchors, bits)):
         cells, counts = np.unique(cells, return_counts=True)
         edges = np.searchsorted(cells, np.arange(SLICES + 1) * cut)
         for s in range(SLICES):
@@ -153,47 +168,54 @@ def _slices_of(anchors: np.ndarray) -> Iterator[pa.RecordBatch]:
                 keys.append(row * SLICES + s)
                 once.append(own[~many].tobytes())
                 more.append(own[many].tobytes())
-    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(once, pa.binary()), pa.array(more, pa.binary())], names=["slice", "once", "more"])
+    return pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(once, pa.binary()), pa.array(more, pa.binary())], names=["slice", "once", "more"])
 
 
-def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _merge(bits: int):
     """Partition sketches of some slices, in slice order: one slice's two bit maps are held at a time."""
-    cut = (1 << WIDTH_BITS) // SLICES
-    now, seen, twice = None, None, None
+    cut = (1 << bits) // SLICES
 
-    def out():
-        bits = np.packbits(twice, bitorder="little").tobytes()
-        return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([bits], pa.binary())], names=["slice", "twice"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, seen, twice = None, None, None
+
+        def out():
+            packed = np.packbits(twice, bitorder="little").tobytes()
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([packed], pa.binary())], names=["slice", "twice"])
+
+        for batch in batches:
+            for key, once, more in zip(*(c.to_pylist() for c in batch.columns)):
+                if key != now:
+                    if now is not None:
+                        yield out()
+                    now, seen, twice = key, np.zeros(cut, bool), np.zeros(cut, bool)
+                for raw, is_more in ((once, False), (more, True)):
+                    cells = np.frombuffer(raw, "<u4")
+                    twice[cells] |= seen[cells] | is_more
+                    seen[cells] = True
+        if now is not None:
+            yield out()
 
-    for batch in batches:
-        for key, once, more in zip(*(c.to_pylist() for c in batch.columns)):
-            if key != now:
-                if now is not None:
-                    yield out()
-                now, seen, twice = key, np.zeros(cut, bool), np.zeros(cut, bool)
-            for raw, is_more in ((once, False), (more, True)):
-                cells = np.frombuffer(raw, "<u4")
-                twice[cells] |= seen[cells] | is_more
-                seen[cells] = True
-    if now is not None:
-        yield out()
-
-
-def repeated_cells(rows: DataFrame) -> np.ndarray:
-    """The merged sketch as packed bits (DEPTH, 2 ** WIDTH_BITS / 8): cells hit more than once. Its size is fixed."""
-    parts = rows.mapInArrow(_sketch, "slice int, once binary, more binary")
-    merged = parts.repartition(DEPTH * SLICES // 4, "slice").sortWithinPartitions("slice").mapInArrow(_merge, "slice int, twice binary")
-    bits = np.zeros((DEPTH * SLICES, (1 << WIDTH_BITS) // SLICES // 8), np.uint8)
+    return run
+
+
+def repeated_cells(rows: DataFrame, bits: int, hashed=anchors_of) -> np.ndarray:
+    """The merged sketch as packed bits (DEPTH, 2 ** bits / 8): cells hit more than once. Its size is fixed.
+
+    hashed: from Arrow batches of ``rows`` to the 64-bit hashes to count.
+    """
+    parts = rows.mapInArrow(_sketch(bits, hashed), "slice int, once binary, more binary")
+    merged = parts.repartition(DEPTH * SLICES // 4, "slice").sortWithinPartitions("slice").mapInArrow(_merge(bits), "slice int, twice binary")
+    found = np.zeros((DEPTH * SLICES, (1 << bits) // SLICES // 8), np.uint8)
     for r in merged.toLocalIterator():
-        bits[r.slice] = np.frombuffer(r.twice, np.uint8)
-    return bits.reshape(DEPTH, -1)
+        found[r.slice] = np.frombuffer(r.twice, np.uint8)
+    return found.reshape(DEPTH, -1)
 
 
-def _estimate(bits: np.ndarray, anchors: np.ndarray) -> np.ndarray:
+def estimated(sketch: np.ndarray, anchors: np.ndarray) -> np.ndarray:
     """Whether each anchor is estimated to occur more than once."""
     out = np.ones(len(anchors), bool)
-    for row, cells in enumerate(_cells(anchors)):
-        out &= (bits[row][cells >> 3] >> (cells & 7).astype(np.uint8)) & 1 == 1
+    for row, cells in enumerate(_cells(anchors, int(sketch.shape[1]).bit_length() + 2)):
+        out &= (sketch[row][cells >> 3] >> (cells & 7).astype(np.uint8)) & 1 == 1
     return out
 
 
@@ -206,113 +228,204 @@ def _runs(places: np.ndarray) -> list[int]:
     return np.stack([firsts, lasts + 1], axis=1).ravel().tolist()
 
 
-def _flushed(held: list[tuple]) -> Iterator[pa.RecordBatch]:
-    """Group what is held first, as a map-side combine: a window that repeats here is known to, and passes on once, for the others."""
-    h1, h2 = (np.concatenate([x[k] for x in held]) for k in (2, 3))
-    order = np.lexsort((h2, h1))
-    new = np.ones(len(order), bool)
-    new[1:] = (h1[order][1:] != h1[order][:-1]) | (h2[order][1:] != h2[order][:-1])
-    group = np.cumsum(new) - 1
-    many = np.bincount(group, minlength=1)[group] > 1 if len(order) else np.zeros(0, bool)
-    repeats, first = np.zeros(len(order), bool), np.zeros(len(order), bool)
-    repeats[order], first[order] = many, new
-    done = 0
-    for columns, place, one, two, cuts in held:
-        mine, lead = repeats[done : done + len(place)], first[done : done + len(place)]
-        done += len(place)
-        known = [_runs(place[a:b][mine[a:b]]) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
-        sent = ~mine | lead
-        at = np.where(mine, -1, place)[sent].astype(np.int32)
-        inner = pa.StructArray.from_arrays([pa.array(at), pa.array(one[sent]), pa.array(two[sent])], names=["at", "h1", "h2"])
-        ends = np.concatenate([[0], np.cumsum(sent)])[cuts]
-        yield pa.RecordBatch.from_arrays([*columns.values(), pa.array(known, pa.list_(pa.int32())), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), inner)], names=[*columns, "known", "windows"])
+def _flags(runs: list[int] | None, n: int) -> np.ndarray:
+    """Runs as flags of n places."""
+    out = np.zeros(n, bool)
+    for a, b in zip((runs or [])[::2], (runs or [])[1::2]):
+        out[a:b] = True
+    return out
+
+
+def covered(starts: np.ndarray, n: int, window: int = WINDOW) -> np.ndarray:
+    """Which of n words lie in a window that starts at one of ``starts``."""
+    edge = np.zeros(n + 1, np.int64)
+    np.add.at(edge, starts, 1)
+    np.add.at(edge, np.minimum(starts + window, n), -1)
+    return np.cumsum(edge)[:-1] > 0
+
+
+#: Kinds of rows of the windows table: a document that is done, one that waits for answers, a bucket's hashes of a flush, the order
+#: of a flush's hashes, and a bucket's answer to a flush.
+DONE, WAITING, HASHES, ORDER, ANSWER = range(5)
+#: Suspect windows and batches that a task holds before it groups them (about 60 MB).
+HELD, HELD_BATCHES = 2_000_000, 32
+_KEY = np.dtype([("one", "<u8"), ("two", "<u4")])
+_COLUMNS = (("kind", pa.int32()), ("flush", pa.int64()), ("row", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("text", pa.string()), ("known", pa.list_(pa.int32())), ("asked", pa.list_(pa.int32())), ("bucket", pa.int32()), ("data", pa.binary()))
+_SHAPE = "kind int, flush long, row long, n_words long, n_removed long, kept_sha256 string, text string, known array<int>, asked array<int>, bucket int, data binary"
+
 
+def _rows(n: int, doc_id: pa.Array, **columns) -> pa.RecordBatch:
+    """A batch of the windows table; columns that are not given are null."""
+    arrays = [columns[c] if isinstance(columns.get(c), pa.Array) else pa.array(columns[c], t) if c in columns else pa.nulls(n, t) for c, t in _COLUMNS]
+    return pa.RecordBatch.from_arrays([*arrays, doc_id], names=[*(c for c, _ in _COLUMNS), "doc_id"])
 
-#: Suspect windows that a task holds before it groups them (about 60 MB).
-HELD = 2_000_000
 
+def _kept(words: list[bytes], starts: np.ndarray, window: int) -> tuple[int, str, str | None]:
+    """Words removed, the digest of the rest and, where any was removed, the rest."""
+    gone = covered(starts, len(words), window)
+    n = int(gone.sum())
+    rest = b" ".join([w for w, g in zip(words, gone.tolist()) if not g] if n else words)
+    return n, hashlib.sha256(rest).hexdigest(), rest.decode() if n else None
 
-def _suspects(shared):
+
+def _flushed(flush: int, held: list[tuple], buckets: int, window: int) -> Iterator[pa.RecordBatch]:
+    """Group what is held, as a map-side combine: a window that repeats here is known to, and is sent once, for the others."""
+    one, two = (np.concatenate([x[k] for x in held]) for k in (4, 5))
+    order = np.lexsort((two, one))
+    new = np.ones(len(order), bool)
+    new[1:] = (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])
+    many = np.bincount(np.cumsum(new) - 1, minlength=1)[np.cumsum(new) - 1] > 1 if len(order) else np.zeros(0, bool)
+    repeats, first = np.zeros(len(order), bool), np.zeros(len(order), bool)
+    repeats[order], first[order] = many, new
+    done, row = 0, 0
+    for ids, docs, starts, owner, _, _, plain in held:
+        mine = repeats[done : done + len(starts)]
+        done += len(starts)
+        cuts = np.searchsorted(owner, np.arange(len(docs) + 1)).tolist()
+        kinds, removed, shas, shown, known, asked = [], [], [], [], [], []
+        for words, text, a, b in zip(docs, plain, cuts[:-1], cuts[1:]):
+            sure = starts[a:b][mine[a:b]]
+            ask = starts[a:b][~mine[a:b]]
+            kinds.append(WAITING if len(ask) else DONE)
+            n, sha, rest = (None, None, text) if len(ask) else _kept(words, sure, window)
+            removed.append(n)
+            shas.append(sha)
+            shown.append(rest)
+            known.append(_runs(sure) if len(ask) else None)
+            asked.append(_runs(ask) if len(ask) else None)
+        yield _rows(len(docs), ids, kind=kinds, flush=[flush] * len(docs), row=np.arange(row, row + len(docs)), n_words=[len(w) for w in docs], n_removed=removed, kept_sha256=shas, text=shown, known=known, asked=asked)
+        row += len(docs)
+    # Those to be answered come first in each bucket, in the order of their documents.
+    sent = np.concatenate([np.flatnonzero(~repeats), np.flatnonzero(repeats & first)])
+    if len(sent):
+        none = pa.nulls(1, ids.type)
+        bucket = (one[sent] >> np.uint64(64 - buckets.bit_length() + 1)).astype(np.int64) if buckets > 1 else np.zeros(len(sent), np.int64)
+        asks = int((~repeats).sum())
+        yield _rows(1, none, kind=[ORDER], flush=[flush], row=[-2], bucket=[buckets], data=[bucket[:asks].astype("<u4").tobytes()])
+        keys = np.zeros(len(sent), _KEY)
+        keys["one"], keys["two"] = one[sent], two[sent] | (np.arange(len(sent)) >= asks)
+        by = np.argsort(bucket, kind="stable")
+        edges = np.searchsorted(bucket[by], np.arange(buckets + 1)).tolist()
+        full = [k for k in range(buckets) if edges[k] < edges[k + 1]]
+        yield _rows(len(full), pa.nulls(len(full), ids.type), kind=[HASHES] * len(full), flush=[flush] * len(full), row=[0] * len(full), bucket=full, data=[keys[by[edges[k] : edges[k + 1]]].tobytes() for k in full])
+
+
+def _suspects(shared, buckets: int, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        bits, row = shared.value, TaskContext.get().partitionId() << 40
+        sketch, flush = shared.value, TaskContext.get().partitionId() << 32
         hashes = _WordHashes()
         held: list[tuple] = []
         for batch in slices(batches):
-            docs = [t.encode().split() for t in texts(batch, "text")]
-            w = Windows(docs, hashes)
+            plain = texts(batch, "text")
+            docs = [t.encode().split() for t in plain]
+            w = Windows(docs, hashes, window)
             again = np.zeros(len(w.h), bool)  # spans whose anchor is estimated to repeat
             spans = np.flatnonzero(w.spans)
-            again[spans] = _estimate(bits, w.least[spans])
-            starts = np.flatnonzero(w.starts & _running(again, WINDOW - ANCHOR - SPAN + 2, np.logical_and))
-            h1, h2 = (mixed(rolling(w.h, WINDOW, b))[starts].view(np.int64) for b in (_B1, _B2))
-            owner = np.searchsorted(w.first, starts, side="right") - 1
-            # Documents without words share their first place with the next one: the last of those has the words.
-            cuts = np.searchsorted(owner, np.arange(len(docs) + 1))
-            text = pa.array([t if k else None for t, k in zip(batch.column("text").to_pylist(), np.diff(cuts).tolist())], pa.string())
-            columns = {"row": pa.array(np.arange(row, row + len(docs)))} | {c: batch.column(c) for c in batch.schema.names if c != "text"}
-            columns |= {"n_words": pa.array(w.n), "sha": pa.array([hashlib.sha256(b" ".join(d)).hexdigest() for d in docs]), "text": text}
-            row += len(docs)
-            held.append((columns, starts - w.first[owner], h1, h2, cuts))
-            if sum(len(x[1]) for x in held) > HELD or len(held) > 32:
-                yield from _flushed(held)
-                held = []
+            again[spans] = estimated(sketch, w.least[spans])
+            starts = np.flatnonzero(w.starts & _running(again, window - ANCHOR - SPAN + 2, np.logical_and))
+            one, two = (mixed(rolling(w.h, window, b))[starts] for b in (_B1, _B2))
+            owner = np.repeat(np.arange(len(docs)), w.n)[starts]
+            held.append((batch.column("doc_id"), docs, starts - w.first[owner], owner, one, (two >> np.uint64(33)).astype("<u4") << np.uint32(1), plain))
+            if sum(len(x[2]) for x in held) > HELD or len(held) >= HELD_BATCHES:
+                yield from _flushed(flush, held, buckets, window)
+                held, flush = [], flush + 1
         if held:
-            yield from _flushed(held)
+            yield from _flushed(flush, held, buckets, window)
 
     return run
 
 
-def covered(starts: np.ndarray, n: int, window: int = WINDOW) -> np.ndarray:
-    """Which of n words lie in a window that starts at one of ``starts``."""
-    edge = np.zeros(n + 1, np.int64)
-    np.add.at(edge, starts, 1)
-    np.add.at(edge, np.minimum(starts + window, n), -1)
-    return np.cumsum(edge)[:-1] > 0
+def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each bucket, of rows sorted by bucket, one bit for each hash that asks: whether it is there twice."""
+
+    def answered(bucket: int, flushes: list[int], data: list[bytes]) -> pa.RecordBatch:
+        keys = np.frombuffer(b"".join(data), _KEY)
+        one, two, sure = keys["one"], keys["two"] >> 1, (keys["two"] & 1).astype(bool)
+        order = np.lexsort((two, one))
+        new = np.ones(len(order), bool)
+        new[1:] = (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])
+        group = np.cumsum(new) - 1
+        twice = np.bincount(group, 1 + sure[order]) > 1
+        repeats = np.zeros(len(order), bool)
+        repeats[order] = twice[group]
+        edges = np.cumsum([0, *(len(x) // _KEY.itemsize for x in data)]).tolist()
+        bits = [np.packbits(repeats[a:b][~sure[a:b]]).tobytes() for a, b in zip(edges[:-1], edges[1:])]
+        return pa.RecordBatch.from_arrays([pa.array([bucket] * len(flushes), pa.int32()), pa.array(flushes, pa.int64()), pa.array(bits, pa.binary())], names=["bucket", "flush", "data"])
+
+    now, flushes, data = None, [], []
+    for batch in batches:
+        for bucket, flush, raw in zip(*(batch.column(c).to_pylist() for c in ("bucket", "flush", "data"))):
+            if bucket != now:
+                if flushes:
+                    yield answered(now, flushes, data)
+                now, flushes, data = bucket, [], []
+            flushes.append(flush)
+            data.append(raw)
+    if flushes:
+        yield answered(now, flushes, data)
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches):
-        removed, shas, kept_texts = [], [], []
-        for text, sha, known, starts, copied in zip(*(batch.column(c).to_pylist() for c in ("text", "sha", "known", "starts", "copied"))):
-            if not known and not starts and not copied:
-                removed.append(0)
-                shas.append(sha)
-                kept_texts.append(None)
-                continue
-            words = text.encode().split()
-            places = [np.arange(a, b) for a, b in zip(known[::2], known[1::2])] + [np.array(starts or [], np.int64)]
-            gone = np.ones(len(words), bool) if copied else covered(np.concatenate(places), len(words))
-            kept = b" ".join([w for w, g in zip(words, gone.tolist()) if not g])
-            removed.append(int(gone.sum()))
-            shas.append(hashlib.sha256(kept).hexdigest())
-            kept_texts.append(kept.decode())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_words"), pa.array(removed, pa.int64()), pa.array(shas), pa.array(kept_texts, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"])
-
-
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _finish(window: int):
+    """Waiting documents with their answers. Rows come by flush: its order, then its answers, then its documents in order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, order, answers, bits, at = None, None, {}, None, 0
+        for batch in batches:
+            ids, n_words, removed, shas, shown = [], [], [], [], []
+            place = 0
+            for kind, flush, text, known, asked, bucket, data in zip(*(batch.column(c).to_pylist() for c in ("kind", "flush", "text", "known", "asked", "bucket", "data"))):
+                if flush != now:
+                    now, answers, bits, at = flush, {}, None, 0
+                if kind == ORDER:
+                    order = np.frombuffer(data, "<u4")
+                elif kind == ANSWER:
+                    answers[bucket] = data
+                else:
+                    if bits is None:
+                        bits, by = np.zeros(len(order), bool), np.argsort(order, kind="stable")
+                        found, edges = np.unique(order[by], return_index=True)
+                        for b, a, z in zip(found.tolist(), edges.tolist(), [*edges[1:].tolist(), len(by)]):
+                            bits[by[a:z]] = np.unpackbits(np.frombuffer(answers[b], np.uint8), count=z - a).astype(bool)
+                    words = text.encode().split()
+                    ask = np.flatnonzero(_flags(asked, len(words)))
+                    told = bits[at : at + len(ask)]
+                    at += len(ask)
+                    n, sha, rest = _kept(words, np.concatenate([np.flatnonzero(_flags(known, len(words))), ask[told]]), window)
+                    ids.append(place)
+                    n_words.append(len(words))
+                    removed.append(n)
+                    shas.append(sha)
+                    shown.append(rest)
+                place += 1
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(ids, pa.int64())), pa.array(n_words, pa.int64()), pa.array(removed, pa.int64()), pa.array(shas, pa.string()), pa.array(shown, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"])
+
+    return run
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """n_words, n_removed, kept_sha256 and, where words were removed, kept_text for each row.
 
-    Null and empty texts and those shorter than a window lose nothing. Repeated rows count as two documents,
-    so all their windows go. An empty table gives no rows. Other columns are left out.
+    Null and empty texts and those shorter than a window lose nothing. Repeated rows and copies count as two documents,
+    so all their windows go. Texts of any length are judged whole; a text is held by one task. An empty table gives no rows.
+    Other columns are left out. window: ANCHOR + SPAN - 1 words at least.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), content_key(text_col).alias("text_key"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    shared = docs.sparkSession.sparkContext.broadcast(repeated_cells(rows.select("text")))
-    found = stage(rows.mapInArrow(_suspects(shared), f"row long, doc_id {kind}, text_key binary, n_words long, sha string, text string, known array<int>, windows array<struct<at:int,h1:long,h2:long>>"), "windows")
-    suspects = found.filter("text IS NOT NULL")  # each has a window at least
-    sets = suspects.groupBy("text_key").agg(F.count("*").alias("n"), F.min("row").alias("one")).filter("n > 1").select(F.col("text_key").alias("of_key"), "one")
-    copies = stage(suspects.select("row", "text_key").join(sets, F.col("text_key") == F.col("of_key")).select("row", (F.col("row") == F.col("one")).alias("is_one")), "copies")
-    others = small(copies.filter("NOT is_one").select(F.col("row").alias("of_row")))
-    each = suspects.select("row", "windows").join(others, F.col("row") == F.col("of_row"), "left_anti").select("row", F.explode("windows").alias("w")).select("row", "w.at", "w.h1", "w.h2")
-    repeated = each.groupBy("h1", "h2").agg(F.sum(F.when(F.col("at") < 0, 2).otherwise(1)).alias("n")).filter("n > 1").select(F.col("h1").alias("r1"), F.col("h2").alias("r2"))
-    starts = each.filter("at >= 0").join(repeated, (F.col("h1") == F.col("r1")) & (F.col("h2") == F.col("r2"))).groupBy("row").agg(F.collect_set("at").alias("starts"))
-    told = starts.withColumn("copied", F.lit(False)).unionByName(copies.select("row", F.lit(None).cast("array<int>").alias("starts"), F.lit(True).alias("copied")))
-    told = told.groupBy("row").agg(F.any_value("starts", True).alias("starts"), F.bool_or("copied").alias("copied")).withColumnRenamed("row", "of_row")
-    plain = found.filter("text IS NULL").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("sha").alias("kept_sha256"), F.lit(None).cast("string").alias("kept_text"))
-    cut = suspects.drop("windows").join(told, F.col("row") == F.col("of_row"), "left").select("doc_id", "n_words", "sha", "text", "known", "starts", "copied")
-    return plain.union(cut.mapInArrow(_cut, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string, kept_text string"))
+    size = rows.agg(F.sum(F.length("text"))).first()[0] or 0
+    sketch = repeated_cells(rows.select("text"), sketch_bits(size))
+    # About a million hashes a bucket where every character of the text starts a word of a repeated window.
+    buckets = 1 << max(6, (size // 4_000_000).bit_length())
+    shared = docs.sparkSession.sparkContext.broadcast(sketch)
+    found = stage(rows.mapInArrow(_suspects(shared, buckets, window), f"{_SHAPE}, doc_id {kind}"), "windows")
+    hashes = found.filter(F.col("kind") == HASHES).select("bucket", "flush", "data")
+    answers = hashes.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_answers, "bucket int, flush long, data binary")
+    columns = ["kind", "flush", "row", "text", "known", "asked", "bucket", "data", "doc_id"]
+    told = answers.select(F.lit(ANSWER).alias("kind"), "flush", F.lit(-1).cast("long").alias("row"), *(F.lit(None).cast(found.schema[c].dataType).alias(c) for c in ("text", "known", "asked")), "bucket", "data", F.lit(None).cast(kind).alias("doc_id"))
+    waiting = found.filter(F.col("kind").isin(WAITING, ORDER)).select(columns).unionByName(told)
+    cut = waiting.repartition("flush").sortWithinPartitions("flush", "row").mapInArrow(_finish(window), f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    return found.filter(F.col("kind") == DONE).select("doc_id", "n_words", "n_removed", "kept_sha256", F.col("text").alias("kept_text")).union(cut)
 
 
 def op6_substring_dedup(spark, sf_dir: str) -> DataFrame:

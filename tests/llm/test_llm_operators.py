@@ -68,14 +68,15 @@ def test_simhash(spark, rows):
     assert simhash.simhash_components(table(spark, [])).count() == 0 and simhash.drop_near_duplicates(table(spark, [])).count() == 0
 
 
-def test_simhash_links_in_blocks(spark):
+@pytest.mark.parametrize("kind", [simhash.COARSE, simhash.FINER])
+def test_simhash_links_in_blocks(spark, kind):
     """A dense cell that is compared in many small blocks gives the components of brute force."""
     rng = random.Random(1)
     base = [rng.getrandbits(64) for _ in range(5)]
     fps = sorted({b ^ sum(1 << rng.randrange(64) for _ in range(rng.randrange(5))) for b in base for _ in range(60)})
     signed = [(f - (1 << 64) if f >> 63 else f,) for f in fps]
     df = spark.createDataFrame(signed, "fp long")
-    roots = {r.node: r.root for r in simhash.components(simhash.links(df, block=7)).collect()}
+    roots = {r.node: r.root for r in simhash.components(simhash.links(df, 7, kind)).collect()}
     group = list(range(len(fps)))
     for a in range(len(fps)):
         for b in range(a):
@@ -86,6 +87,23 @@ def test_simhash_links_in_blocks(spark):
     assert all((group[a] == group[b]) == (mine[a] == mine[b]) for a in range(len(fps)) for b in range(a))
 
 
+def test_cells_meet_all_neighbours(spark):
+    """Any two fingerprints within three bits share a cell in which one of them is at home; neighbours are one step away."""
+    rng = random.Random(2)
+    pairs = [(a, a ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(4)))) for a in (rng.getrandbits(64) for _ in range(150))]
+    pairs += [(0, 7), (2**64 - 1, 2**64 - 8), (0, 1 << 63), (3 << 62, 0)]
+    signed = lambda f: f - (1 << 64) if f >> 63 else f
+    df = spark.createDataFrame(sorted({(signed(f),) for p in pairs for f in p}), "fp long")
+    for kind in (simhash.COARSE, simhash.FINER):
+        stands = collections.defaultdict(dict)
+        for r in simhash.cells(df, kind).collect():
+            stands[r.fp][(r.grid, r.cell)] = r.home
+        assert all(sum(x.values()) == len(simhash.grids(*kind)) for x in stands.values())
+        for a, b in pairs:
+            one, two = stands[signed(a)], stands[signed(b)]
+            assert any(one[c] or two[c] for c in one.keys() & two.keys()), (a, b)
+
+
 def test_manhattan_is_a_lower_bound():
     rng = np.random.default_rng(0)
     a, b = (rng.integers(0, 2**63, 500).astype(np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2))
