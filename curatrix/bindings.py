@@ -24,7 +24,8 @@ SELECT id, n, concat('Feed ', CAST(n AS STRING)) AS name,
   CASE WHEN n % 7 = 6 THEN 'candidate' ELSE 'approved' END AS status,
   CASE WHEN n % 10 = 9 THEN 'disabled' WHEN n % 5 = 3 THEN 'degraded' ELSE 'good' END AS health,
   CASE WHEN n % 10 = 9 THEN 3 WHEN n % 5 = 3 THEN 1 ELSE 0 END AS consecutive_failures,
-  n <> 13 AS is_active
+  n <> 13 AS is_active, CASE n % 6 WHEN 5 THEN 'internal_api' WHEN 3 THEN 'rss' ELSE 'api' END AS type, concat('https://', id, '.example.org/feed') AS url,
+  {ts} '2024-01-15 00:00:00' + {min:n * 7} AS last_fetch_at, CASE WHEN n % 5 = 3 THEN 'source_timeout' ELSE 'succeeded' END AS last_fetch_status
 FROM (SELECT DISTINCT source AS id, CAST(substr(source, 4) AS INT) AS n FROM documents) s""",
     "b_items": """
 SELECT concat(d.source, ':', CAST(d.doc_id AS STRING)) AS id, d.doc_id, d.source AS source_id, s.domain, s.authority,
@@ -43,25 +44,34 @@ SELECT concat(d.source, ':', CAST(d.doc_id AS STRING)) AS id, d.doc_id, d.source
   CASE WHEN d.doc_id % 17 = 0 THEN NULL WHEN (s.authority = 'official' AND d.doc_id % 4 >= 1) OR d.doc_id % 4 >= 2 THEN 'confirmed'
     WHEN s.authority = 'official' OR d.doc_id % 4 = 1 THEN 'firm' ELSE 'tentative' END AS confidence,
   CASE d.doc_id % 5 WHEN 0 THEN 'growing' WHEN 1 THEN 'stable' WHEN 2 THEN 'emerging' END AS trend_signal,
-  CASE WHEN (d.doc_id * 31 + d.n_chars * 7) % 101 >= 75 AND d.doc_id % 17 <> 0 THEN concat('act on ', CAST(d.doc_id AS STRING)) END AS action_suggestion
+  CASE WHEN (d.doc_id * 31 + d.n_chars * 7) % 101 >= 75 AND d.doc_id % 17 <> 0 THEN concat('act on ', CAST(d.doc_id AS STRING)) END AS action_suggestion,
+  CASE WHEN (d.doc_id * 31 + d.n_chars * 7) % 101 >= 75 AND d.doc_id % 17 <> 0 THEN concat('because ', CAST(d.doc_id AS STRING)) END AS recommendation_reason,
+  concat('author ', CAST(d.doc_id % 50 AS STRING)) AS author, CASE WHEN d.doc_id % 17 = 0 THEN NULL ELSE split(concat('t', CAST(d.doc_id % 7 AS STRING), ',u'), ',') END AS tags,
+  CASE WHEN d.doc_id % 17 = 0 THEN 'unknown' WHEN d.doc_id % 2 = 0 THEN 'high' ELSE 'low' END AS credibility,
+  CASE WHEN d.doc_id % 17 <> 0 THEN 'model-1' END AS stage1_model, CASE WHEN d.doc_id % 17 <> 0 THEN 'maker' END AS stage1_provider, CASE WHEN d.doc_id % 17 <> 0 THEN 'v1' END AS stage1_prompt_version,
+  CASE WHEN (d.doc_id * 31 + d.n_chars * 7) % 101 >= 75 AND d.doc_id % 17 <> 0 THEN 'model-2' END AS stage2_model,
+  concat('run-', CAST(CAST({ts} '2024-01-01 00:00:00' + {min:(d.doc_id * 43) % 43200 + 60} AS DATE) AS STRING)) AS run_id
 FROM documents d JOIN b_sources s ON d.source = s.id""",
     "b_raw_items": r"""
-SELECT batch_id, page_id AS pos, source_id, title, canonical_url, content_text, CAST(page_id AS STRING) AS native_id,
-  {ts} '2024-01-01 00:00:00' + {min:(page_id * 61) % 40000} AS published_at
+SELECT batch_id, page_id AS pos, source_id, title, canonical_url, content_text, CAST(page_id AS STRING) AS native_id, concat('by ', CAST(page_id % 9 AS STRING)) AS author,
+  {ts} '2024-01-01 00:00:00' + {min:(page_id * 61) % 40000} AS published_at, {ts} '2024-01-16 12:00:00' + {min:batch_id * 60} AS fetched_at
 FROM (
-  SELECT 1 AS batch_id, page_id, concat('src', CAST(page_id % 20 AS STRING)) AS source_id, regexp_extract(html, '<title>(.*?)</title>', 1) AS title, url AS canonical_url, substr(html, 1, 600) AS content_text FROM pages
+  SELECT 1 AS batch_id, page_id, concat('src', CAST(page_id % 20 AS STRING)) AS source_id, regexp_extract(html, '<title>(.*?)</title>', 1) AS title, url AS canonical_url, html AS content_text FROM pages
   UNION ALL
-  SELECT 2, page_id, concat('src', CAST((page_id + 1) % 20 AS STRING)), regexp_extract(html, '<title>(.*?)</title>', 1), concat('HTTP', substr(url, 5)), substr(html, 1, 600) FROM pages WHERE page_id % 3 = 0
+  SELECT 2, page_id, concat('src', CAST((page_id + 1) % 20 AS STRING)), CASE WHEN page_id % 9 = 0 THEN '' ELSE regexp_extract(html, '<title>(.*?)</title>', 1) END, concat('HTTP', substr(url, 5)), CASE WHEN page_id % 9 = 0 THEN '' ELSE html END FROM pages WHERE page_id % 3 = 0
   UNION ALL
-  SELECT 3, page_id, concat('src', CAST(page_id % 20 AS STRING)), regexp_extract(html, '<title>(.*?)</title>', 1), url, substr(html, 1, 600) FROM pages WHERE page_id % 5 = 0) r""",
+  SELECT 3, page_id, CASE WHEN page_id % 15 = 0 THEN 'lost' ELSE concat('src', CAST(page_id % 20 AS STRING)) END, regexp_extract(html, '<title>(.*?)</title>', 1), url, html FROM pages WHERE page_id % 5 = 0) r""",
     "b_fetch_attempts": """
 SELECT event_id, concat('src', CAST(user_id % 20 AS STRING)) AS source_id, ts AS attempt_at, event_type <> 'error' AS ok,
   CASE WHEN event_type = 'error' THEN 0 ELSE CAST(floor(value) AS BIGINT) END AS n_items,
   CASE WHEN event_type = 'error' THEN CASE event_id % 4 WHEN 0 THEN 'source_timeout' WHEN 1 THEN 'source_auth_error' WHEN 2 THEN 'source_http_error' ELSE 'source_parse_error' END END AS error,
-  CAST(event_id % 300 AS BIGINT) AS duration_ds
+  CAST(event_id % 300 AS BIGINT) AS duration_ds, concat('run-', CAST(CAST(ts AS DATE) AS STRING)) AS run_id,
+  CASE WHEN event_type = 'error' THEN CASE event_id % 5 WHEN 0 THEN 'timeout' WHEN 1 THEN 'status' WHEN 2 THEN 'status' WHEN 3 THEN 'transport' ELSE 'parse' END END AS failure,
+  CASE WHEN event_type = 'error' AND event_id % 5 IN (1, 2) THEN CAST(400 + event_id % 7 AS INT) END AS http_status
 FROM events""",
     "b_runs": """
-SELECT day, concat('run-', CAST(day AS STRING)) AS id, rn, n_runs,
+SELECT day, concat('run-', CAST(day AS STRING)) AS id, 'daily' AS kind, rn, n_runs, CAST(day AS {tstype}) - {min:1440} AS window_start, CAST(rn * 3 AS BIGINT) AS dedup_skipped, CAST(rn % 5 AS BIGINT) AS retention_deleted,
+  CASE WHEN rn % 4 IN (0, 3) THEN concat(CAST(day AS STRING), CASE WHEN rn % 6 = 0 THEN ':other' ELSE ':security' END) END AS digest_security_id, CASE WHEN rn % 3 = 0 THEN concat(CAST(day AS STRING), ':ai') END AS digest_ai_id,
   CASE WHEN rn = n_runs THEN 'running' WHEN rn % 7 = 0 THEN 'failed' WHEN rn % 5 = 0 THEN 'partial' ELSE 'succeeded' END AS status,
   CAST(day AS {tstype}) AS started_at, CASE WHEN rn < n_runs THEN CAST(day AS {tstype}) + {min:30} END AS finished_at, CAST(day AS {tstype}) AS window_end,
   sources_total, sources_ok, sources_failed, stage1_total, stage1_failed, stage1_total - stage1_failed AS stage1_ok,
@@ -105,7 +115,7 @@ FROM (SELECT doc_id, source, md5(CAST(doc_id AS STRING)) AS h FROM documents WHE
 SELECT i.*, CASE WHEN doc_id % 11 IN (0, 3) THEN concat('see GHSA-', upper(substr(md5(CAST(doc_id AS STRING)), 1, 4)), '-', substr(md5(CAST(doc_id AS STRING)), 5, 4), '-', substr(md5(CAST(doc_id AS STRING)), 9, 4), ' now') ELSE title END AS advisory_text
 FROM b_items i""",
     "b_digests": """
-SELECT concat(CAST(day AS STRING), ':', domain) AS id, day, domain, CAST(count(*) AS BIGINT) AS n_items,
+SELECT concat(CAST(day AS STRING), ':', domain) AS id, concat('run-', CAST(day AS STRING)) AS run_id, day, domain, CAST(count(*) AS BIGINT) AS n_items,
   CAST(sum(CASE WHEN insight_score >= 75 THEN 1 ELSE 0 END) AS BIGINT) AS n_high
 FROM (SELECT CAST(stage1_analyzed_at + {min:480} AS DATE) AS day, domain, insight_score FROM b_items WHERE insight_score >= 40 AND analysis_stage >= 1) x
 GROUP BY day, domain""",

@@ -75,8 +75,11 @@ def _one_of(value: Column, allowed: tuple[str, ...], default: str | None) -> Col
     return F.when(value.isin(*allowed), value).otherwise(F.lit(default))
 
 
-def _required(value: Column) -> Column:
-    return F.nullif(strip(value), F.lit(""))
+def _required(payload: Column, name: str) -> Column:
+    """A field that must be a string of JSON and say something; a number, a list or an object doesn't count."""
+    parsed = F.try_parse_json(payload)
+    kind = F.schema_of_variant(F.try_variant_get(parsed, f"$.{name}", "variant"))
+    return F.when(kind == "STRING", F.nullif(strip(F.try_variant_get(parsed, f"$.{name}", "string")), F.lit("")))
 
 
 def parse_stage1(payload: Column) -> Column:
@@ -90,7 +93,7 @@ def parse_stage1(payload: Column) -> Column:
     number = F.when(~boolean, raw.try_cast("double"))
     finite = number.isNotNull() & ~F.isnan(number) & (F.abs(number) < 1e300)
     score = F.when(finite, F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.bround(number, 0))).cast("int"))
-    summary = _required(_field(payload, "summary_zh"))
+    summary = _required(payload, "summary_zh")
     listed = F.coalesce(_field(payload, "tags"), F.lit("[]"))
     tags = F.from_json(F.when(listed.startswith("["), listed), "array<string>")
     tags = F.slice(F.filter(F.transform(tags, strip), lambda t: t != ""), 1, MOST_TAGS)
@@ -103,12 +106,12 @@ def parse_stage1(payload: Column) -> Column:
 
 def parse_stage2(payload: Column, confidence: Column) -> Column:
     """Struct (recommendation_reason, action_suggestion, trend_signal, confidence, error). The confidence is ours, not the model's."""
-    reason, action = _required(_field(payload, "recommendation_reason")), _required(_field(payload, "action_suggestion"))
+    reason, action = _required(payload, "recommendation_reason"), _required(payload, "action_suggestion")
     ok = payload.isNotNull() & reason.isNotNull() & action.isNotNull()
     return F.struct(F.when(ok, reason).alias("recommendation_reason"), F.when(ok, action).alias("action_suggestion"), F.when(ok, _one_of(_field(payload, "trend_signal"), TRENDS, None)).alias("trend_signal"), F.when(ok, confidence).alias("confidence"), F.when(~ok, F.lit(PARSE_ERROR)).alias("error"))
 
 
 def parse_overview(payload: Column) -> Column:
-    """Struct (overview, error)."""
-    text = _required(_field(payload, "overview"))
-    return F.struct(text.alias("overview"), F.when(text.isNull(), F.lit(PARSE_ERROR)).alias("error"))
+    """Struct (overview_zh, error)."""
+    text = _required(payload, "overview_zh")
+    return F.struct(text.alias("overview_zh"), F.when(text.isNull(), F.lit(PARSE_ERROR)).alias("error"))

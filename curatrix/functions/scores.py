@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Fixed values: (exclusive upper bound, bucket, days kept).
-RETENTION = ((10, "delete", 0), (30, "5d", 5), (50, "10d", 10), (75, "30d", 30))
+RETENTION = ((10, "delete", 0), (30, "5_days", 5), (50, "10_days", 10), (75, "30_days", 30))
 PERMANENT = "permanent"
 HIGH_VALUE, CANDIDATE, LOW = 75, 40, 30
 CONFIDENCE_RANK = {"confirmed": 3, "firm": 2, "tentative": 1}

@@ -28,6 +28,11 @@ def parse_unix(seconds: Column) -> Column:
     return F.timestamp_seconds(seconds.try_cast("double"))
 
 
+def iso(at: Column) -> Column:
+    """A time without a zone, which is UTC, in ISO form."""
+    return F.concat(F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+00:00"))
+
+
 def digest_date(at: Column) -> Column:
     """Calendar day at UTC+8."""
     return F.to_date(at + F.make_dt_interval(F.lit(0), F.lit(8)))

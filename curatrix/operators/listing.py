@@ -10,9 +10,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scores
+from ..functions.times import iso
 
 #: What a listing shows of an item: neither its content nor its errors.
-SHOWN = ("id", "source_id", "domain", "title", "canonical_url", "summary_zh", "category", "insight_score", "confidence", "trend_signal", "action_suggestion", "analysis_stage", "published_at", "fetched_at")
+SHOWN = ("id", "source_id", "domain", "title", "canonical_url", "author", "published_at", "fetched_at", "also_seen_in", "category", "tags", "summary_zh", "insight_score", "credibility", "confidence", "trend_signal",
+         "recommendation_reason", "action_suggestion", "analysis_stage", *(f"stage{k}_{c}" for k in (1, 2) for c in ("model", "provider", "prompt_version", "analyzed_at")), "expires_at")
+
+
+def view(items: DataFrame) -> DataFrame:
+    """The listing's columns, times in ISO form; columns that the table lacks are null."""
+    times = ("published_at", "fetched_at", "stage1_analyzed_at", "stage2_analyzed_at", "expires_at")
+    return items.select(*(F.lit(None).cast("string").alias(c) if c not in items.columns else iso(F.col(c)).alias(c) if c in times else F.col(c) for c in SHOWN))
 
 
 def filtered(items: DataFrame, domain: str = "all", category: str | None = None, min_score: int | None = None, stage: int | None = None, confidence: str | None = None, trend: str | None = None, source_id: str | None = None, since: str | None = None, until: str | None = None) -> DataFrame:
@@ -50,11 +58,16 @@ def _terms(search: str) -> tuple[list[str], list[str], list[str]]:
     return some, must, never
 
 
+def _hits(haystack: Column, term: str) -> Column:
+    """How often a term stands in a text, from what its removal takes away."""
+    return ((F.length(haystack) - F.length(F.replace(haystack, F.lit(term), F.lit("")))) / len(term)).cast("int")
+
+
 def search(items: DataFrame, text: str, fields: tuple[str, ...] = ("title", "summary_zh", "content_text")) -> DataFrame:
     """Items that match, with ``relevance``, the number of hits of the terms looked for. A defined subset of boolean search on substrings."""
     some, must, never = _terms(text)
     haystack = F.lower(F.concat_ws("\n", *fields))
-    out = items.withColumn("relevance", sum((F.size(F.split(haystack, re.escape(t))) - 1 for t in some + must), F.lit(0)).cast("long"))
+    out = items.withColumn("relevance", sum((_hits(haystack, t) for t in some + must), F.lit(0)).cast("long"))
     for term in must:
         out = out.filter(haystack.contains(term))
     for term in never:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.times import iso
+
 
 def run_window(runs: DataFrame, now: str, hours: int = 24) -> DataFrame:
     """From the end of the latest succeeded run, or else ``hours`` ago, to now. One row, also without runs."""
@@ -58,20 +60,70 @@ def step_state(total: Column, ok: Column, failed: Column, running: Column) -> Co
     return F.when(total == 0, "pending").when(ok + failed < total, F.when(running, "running").otherwise("warn")).when(ok == 0, "fail").when(failed > 0, "warn").otherwise("ok")
 
 
-def stats_document(attempts: DataFrame, runs: DataFrame) -> DataFrame:
-    """One JSON document a run: an entry for each source of its day, stage tallies and the digest."""
-    by = attempts.groupBy(F.to_date("attempt_at").alias("day"), "source_id").agg(F.max_by(F.when(F.col("ok"), "succeeded").otherwise("failed"), F.struct("attempt_at", "event_id")).alias("status"), F.sum("n_items").alias("items"))
-    entries = by.groupBy("day").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("source_id", F.struct("status", "items"))))).alias("sources"))  # as many as there are sources
+#: What a run's document says of a source before its result, and of a digest.
+PENDING = {"status": "pending", "items": 0, "duration_s": 0.0}
+DIGEST_FIELDS = ("status", "digest_id", "hexo_path", "oss_url", "error")
+
+
+def stats_document(runs: DataFrame, results: DataFrame, digests: DataFrame) -> DataFrame:
+    """(id, stats_json): one JSON document a run, an entry for each source (pending without a result), the stages' tallies, counters and
+    the digests.
+
+    runs: id, source_ids (those that the run was started with; a result of any other counts too), stage1_ and stage2_ total, ok and failed,
+    dedup_skipped, retention_deleted. results: run_id, source_id, status, items, duration_s, error (null: left out). digests: run_id,
+    domain and DIGEST_FIELDS.
+    """
+    started = runs.select(F.col("id").alias("run_id"), F.explode("source_ids").alias("source_id")).distinct()
+    entries = started.join(results, ["run_id", "source_id"], "full_outer")
+    entries = entries.select("run_id", "source_id", *(F.coalesce(c, F.lit(v)).alias(c) for c, v in PENDING.items()), "error")
+    body = F.struct("source_id", F.struct("status", "items", "duration_s", "error"))
+    by_source = entries.groupBy("run_id").agg(F.map_from_entries(F.sort_array(F.collect_list(body))).alias("sources"))  # as many as there are sources
+    told = F.struct(*DIGEST_FIELDS)
+    n = lambda s: F.count_if(F.col("status") == s)
+    by_digest = digests.groupBy("run_id").agg(status_of(F.count("status"), n("succeeded"), n("failed"), n("skipped")).alias("status"), *(F.any_value(F.when(F.col("domain") == d, told), True).alias(d) for d in ("security", "ai")))
     stage = lambda k: F.struct(F.col(f"{k}_total").alias("total"), F.col(f"{k}_ok").alias("succeeded"), F.col(f"{k}_failed").alias("failed"))
-    doc = F.to_json(F.struct("sources", stage("stage1").alias("stage1"), stage("stage2").alias("stage2"), F.struct(F.col("digest_status").alias("status"), F.col("digest_security").alias("security"), F.col("digest_ai").alias("ai")).alias("digest")))
-    return with_digest(runs).join(entries, "day", "left").select("id", doc.alias("stats_json"))
-
-
-def audit(runs: DataFrame, items: DataFrame, digests: DataFrame, least_items: int, least_analysed: int, least_digests: int) -> DataFrame:
-    """The latest finished run with its evidence and a list of error codes."""
-    last = runs.filter("finished_at IS NOT NULL").orderBy(F.desc("finished_at"), "id").limit(1).select("id", "status", "day")
-    found = items.groupBy(F.to_date("fetched_at").alias("day")).agg(F.count("*").alias("items"), F.count_if(F.col("analysis_stage") >= 1).alias("analysed"))
-    made = digests.filter("n_items > 0").groupBy("day").agg(F.count("*").alias("digests"))
-    row = last.join(found, "day", "left").join(made, "day", "left").na.fill(0, ["items", "analysed", "digests"])
-    errors = F.array_compact(F.array(F.when(F.col("status") != "succeeded", "run_status"), F.when(F.col("items") < least_items, "too_few_items"), F.when(F.col("analysed") < least_analysed, "too_few_analysed"), F.when(F.col("digests") < least_digests, "missing_digest")))
-    return row.select("id", "status", "items", "analysed", "digests", F.array_join(errors, ",").alias("errors"))
+    rows = runs.join(by_source.withColumnRenamed("run_id", "id"), "id", "left").join(by_digest.withColumnRenamed("run_id", "id").withColumnRenamed("status", "digest_status"), "id", "left")
+    digest = F.struct(F.coalesce("digest_status", F.lit("pending")).alias("status"), F.col("security"), F.col("ai"))
+    doc = F.to_json(F.struct(F.coalesce("sources", F.create_map().cast("map<string,struct<status:string,items:bigint,duration_s:double,error:string>>")).alias("sources"), stage("stage1").alias("stage1"), stage("stage2").alias("stage2"), "dedup_skipped", "retention_deleted", digest.alias("digest")))
+    return rows.select("id", doc.alias("stats_json"))
+
+
+def finish(stored: DataFrame, finished: DataFrame) -> DataFrame:
+    """Runs with the end of those in ``finished`` (id, status, finished_at, stats_json, error_json); one that is not stored is an error of the
+    caller's and stays out."""
+    ends = finished.select("id", *(F.col(c).alias(f"new_{c}") for c in ("status", "finished_at", "stats_json", "error_json")), F.lit(True).alias("ended"))
+    return stored.join(ends, "id", "left").select(*(F.when(F.col("ended"), F.col(f"new_{c}")).otherwise(F.col(c)).alias(c) if f"new_{c}" in ends.columns else F.col(c) for c in stored.columns))
+
+
+def view(runs: DataFrame, progress: Column) -> DataFrame:
+    """What an API shows of a run."""
+    times = ("window_start", "window_end", "started_at", "finished_at")
+    return runs.select("id", "kind", "status", *(iso(F.col(c)).alias(c) for c in times), progress.alias("progress"), "stats_json")
+
+
+def latest_finished(runs: DataFrame) -> DataFrame:
+    return runs.filter("finished_at IS NOT NULL").orderBy(F.desc("finished_at"), "id").limit(1)
+
+
+def audit(runs: DataFrame, items: DataFrame, digests: DataFrame, results: DataFrame, least_items: int, least_analysed: int, least_digests: int, domains: tuple[str, ...] = ("security", "ai"), accepted: tuple[str, ...] = ("succeeded",)) -> DataFrame:
+    """Each of the runs (id, status) with its evidence and its error codes, in a fixed order; without any run one row that says so.
+
+    items: run_id, analysis_stage; digests: run_id, domain, id, has_content; results: what the run's document says of its digests,
+    run_id, domain, status, digest_id. A digest counts only with content.
+    """
+    found = items.groupBy(F.col("run_id").alias("id")).agg(F.count("*").alias("items"), F.count_if(F.col("analysis_stage") >= 1).alias("analysed"))
+    made = digests.filter("has_content").select(F.col("run_id").alias("id"), "domain", F.col("id").alias("made_id"))
+    told = results.select(F.col("run_id").alias("id"), "domain", F.col("status").alias("told_status"), F.col("digest_id").alias("told_id"))
+    both = made.join(told, ["id", "domain"], "full_outer").groupBy("id")
+    pick = lambda c, d: F.max(F.when(F.col("domain") == d, F.col(c))).alias(f"{c}_{d}")
+    evidence = both.agg(F.count_distinct(F.when(F.col("made_id").isNotNull(), F.col("domain"))).alias("digests"), *(pick(c, d) for d in domains for c in ("made_id", "told_status", "told_id")))
+    row = runs.select("id", "status").join(found, "id", "left").join(evidence, "id", "left").na.fill(0, ["items", "analysed", "digests"])
+    few = lambda name, n, least: F.when(n < least, F.concat(F.lit(f"{name}_below_min:"), n, F.lit(f"<{least}")))
+    errors = [F.when(~F.col("status").isin(*accepted), F.concat(F.lit("run_status_"), "status")), few("items", F.col("items"), least_items), few("analyzed", F.col("analysed"), least_analysed), few("digests", F.col("digests"), least_digests)]
+    for d in domains:
+        there = F.col(f"made_id_{d}").isNotNull()
+        errors += [F.when(~there, F.lit(f"missing_digest:{d}")), F.when(there & ~F.coalesce(F.col(f"told_status_{d}") == "succeeded", F.lit(False)), F.lit(f"digest_not_succeeded:{d}")),
+                   F.when(there & (F.coalesce(F.col(f"told_id_{d}"), F.lit("")) != "") & (F.col(f"told_id_{d}") != F.col(f"made_id_{d}")), F.lit(f"digest_id_mismatch:{d}"))]
+    judged = row.select("id", "status", "items", "analysed", "digests", F.array_join(F.array_compact(F.array(*errors)), ",").alias("errors"))
+    none = runs.agg(F.count("*").alias("n")).filter("n = 0").select(*(F.lit(None).cast(judged.schema[c].dataType).alias(c) for c in ("id", "status")), *(F.lit(0).cast("long").alias(c) for c in ("items", "analysed", "digests")), F.lit("no_finished_run").alias("errors"))
+    return judged.unionByName(none)

@@ -5,60 +5,102 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import contracts, scores
+from ..storage import stored
 
 STAGE2_FROM = 75
+#: What an outcome says of the model that gave it.
+PROVENANCE = ("model", "provider", "prompt_version")
 
 
-def requests(items: DataFrame) -> DataFrame:
-    """The payload of each item's first request: its facts and its content, cut to what a model reads."""
+def _payload(*fields: str | Column) -> Column:
+    return F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("payload")
+
+
+def _with_source(items: DataFrame, sources: DataFrame) -> DataFrame:
+    known = sources.select(F.col("id").alias("source_id"), F.col("name").alias("source_name"), F.col("authority").alias("source_authority"))
+    return items.join(known, "source_id", "left")
+
+
+def stage1_requests(items: DataFrame, sources: DataFrame) -> DataFrame:
+    """(id, payload, truncated): what a model reads of each item first, its facts, its source and its content, cut in the middle."""
     content = contracts.prepare_content(F.col("content_text"))
-    body = F.to_json(F.struct("id", "title", "source_id", "domain", content["text"].alias("content"), content["truncated"].alias("truncated")))
-    return items.select("id", body.alias("payload"), content["truncated"].alias("truncated"))
+    at = F.date_format("published_at", "yyyy-MM-dd'T'HH:mm:ss")
+    body = _payload("title", "canonical_url", "source_name", "source_authority", at.alias("published_at"), content["text"].alias("content_text"), content["truncated"].alias("content_truncated"))
+    return _with_source(items, sources).select("id", body, content["truncated"].alias("truncated"))
+
+
+def stage2_requests(items: DataFrame, sources: DataFrame) -> DataFrame:
+    """(id, payload): what stage 1 said of each item and where else it was seen (columns tags and also_seen_in are arrays)."""
+    lists = [F.coalesce(F.to_json(c), F.lit("[]")) for c in ("tags", "also_seen_in")]
+    body = _payload("title", "canonical_url", "category", "summary_zh", "insight_score", "credibility", "source_name", "source_authority")
+    whole = F.concat(F.substring(body, F.lit(1), F.length(body) - 1), F.lit(',"tags":'), lists[0], F.lit(',"also_seen_in":'), lists[1], F.lit("}"))
+    return _with_source(items, sources).select("id", whole.alias("payload"))
 
 
 def score(payloads: DataFrame, scorer: Callable[[str], str], concurrency: int, contract: Callable, key: str = "id") -> DataFrame:
     """Responses of a scorer to each payload, with one repair attempt where the contract breaks.
 
-    The number of partitions bounds how many calls run at once. contract: a column function from the JSON payload of a response to a struct with ``error``.
+    The number of partitions bounds how many calls run at once. contract: a column function from the JSON payload of a response to
+    a struct with ``error``. Answers are written before anything looks at them, so that the scorer is called once for an
+    item and once for a repair (again only where a task failed), and an item has one answer wherever it is used.
     """
 
     def answer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             yield rows.assign(raw=rows["payload"].map(scorer))[[key, "raw"]]
 
+    def answered(asked: DataFrame) -> DataFrame:
+        raw = stored(asked.select(key, "payload").repartition(concurrency).mapInPandas(answer, f"{key} {kind}, raw string"), "answers")
+        return contracts.extract_objects(raw).withColumn("outcome", contract(F.col("payload")))
+
     kind = payloads.schema[key].dataType.simpleString()
-    first = payloads.repartition(concurrency).mapInPandas(answer, f"{key} {kind}, raw string")
-    parsed = contracts.extract_objects(first).withColumn("outcome", contract(F.col("payload")))
-    good, bad = parsed.filter("outcome.error IS NULL"), parsed.filter("outcome.error IS NOT NULL")
-    again = payloads.join(bad.select(key), key, "left_semi").withColumn("payload", F.concat(F.lit("Answer with one JSON object only.\n"), "payload")).repartition(concurrency).mapInPandas(answer, f"{key} {kind}, raw string")
-    repaired = contracts.extract_objects(again).withColumn("outcome", contract(F.col("payload")))
-    return good.unionByName(repaired).select(key, "raw", "outcome")
+    first = answered(payloads)
+    good, bad = first.filter("outcome.error IS NULL"), first.filter("outcome.error IS NOT NULL")
+    again = payloads.join(bad.select(key), key, "left_semi").withColumn("payload", F.concat(F.lit("Answer with one JSON object only.\n"), "payload"))
+    return good.unionByName(answered(again)).select(key, "raw", "outcome")
+
+
+def _joined(items: DataFrame, outcomes: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """Items with their outcome and its provenance; columns that items lack are null."""
+    missing = {c: F.lit(None).cast(t) for c, t in columns.items() if c not in items.columns}
+    known = [F.col(c) if c in outcomes.columns else F.lit(None).cast("string").alias(c) for c in PROVENANCE]
+    return items.withColumns(missing).join(outcomes.select("id", "outcome", *known), "id", "left")
+
+
+def _provenance(stage: int, analyzed_at: Column) -> dict[str, Column]:
+    """Set whether the outcome is good or not."""
+    done = F.col("outcome").isNotNull()
+    values = {"analyzed_at": analyzed_at, "error": F.col("outcome.error")} | {c: F.col(c) for c in PROVENANCE}
+    return {f"stage{stage}_{c}": F.when(done, v).otherwise(F.col(f"stage{stage}_{c}")) for c, v in values.items()}
+
+
+def _stage_columns(stage: int) -> dict[str, str]:
+    return {f"stage{stage}_{c}": "string" for c in (*PROVENANCE, "error")} | {f"stage{stage}_analyzed_at": "timestamp_ntz"}
 
 
 def apply_stage1(items: DataFrame, outcomes: DataFrame, analyzed_at: str) -> DataFrame:
-    """Items (id, analysis_stage, ...) with stage-1 outcomes (id, outcome): fields, expiry and stage 1 on success, stage 0 and the error otherwise; items without an outcome stay."""
-    o = F.col("outcome")
-    at = F.lit(analyzed_at).cast("timestamp_ntz")
-    done, ok = o.isNotNull(), o["error"].isNull()
-    joined = items.join(outcomes.select("id", "outcome"), "id", "left")
-    return joined.withColumns({
-        "insight_score": F.when(done & ok, o["insight_score"]).otherwise(F.col("insight_score")), "category": F.when(done & ok, o["category"]).otherwise(F.col("category")),
-        "summary_zh": F.when(done & ok, o["summary_zh"]).otherwise(F.col("summary_zh")), "stage1_error": F.when(done, o["error"]).otherwise(F.col("stage1_error")),
-        "expires_at": F.when(done & ok, scores.expires_at(o["insight_score"], at)).otherwise(F.col("expires_at")),
-        "analysis_stage": F.when(done & ok, 1).when(done, 0).otherwise(F.col("analysis_stage")),
-    }).drop("outcome")
-
-
-def apply_stage2(items: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """On success the fields and stage 2, on an error at least stage 1."""
-    o = F.col("outcome")
-    done, ok = o.isNotNull(), o["error"].isNull()
-    joined = items.join(outcomes.select("id", "outcome"), "id", "left")
-    return joined.withColumns({
-        "trend_signal": F.when(done & ok, o["trend_signal"]).otherwise(F.col("trend_signal")), "action_suggestion": F.when(done & ok, o["action_suggestion"]).otherwise(F.col("action_suggestion")),
-        "confidence": F.when(done & ok, o["confidence"]).otherwise(F.col("confidence")), "analysis_stage": F.when(done & ok, 2).when(done, F.greatest(F.lit(1), F.col("analysis_stage"))).otherwise(F.col("analysis_stage")),
-    }).drop("outcome")
+    """Items (id, analysis_stage, ...) with stage-1 outcomes (id, outcome, and where known model, provider, prompt_version).
+
+    Provenance and the error are always taken over; on success also the fields and the expiry, and the stage is 1; otherwise it is 0.
+    Items without an outcome stay as they are.
+    """
+    o, at = F.col("outcome"), F.lit(analyzed_at).cast("timestamp_ntz")
+    done, ok = o.isNotNull(), o.isNotNull() & o["error"].isNull()
+    fields = {"category": "string", "tags": "array<string>", "summary_zh": "string", "insight_score": "int", "credibility": "string"}
+    rows = _joined(items, outcomes, fields | {"expires_at": "timestamp_ntz"} | _stage_columns(1))
+    taken = {c: F.when(ok, o[c]).otherwise(F.col(c)) for c in fields} | {"expires_at": F.when(ok, scores.expires_at(o["insight_score"], at)).otherwise(F.col("expires_at"))}
+    return rows.withColumns(taken | _provenance(1, at) | {"analysis_stage": F.when(ok, 1).when(done, 0).otherwise(F.col("analysis_stage"))}).drop("outcome", *PROVENANCE)
+
+
+def apply_stage2(items: DataFrame, outcomes: DataFrame, analyzed_at: str) -> DataFrame:
+    """As apply_stage1: on success the fields and stage 2, on an error at least stage 1."""
+    o, at = F.col("outcome"), F.lit(analyzed_at).cast("timestamp_ntz")
+    done, ok = o.isNotNull(), o.isNotNull() & o["error"].isNull()
+    fields = ("recommendation_reason", "confidence", "trend_signal", "action_suggestion")
+    rows = _joined(items, outcomes, dict.fromkeys(fields, "string") | _stage_columns(2))
+    taken = {c: F.when(ok, o[c]).otherwise(F.col(c)) for c in fields}
+    return rows.withColumns(taken | _provenance(2, at) | {"analysis_stage": F.when(ok, 2).when(done, F.greatest(F.lit(1), F.col("analysis_stage"))).otherwise(F.col("analysis_stage"))}).drop("outcome", *PROVENANCE)

@@ -38,31 +38,39 @@ def upsert_catalog(sources: DataFrame, catalog: DataFrame) -> DataFrame:
 def health_fold(attempts: DataFrame, initial: DataFrame | None = None) -> DataFrame:
     """Each source's failures since its last success, in order of (attempt_at, event_id), and the health that follows.
 
-    initial: optional (source_id, consecutive_failures) before the first attempt; it counts while no attempt succeeded.
+    initial: optional (source_id, consecutive_failures) before the first attempt; it counts while no attempt succeeded. Two
+    aggregates, the last success and what came after it, so that a source with most of the log is combined before any shuffle.
     """
-    order = Window.partitionBy("source_id").orderBy("attempt_at", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    runs = attempts.withColumn("island", F.sum(F.col("ok").cast("int")).over(order))
-    by = runs.groupBy("source_id", "island").agg(F.count_if(~F.col("ok")).alias("failures"), F.max_by("error", F.struct("attempt_at", "event_id")).alias("error"), F.max("attempt_at").alias("last_at"))
-    last = by.groupBy("source_id").agg(F.max_by(F.struct("island", "failures", "error", "last_at"), "island").alias("x")).select("source_id", "x.*")
+    order = F.struct("attempt_at", "event_id")
+    good = attempts.filter("ok").groupBy("source_id").agg(F.max(order).alias("last_ok"))
+    after = F.col("last_ok").isNull() | (order > F.col("last_ok"))
+    last = attempts.join(good, "source_id", "left").groupBy("source_id").agg(F.count_if(~F.col("ok") & after).alias("failures"), F.max_by("error", order).alias("error"), F.max("attempt_at").alias("last_at"), F.any_value(F.col("last_ok").isNull()).alias("never"))
     if initial is not None:
-        last = last.join(initial.withColumnRenamed("consecutive_failures", "before"), "source_id", "left").withColumn("failures", F.col("failures") + F.when(F.col("island") == 0, F.coalesce("before", F.lit(0))).otherwise(0))
+        last = last.join(initial.withColumnRenamed("consecutive_failures", "before"), "source_id", "left").withColumn("failures", F.col("failures") + F.when(F.col("never"), F.coalesce("before", F.lit(0))).otherwise(0))
     health = F.when(F.col("failures") >= DISABLED_AFTER, "disabled").when(F.col("failures") > 0, "degraded").otherwise("good")
     return last.select("source_id", F.col("failures").cast("long").alias("consecutive_failures"), health.alias("health"), F.coalesce("error", F.lit("succeeded")).alias("last_status"), "last_at")
 
 
-def fetch_stats(attempts: DataFrame) -> DataFrame:
-    """Per source: last status, items, mean seconds of an attempt to three places, last error."""
+def fetch_stats(attempts: DataFrame, by: tuple[str, ...] = ("source_id",)) -> DataFrame:
+    """Per source, and per run where ``by`` names one: the last attempt's status, seconds (to three places) and error, and all items."""
     last = F.struct("attempt_at", "event_id")
-    return attempts.groupBy("source_id").agg(
+    return attempts.groupBy(*by).agg(
         F.max_by(F.when(F.col("ok"), "succeeded").otherwise("failed"), last).alias("status"), F.sum("n_items").alias("items"),
-        F.round(F.avg(F.col("duration_ds") / 10), 3).alias("duration_s"), F.max_by("error", last).alias("error"))
+        F.max_by(F.round(F.col("duration_ds") / 10, 3), last).alias("duration_s"), F.max_by("error", last).alias("error"))
 
 
-def feed_gate(attempts: DataFrame, least_ok: int) -> DataFrame:
-    """ok, empty or failed sources by their last attempt, and whether enough are ok."""
+def feed_gate(attempts: DataFrame, least_ok: int, sources: DataFrame | None = None, include_internal: bool = False) -> DataFrame:
+    """ok, empty or failed sources by their last attempt, how many were left out, and whether enough are ok.
+
+    sources: optional (id, type); those of type ``internal_api`` are left out unless asked for.
+    """
     last = attempts.groupBy("source_id").agg(F.max_by(F.struct("ok", "n_items"), F.struct("attempt_at", "event_id")).alias("x"))
-    state = F.when(~F.col("x.ok"), "failed").when(F.col("x.n_items") > 0, "ok").otherwise("empty")
-    return last.agg(*(F.count_if(state == s).alias(s) for s in ("ok", "empty", "failed"))).withColumn("passed", F.col("ok") >= least_ok)
+    skip = F.lit(False)
+    if sources is not None and not include_internal:
+        last = last.join(sources.select(F.col("id").alias("source_id"), "type"), "source_id", "left")
+        skip = F.coalesce(F.col("type") == "internal_api", F.lit(False))
+    state = F.when(skip, "skipped").when(~F.col("x.ok"), "failed").when(F.col("x.n_items") > 0, "ok").otherwise("empty")
+    return last.agg(*(F.count_if(state == s).alias(s) for s in ("ok", "empty", "failed", "skipped"))).withColumn("passed", F.col("ok") >= least_ok)
 
 
 def table_quality(table: DataFrame, required: tuple[str, ...], enums: dict[str, tuple[str, ...]]) -> DataFrame:

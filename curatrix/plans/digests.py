@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from ..bindings import Tables
 from ..operators import digest as ops
 from ..registry import query
+from ..sources import sinks
+from ..storage import new_path
 
 _RANK = "CASE confidence WHEN 'confirmed' THEN 3 WHEN 'firm' THEN 2 WHEN 'tentative' THEN 1 ELSE 0 END"
 _C = "c AS (SELECT CAST(stage1_analyzed_at + to_hours(8) AS DATE) AS day, *, insight_score >= 75 AS high FROM b_items WHERE analysis_stage >= 1 AND insight_score >= 40)"
@@ -60,7 +62,7 @@ def _totals(t: Tables):
 _LABEL = "CASE category " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in ops.LABELS.items()) + " END"
 
 
-@query("digest_markdown", f"""WITH {_C},
+_MARKDOWN = f"""WITH {_C},
 r AS (SELECT *, row_number() OVER (PARTITION BY day, domain, category ORDER BY {_ORDER}) AS rank FROM c WHERE high),
 g AS (SELECT day, domain, category, string_agg('- **' || title || '**' || chr(10) || '  - score: ' || insight_score || chr(10) || '  - source: ' || source_id
   || coalesce(chr(10) || '  - summary: ' || nullif(summary_zh, ''), '') || coalesce(chr(10) || '  - action: ' || nullif(action_suggestion, ''), '') || chr(10) || chr(10), '' ORDER BY rank) AS body FROM r WHERE rank <= 5 GROUP BY ALL),
@@ -73,11 +75,39 @@ SELECT CAST(n.day AS VARCHAR) AS day, n.domain, 'intelligence-' || n.domain || '
   '---' || chr(10) || 'title: ' || CASE n.domain WHEN 'security' THEN '安全情报日报' WHEN 'ai' THEN 'AI 情报日报' ELSE '情报日报' END || ' · ' || n.day || chr(10) || 'tags:' || chr(10) || '  - intelligence' || chr(10) || '  - ' || n.domain || chr(10)
   || 'categories:' || chr(10) || '  - 情报日报' || chr(10) || '---' || chr(10) || chr(10) || '## High Value' || chr(10) || chr(10) || coalesce(h.t, '暂无高价值情报。' || chr(10) || chr(10)) || '## Lower-value Mentions' || chr(10) || chr(10) || coalesce(l.t, '暂无。')
   || chr(10) || chr(10) || '## Stats' || chr(10) || chr(10) || '- Collected: ' || CAST(coalesce(k.collected, 0) AS BIGINT) || chr(10) || '- Analyzed: ' || coalesce(a.analyzed, 0) || chr(10) || '- High value: ' || n.high || chr(10) || '- Failed sources: ' || coalesce(k.failed, 0) || chr(10) AS content
-FROM n LEFT JOIN h ON h.day = n.day AND h.domain = n.domain LEFT JOIN l ON l.day = n.day AND l.domain = n.domain LEFT JOIN k ON k.day = n.day LEFT JOIN a ON a.day = n.day""")
+FROM n LEFT JOIN h ON h.day = n.day AND h.domain = n.domain LEFT JOIN l ON l.day = n.day AND l.domain = n.domain LEFT JOIN k ON k.day = n.day LEFT JOIN a ON a.day = n.day"""
+
+
+@query("digest_markdown", _MARKDOWN)
 def digest_markdown(t: Tables):
+    return _rendered(t)
+
+
+def _rendered(t: Tables):
     return _day(ops.render(ops.digest_items(t.items), _totals(t)).select("day", "domain", "file", "content"))
 
 
+@query("digest_files", f"SELECT file, sha256(content) AS content_sha256 FROM ({_MARKDOWN})")
+def digest_files(t: Tables):
+    """The files as a site would find them, each under its name."""
+    path = new_path(t.spark, "posts")
+    sinks.write_text_files(_rendered(t), path)
+    files = t.spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value")
+    return files.select("file", F.sha2("value", 256).alias("content_sha256"))
+
+
+@query("digest_job", f"""SELECT day, domain, sha256(CASE WHEN domain = 'ai' THEN content || 'again' ELSE content END) AS content_sha256, 'digests/' || day || '/' || domain || '.md' AS backup_key,
+  'https://files.example.org/digests/' || day || '/' || domain || '.md' AS url, 'uploaded' AS backup FROM ({_MARKDOWN})""")
+def digest_job(t: Tables):
+    """Digests are stored, one domain's are stored again, and an uploader gets their files, keys and URLs."""
+    path, made = new_path(t.spark, "digests"), _rendered(t)
+    sinks.write_digests(made, path)
+    again = made.withColumn("content", F.when(F.col("domain") == "ai", F.concat("content", F.lit("again"))).otherwise(F.col("content")))
+    placed = sinks.digest_job(again, path, lambda d: d.withColumn("backup", F.lit("uploaded")), base_url="https://files.example.org")
+    kept = t.spark.read.parquet(path).select(F.col("day").cast("string").alias("day"), "domain", F.sha2("content", 256).alias("content_sha256"))
+    return placed.drop("file").join(kept, ["day", "domain"])
+
+
 @query("digest_listing", "SELECT id, CAST(day AS VARCHAR) AS day, domain, n_items, n_high, 'intelligence-' || domain || '-' || day || '.md' AS path FROM b_digests WHERE domain IN ('security', 'ai') ORDER BY day DESC, domain LIMIT 20")
 def digest_listing(t: Tables):
     seen = t.table("b_digests").filter(F.col("domain").isin("security", "ai")).orderBy(F.desc("day"), "domain").limit(20)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..bindings import NOW, Tables
-from ..functions.urls import canonicalize_url
+from ..functions.urls import canonicalize_url, dedup_hash
 from ..operators import ingest as ops
 from ..registry import query
 
@@ -19,8 +19,10 @@ def _canonical(url: str) -> str:
     return f"lower(regexp_extract({url}, '^([^:]+://[^/?#]*)', 1)) || CASE WHEN {path} = '' THEN '/' ELSE {path} END || CASE WHEN len({kept}) = 0 THEN '' ELSE '?' || array_to_string({kept}, '&') END"
 
 
-_NORM = f"""n AS (SELECT r.batch_id, r.pos, r.source_id, s.domain, s.authority, trim(r.title) AS title, {_canonical('r.canonical_url')} AS url, r.native_id, r.published_at,
-  CASE WHEN s.id IS NULL THEN 'unknown_source' WHEN r.published_at > TIMESTAMP '{NOW}' + to_days(7) THEN 'future' END AS reason
+_TRIMMED = "regexp_replace(r.content_text, '^\\s+|\\s+$', '', 'g')"
+_NORM = f"""n AS (SELECT r.batch_id, r.pos, r.source_id, s.domain, s.authority, CASE WHEN trim(r.title) = '' THEN substr({_TRIMMED}, 1, 200) ELSE trim(r.title) END AS title, {_canonical('r.canonical_url')} AS url, r.native_id, r.published_at,
+  {_TRIMMED} AS content, strftime(r.fetched_at, '%Y-%m-%dT%H:%M:%S+00:00') AS seen_at,
+  CASE WHEN s.id IS NULL THEN 'unknown_source' WHEN trim(r.title) = '' AND {_TRIMMED} = '' THEN 'empty' WHEN r.published_at > TIMESTAMP '{NOW}' + to_days(7) THEN 'future' END AS reason
   FROM b_raw_items r LEFT JOIN b_sources s ON s.id = r.source_id),
 h AS (SELECT *, substr(sha256(url), 1, 32) AS hash, source_id || ':' || native_id AS id FROM n)"""
 
@@ -34,9 +36,18 @@ def canonical_urls(t: Tables):
     return t.table("pages").select("page_id", canonicalize_url(F.col("url")).alias("canonical"))
 
 
-@query("normalised_items", f"WITH {_NORM} SELECT batch_id, pos, id, source_id, domain, title, url AS canonical_url, hash AS dedup_hash FROM h WHERE reason IS NULL")
+@query("normalised_items", f"WITH {_NORM} SELECT batch_id, pos, id, source_id, domain, title, url AS canonical_url, hash AS dedup_hash, sha256(content) AS content_sha256 FROM h WHERE reason IS NULL")
 def normalised_items(t: Tables):
-    return _normal(t).filter("reject_reason IS NULL").select("batch_id", "pos", "id", "source_id", "domain", "title", "canonical_url", "dedup_hash")
+    return _normal(t).filter("reject_reason IS NULL").select("batch_id", "pos", "id", "source_id", "domain", "title", "canonical_url", "dedup_hash", F.sha2("content_text", 256).alias("content_sha256"))
+
+
+@query("text_identities", """
+WITH n AS (SELECT doc_id, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS body, trim(regexp_replace(lower(substr(text, 1, 40)), '\\s+', ' ', 'g')) AS head FROM documents)
+SELECT doc_id, substr(sha256(head || '|' || substr(body, 1, 500)), 1, 32) AS dedup_hash FROM n""")
+def text_identities(t: Tables):
+    """Items without a URL are known by their title and the start of their content."""
+    none = F.lit(None).cast("string")
+    return t.table("documents").select("doc_id", dedup_hash(none, F.substring("text", 1, 40), F.col("text"), F.col("source")).alias("dedup_hash"))
 
 
 @query("rejects", f"WITH {_NORM} SELECT batch_id, coalesce(reason, 'ok') AS outcome, count(*) AS n FROM h GROUP BY ALL")
@@ -61,21 +72,32 @@ def dedup_counts(t: Tables):
 
 _MERGED = f"""WITH {_NORM}, k AS (SELECT *, row_number() OVER (PARTITION BY hash ORDER BY batch_id, pos, source_id) AS nth FROM h WHERE reason IS NULL),
 w AS (SELECT * FROM k WHERE nth = 1),
-s AS (SELECT k.hash, k.source_id, min(k.nth) AS nth FROM k JOIN w ON w.hash = k.hash AND w.source_id <> k.source_id GROUP BY ALL),
-a AS (SELECT hash, string_agg(source_id, ',' ORDER BY nth) AS seen, count(*) AS n FROM s GROUP BY hash)
-SELECT w.hash AS dedup_hash, w.id, w.source_id, w.title, coalesce(a.seen, '') AS seen FROM w LEFT JOIN a ON a.hash = w.hash"""
+s AS (SELECT k.hash, k.source_id, min(k.nth) AS nth, arg_min(k.seen_at, k.nth) AS seen_at FROM k JOIN w ON w.hash = k.hash AND w.source_id <> k.source_id GROUP BY ALL),
+a AS (SELECT hash, string_agg(source_id || '@' || seen_at, ',' ORDER BY nth) AS seen, CAST(count(*) AS INT) AS n FROM s GROUP BY hash)"""
+_MERGED_ITEMS = f"""{_MERGED}
+SELECT w.hash AS dedup_hash, w.id, w.source_id, w.title, sha256(w.content) AS content_sha256, coalesce(a.seen, '') AS seen FROM w LEFT JOIN a ON a.hash = w.hash"""
 
 
 def shown(merged):
-    return merged.select("dedup_hash", "id", "source_id", "title", F.array_join("also_seen_in.source_id", ",").alias("seen"))
+    seen = F.array_join(F.transform("also_seen_in", lambda s: F.concat(s["source_id"], F.lit("@"), s["seen_at"])), ",")
+    return merged.select("dedup_hash", "id", "source_id", "title", F.sha2("content_text", 256).alias("content_sha256"), seen.alias("seen"))
 
 
-@query("merged_items", _MERGED)
+@query("merged_items", _MERGED_ITEMS)
 def merged_items(t: Tables):
     return shown(ops.merge_items(_normal(t)))
 
 
-@query("merged_incrementally", _MERGED)
+@query("merged_confidence", f"""{_MERGED}
+SELECT w.hash AS dedup_hash, CASE WHEN w.batch_id = 1 THEN CASE WHEN (w.authority = 'official' AND coalesce(a.n, 0) >= 1) OR coalesce(a.n, 0) >= 2 THEN 'confirmed' WHEN w.authority = 'official' OR a.n = 1 THEN 'firm' ELSE 'tentative' END END AS confidence
+FROM w LEFT JOIN a ON a.hash = w.hash""")
+def merged_confidence(t: Tables):
+    """Items of the first batch are at stage 2 when the others come: their confidence follows the new sightings."""
+    first = ops.merge_items(_normal(t).filter("batch_id = 1")).withColumn("analysis_stage", F.lit(2))
+    return ops.merge_items(_normal(t).filter("batch_id > 1"), first).select("dedup_hash", "confidence")
+
+
+@query("merged_incrementally", _MERGED_ITEMS)
 def merged_incrementally(t: Tables):
     """The three batches one after the other give what all of them give at once."""
     stored = None

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..bindings import Tables
+from ..functions import scores
 from ..operators import listing as ops
 from ..operators.stats import visible_items
 from ..registry import query
@@ -54,14 +55,26 @@ def items_dashboard(t: Tables):
     return ops.dashboard(t.items, "ai", 10, "The").select("id", "insight_score")
 
 
-@query("item_lookup", f"SELECT id, title, category, insight_score FROM b_items WHERE {_SEEN} AND id = 'src2:10'")
+@query("item_lookup", f"SELECT id, title, category, insight_score FROM b_items WHERE {_SEEN} AND id = 'src0:0'")
 def item_lookup(t: Tables):
-    return _seen(t).filter(F.col("id") == "src2:10").select("id", "title", "category", "insight_score")
+    return _seen(t).filter(F.col("id") == "src0:0").select("id", "title", "category", "insight_score")
 
 
-@query("item_view", "SELECT id, source_id, domain, title, canonical_url, summary_zh, category, insight_score, confidence, trend_signal, action_suggestion, analysis_stage, strftime(published_at, '%Y-%m-%d %H:%M:%S') AS published_at, strftime(fetched_at, '%Y-%m-%d %H:%M:%S') AS fetched_at FROM b_items")
+_ISO = "strftime({}, '%Y-%m-%dT%H:%M:%S+00:00')"
+_EXPIRES = """CASE WHEN insight_score < 10 THEN stage1_analyzed_at WHEN insight_score < 30 THEN stage1_analyzed_at + to_days(5) WHEN insight_score < 50 THEN stage1_analyzed_at + to_days(10) WHEN insight_score < 75 THEN stage1_analyzed_at + to_days(30) END"""
+
+
+@query("item_view", f"""
+WITH o AS (SELECT item_id, string_agg(source_id || '@' || url, ',' ORDER BY source_id, url) AS seen FROM b_occurrences GROUP BY item_id)
+SELECT id, source_id, domain, title, canonical_url, author, {_ISO.format("published_at")} AS published_at, {_ISO.format("fetched_at")} AS fetched_at, coalesce(o.seen, '') AS also_seen_in, category, array_to_string(tags, ',') AS tags, summary_zh, insight_score,
+  credibility, confidence, trend_signal, recommendation_reason, action_suggestion, analysis_stage, stage1_model, stage1_provider, stage1_prompt_version, {_ISO.format("stage1_analyzed_at")} AS stage1_analyzed_at, stage2_model,
+  CAST(NULL AS VARCHAR) AS stage2_provider, CAST(NULL AS VARCHAR) AS stage2_prompt_version, CAST(NULL AS VARCHAR) AS stage2_analyzed_at, {_ISO.format(_EXPIRES)} AS expires_at
+FROM b_items LEFT JOIN o ON o.item_id = id""")
 def item_view(t: Tables):
-    return t.items.select(*ops.SHOWN).withColumns({c: F.date_format(c, "yyyy-MM-dd HH:mm:ss") for c in ("published_at", "fetched_at")})
+    seen = t.table("b_occurrences").groupBy(F.col("item_id").alias("id")).agg(F.sort_array(F.collect_list(F.struct("source_id", "url"))).alias("also_seen_in"))
+    items = t.items.withColumn("expires_at", scores.expires_at(F.col("insight_score"), F.col("stage1_analyzed_at"))).join(seen, "id", "left")
+    places = F.array_join(F.transform("also_seen_in", lambda s: F.concat(s["source_id"], F.lit("@"), s["url"])), ",")
+    return ops.view(items).withColumns({"also_seen_in": F.coalesce(places, F.lit("")), "tags": F.array_join("tags", ",")})
 
 
 @query("occurrence_sources", "SELECT o.item_id, o.k, s.id AS source_id, s.name, o.url FROM b_occurrences o JOIN b_sources s ON o.source_id = s.id")

@@ -2,102 +2,212 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..bindings import Tables
+from ..functions.html import BLOCKS, ENTITIES, HIDDEN
 from ..functions.html import page_text as text_of
-from ..functions.ids import extract_ghsa
+from ..functions.ids import extract_arxiv, extract_ghsa, native_id
 from ..operators import links
 from ..registry import query
 from ..sources import readers
+from ..sources.sinks import write_text_files
+from ..storage import new_path
 
 
-def _docs(t: Tables, groups: int = 50):
-    """Documents in payload-sized groups."""
-    return t.table("documents").select("doc_id", "source", F.substring("text", 1, 60).alias("title"), F.floor(F.col("doc_id") / groups).alias("g"))
+#: Documents of a payload.
+GROUP = 50
 
 
-@query("api_items", "SELECT source AS source_id, CAST(doc_id AS VARCHAR) AS native_id, trim(substr(text, 1, 60)) AS title, 'https://x.example.org/' || doc_id AS canonical_url FROM documents WHERE doc_id % 3 <> 2")
+def _docs(t: Tables):
+    """Documents with a short title and their whole text, in payload-sized groups."""
+    return t.table("documents").select("doc_id", "source", F.substring("text", 1, 60).alias("title"), "text", F.floor(F.col("doc_id") / GROUP).alias("g"))
+
+
+def _content(name: str = "content_text"):
+    return F.sha2(F.trim(name), 256).alias("content_sha256")
+
+
+@query("api_items", "SELECT source AS source_id, CAST(doc_id AS VARCHAR) AS native_id, trim(substr(text, 1, 60)) AS title, 'https://x.example.org/' || doc_id AS canonical_url, sha256(trim(text)) AS content_sha256 FROM documents WHERE doc_id % 3 <> 2")
 def api_items(t: Tables):
-    body = F.to_json(F.struct(F.col("doc_id").alias("id"), "title", F.concat(F.lit("https://x.example.org/"), "doc_id").alias("link")))
+    body = F.to_json(F.struct(F.col("doc_id").alias("id"), "title", F.concat(F.lit("https://x.example.org/"), "doc_id").alias("link"), F.col("text").alias("content")))
     entry = F.when(F.col("doc_id") % 3 == 2, F.to_json(F.array(F.lit("not an object")))).otherwise(body)
     grouped = _docs(t).groupBy("source", "g").agg(F.concat(F.lit('{"items":[],"data":['), F.array_join(F.collect_list(entry), ","), F.lit("]}")).alias("payload"))
-    return readers.records(grouped.withColumnRenamed("source", "source_id")).select("source_id", "native_id", F.trim("title").alias("title"), "canonical_url")
+    return readers.records(grouped.withColumnRenamed("source", "source_id")).select("source_id", "native_id", F.trim("title").alias("title"), "canonical_url", _content())
 
 
 @query("nvd_items", """
-SELECT source AS source_id, 'CVE-2024-' || doc_id AS native_id, 'CVE-2024-' || doc_id || ': ' || substr(text, 1, 60) AS title, 'https://nvd.nist.gov/vuln/detail/CVE-2024-' || doc_id AS canonical_url,
+SELECT source AS source_id, 'CVE-2024-' || doc_id AS native_id, 'CVE-2024-' || doc_id || ': ' || substr(text, 1, 200) AS title, 'https://nvd.nist.gov/vuln/detail/CVE-2024-' || doc_id AS canonical_url, sha256(trim(text)) AS content_sha256,
   CASE WHEN doc_id % 2 = 0 THEN CAST(doc_id % 10 AS DOUBLE) ELSE 5.5 END AS cvss FROM documents""")
 def nvd_items(t: Tables):
     metric = lambda x: F.array(F.struct(F.struct(x.cast("double").alias("baseScore")).alias("cvssData")))
     even = F.col("doc_id") % 2 == 0
     metrics = F.struct(F.when(even, metric(F.col("doc_id") % 10)).alias("cvssMetricV31"), metric(F.lit(5.5)).alias("cvssMetricV2"))
-    about = F.array(F.struct(F.lit("zh").alias("lang"), F.lit("x").alias("value")), F.struct(F.lit("en").alias("lang"), F.col("title").alias("value")))
+    about = F.array(F.struct(F.lit("zh").alias("lang"), F.lit("x").alias("value")), F.struct(F.lit("en").alias("lang"), F.col("text").alias("value")))
     cve = F.struct(F.concat(F.lit("CVE-2024-"), "doc_id").alias("id"), F.lit("2024-01-05T10:00:00.000").alias("published"), about.alias("descriptions"), metrics.alias("metrics"))
     grouped = _docs(t).groupBy("source", "g").agg(F.to_json(F.struct(F.collect_list(F.struct(cve.alias("cve"))).alias("vulnerabilities"))).alias("payload"))
-    return readers.nvd(grouped.withColumnRenamed("source", "source_id")).select("source_id", "native_id", "title", "canonical_url", F.get_json_object("metadata", "$.cvss").cast("double").alias("cvss"))
+    return readers.nvd(grouped.withColumnRenamed("source", "source_id")).select("source_id", "native_id", "title", "canonical_url", _content(), F.get_json_object("metadata", "$.cvss").cast("double").alias("cvss"))
 
 
 @query("advisory_items", """
-SELECT source AS source_id, 'GHSA-' || doc_id AS native_id, 'GHSA-' || doc_id || ': ' || substr(text, 1, 60) AS title, 'https://github.com/advisories/GHSA-' || doc_id AS canonical_url, 'CVE-' || doc_id AS cves FROM documents""")
+SELECT source AS source_id, 'GHSA-' || doc_id AS native_id, 'GHSA-' || doc_id || ': ' || substr(text, 1, 60) AS title, 'https://github.com/advisories/GHSA-' || doc_id AS canonical_url, 'CVE-' || doc_id AS cves, sha256(trim(text)) AS content_sha256 FROM documents""")
 def advisory_items(t: Tables):
     key = F.concat(F.lit("GHSA-"), "doc_id")
     ids = F.array(F.struct(F.lit("GHSA").alias("type"), key.alias("value")), F.struct(F.lit("CVE").alias("type"), F.concat(F.lit("CVE-"), "doc_id").alias("value")))
-    entry = F.struct(key.alias("ghsa_id"), F.col("title").alias("summary"), F.concat(F.lit("https://github.com/advisories/"), key).alias("html_url"), ids.alias("identifiers"))
+    entry = F.struct(key.alias("ghsa_id"), F.col("title").alias("summary"), F.col("text").alias("description"), F.concat(F.lit("https://github.com/advisories/"), key).alias("html_url"), ids.alias("identifiers"))
     grouped = _docs(t).groupBy("source", "g").agg(F.to_json(F.collect_list(entry)).alias("payload"))
     cves = F.array_join(F.from_json(F.get_json_object("metadata", "$.cve_ids"), "array<string>"), ",")
-    return readers.advisories(grouped.withColumnRenamed("source", "source_id")).select("source_id", "native_id", "title", "canonical_url", cves.alias("cves"))
+    return readers.advisories(grouped.withColumnRenamed("source", "source_id")).select("source_id", "native_id", "title", "canonical_url", cves.alias("cves"), _content())
+
+
+def _story_details(t: Tables):
+    return _docs(t).select("source", F.col("doc_id").alias("id"), F.to_json(F.struct(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 5 == 0, "comment").otherwise("story").alias("type"), "title", "text", F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("https://s.example.org/"), "doc_id")).alias("url"), (F.col("doc_id") + 1700000000).alias("time"))).alias("payload"))
+
+
+def _story_lists(t: Tables):
+    """Each source's list of stories, as an API gives it: the first few hundred ids only, so that no list grows with its source."""
+    rank = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
+    first = t.table("documents").select("source", "doc_id").withColumn("rank", rank).filter(F.col("rank") <= LISTED)
+    return first.groupBy(F.col("source").alias("source_id")).agg(F.to_json(F.sort_array(F.collect_list("doc_id"))).alias("payload"))
 
 
-@query("story_items", """
+#: Ids that a list of stories holds at most (the feature's own limit), and those that a reader takes of it.
+LISTED, TAKEN = 500, 30
+
+
+@query("story_items", f"""
 WITH r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS pos FROM documents)
-SELECT source AS source_id, pos, CAST(doc_id AS VARCHAR) AS native_id, CASE WHEN doc_id % 2 = 0 THEN 'https://s.example.org/' || doc_id ELSE 'https://news.ycombinator.com/item?id=' || doc_id END AS canonical_url FROM r WHERE pos < 30 AND doc_id % 5 <> 0""")
+SELECT source AS source_id, pos, CAST(doc_id AS VARCHAR) AS native_id, CASE WHEN doc_id % 2 = 0 THEN 'https://s.example.org/' || doc_id ELSE 'https://news.ycombinator.com/item?id=' || doc_id END AS canonical_url, sha256(trim(text)) AS content_sha256
+FROM r WHERE pos < {TAKEN} AND doc_id % 5 <> 0""")
 def story_items(t: Tables):
-    docs = _docs(t)
-    lists = docs.groupBy(F.col("source").alias("source_id")).agg(F.to_json(F.sort_array(F.collect_list("doc_id"))).alias("payload"))
-    detail = F.to_json(F.struct(F.when(F.col("doc_id") % 5 == 0, "comment").otherwise("story").alias("type"), "title", F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("https://s.example.org/"), "doc_id")).alias("url"), (F.col("doc_id") + 1700000000).alias("time")))
-    return readers.stories(lists, docs.select(F.col("doc_id").alias("id"), detail.alias("payload")), 30).select("source_id", "pos", "native_id", "canonical_url")
+    return readers.stories(_story_lists(t), _story_details(t).drop("source"), TAKEN).select("source_id", "pos", "native_id", "canonical_url", _content())
 
 
-@query("feed_items_xml", "SELECT source AS source_id, CAST(doc_id AS VARCHAR) AS native_id, 'Item ' || doc_id AS title, 'https://f.example.org/' || doc_id AS canonical_url, '2024-01-05 10:00:00' AS published FROM documents")
-def feed_items_xml(t: Tables):
-    item = F.concat(F.lit("<item><title>Item "), "doc_id", F.lit("</title><link>https://f.example.org/"), "doc_id", F.lit("</link><guid>"), "doc_id", F.lit("</guid><pubDate>Fri, 05 Jan 2024 10:00:00 +0000</pubDate></item>"))
-    grouped = _docs(t).groupBy(F.col("source").alias("source_id"), "g").agg(F.concat(F.lit("<rss><channel>"), F.array_join(F.collect_list(item), ""), F.lit("</channel></rss>")).alias("payload"))
-    return readers.feed(grouped).select("source_id", "native_id", "title", "canonical_url", F.date_format(F.to_utc_timestamp("published_at", F.current_timezone()), "yyyy-MM-dd HH:mm:ss").alias("published"))
+@query("routed_items", """
+WITH r AS (SELECT *, CAST(substr(source, 4) AS INT) AS n, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS pos FROM documents)
+SELECT source AS source_id, n AS source_order, CAST(doc_id AS VARCHAR) AS native_id, sha256(trim(text)) AS content_sha256 FROM r WHERE n % 2 = 0 OR (pos < 50 AND doc_id % 5 <> 0)""")
+def routed_items(t: Tables):
+    """Payloads of two kinds in one table, each through its parser: records, and lists of stories with their details."""
+    order = F.substring("source_id", 4, 9).cast("int")
+    body = F.to_json(F.struct(F.col("doc_id").alias("id"), "title", F.col("text").alias("content")))
+    api = _docs(t).groupBy(F.col("source").alias("source_id"), "g").agg(F.concat(F.lit("["), F.array_join(F.collect_list(body), ","), F.lit("]")).alias("payload")).drop("g").filter(order % 2 == 0)
+    told = _story_lists(t).unionByName(_story_details(t).select(F.col("source").alias("source_id"), "payload")).filter(order % 2 == 1)
+    every = api.withColumn("parser", F.lit("api")).unionByName(told.withColumn("parser", F.lit("hackernews"))).withColumn("source_order", order)
+    return readers.read_all(every).select("source_id", "source_order", "native_id", _content())
 
 
-@query("page_text")
+@query("feed_items_xml", """
+SELECT source AS source_id, CAST(doc_id AS VARCHAR) AS native_id, 'Item ' || doc_id AS title, 'https://f.example.org/' || doc_id AS canonical_url, '2024-01-05 10:00:00' AS published, 'by ' || lang AS author, lang AS tags, sha256(trim(text)) AS content_sha256 FROM documents""")
+def feed_items_xml(t: Tables):
+    item = F.concat(F.lit("<item><title>Item "), "doc_id", F.lit("</title><link>https://f.example.org/"), "doc_id", F.lit("</link><guid>"), "doc_id", F.lit("</guid><pubDate>Fri, 05 Jan 2024 10:00:00 +0000</pubDate><dc:creator>by "), "lang", F.lit("</dc:creator><category> </category><category>"), "lang", F.lit("</category><description>"), _escaped("text"), F.lit("</description></item>"))
+    grouped = t.table("documents").groupBy(F.col("source").alias("source_id"), F.floor(F.col("doc_id") / GROUP).alias("g")).agg(F.concat(F.lit("<rss><channel>"), F.array_join(F.collect_list(item), ""), F.lit("</channel></rss>")).alias("payload"))
+    tags = F.array_join(F.from_json(F.get_json_object("metadata", "$.tags"), "array<string>"), ",")
+    return readers.feed(grouped).select("source_id", "native_id", "title", "canonical_url", F.date_format(F.to_utc_timestamp("published_at", F.current_timezone()), "yyyy-MM-dd HH:mm:ss").alias("published"), "author", tags.alias("tags"), _content())
+
+
+def _escaped(column: str):
+    """Text as it stands in XML; control characters, which XML has none of, as blanks."""
+    out = F.col(column)
+    for char, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        out = F.replace(out, F.lit(char), F.lit(name))
+    return out
+
+
+@query("atom_items", """
+SELECT source AS source_id, CASE WHEN doc_id % 2 = 0 THEN '2401.' || lpad(CAST(doc_id % 100000 AS VARCHAR), 5, '0') ELSE 'https://a.example.org/' || doc_id END AS native_id, 'https://a.example.org/' || doc_id AS canonical_url, 'N' || doc_id || ', M' AS author, lang AS tags, sha256(trim(text)) AS content_sha256 FROM documents""")
+def atom_items(t: Tables):
+    """Atom entries whose tags stand in attributes and whose ids are papers' or plain ones."""
+    key = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("http://arxiv.org/abs/2401."), F.lpad((F.col("doc_id") % 100000).cast("string"), 5, "0"), F.lit("v2")))
+    entry = F.concat(F.lit("<entry><title>T"), "doc_id", F.lit("</title><link href='https://a.example.org/"), "doc_id", F.lit("'/>"), F.coalesce(F.concat(F.lit("<id>"), key, F.lit("</id>")), F.lit("")), F.lit("<author><name>N"), "doc_id", F.lit("</name></author><author><name>M</name></author><category term='"), "lang", F.lit("'/><summary>"), _escaped("text"), F.lit("</summary></entry>"))
+    grouped = t.table("documents").withColumn("entry", entry).groupBy(F.col("source").alias("source_id"), (F.col("doc_id") % 2).alias("odd"), F.floor(F.col("doc_id") / GROUP).alias("g")).agg(F.concat(F.lit("<feed>"), F.array_join(F.collect_list("entry"), ""), F.lit("</feed>")).alias("payload"))
+    tags = F.array_join(F.from_json(F.get_json_object("metadata", "$.tags"), "array<string>"), ",")
+    read = [readers.feed(grouped.filter(F.col("odd") == k), native=n, tag="entry") for k, n in ((0, "arxiv"), (1, "plain"))]
+    return read[0].unionByName(read[1]).select("source_id", "native_id", "canonical_url", "author", tags.alias("tags"), _content())
+
+
+@query("paper_records", "SELECT doc_id AS key, 'A title of ' || doc_id AS title, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS summary, array_to_string([CAST(k AS VARCHAR) || lang FOR k IN range(0, least(12, doc_id % 15))], ',') AS authors, 'cs.' || lang AS categories FROM documents")
+def paper_records(t: Tables):
+    names = F.transform(F.sequence(F.lit(0), (F.col("doc_id") % 15).cast("int")), lambda k: F.concat(F.lit("<name> "), k.cast("string"), F.col("lang"), F.lit("</name>")))
+    names = F.array_join(F.slice(names, F.lit(1), (F.col("doc_id") % 15).cast("int")), "")
+    feed = F.concat(F.lit("<feed><title>Query</title><entry><title>A\n title of "), "doc_id", F.lit("</title><summary>"), "text", F.lit("</summary>"), names, F.lit('<category scheme="x" term="cs.'), "lang", F.lit('"/></entry></feed>'))
+    read = readers.papers(t.table("documents").select(F.col("doc_id").alias("key"), feed.alias("payload")))
+    return read.withColumns({"authors": F.array_join("authors", ","), "categories": F.array_join("categories", ",")})
+
+
+def _page_text_sql() -> str:
+    out = "regexp_replace(coalesce(html, ''), '(?is)<!--.*?-->|<!doctype[^>]*>', '', 'g')"
+    for tag in HIDDEN:
+        out = f"regexp_replace({out}, '(?is)<{tag}\\b[^>]*>.*?</{tag}\\s*>', '', 'g')"
+    out = f"regexp_replace({out}, '(?i)<(?:{'|'.join(BLOCKS)})\\b[^>]*/>', chr(10) || chr(10), 'g')"
+    out = f"regexp_replace({out}, '(?i)</?(?:{'|'.join(BLOCKS)})\\b[^>]*>', chr(10), 'g')"
+    out = f"regexp_replace({out}, '(?s)</?[A-Za-z!][^>]*>', '', 'g')"
+    for name, char in ENTITIES:
+        out = f"replace({out}, '{name}', " + ("chr(39)" if char == "'" else f"'{char}'") + ")"
+    return out
+
+
+@query("page_text", f"""
+WITH r AS (SELECT page_id, array_to_string(list_transform(string_split({_page_text_sql()}, chr(10)), lambda x: trim(regexp_replace(x, '[ \\t]+', ' ', 'g'), chr(32) || chr(160))), chr(10)) AS text FROM pages)
+SELECT page_id, trim(regexp_replace(text, '\\n{{3,}}', chr(10) || chr(10), 'g'), chr(10)) AS text FROM r""")
 def page_text(t: Tables):
     return t.table("pages").select("page_id", text_of(F.col("html")).alias("text"))
 
 
 @query("link_mentions", r"""
-WITH m AS (SELECT page_id, unnest(regexp_extract_all(html, 'href="(/[^"/]+)', 1)) AS hit, generate_subscripts(regexp_extract_all(html, 'href="(/[^"/]+)', 1), 1) AS place FROM pages),
-c AS (SELECT page_id, regexp_replace(hit, '[.,);]+$', '') AS target, place FROM m), n AS (SELECT page_id, target, count(*) AS n, min(place) AS first FROM c GROUP BY ALL)
-SELECT page_id, target, n FROM n QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY n DESC, first) = 1""")
+WITH m AS (SELECT doc_id, unnest(['a/' || lang || '.git', 'a/' || lang, 'Topics/x', 'b/r' || doc_id % 3 || '.', 'b/r' || doc_id % 3, 'sponsors/y', 'c/only']) AS hit, unnest(range(7)) AS place FROM documents),
+c AS (SELECT doc_id, regexp_replace(regexp_replace(hit, '\.git$', ''), '[.,);]+$', '') AS target, place FROM m WHERE lower(split_part(hit, '/', 1)) NOT IN ('topics', 'sponsors')), n AS (SELECT doc_id, target, count(*) AS n, min(place) AS first FROM c GROUP BY ALL)
+SELECT doc_id, target, n FROM n QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, first) = 1""".replace("\\", "\\"))
 def link_mentions(t: Tables):
-    return links.most_mentioned(t.table("pages"), "page_id", "html", r'href="(/[^"/]+)', ())
+    """Repositories of documents with links in several spellings; two are named twice, and the one named first counts."""
+    three = (F.col("doc_id") % 3).cast("string")
+    spelled = F.concat(F.col("text"), F.lit(" see https://github.com/a/"), "lang", F.lit(".git, GitHub.com/a/"), "lang", F.lit(" (https://github.com/Topics/x) http://www.github.com/b/r"), three, F.lit(". github.com/b/r"), three, F.lit(" github.com/sponsors/y github.com/c/only"))
+    return links.most_mentioned(t.table("documents").withColumn("text", spelled), "doc_id", "text")
 
 
-@query("advisory_fix_commit", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'own/r' || doc_id ELSE 'other/x' END AS repo, CASE WHEN doc_id % 2 = 0 THEN 'bbbbbbb' ELSE 'aaaaaaa' END AS commit FROM documents")
+@query("advisory_fix_commit", """
+SELECT doc_id, CASE WHEN doc_id = 0 OR doc_id % 4 IN (1, 2) THEN 'own/r' || (doc_id // 10) WHEN doc_id % 4 = 0 THEN 'Own/R' || doc_id ELSE 'own/r' || doc_id END AS repo, CASE WHEN doc_id = 0 OR doc_id % 4 IN (1, 2) THEN 'aaaaaaa' ELSE 'bbbbbbb' END AS commit FROM documents""")
 def advisory_fix_commit(t: Tables):
+    """The first commit belongs to a repository whose name begins the home's; the home's own comes second, in another case, or not at all."""
     url = lambda repo, sha: F.concat(F.lit("https://github.com/"), repo, F.lit(f"/commit/{sha}"))
-    own = F.concat(F.lit("own/r"), F.col("doc_id").cast("string"))
-    refs = F.array(F.lit("https://example.org/"), url(F.lit("other/x"), "aaaaaaa"), F.when(F.col("doc_id") % 2 == 0, url(own, "bbbbbbb")).otherwise(F.lit("-")))
-    rows = t.table("documents").select("doc_id", refs.alias("refs"), F.concat(F.lit("https://github.com/"), own).alias("home"))
-    return links.fix_commit(rows, "doc_id", "refs", "home")
+    own, kind = F.col("doc_id").cast("string"), F.col("doc_id") % 4
+    begun = F.concat(F.lit("own/r"), F.floor(F.col("doc_id") / 10).cast("string"))
+    mine = F.when(kind == 0, url(F.concat(F.lit("Own/R"), own), "bbbbbbb")).when(kind == 3, url(F.concat(F.lit("own/r"), own), "bbbbbbb")).otherwise(F.lit("https://github.com/own/"))
+    refs = F.array(F.lit("https://example.org/"), url(begun, "aaaaaaa"), mine)
+    home = F.when(kind == 2, F.lit(None).cast("string")).otherwise(F.concat(F.lit("https://github.com/own/r"), own, F.lit("/")))
+    return links.fix_commit(t.table("documents").select("doc_id", refs.alias("refs"), home.alias("home")), "doc_id", "refs", "home")
 
 
-@query("repo_pick", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'a/official' ELSE 'b/stars' END AS repo FROM documents")
+@query("repo_pick", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'a/' || lang WHEN length(text) % 2 = 0 THEN 'b/' || source ELSE 'c/few' END AS repo FROM documents")
 def repo_pick(t: Tables):
+    """Official first, then stars, which follow the text's length; links come with and without a scheme, in any case."""
     rows = t.table("documents").select("doc_id", F.posexplode(F.array(
         F.struct(F.lit("https://example.org/x").alias("url"), F.lit(True).alias("official"), F.lit(900).alias("stars")),
         F.struct(F.lit("https://github.com/c/few").alias("url"), F.lit(False).alias("official"), F.lit(5).alias("stars")),
-        F.struct(F.lit("https://github.com/b/stars.git").alias("url"), F.lit(False).alias("official"), F.lit(50).alias("stars")),
-        F.struct(F.lit("https://github.com/a/official").alias("url"), (F.col("doc_id") % 3 == 0).alias("official"), F.lit(1).alias("stars")))).alias("pos", "x")).select("doc_id", "pos", "x.*")
+        F.struct(F.concat(F.lit("GitHub.com/b/"), "source", F.lit(".git")).alias("url"), F.lit(False).alias("official"), F.when(F.length("text") % 2 == 0, 50).otherwise(1).alias("stars")),
+        F.struct(F.concat(F.lit("http://github.com/a/"), "lang").alias("url"), (F.col("doc_id") % 3 == 0).alias("official"), F.lit(1).alias("stars")))).alias("pos", "x")).select("doc_id", "pos", "x.*")
     return links.best_repository(rows, "doc_id")
 
 
+@query("paper_ids", "SELECT doc_id, CASE WHEN doc_id % 3 <> 0 THEN '2401.' || lpad(CAST(doc_id % 100000 AS VARCHAR), 5, '0') END AS paper, 'item' || doc_id AS last_segment FROM documents")
+def paper_ids(t: Tables):
+    number = F.concat(F.lit("2401."), F.lpad((F.col("doc_id") % 100000).cast("string"), 5, "0"))
+    url = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("https://x.example.org/"), number)).otherwise(F.concat(F.lit("https://arXiv.org/abs/"), number, F.lit("v3")))
+    path = F.concat(F.lit("https://x.example.org/a/item"), F.col("doc_id").cast("string"), F.lit("/?q=1"))
+    return t.table("documents").select("doc_id", extract_arxiv(url, F.col("source")).alias("paper"), native_id(path, "path").alias("last_segment"))
+
+
+@query("report_scan", """
+SELECT id AS stem, CASE n % 3 WHEN 0 THEN 'GHSA-' || n ELSE id END AS subject, CASE n % 3 WHEN 0 THEN 'paper' ELSE 'vuln_rca' END AS kind, CASE n % 3 WHEN 0 THEN 'm' || n END AS model FROM b_sources""")
+def report_scan(t: Tables):
+    """A report file for each source, with a head that says what it is, one that is no JSON, or none."""
+    n = F.col("n").cast("string")
+    head = F.when(F.col("n") % 3 == 0, F.concat(F.lit('<!-- {"ghsa":"GHSA-'), n, F.lit('","kind":"paper","model":"m'), n, F.lit('"} -->\n'))).when(F.col("n") % 3 == 1, F.lit("<!-- {bad} -->\n")).otherwise(F.lit(""))
+    path = new_path(t.spark, "reports")
+    write_text_files(t.sources.select(F.concat("id", F.lit(".md")).alias("file"), F.concat(head, F.lit("# Report\n\nof "), "name").alias("content")), path)
+    return readers.reports(t.spark, path).select("stem", "subject", "kind", "model")
+
+
 @query("advisory_ids", "SELECT doc_id, CASE WHEN regexp_extract(advisory_text, '(?i)(GHSA(-[0-9a-z]{4}){3})', 1) <> '' THEN 'GHSA' || lower(substr(regexp_extract(advisory_text, '(?i)(GHSA(-[0-9a-z]{4}){3})', 1), 5)) END AS ghsa FROM b_candidates")
 def advisory_ids(t: Tables):
     return t.table("b_candidates").select("doc_id", extract_ghsa(F.col("canonical_url"), F.col("id"), F.col("advisory_text")).alias("ghsa"))

@@ -6,7 +6,10 @@ from pyspark.sql import functions as F
 
 from ..bindings import NOW, Tables
 from ..operators import runs as ops
+from ..operators.sources import fetch_stats
 from ..registry import query
+from ..sources.sinks import append_runs
+from ..storage import new_path
 
 _DIGEST = """CASE WHEN digest_security = 'succeeded' OR digest_ai = 'succeeded' THEN CASE WHEN digest_security = 'failed' OR digest_ai = 'failed' THEN 'partial' ELSE 'succeeded' END ELSE 'failed' END"""
 
@@ -88,24 +91,86 @@ def stale_runs(t: Tables):
     return ops.stale(t.runs, "2024-02-10 00:00:00").select("id", "status", "error", "blocks")
 
 
-@query("run_stats_document", f"""
-WITH s AS (SELECT CAST(attempt_at AS DATE) AS day, source_id, CASE WHEN arg_max(ok, (attempt_at, event_id)) THEN 'succeeded' ELSE 'failed' END AS status, CAST(sum(n_items) AS BIGINT) AS items FROM b_fetch_attempts GROUP BY ALL),
-m AS (SELECT day, string_agg('"' || source_id || '":{{"status":"' || status || '","items":' || items || '}}', ',' ORDER BY source_id) AS body FROM s GROUP BY day)
-SELECT r.id, '{{"sources":{{' || m.body || '}},"stage1":{{"total":' || stage1_total || ',"succeeded":' || stage1_ok || ',"failed":' || stage1_failed || '}},"stage2":{{"total":' || stage2_total || ',"succeeded":' || stage2_ok || ',"failed":' || stage2_failed
-  || '}},"digest":{{"status":"' || {_DIGEST} || '","security":"' || digest_security || '","ai":"' || digest_ai || '"}}}}' AS stats_json FROM b_runs r JOIN m ON m.day = r.day""")
+def _digest_results(t: Tables):
+    """What each run says of its two digests."""
+    name = lambda d: F.concat(F.lit(f"intelligence-{d}-"), F.col("day").cast("string"), F.lit(".md"))
+    one = lambda d: F.struct(F.lit(d).alias("domain"), F.col(f"digest_{d}").alias("status"), F.col(f"digest_{d}_id").alias("digest_id"), F.when(F.col(f"digest_{d}") == "succeeded", name(d)).alias("hexo_path"), F.lit(None).cast("string").alias("oss_url"), F.when(F.col(f"digest_{d}") == "failed", "digest_error").alias("error"))
+    return t.runs.select(F.col("id").alias("run_id"), F.explode(F.array(one("security"), one("ai"))).alias("x")).select("run_id", "x.*")
+
+
+def _documents(t: Tables):
+    """The runs' documents. Every run was also started with a source that never answered."""
+    started = t.attempts.groupBy("run_id").agg(F.array_append(F.collect_set("source_id"), F.lit("silent")).alias("source_ids"))
+    runs = t.runs.join(started.withColumnRenamed("run_id", "id"), "id", "left")
+    return ops.stats_document(runs, fetch_stats(t.attempts, ("run_id", "source_id")), _digest_results(t))
+
+
+_DIGEST_JSON = """'{{"status":"' || digest_{d} || '"' || coalesce(',"digest_id":"' || digest_{d}_id || '"', '') || CASE WHEN digest_{d} = 'succeeded' THEN ',"hexo_path":"intelligence-{d}-' || CAST(r.day AS VARCHAR) || '.md"' ELSE '' END || CASE WHEN digest_{d} = 'failed' THEN ',"error":"digest_error"' ELSE '' END || '}}'"""
+_DOCUMENTS = f"""s AS (SELECT run_id, source_id, CASE WHEN last(ok ORDER BY attempt_at, event_id) THEN 'succeeded' ELSE 'failed' END AS status, CAST(sum(n_items) AS BIGINT) AS items, round(last(duration_ds ORDER BY attempt_at, event_id) / 10, 3) AS duration_s, last(error ORDER BY attempt_at, event_id) AS error FROM b_fetch_attempts GROUP BY ALL
+  UNION ALL SELECT DISTINCT run_id, 'silent', 'pending', 0, 0.0, NULL FROM b_fetch_attempts),
+m AS (SELECT run_id, string_agg('"' || source_id || '":{{"status":"' || status || '","items":' || items || ',"duration_s":' || CAST(CAST(duration_s AS DOUBLE) AS VARCHAR) || coalesce(',"error":"' || error || '"', '') || '}}', ',' ORDER BY source_id) AS body FROM s GROUP BY run_id),
+doc AS (SELECT r.id, '{{"sources":{{' || m.body || '}},"stage1":{{"total":' || stage1_total || ',"succeeded":' || stage1_ok || ',"failed":' || stage1_failed || '}},"stage2":{{"total":' || stage2_total || ',"succeeded":' || stage2_ok || ',"failed":' || stage2_failed
+  || '}},"dedup_skipped":' || dedup_skipped || ',"retention_deleted":' || retention_deleted || ',"digest":{{"status":"' || {_DIGEST} || '","security":' || {_DIGEST_JSON.format(d="security")} || ',"ai":' || {_DIGEST_JSON.format(d="ai")} || '}}}}' AS stats_json FROM b_runs r JOIN m ON m.run_id = r.id)"""
+
+
+@query("run_stats_document", f"WITH {_DOCUMENTS} SELECT id, stats_json FROM doc")
 def run_stats_document(t: Tables):
-    return ops.stats_document(t.attempts, t.runs)
+    return _documents(t)
+
+
+_PROGRESS = f"""round(0.3 * coalesce((sources_ok + sources_failed) * 1.0 / nullif(sources_total, 0), 0) + 0.4 * coalesce((stage1_ok + stage1_failed) * 1.0 / nullif(stage1_total, 0), 0)
+  + 0.2 * coalesce(stage2_ok * 1.0 / nullif(stage2_total, 0), 0) + 0.1 * CASE WHEN {_DIGEST} IN ('succeeded', 'partial') THEN 1 ELSE 0 END, 2)"""
+
+
+@query("run_views", f"WITH {_DOCUMENTS} SELECT r.id, r.kind, r.status, " + ", ".join(f"strftime(r.{c}, '%Y-%m-%dT%H:%M:%S+00:00') AS {c}" for c in ("window_start", "window_end", "started_at", "finished_at")) + f", {_PROGRESS} AS progress, doc.stats_json FROM b_runs r LEFT JOIN doc ON doc.id = r.id")
+def run_views(t: Tables):
+    c = F.col
+    done = ops.progress(c("sources_ok") + c("sources_failed"), c("sources_total"), c("stage1_ok") + c("stage1_failed"), c("stage1_total"), c("stage2_ok"), c("stage2_total"), c("digest_status"))
+    return ops.view(ops.with_digest(t.runs).join(_documents(t), "id", "left"), done)
+
 
+@query("run_lookup", "SELECT id, kind, status FROM b_runs WHERE id = 'run-2024-01-05'")
+def run_lookup(t: Tables):
+    return t.runs.filter("id = 'run-2024-01-05'").select("id", "kind", "status")
 
-@query("run_audit", """
-WITH l AS (SELECT * FROM b_runs WHERE finished_at IS NOT NULL ORDER BY finished_at DESC, id LIMIT 1),
-i AS (SELECT CAST(fetched_at AS DATE) AS day, count(*) AS items, count(*) FILTER (WHERE analysis_stage >= 1) AS analysed FROM b_items GROUP BY 1),
-d AS (SELECT day, count(*) AS digests FROM b_digests WHERE n_items > 0 GROUP BY day)
+
+@query("runs_finished", """
+SELECT id, CASE WHEN status = 'running' THEN 'succeeded' ELSE status END AS status, strftime(CASE WHEN status = 'running' THEN TIMESTAMP '2024-02-10 00:00:00' ELSE finished_at END, '%Y-%m-%d %H:%M:%S') AS finished_at, CASE WHEN status = 'running' THEN '{}' END AS stats_json FROM b_runs""")
+def runs_finished(t: Tables):
+    """Runs are appended as they start; the one that is still running ends."""
+    path = new_path(t.spark, "runs")
+    none = F.lit(None).cast("string")
+    append_runs(t.runs.select("id", "status", "finished_at", none.alias("stats_json"), none.alias("error_json")), path)
+    log = t.spark.read.parquet(path)
+    ends = log.filter("status = 'running'").select("id", F.lit("succeeded").alias("status"), F.lit("2024-02-10 00:00:00").cast("timestamp_ntz").alias("finished_at"), F.lit("{}").alias("stats_json"), none.alias("error_json"))
+    return ops.finish(log, ends).select("id", "status", F.date_format("finished_at", "yyyy-MM-dd HH:mm:ss").alias("finished_at"), "stats_json")
+
+
+def _domain_errors(d: str, made: str) -> str:
+    return f"""CASE WHEN {made} IS NULL THEN 'missing_digest:{d}' END, CASE WHEN {made} IS NOT NULL AND digest_{d} <> 'succeeded' THEN 'digest_not_succeeded:{d}' END, CASE WHEN {made} IS NOT NULL AND digest_{d}_id <> {made} THEN 'digest_id_mismatch:{d}' END"""
+
+
+_AUDIT = f"""i AS (SELECT run_id, count(*) AS items, count(*) FILTER (WHERE analysis_stage >= 1) AS analysed FROM b_items GROUP BY 1),
+d AS (SELECT run_id, count(DISTINCT domain) AS digests, max(id) FILTER (WHERE domain = 'security') AS sid, max(id) FILTER (WHERE domain = 'ai') AS aid FROM b_digests WHERE n_items > 1 GROUP BY 1)
 SELECT l.id, l.status, coalesce(items, 0) AS items, coalesce(analysed, 0) AS analysed, coalesce(digests, 0) AS digests,
-  concat_ws(',', CASE WHEN l.status <> 'succeeded' THEN 'run_status' END, CASE WHEN coalesce(items, 0) < 100 THEN 'too_few_items' END, CASE WHEN coalesce(analysed, 0) < 20 THEN 'too_few_analysed' END, CASE WHEN coalesce(digests, 0) < 2 THEN 'missing_digest' END) AS errors
-FROM l LEFT JOIN i ON i.day = l.day LEFT JOIN d ON d.day = l.day""")
+  concat_ws(',', CASE WHEN l.status <> 'succeeded' THEN 'run_status_' || l.status END, CASE WHEN coalesce(items, 0) < 30 THEN 'items_below_min:' || coalesce(items, 0) || '<30' END, CASE WHEN coalesce(analysed, 0) < 20 THEN 'analyzed_below_min:' || coalesce(analysed, 0) || '<20' END,
+    CASE WHEN coalesce(digests, 0) < 2 THEN 'digests_below_min:' || coalesce(digests, 0) || '<2' END, {_domain_errors("security", "sid")}, {_domain_errors("ai", "aid")}) AS errors
+FROM l LEFT JOIN i ON i.run_id = l.id LEFT JOIN d ON d.run_id = l.id"""
+
+
+def _audited(t: Tables, runs):
+    digests = t.table("b_digests").select("run_id", "domain", "id", (F.col("n_items") > 1).alias("has_content"))
+    return ops.audit(runs, t.items, digests, _digest_results(t), 30, 20, 2)
+
+
+@query("run_audit", f"WITH l AS (SELECT * FROM b_runs WHERE finished_at IS NOT NULL ORDER BY finished_at DESC, id LIMIT 1), {_AUDIT}")
 def run_audit(t: Tables):
-    return ops.audit(t.runs, t.items, t.table("b_digests"), 100, 20, 2)
+    return _audited(t, ops.latest_finished(t.runs))
+
+
+@query("run_audits", f"WITH l AS (SELECT * FROM b_runs WHERE finished_at IS NOT NULL), {_AUDIT}")
+def run_audits(t: Tables):
+    return _audited(t, t.runs.filter("finished_at IS NOT NULL"))
 
 
 @query("run_totals", """

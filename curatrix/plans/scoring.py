@@ -43,37 +43,76 @@ def prepared_content(t: Tables):
     return t.items.select("id", c["truncated"].alias("truncated"), F.sha2(c["text"], 256).alias("content_sha256"))
 
 
-@query("apply_outcomes", f"""WITH {_S1}, a AS (SELECT i.id, CAST(s1.insight_score AS INT) AS insight_score, s1.category, s1.error, i.authority, i.n_occ, CASE WHEN s1.ok THEN 1 ELSE 0 END AS stage, m.doc_id
+@query("apply_outcomes", f"""WITH {_S1}, a AS (SELECT i.id, CAST(s1.insight_score AS INT) AS insight_score, s1.category, s1.tags, s1.credibility, s1.error, i.authority, i.n_occ, CASE WHEN s1.ok THEN 1 ELSE 0 END AS stage, m.doc_id,
+    coalesce(s1.insight_score >= 75, FALSE) AS due, coalesce(s1.insight_score >= 75, FALSE) AND m.doc_id % 7 <> 0 AS deep
   FROM b_items i JOIN b_model_responses m ON m.doc_id = i.doc_id JOIN s1 ON s1.doc_id = i.doc_id)
-SELECT id, insight_score, category, error AS stage1_error,
-  CASE WHEN insight_score >= 75 AND doc_id % 7 <> 0 THEN 2 ELSE stage END AS analysis_stage,
-  CASE WHEN insight_score >= 75 AND doc_id % 7 <> 0 THEN CASE WHEN (authority = 'official' AND n_occ >= 1) OR n_occ >= 2 THEN 'confirmed' WHEN authority = 'official' OR n_occ = 1 THEN 'firm' ELSE 'tentative' END END AS confidence,
+SELECT id, insight_score, category, tags, credibility, error AS stage1_error, 'small' AS stage1_model, '2024-02-01 00:00:00' AS stage1_at, CASE WHEN due THEN 'large' END AS stage2_model, CASE WHEN due THEN '2024-02-02 00:00:00' END AS stage2_at,
+  CASE WHEN due AND NOT deep THEN 'model_parse_error' END AS stage2_error, CASE WHEN deep THEN 'r' || doc_id END AS recommendation_reason, CASE WHEN deep THEN 2 ELSE stage END AS analysis_stage,
+  CASE WHEN deep THEN CASE WHEN (authority = 'official' AND n_occ >= 1) OR n_occ >= 2 THEN 'confirmed' WHEN authority = 'official' OR n_occ = 1 THEN 'firm' ELSE 'tentative' END END AS confidence,
   strftime(CASE WHEN insight_score < 10 THEN TIMESTAMP '2024-02-01 00:00:00' WHEN insight_score < 30 THEN TIMESTAMP '2024-02-06 00:00:00' WHEN insight_score < 50 THEN TIMESTAMP '2024-02-11 00:00:00' WHEN insight_score < 75 THEN TIMESTAMP '2024-03-02 00:00:00' END, '%Y-%m-%d %H:%M:%S') AS expires FROM a""")
 def apply_outcomes(t: Tables):
-    blank = t.items.select("id", "doc_id", "authority", "n_occ", F.lit(None).cast("int").alias("insight_score"), *(F.lit(None).cast("string").alias(c) for c in ("category", "summary_zh", "stage1_error", "trend_signal", "action_suggestion", "confidence")), F.lit(None).cast("timestamp_ntz").alias("expires_at"), F.lit(0).alias("analysis_stage"))
-    keys = t.items.select("doc_id", "id", "authority", "n_occ")
-    first = _stage1(t).select("doc_id", "outcome").join(keys, "doc_id").select("id", "outcome")
+    blank = t.items.select("id", "doc_id", "authority", "n_occ", F.lit(None).cast("string").alias("confidence"), F.lit(0).alias("analysis_stage"))
+    keys = t.items.select("doc_id", "id")
+    first = _stage1(t).select("doc_id", "outcome", F.lit("small").alias("model")).join(keys, "doc_id").select("id", "outcome", "model")
     scored = ops.apply_stage1(blank, first, "2024-02-01 00:00:00")
     due = scored.filter(F.col("insight_score") >= ops.STAGE2_FROM).select("id", "doc_id", "authority", "n_occ")
     answers = contracts.extract_objects(t.responses.select("doc_id", "raw2"), "raw2").join(due, "doc_id")
-    second = answers.select("id", contracts.parse_stage2(F.col("payload"), scores.derive_confidence(F.col("authority"), F.col("n_occ"))).alias("outcome"))
-    return ops.apply_stage2(scored, second).select("id", "insight_score", "category", "stage1_error", "analysis_stage", "confidence", F.date_format("expires_at", "yyyy-MM-dd HH:mm:ss").alias("expires"))
+    second = answers.select("id", contracts.parse_stage2(F.col("payload"), scores.derive_confidence(F.col("authority"), F.col("n_occ"))).alias("outcome"), F.lit("large").alias("model"))
+    stamp = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+    return ops.apply_stage2(scored, second, "2024-02-02 00:00:00").select(
+        "id", "insight_score", "category", F.array_join("tags", ",").alias("tags"), "credibility", "stage1_error", "stage1_model", stamp("stage1_analyzed_at").alias("stage1_at"), "stage2_model", stamp("stage2_analyzed_at").alias("stage2_at"),
+        "stage2_error", "recommendation_reason", "analysis_stage", "confidence", stamp("expires_at").alias("expires"))
+
+
+@query("overview_contract", """
+SELECT doc_id, CASE WHEN doc_id % 4 IN (0, 1) THEN 'o' || doc_id END AS overview_zh, CASE WHEN doc_id % 4 IN (2, 3) THEN 'model_parse_error' END AS error FROM b_model_responses""")
+def overview_contract(t: Tables):
+    """Plain and fenced answers are good; a number instead of a string, or another field's name, is an error."""
+    key = F.col("doc_id").cast("string")
+    texts = [F.concat(F.lit('{"overview_zh":" o'), key, F.lit(' "}')), F.concat(F.lit('```json\n{"overview_zh":"o'), key, F.lit('"}\n```')), F.concat(F.lit('{"overview_zh":'), key, F.lit("}")), F.concat(F.lit('{"overview":"o'), key, F.lit('"}'))]
+    raw = t.responses.select("doc_id", F.element_at(F.array(*texts), (F.col("doc_id") % 4 + 1).cast("int")).alias("raw"))
+    o = contracts.parse_overview(F.col("payload"))
+    return contracts.extract_objects(raw).select("doc_id", o["overview_zh"].alias("overview_zh"), o["error"].alias("error"))
+
+
+_CUT = "CASE WHEN length(i.content_text) > 4000 THEN substr(i.content_text, 1, 3000) || chr(10) || chr(10) || '...[truncated]...' || chr(10) || chr(10) || right(i.content_text, 500) ELSE coalesce(i.content_text, '') END"
+
+
+@query("stage1_requests", f"""
+SELECT i.id, i.title, i.canonical_url, s.name AS source_name, s.authority AS source_authority, strftime(i.published_at, '%Y-%m-%dT%H:%M:%S') AS published_at, sha256({_CUT}) AS content_sha256, length(i.content_text) > 4000 AS truncated
+FROM b_items i LEFT JOIN b_sources s ON s.id = i.source_id""")
+def stage1_requests(t: Tables):
+    """The payloads, read back field by field."""
+    get = lambda k: F.get_json_object("payload", f"$.{k}")
+    asked = ops.stage1_requests(t.items, t.sources)
+    return asked.select("id", *(get(k).alias(k) for k in ("title", "canonical_url", "source_name", "source_authority", "published_at")), F.sha2(get("content_text"), 256).alias("content_sha256"), (get("content_truncated") == "true").alias("truncated"))
+
+
+@query("stage2_requests", """
+SELECT i.id, i.category, array_to_string(i.tags, ',') AS tags, i.summary_zh, i.insight_score, i.credibility, s.name AS source_name, s.authority AS source_authority, i.n_occ AS sightings
+FROM b_items i LEFT JOIN b_sources s ON s.id = i.source_id WHERE i.insight_score >= 75""")
+def stage2_requests(t: Tables):
+    get = lambda k: F.get_json_object("payload", f"$.{k}")
+    seen = t.table("b_occurrences").groupBy(F.col("item_id").alias("id")).agg(F.sort_array(F.collect_list(F.struct("source_id", "url"))).alias("also_seen_in"))
+    asked = ops.stage2_requests(t.items.filter(F.col("insight_score") >= ops.STAGE2_FROM).join(seen, "id", "left"), t.sources)
+    tags = F.array_join(F.from_json(get("tags"), "array<string>"), ",")
+    return asked.select("id", *(get(k).alias(k) for k in ("category", "summary_zh", "credibility", "source_name", "source_authority")), get("insight_score").cast("int").alias("insight_score"), tags.alias("tags"), F.coalesce(F.json_array_length(get("also_seen_in")), F.lit(0)).alias("sightings"))
 
 
 def rule_scorer(payload: str) -> str:
     """A deterministic stand-in for a model: the score follows the length of the content; some first answers are broken."""
     text = payload[payload.index("{") :]
     item = json.loads(text)
-    n = len(item["content"])
+    n = len(item["content_text"])
     if n % 5 == 0 and payload[0] == "{":
         return "no object here"
-    return json.dumps({"category": "tool" if n % 2 else "research", "tags": [item["source_id"]], "summary_zh": item["title"][:20] or "-", "insight_score": n % 101, "credibility": "low"})
+    return json.dumps({"category": "tool" if n % 2 else "research", "tags": [item["source_name"]], "summary_zh": item["title"][:20].strip() or "-", "insight_score": n % 101, "credibility": "low"})
 
 
 @query("scored_items", """
 SELECT id, CAST(length(CASE WHEN length(content_text) > 4000 THEN substr(content_text, 1, 3000) || '123456789012345678901' || right(content_text, 500) ELSE content_text END) % 101 AS INT) AS insight_score, CAST(NULL AS VARCHAR) AS error FROM b_items""")
 def scored_items(t: Tables):
-    found = ops.score(ops.requests(t.items), rule_scorer, 4, contracts.parse_stage1)
+    found = ops.score(ops.stage1_requests(t.items, t.sources), rule_scorer, 4, contracts.parse_stage1)
     return found.select("id", F.col("outcome.insight_score").alias("insight_score"), F.col("outcome.error").alias("error"))
 
 

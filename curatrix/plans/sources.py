@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..bindings import Tables
+from ..functions.errors import fetch_error
 from ..operators import sources as ops
 from ..registry import query
+from ..sources.readers import catalog
+from ..sources.sinks import append_attempts
+from ..storage import new_path
 
 
 @query("eligible_sources", "SELECT id, domain FROM b_sources WHERE is_active AND status = 'approved' AND health <> 'disabled' AND domain IN ('security', 'ai')")
@@ -59,16 +63,43 @@ def health_fold(t: Tables):
 
 
 @query("fetch_stats", """
-SELECT source_id, CASE WHEN arg_max(ok, (attempt_at, event_id)) THEN 'succeeded' ELSE 'failed' END AS status, CAST(sum(n_items) AS BIGINT) AS items, round(avg(duration_ds / 10), 3) AS duration_s FROM b_fetch_attempts GROUP BY source_id""")
+SELECT run_id, source_id, CASE WHEN last(ok ORDER BY attempt_at, event_id) THEN 'succeeded' ELSE 'failed' END AS status, CAST(sum(n_items) AS BIGINT) AS items, round(last(duration_ds ORDER BY attempt_at, event_id) / 10, 3) AS duration_s,
+  last(error ORDER BY attempt_at, event_id) AS error FROM b_fetch_attempts GROUP BY ALL""")
 def fetch_stats(t: Tables):
-    return ops.fetch_stats(t.attempts).drop("error")
+    return ops.fetch_stats(t.attempts, ("run_id", "source_id"))
 
 
 @query("feed_gate", """
-WITH l AS (SELECT source_id, arg_max(ok, (attempt_at, event_id)) AS ok, arg_max(n_items, (attempt_at, event_id)) AS n FROM b_fetch_attempts GROUP BY source_id)
-SELECT count(*) FILTER (WHERE ok AND n > 0) AS ok, count(*) FILTER (WHERE ok AND n <= 0) AS empty, count(*) FILTER (WHERE NOT ok) AS failed, count(*) FILTER (WHERE ok AND n > 0) >= 3 AS passed FROM l""")
+WITH l AS (SELECT source_id, arg_max(ok, (attempt_at, event_id)) AS ok, arg_max(n_items, (attempt_at, event_id)) AS n FROM b_fetch_attempts GROUP BY source_id),
+k AS (SELECT l.*, coalesce(s.type = 'internal_api', FALSE) AS skip FROM l LEFT JOIN b_sources s ON s.id = l.source_id)
+SELECT count(*) FILTER (WHERE NOT skip AND ok AND n > 0) AS ok, count(*) FILTER (WHERE NOT skip AND ok AND n <= 0) AS empty, count(*) FILTER (WHERE NOT skip AND NOT ok) AS failed, count(*) FILTER (WHERE skip) AS skipped, count(*) FILTER (WHERE NOT skip AND ok AND n > 0) >= 3 AS passed FROM k""")
 def feed_gate(t: Tables):
-    return ops.feed_gate(t.attempts, 3)
+    return ops.feed_gate(t.attempts, 3, t.sources)
+
+
+@query("fetch_error_classes", """
+SELECT event_id, CASE failure WHEN 'timeout' THEN 'source_timeout' WHEN 'status' THEN CASE WHEN http_status IN (401, 403) THEN 'source_auth_error' ELSE 'source_http_error' END WHEN 'transport' THEN 'source_http_error' WHEN 'parse' THEN 'source_parse_error' END AS error FROM b_fetch_attempts""")
+def fetch_error_classes(t: Tables):
+    return t.attempts.select("event_id", fetch_error(F.col("failure"), F.col("http_status")).alias("error"))
+
+
+@query("fetch_log", "SELECT source_id, count(*) AS attempts, CAST(sum(CAST(round(duration_ds / 10 * 1000) AS BIGINT)) AS BIGINT) AS milliseconds FROM b_fetch_attempts GROUP BY source_id")
+def fetch_log(t: Tables):
+    """Attempts are appended to the log, and the log is read."""
+    path = new_path(t.spark, "log")
+    append_attempts(t.attempts.select("source_id", "ok", "n_items", "error", (F.col("duration_ds") / 10 + 0.0001).alias("duration_s")), path)
+    milliseconds = F.round(F.col("duration_s") * 1000).cast("long")
+    return t.spark.read.parquet(path).groupBy("source_id").agg(F.count("*").alias("attempts"), F.sum(milliseconds).alias("milliseconds"))
+
+
+@query("catalog_scan", """
+SELECT id, CASE WHEN n % 4 = 0 THEN '' ELSE name END AS name, domain, type, url, authority, 'none' AS auth_mode, CASE WHEN n % 3 = 0 THEN 'candidate' ELSE status END AS status, TRUE AS is_active, CASE WHEN n % 4 = 0 THEN 'name,fetch_strategy' ELSE 'fetch_strategy' END AS missing FROM b_sources""")
+def catalog_scan(t: Tables):
+    """A catalog file, a JSON array, is written from the sources and read with its defaults."""
+    entry = F.struct(F.concat(F.lit(" "), "id").alias("id"), F.when(F.col("n") % 4 != 0, F.col("name")).alias("name"), "domain", "type", "url", "authority", F.when(F.col("n") % 3 != 0, F.col("status")).alias("status"))
+    path = new_path(t.spark, "catalog")
+    t.sources.agg(F.to_json(F.collect_list(entry)).alias("value")).write.text(path)
+    return catalog(t.spark, path).select("id", F.coalesce("name", F.lit("")).alias("name"), "domain", "type", "url", "authority", "auth_mode", "status", "is_active", "missing")
 
 
 @query("fetch_errors", "SELECT error, count(*) AS n FROM b_fetch_attempts WHERE NOT ok GROUP BY error")
@@ -87,5 +118,5 @@ def table_quality(t: Tables):
 SELECT batch_id, pos, source_id, domain, arrival FROM (
   SELECT r.batch_id, r.pos, r.source_id, s.domain, CAST(row_number() OVER (PARTITION BY s.domain ORDER BY r.batch_id, r.pos) AS INT) AS arrival FROM b_raw_items r JOIN b_sources s ON s.id = r.source_id) WHERE arrival <= 10""")
 def domain_cap(t: Tables):
-    joined = t.raw_items.join(F.broadcast(t.sources.select(F.col("id").alias("source_id"), "domain")), "source_id")
+    joined = t.raw_items.join(t.sources.select(F.col("id").alias("source_id"), "domain"), "source_id")
     return ops.cap_per_domain(joined, 10, ("batch_id", "pos")).select("batch_id", "pos", "source_id", "domain", "arrival")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..bindings import TODAY, Tables
 from ..functions import scores
+from ..functions.times import iso
 from ..operators import stats as ops
 from ..registry import query
 
@@ -56,7 +57,7 @@ def score_histogram(t: Tables):
     return ops.histogram(t.items)
 
 
-_RETENTION = "CASE WHEN insight_score < 10 THEN 'delete' WHEN insight_score < 30 THEN '5d' WHEN insight_score < 50 THEN '10d' WHEN insight_score < 75 THEN '30d' ELSE 'permanent' END"
+_RETENTION = "CASE WHEN insight_score < 10 THEN 'delete' WHEN insight_score < 30 THEN '5_days' WHEN insight_score < 50 THEN '10_days' WHEN insight_score < 75 THEN '30_days' ELSE 'permanent' END"
 
 
 @query("retention_counts", f"SELECT {_RETENTION} AS retention, count(*) AS n FROM b_items WHERE insight_score IS NOT NULL GROUP BY 1")
@@ -123,12 +124,12 @@ def source_today(t: Tables):
 WITH days AS (SELECT CAST(unnest(generate_series(DATE '{TODAY}' - 13, DATE '{TODAY}', INTERVAL 1 DAY)) AS DATE) AS day),
 c AS (SELECT source_id, CAST(fetched_at AS DATE) AS day, count(*) AS n FROM b_items GROUP BY ALL),
 t AS (SELECT source_id, count(*) AS n FROM b_items WHERE fetched_at >= DATE '{TODAY}' GROUP BY source_id)
-SELECT s.id, s.name, s.domain, s.health, any_value(coalesce(t.n, 0)) AS today, string_agg(CAST(coalesce(c.n, 0) AS VARCHAR), ',' ORDER BY days.day) AS spark
+SELECT s.id, s.name, s.domain, s.type, s.url, s.authority, s.status, s.health, s.consecutive_failures, s.is_active, strftime(any_value(s.last_fetch_at), '%Y-%m-%dT%H:%M:%S+00:00') AS last_fetch_at, any_value(s.last_fetch_status) AS last_fetch_status, any_value(coalesce(t.n, 0)) AS today_items, string_agg(CAST(coalesce(c.n, 0) AS VARCHAR), ',' ORDER BY days.day) AS spark
 FROM b_sources s CROSS JOIN days LEFT JOIN c ON c.source_id = s.id AND c.day = days.day LEFT JOIN t ON t.source_id = s.id
-WHERE s.is_active GROUP BY s.id, s.name, s.domain, s.health""")
+WHERE s.is_active GROUP BY s.id, s.name, s.domain, s.type, s.url, s.authority, s.status, s.health, s.consecutive_failures, s.is_active""")
 def source_spark(t: Tables):
     views = ops.source_views(t.sources.filter("is_active"), t.items, TODAY)
-    return views.select("id", "name", "domain", "health", "today", F.array_join("spark", ",").alias("spark")).orderBy("domain", "name")
+    return views.select("id", "name", "domain", "type", "url", "authority", "status", "health", "consecutive_failures", "is_active", iso(F.col("last_fetch_at")).alias("last_fetch_at"), "last_fetch_status", F.col("today").alias("today_items"), F.array_join("spark", ",").alias("spark")).orderBy("domain", "name")
 
 
 @query("source_summary", f"""
@@ -146,7 +147,7 @@ def analysis_backlog(t: Tables):
 
 
 @query("expiry", """
-SELECT id, CASE WHEN insight_score < 10 THEN 'delete' WHEN insight_score < 30 THEN '5d' WHEN insight_score < 50 THEN '10d' WHEN insight_score < 75 THEN '30d' WHEN insight_score IS NOT NULL THEN 'permanent' END AS retention,
+SELECT id, CASE WHEN insight_score < 10 THEN 'delete' WHEN insight_score < 30 THEN '5_days' WHEN insight_score < 50 THEN '10_days' WHEN insight_score < 75 THEN '30_days' WHEN insight_score IS NOT NULL THEN 'permanent' END AS retention,
   strftime(CASE WHEN insight_score < 10 THEN stage1_analyzed_at WHEN insight_score < 30 THEN stage1_analyzed_at + to_days(5) WHEN insight_score < 50 THEN stage1_analyzed_at + to_days(10)
     WHEN insight_score < 75 THEN stage1_analyzed_at + to_days(30) END, '%Y-%m-%d %H:%M:%S') AS expires FROM b_items""")
 def expiry(t: Tables):

@@ -2,22 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..bindings import NOW, Tables
 from ..operators.ingest import normalize
 from ..registry import query
-from ..sources.sinks import read_snapshot
-from ..streaming.ingest import RAW, ingest_stream
-from .ingest import _MERGED, _NORM, shown
-
-
-def _folder(t: Tables) -> str:
-    """A new folder among those that all executors share; a temporary one only where none is named (tests)."""
-    return f"{t.spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='spark-')}/stream-{uuid.uuid4().hex}"
+from ..storage import new_path
+from ..streaming.ingest import RAW, ingest_stream, read_items
+from .ingest import _MERGED_ITEMS, _NORM, shown
 
 
 def _land(t: Tables, folder: str) -> None:
@@ -26,20 +18,22 @@ def _land(t: Tables, folder: str) -> None:
         rows.filter(F.col("batch_id") == k).write.mode("append").parquet(f"{folder}/landed")
 
 
-@query("stream_ingest", _MERGED)
+@query("stream_ingest", _MERGED_ITEMS)
 def stream_ingest(t: Tables):
-    folder = _folder(t)
+    """Three micro-batches or more, in the order in which their files landed."""
+    folder = new_path(t.spark, "stream")
     _land(t, folder)
-    ingest_stream(t.spark, f"{folder}/landed", f"{folder}/items", f"{folder}/progress", t.sources, NOW, files_per_batch=1000)
-    return shown(read_snapshot(t.spark, f"{folder}/items"))
+    files = len(t.spark.read.schema(RAW).parquet(f"{folder}/landed").inputFiles())
+    ingest_stream(t.spark, f"{folder}/landed", f"{folder}/items", f"{folder}/progress", t.sources, NOW, files_per_batch=max(1, files // 3), digits=1)
+    return shown(read_items(t.spark, f"{folder}/items"))
 
 
 @query("stream_rejects", f"WITH {_NORM} SELECT coalesce(reason, 'ok') AS outcome, count(*) AS n FROM h GROUP BY ALL")
 def stream_rejects(t: Tables):
     """Filters need no state and no watermark: the stream appends each row's outcome, and the table is counted."""
-    folder = _folder(t)
+    folder = new_path(t.spark, "stream")
     _land(t, folder)
-    stream = t.spark.readStream.schema(RAW).parquet(f"{folder}/landed")
+    stream = t.spark.readStream.schema(RAW).option("maxFilesPerTrigger", 2).parquet(f"{folder}/landed")
     judged = normalize(stream, t.sources, NOW).select(F.coalesce("reject_reason", F.lit("ok")).alias("outcome"))
     run = judged.writeStream.format("parquet").option("path", f"{folder}/judged").option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start()
     run.awaitTermination()

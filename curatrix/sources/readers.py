@@ -48,7 +48,7 @@ def feed(payloads: DataFrame, since: str | None = None, native: str = "plain", t
     rows = entries.withColumn("link_", link).withColumn("e", e)
     who = F.coalesce(F.when((_blank(F.col("e.author")) != "?") & ~F.col("e.author").contains("<"), _blank(F.col("e.author"))), _blank(F.col("e.creator")), _blank(F.array_join(F.regexp_extract_all("xml", F.lit(r"(?s)<name>(.*?)</name>"), 1), ", ")))
     own = F.coalesce(_blank(F.col("e.guid")), _blank(F.regexp_extract("xml", r"(?s)<id>(.*?)</id>", 1)), F.col("link_"))
-    terms = F.concat(F.coalesce(F.filter("e.category", lambda c: c.isNotNull()), F.array().cast("array<string>")), F.regexp_extract_all("xml", F.lit(r"<category[^>]*term=[\"']([^\"']*)[\"']"), 1))
+    terms = F.concat(F.coalesce(F.filter("e.category", lambda c: F.trim(c) != ""), F.array().cast("array<string>")), F.regexp_extract_all("xml", F.lit(r"<category[^>]*term=[\"']([^\"']*)[\"']"), 1))
     return _raw(rows.select("source_id", F.col("pos").cast("long").alias("pos"), F.trim("e.title").alias("title"), F.col("link_").alias("canonical_url"),
                             F.coalesce(_blank(F.col("e.content")), _blank(F.col("e.summary")), _blank(F.col("e.description"))).alias("content_text"), who.alias("author"),
                             parse_feed_date(F.col("e.pubDate"), F.col("e.published"), F.col("e.updated")).alias("published_at"), native_id(own, native).alias("native_id"), F.to_json(F.struct(terms.alias("tags"))).alias("metadata")), since)
@@ -117,13 +117,40 @@ def reports(spark: SparkSession, path: str) -> DataFrame:
     return files.select(stem.alias("stem"), F.coalesce(get("ghsa"), get("subject"), stem).alias("subject"), F.coalesce(get("kind"), F.lit("vuln_rca")).alias("kind"), get("repo").alias("repo"), get("model").alias("model"), "report_md")
 
 
-PARSERS: dict[str, Callable[..., DataFrame]] = {"nvd": nvd, "github": advisories, "rss": feed, "api": records}
+def landed_stories(payloads: DataFrame, since: str | None = None, max_items: int = 50) -> DataFrame:
+    """Stories whose list (a JSON array of ids) and details (JSON objects with their id) landed as payloads of one source."""
+    text = F.trim("payload")
+    details = payloads.filter(text.startswith("{")).select(F.get_json_object("payload", "$.id").cast("long").alias("id"), "payload")
+    return stories(payloads.filter(text.startswith("[")), details.dropDuplicates(["id"]), max_items, since=since)
+
+
+#: Authors of a paper that are kept.
+MOST_AUTHORS = 12
+
+
+def papers(payloads: DataFrame) -> DataFrame:
+    """Of answers (key, payload: Atom, of which the first entry counts) a paper's title, summary, authors and categories."""
+    entry = F.coalesce(_blank(F.regexp_extract("payload", r"(?s)<entry>(.*?)</entry>", 1)), F.col("payload"))
+    pick = lambda tag: F.trim(F.regexp_replace(F.regexp_extract("entry", rf"(?s)<{tag}>(.*?)</{tag}>", 1), r"\s+", " "))
+    authors = F.slice(F.transform(F.regexp_extract_all("entry", F.lit(r"(?s)<name>(.*?)</name>"), 1), lambda a: F.trim(a)), 1, MOST_AUTHORS)
+    return payloads.withColumn("entry", entry).select("key", pick("title").alias("title"), pick("summary").alias("summary"), authors.alias("authors"), F.regexp_extract_all("entry", F.lit(r'<category[^>]*term="([^"]+)"'), 1).alias("categories"))
+
+
+PARSERS: dict[str, Callable[..., DataFrame]] = {"nvd": nvd, "github": advisories, "hackernews": landed_stories, "rss": feed, "api": records}
 
 
 def read_all(payloads: DataFrame, since: str | None = None, parsers: dict[str, Callable[..., DataFrame]] = PARSERS) -> DataFrame:
-    """Payloads (source_id, parser, payload), each through its parser, in one union; more parsers can be given."""
+    """Payloads (source_id, parser, payload), each through its parser, in one union; more parsers can be given.
+
+    A payload whose parser is not listed fails the job when it is read. Where payloads have a ``source_order``, items carry it.
+    """
+    listed = F.coalesce(F.col("parser").isin(*parsers), F.lit(False))
+    wrong = F.raise_error(F.concat(F.lit("no parser for source "), F.coalesce("source_id", F.lit("?"))))
     parts = [read(payloads.filter(F.col("parser") == name).drop("parser"), since=since) for name, read in parsers.items()]
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
+    out = out.unionByName(payloads.filter(~listed).select(*(wrong.cast(out.schema[c].dataType).alias(c) for c in out.columns)))
+    if "source_order" in payloads.columns:
+        out = out.join(payloads.groupBy("source_id").agg(F.min("source_order").alias("source_order")), "source_id")
     return out

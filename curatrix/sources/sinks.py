@@ -30,14 +30,71 @@ def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/{version}")
 
 
+def _pointer(spark: SparkSession, path: str) -> DataFrame:
+    found = spark.read.parquet(f"{path}/_pointer")
+    return found.filter(F.col("n") == found.agg(F.max("n")).first()[0])
+
+
+def write_parts(table: DataFrame, path: str, part: str) -> None:
+    """Write the table's parts (values of the column ``part``) as their next versions; other parts stay what they are.
+
+    The pointer names each part's folder, so that it is as long as there are parts. A crash before it moves changes nothing.
+    """
+    spark, version = table.sparkSession, f"v{uuid.uuid4().hex}"
+    table.write.partitionBy(part).option("compression", "zstd").parquet(f"{path}/{version}")
+    written = spark.read.option("recursiveFileLookup", "true").parquet(f"{path}/{version}").select(F.regexp_extract("_metadata.file_path", rf"/{part}=([^/]*)/", 1).alias("part")).distinct().withColumn("version", F.lit(version))
+    order = 1
+    if has_snapshot(spark, path):
+        before = _pointer(spark, path)
+        order = before.first().n + 1
+        written = before.select("part", F.col("version").alias("old")).join(written, "part", "full_outer").select("part", F.coalesce("version", "old").alias("version"))
+    written.select(F.lit(order).alias("n"), "part", "version").coalesce(1).write.mode("append").parquet(f"{path}/_pointer")
+
+
+def read_parts(spark: SparkSession, path: str, part: str, only: list[str] | None = None) -> DataFrame | None:
+    """The table, or the named parts of it, without the column ``part``; None where there are none yet."""
+    if not has_snapshot(spark, path):
+        return None
+    folders = [f"{path}/{r.version}/{part}={r.part}" for r in _pointer(spark, path).collect() if only is None or r.part in only]
+    return spark.read.parquet(*folders) if folders else None
+
+
+def write_text_files(texts: DataFrame, path: str) -> list[str]:
+    """Texts (file, content), one file each under its own name; a file that is there already is replaced. Returns the paths.
+
+    Spark writes the contents, which end in a line break; the driver only renames the finished files.
+    """
+    spark = texts.sparkSession
+    staged = f"{path}/_staged-{uuid.uuid4().hex}"
+    texts.select("file", F.regexp_replace("content", r"\n\z", "").alias("value")).write.partitionBy("file").text(staged)
+    fs = spark._jvm.org.apache.hadoop.fs
+    at = lambda p: fs.Path(p)
+    system, out = at(path).getFileSystem(spark._jsc.hadoopConfiguration()), []
+    for folder in system.listStatus(at(staged)):
+        name = folder.getPath().getName()
+        if name.startswith("file="):
+            parts = [f.getPath() for f in system.listStatus(folder.getPath()) if f.getPath().getName().startswith("part-")]
+            if len(parts) != 1:
+                raise ValueError(f"more than one text for {name}")
+            target = at(f"{path}/{spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName(name[5:])}")
+            system.delete(target, False)
+            system.rename(parts[0], target)
+            out.append(target.toString())
+    system.delete(at(staged), True)
+    return sorted(out)
+
+
 def write_digests(digests: DataFrame, path: str) -> None:
     """Digests by day and domain; a day and domain that is written again replaces its own partition only."""
     digests.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "domain").parquet(path)
 
 
-def digest_job(digests: DataFrame, path: str, upload: Callable[[DataFrame], DataFrame] | None = None, prefix: str = "digests", base_url: str = "") -> DataFrame:
-    """Write the digests, hand them to an optional uploader, and return each one's file, backup key and URL."""
+def digest_job(digests: DataFrame, path: str, upload: Callable[[DataFrame], DataFrame] | None = None, prefix: str = "digests", base_url: str = "", posts: str | None = None) -> DataFrame:
+    """Write the digests, as files under their names too where a folder of posts is given, hand them to an optional uploader, and
+    return each one's file, backup key and URL."""
     write_digests(digests, path)
+    if posts:
+        write_text_files(digests.select("file", "content"), posts)
     placed = digests.select("day", "domain", "file", F.concat(F.lit(f"{prefix}/"), F.col("day").cast("string"), F.lit("/"), "domain", F.lit(".md")).alias("backup_key"))
     placed = placed.withColumn("url", F.concat(F.lit(base_url.rstrip("/") + "/"), "backup_key"))
     return upload(placed) if upload else placed

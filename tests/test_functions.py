@@ -42,12 +42,12 @@ def test_retention_and_histogram(spark):
     df = spark.createDataFrame([(x,) for x in (None, 0, 9, 10, 29, 30, 49, 50, 74, 75, 100)], "insight_score int")
     from curatrix.operators import stats
 
-    assert {r.retention: r.n for r in stats.retention_counts(df).collect()} == dict.fromkeys(("delete", "5d", "10d", "30d", "permanent"), 2)
+    assert {r.retention: r.n for r in stats.retention_counts(df).collect()} == dict.fromkeys(("delete", "5_days", "10_days", "30_days", "permanent"), 2)
     hist = spark.createDataFrame([(x,) for x in (None, -5, 0, 4, 5, 74, 75, 99, 100)], "insight_score int")
     got = {r.bucket: r.n for r in stats.histogram(hist).collect()}
     assert len(got) == 20 and {k: v for k, v in got.items() if v} == {0: 3, 1: 1, 14: 1, 15: 1, 19: 2}
     given = spark.createDataFrame(list({0: 2, 1: 1, 2: 3, 6: 2, 10: 1, 15: 2, 19: 1}.items()), "bucket int, n long")
-    assert {r.retention: r.n for r in stats.retention_from_histogram(given).collect()} == {"permanent": 3, "30d": 1, "10d": 2, "5d": 3, "delete": 3}
+    assert {r.retention: r.n for r in stats.retention_from_histogram(given).collect()} == {"permanent": 3, "30_days": 1, "10_days": 2, "5_days": 3, "delete": 3}
     at = spark.createDataFrame([(9,), (10,), (30,), (50,), (75,)], "s int").select(F.datediff(scores.expires_at(F.col("s"), F.lit("2024-01-01").cast("timestamp_ntz")), F.lit("2024-01-01")).alias("d"))
     assert [r.d for r in at.collect()] == [0, 5, 10, 30, None]
 
@@ -79,7 +79,7 @@ GOOD = {"category": "unknown-category", "tags": ["cve", " linux ", ""], "summary
 def test_stage1(spark):
     for raw in (json.dumps(GOOD), f"```json\n{json.dumps(GOOD)}\n```", f"Sure: {{no}} {json.dumps(GOOD)} bye"):
         assert outcome(spark, raw) == Row(category="other", tags=["cve", "linux"], summary_zh="x", insight_score=100, credibility="unknown", error=None)
-    for bad in ("nothing", None, "", "[1]", json.dumps(GOOD | {"insight_score": True}), json.dumps(GOOD | {"insight_score": "NaN"}), json.dumps(GOOD | {"summary_zh": " "}), json.dumps(GOOD | {"insight_score": 1e999}), json.dumps(GOOD | {"tags": "no"})):
+    for bad in ("nothing", None, "", "[1]", json.dumps(GOOD | {"insight_score": True}), json.dumps(GOOD | {"insight_score": "NaN"}), json.dumps(GOOD | {"summary_zh": " "}), json.dumps(GOOD | {"summary_zh": 7}), json.dumps(GOOD | {"summary_zh": {"a": 1}}), json.dumps(GOOD | {"insight_score": 1e999}), json.dumps(GOOD | {"tags": "no"})):
         assert outcome(spark, bad).error == contracts.PARSE_ERROR, bad
     assert [outcome(spark, json.dumps(GOOD | {"insight_score": x})).insight_score for x in (0.5, 1.5, -3)] == [0, 2, 0]
 
@@ -89,7 +89,8 @@ def test_stage2_and_overview(spark):
     got = outcome(spark, json.dumps({"recommendation_reason": "r", "action_suggestion": "a", "trend_signal": "surging", "confidence": "confirmed"}), parse)
     assert (got.trend_signal, got.confidence, got.error) == (None, "firm", None)
     assert outcome(spark, '{"recommendation_reason":"r"}', parse).error == contracts.PARSE_ERROR
-    assert outcome(spark, '{"overview":" o "}', contracts.parse_overview) == Row(overview="o", error=None)
+    assert outcome(spark, '{"overview_zh":" o "}', contracts.parse_overview) == Row(overview_zh="o", error=None)
+    assert outcome(spark, '{"overview":"o"}', contracts.parse_overview).error == contracts.PARSE_ERROR
 
 
 def test_prepared_content(spark):
@@ -100,4 +101,13 @@ def test_prepared_content(spark):
 
 def test_page_text(spark):
     page = "<!DOCTYPE html><html><head><title>t</title></head><body><nav>n</nav><p>Hello&nbsp;<b>you</b> &amp;  I</p><script>var t='</p>';</script><br>x<footer>f</footer></body></html>"
-    assert one(spark, page, html.page_text) == "Hello you & I\nx" and one(spark, None, html.page_text) == ""
+    assert one(spark, page, html.page_text) == "Hello\u00a0you & I\n\nx" and one(spark, None, html.page_text) == ""
+    assert one(spark, "<p>a</p><p>b</p>", html.page_text) == "a\n\nb" and one(spark, "a<br>b<br/>c&#8217;&eacute;&lt;p&gt;", html.page_text) == "a\nb\n\nc\u2019\u00e9<p>"
+
+
+def test_fetch_error(spark):
+    from curatrix.functions.errors import fetch_error
+
+    cases = [("timeout", None, "source_timeout"), ("status", 401, "source_auth_error"), ("status", 403, "source_auth_error"), ("status", 500, "source_http_error"), ("status", None, "source_http_error"), ("transport", None, "source_http_error"), ("odd", 401, "source_parse_error"), (None, None, None)]
+    df = spark.createDataFrame([c[:2] for c in cases], "kind string, status int")
+    assert [r.e for r in df.select(fetch_error(F.col("kind"), F.col("status")).alias("e")).collect()] == [c[2] for c in cases]

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from curatrix.bindings import NOW, Tables
 from curatrix.operators import digest, ingest, links, listing, queue, runs, scoring, sources
 from curatrix.sources import readers, sinks
-from curatrix.streaming.ingest import ingest_stream
+from curatrix.streaming.ingest import RAW, ingest_stream, read_items
 
 
 @pytest.fixture(scope="module")
@@ -36,16 +36,26 @@ def test_sightings_and_confidence(spark):
     normal = ingest.normalize(raw, known, NOW)
     assert {r.reject_reason: r["count"] for r in normal.groupBy("reject_reason").count().collect()} == {None: 4, "unknown_source": 1, "empty": 1}
     merged = ingest.merge_items(normal).collect()
-    assert len(merged) == 1 and merged[0].id == "a:1" and [(s.source_id, s.url) for s in merged[0].also_seen_in] == [("b", "http://e.org/x")]
+    assert len(merged) == 1 and merged[0].id == "a:1" and [tuple(s) for s in merged[0].also_seen_in] == [("b", "http://e.org/x", "2024-01-16T12:00:00+00:00")]
     second = ingest.merge_items(normal, ingest.merge_items(normal).withColumn("analysis_stage", F.lit(2)))
     assert second.first().confidence == "confirmed"
 
 
+def test_first_sighting_keeps_its_time(spark):
+    raw = spark.createDataFrame([(1, 0, "a", "T", "http://e.org/x", "1", "2024-01-01 00:00:00"), (1, 1, "b", "T", "http://e.org/x", "2", "2024-01-02 00:00:00"), (2, 0, "b", "T", "http://e.org/x/", "2", "2024-01-03 00:00:00"), (2, 1, "c", "T", "http://e.org/x", "3", "2024-01-04 00:00:00")],
+                                "batch_id int, pos long, source_id string, title string, canonical_url string, native_id string, fetched_at string").withColumns({"fetched_at": F.col("fetched_at").cast("timestamp_ntz"), "content_text": F.lit(None).cast("string"), "published_at": F.lit(None).cast("timestamp_ntz")})
+    known = spark.createDataFrame([(s, "ai", "regular") for s in "abc"], "id string, domain string, authority string")
+    normal = ingest.normalize(raw, known, NOW)
+    for merged in (ingest.merge_items(normal), ingest.merge_items(normal.filter("batch_id = 2"), ingest.merge_items(normal.filter("batch_id = 1")))):
+        assert [(s.source_id, s.seen_at) for s in merged.first().also_seen_in] == [("b", "2024-01-02T00:00:00+00:00"), ("c", "2024-01-04T00:00:00+00:00")]
+
+
 def test_stream_equals_batch(spark, t, tmp_path):
     for k in (1, 2, 3):
-        t.raw_items.filter(F.col("batch_id") == k).selectExpr("CAST(batch_id AS INT) AS batch_id", "pos", "source_id", "title", "canonical_url", "content_text", "native_id", "published_at").coalesce(1).write.mode("append").parquet(str(tmp_path / "landed"))
-    ingest_stream(spark, str(tmp_path / "landed"), str(tmp_path / "items"), str(tmp_path / "checkpoint"), t.sources, NOW)
-    streamed = sinks.read_snapshot(spark, str(tmp_path / "items"))
+        t.raw_items.filter(F.col("batch_id") == k).select(*(F.col(f.name).cast(f.dataType) for f in RAW.fields)).coalesce(1).write.mode("append").parquet(str(tmp_path / "landed"))
+    batches = ingest_stream(spark, str(tmp_path / "landed"), str(tmp_path / "items"), str(tmp_path / "checkpoint"), t.sources, NOW, digits=1)
+    streamed = read_items(spark, str(tmp_path / "items"))
+    assert batches >= 3
     batch = ingest.merge_items(ingest.normalize(t.raw_items, t.sources, NOW))
     shown = lambda d: rows(d.select("dedup_hash", "id", F.array_join(F.array_sort("also_seen_in.source_id"), ",")))
     assert shown(streamed) == shown(batch)
@@ -123,18 +133,24 @@ def test_digest_golden(spark):
     assert "- C (score 55)" in got.content and "D" not in got.content.replace("AI 情报日报", "").split("---")[2] and "- Collected: 9\n- Analyzed: 4\n- High value: 2\n- Failed sources: 1\n" in got.content
 
 
-def test_scorer_repairs_once(spark):
+def test_scorer_repairs_once(spark, tmp_path):
+    """One call an item and one a repair, however often the result is used."""
     payloads = spark.createDataFrame([(str(i), json.dumps({"n": i})) for i in range(6)], "id string, payload string")
+    log = str(tmp_path / "calls")
 
     def scorer(p: str) -> str:
+        with open(log, "a") as f:
+            f.write("x")
         if json.loads(p[p.index("{") :])["n"] % 2 and p[0] == "{":
             return "sorry"
         return json.dumps({"summary_zh": "x", "insight_score": 5})
 
     from curatrix.functions.contracts import parse_stage1
 
-    got = scoring.score(payloads, scorer, 2, parse_stage1).collect()
-    assert len(got) == 6 and all(r.outcome.error is None for r in got)
+    scored = scoring.score(payloads, scorer, 2, parse_stage1)
+    got = scored.collect()
+    assert len(got) == 6 and all(r.outcome.error is None for r in got) and scored.count() == 6
+    assert len((tmp_path / "calls").read_text()) == 9
 
 
 def test_readers(spark, tmp_path):
@@ -151,11 +167,17 @@ def test_readers(spark, tmp_path):
     assert [(r.title, r.canonical_url, r.native_id, r.content_text, r.author) for r in found] == [("T", "https://e.org/1", "urn:1", "S", "N")] and json.loads(found[0].metadata)["tags"] == ["c"]
     mixed = spark.createDataFrame([("s", "api", '{"items":[],"data":[{"id":1,"title":"t","url":"u"},3]}'), ("s", "api", "[]"), ("g", "github", json.dumps([{"ghsa_id": "GHSA-1", "summary": "GHSA-1 x", "html_url": "h", "identifiers": [{"type": "CVE", "value": "CVE-1"}]}]))], "source_id string, parser string, payload string")
     assert sorted((r.source_id, r.title) for r in readers.read_all(mixed).collect()) == [("g", "GHSA-1 x"), ("s", "t")]
+    news = spark.createDataFrame([("h", "hackernews", "[2,1,9]", 7), ("h", "hackernews", '{"id":1,"type":"story","title":"one"}', 7), ("h", "hackernews", '{"id":2,"type":"job","title":"two"}', 7), ("s", "api", '[{"title":"t"}]', 3)], "source_id string, parser string, payload string, source_order int")
+    assert sorted((r.source_order, r.pos, r.title) for r in readers.read_all(news).collect()) == [(3, 0, "t"), (7, 1, "one")]
+    with pytest.raises(Exception, match="no parser for source q"):
+        readers.read_all(mixed.union(spark.createDataFrame([("q", "new", "[]")], mixed.schema))).collect()
 
 
 def test_links(spark):
     docs = spark.createDataFrame([(1, "https://github.com/a/b.git, https://github.com/topics/x https://github.com/c/d. https://github.com/c/d")], "id int, text string")
     assert [(r.target, r.n) for r in links.most_mentioned(docs, "id", "text").collect()] == [("c/d", 2)]
+    refs = spark.createDataFrame([(1, ["https://github.com/own/r1/commit/aaaaaaa", "https://github.com/Own/r12/commit/bbbbbbb"], "https://github.com/own/r12/"), (2, ["https://github.com/own/r1/commit/aaaaaaa"], None), (3, ["https://e.org"], "own/r1")], "id int, refs array<string>, home string")
+    assert sorted((r.id, r.repo) for r in links.fix_commit(refs, "id", "refs", "home").collect()) == [(1, "Own/r12"), (2, "own/r1")]
 
 
 def test_snapshots(spark, tmp_path):
@@ -165,6 +187,42 @@ def test_snapshots(spark, tmp_path):
     assert sinks.read_snapshot(spark, path).count() == 2
 
 
+def test_parts_and_text_files(spark, tmp_path):
+    rows = lambda *x: spark.createDataFrame(x, "part string, v int")
+    path = str(tmp_path / "parts")
+    assert sinks.read_parts(spark, path, "part") is None
+    sinks.write_parts(rows(("00", 1), ("1e", 2), ("ff", 3)), path, "part")
+    sinks.write_parts(rows(("1e", 5), ("aa", 6)), path, "part")
+    assert sorted(r.v for r in sinks.read_parts(spark, path, "part").collect()) == [1, 3, 5, 6] and [r.v for r in sinks.read_parts(spark, path, "part", ["00"]).collect()] == [1] and sinks.read_parts(spark, path, "part", ["77"]) is None
+    out = str(tmp_path / "texts")
+    for text in ("old\n", "new\n\nlines\n"):
+        sinks.write_text_files(spark.createDataFrame([("a b=1.md", text), ("c.md", "x")], "file string, content string"), out)
+    assert (tmp_path / "texts" / "a b=1.md").read_text() == "new\n\nlines\n" and (tmp_path / "texts" / "c.md").read_text() == "x\n"
+
+
+def test_audit_codes(spark):
+    made = lambda shape, *x: spark.createDataFrame(list(x), shape)
+    run = made("id string, status string", ("r", "partial"))
+    items = made("run_id string, analysis_stage int", ("r", 0), ("r", 1))
+    digests = made("run_id string, domain string, id string, has_content boolean", ("r", "security", "d1", True), ("r", "ai", "d2", False))
+    told = made("run_id string, domain string, status string, digest_id string", ("r", "security", "failed", "d9"), ("r", "ai", "succeeded", "d2"))
+    got = runs.audit(run, items, digests, told, 3, 2, 2).first()
+    assert got.errors == "run_status_partial,items_below_min:2<3,analyzed_below_min:1<2,digests_below_min:1<2,digest_not_succeeded:security,digest_id_mismatch:security,missing_digest:ai"
+    none = runs.audit(run.filter("false"), items, digests, told, 3, 2, 2).collect()
+    assert [(r.id, r.errors) for r in none] == [(None, "no_finished_run")]
+
+
+def test_stats_document_of_a_new_run(spark):
+    made = lambda shape, *x: spark.createDataFrame(list(x), shape)
+    run = made("id string, source_ids array<string>, stage1_total int, stage1_ok int, stage1_failed int, stage2_total int, stage2_ok int, stage2_failed int, dedup_skipped int, retention_deleted int", ("r", ["a", "b"], 0, 0, 0, 0, 0, 0, 0, 0))
+    results = made("run_id string, source_id string, status string, items long, duration_s double, error string", ("r", "b", "failed", 0, 1.5, "source_timeout"))
+    digests = made("run_id string, domain string, status string, digest_id string, hexo_path string, oss_url string, error string", ("r", "ai", "succeeded", "d", None, None, None))
+    doc = json.loads(runs.stats_document(run, results, digests).first().stats_json)
+    assert doc["sources"] == {"a": {"status": "pending", "items": 0, "duration_s": 0.0}, "b": {"status": "failed", "items": 0, "duration_s": 1.5, "error": "source_timeout"}} and doc["digest"] == {"status": "succeeded", "ai": {"status": "succeeded", "digest_id": "d"}}
+    empty = json.loads(runs.stats_document(run, results.filter("false"), digests.filter("false")).first().stats_json)
+    assert empty["digest"]["status"] == "pending" and empty["sources"]["b"]["status"] == "pending" and empty["dedup_skipped"] == 0
+
+
 def test_digest_sink_overwrites_one_partition(spark, tmp_path):
     make = lambda d, text: spark.createDataFrame([(d, "ai", "f", text)], "day string, domain string, file string, content string")
     for d, text in (("2024-01-01", "a"), ("2024-01-02", "b"), ("2024-01-01", "c")):
