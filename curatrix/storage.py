@@ -23,8 +23,19 @@ def shared_folder(spark: SparkSession) -> str:
     return _own_folder
 
 
+def run_folder(spark: SparkSession) -> str:
+    """The one folder below it that holds all intermediate tables of this application."""
+    return f"{shared_folder(spark)}/curatrix-{spark.sparkContext.applicationId}"
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{run_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Remove all intermediate tables of this application; DataFrames that were made of them can't be read any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(run_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

@@ -200,6 +200,17 @@ def test_parts_and_text_files(spark, tmp_path):
     assert (tmp_path / "texts" / "a b=1.md").read_text() == "new\n\nlines\n" and (tmp_path / "texts" / "c.md").read_text() == "x\n"
 
 
+def test_intermediate_tables_can_be_cleared(spark):
+    import os
+
+    from curatrix import storage
+
+    kept = storage.stored(spark.range(3), "numbers")
+    assert kept.count() == 3 and os.path.isdir(storage.run_folder(spark))
+    storage.clear(spark)
+    assert not os.path.isdir(storage.run_folder(spark)) and storage.stored(spark.range(2), "numbers").count() == 2
+
+
 def test_audit_codes(spark):
     made = lambda shape, *x: spark.createDataFrame(list(x), shape)
     run = made("id string, status string", ("r", "partial"))
