@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, stage, table, texts
+from .common import slices, spread, stage, table, texts
 
 WINDOW = 35
 ANCHOR = 12
@@ -43,7 +43,7 @@ _MIX1, _MIX2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 REMEMBERED = 500_000
 
 
-class _WordHashes:
+class WordHashes:
     def __init__(self):
         self.known: dict[bytes, int] = {}
 
@@ -104,7 +104,7 @@ def _running(x: np.ndarray, n: int, pick) -> np.ndarray:
 class Windows:
     """Hashes and anchors of all windows of a batch of documents, laid end to end."""
 
-    def __init__(self, docs: list[list[bytes]], hashes: _WordHashes, window: int = WINDOW, anchor: int = ANCHOR):
+    def __init__(self, docs: list[list[bytes]], hashes: WordHashes, window: int = WINDOW, anchor: int = ANCHOR):
         flat = [w for d in docs for w in d]
         self.n = np.array([len(d) for d in docs], np.int64)
         self.first = np.cumsum(self.n) - self.n
@@ -133,7 +133,7 @@ def sketch_bits(chars: int) -> int:
 
 
 def anchors_of(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
-    hashes = _WordHashes()
+    hashes = WordHashes()
     for batch in slices(batches):
         w = Windows([t.encode().split() for t in texts(batch, "text")], hashes)
         yield w.grams[w.is_anchor]
@@ -278,23 +278,25 @@ def _flushed(flush: int, held: list[tuple], buckets: int, window: int) -> Iterat
     repeats, first = np.zeros(len(order), bool), np.zeros(len(order), bool)
     repeats[order], first[order] = many, new
     done, row = 0, 0
-    for ids, docs, starts, owner, _, _, plain in held:
+    for ids, n_words, starts, owner, _, _, plain, whole in held:
         mine = repeats[done : done + len(starts)]
         done += len(starts)
-        cuts = np.searchsorted(owner, np.arange(len(docs) + 1)).tolist()
+        cuts = np.searchsorted(owner, np.arange(len(n_words) + 1)).tolist()
         kinds, removed, shas, shown, known, asked = [], [], [], [], [], []
-        for words, text, a, b in zip(docs, plain, cuts[:-1], cuts[1:]):
+        for text, sha, a, b in zip(plain, whole, cuts[:-1], cuts[1:]):
             sure = starts[a:b][mine[a:b]]
             ask = starts[a:b][~mine[a:b]]
             kinds.append(WAITING if len(ask) else DONE)
-            n, sha, rest = (None, None, text) if len(ask) else _kept(words, sure, window)
+            n, rest = (None, text) if len(ask) else (0, None)
+            if len(sure) and not len(ask):
+                n, sha, rest = _kept(text.encode().split(), sure, window)
             removed.append(n)
             shas.append(sha)
             shown.append(rest)
             known.append(_runs(sure) if len(ask) else None)
             asked.append(_runs(ask) if len(ask) else None)
-        yield _rows(len(docs), ids, kind=kinds, flush=[flush] * len(docs), row=np.arange(row, row + len(docs)), n_words=[len(w) for w in docs], n_removed=removed, kept_sha256=shas, text=shown, known=known, asked=asked)
-        row += len(docs)
+        yield _rows(len(n_words), ids, kind=kinds, flush=[flush] * len(n_words), row=np.arange(row, row + len(n_words)), n_words=n_words, n_removed=removed, kept_sha256=shas, text=shown, known=known, asked=asked)
+        row += len(n_words)
     # Those to be answered come first in each bucket, in the order of their documents.
     sent = np.concatenate([np.flatnonzero(~repeats), np.flatnonzero(repeats & first)])
     if len(sent):
@@ -315,7 +317,7 @@ def _suspects(shared, buckets: int, window: int):
         from pyspark import TaskContext
 
         sketch, flush = shared.value, TaskContext.get().partitionId() << 32
-        hashes = _WordHashes()
+        hashes = WordHashes()
         held: list[tuple] = []
         for batch in slices(batches):
             plain = texts(batch, "text")
@@ -327,7 +329,11 @@ def _suspects(shared, buckets: int, window: int):
             starts = np.flatnonzero(w.starts & _running(again, window - ANCHOR - SPAN + 2, np.logical_and))
             one, two = (mixed(rolling(w.h, window, b))[starts] for b in (_B1, _B2))
             owner = np.repeat(np.arange(len(docs)), w.n)[starts]
-            held.append((batch.column("doc_id"), docs, starts - w.first[owner], owner, one, (two >> np.uint64(33)).astype("<u4") << np.uint32(1), plain))
+            # Only texts with a suspect window are held; of the others the digest.
+            has = np.bincount(owner, minlength=len(docs)) > 0
+            shas = [None if s else hashlib.sha256(b" ".join(d)).hexdigest() for d, s in zip(docs, has)]
+            held.append((batch.column("doc_id"), w.n, starts - w.first[owner], owner, one, (two >> np.uint64(33)).astype("<u4") << np.uint32(1), [t if s else None for t, s in zip(plain, has)], shas))
+            del docs, plain, w
             if sum(len(x[2]) for x in held) > HELD or len(held) >= HELD_BATCHES:
                 yield from _flushed(flush, held, buckets, window)
                 held, flush = [], flush + 1
@@ -429,7 +435,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def op6_substring_dedup(spark, sf_dir: str) -> DataFrame:
-    return remove_repeats(table(spark, sf_dir, "documents")).drop("kept_text")
+    return remove_repeats(spread(table(spark, sf_dir, "documents"))).drop("kept_text")
 
 
 ORACLE = r"""
