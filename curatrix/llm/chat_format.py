@@ -105,12 +105,14 @@ def format_chats(messages: DataFrame) -> DataFrame:
 
     A row a turn: rendered string, the loss mask as a span in it (empty unless the role is assistant), attachments and
     their tokens. Null contents, texts and roles are empty; a null turn comes first; equal turns go by rendered string; rows without a
-    conv_id form one conversation. An empty table gives an empty one. Other columns are left out.
+    conv_id form one conversation. An empty table gives an empty one. Texts of any length are formatted whole; a task holds a batch
+    of turns, never a conversation. The table lies in the order of its input: who reads conversations brings their turns together. Other
+    columns are left out.
     """
     rows = messages.select("conv_id", "turn", "role", "content")
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     made = rows.mapInArrow(_render, f"conv_id {kinds['conv_id']}, turn {kinds['turn']}, rendered string, loss_start long, loss_end long, attachments array<struct<type:string,ref:string,tokens:long>>, attachment_tokens long")
-    return stage(made.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "rendered"), "chats")
+    return stage(made, "chats")
 
 
 def parse_turn(rendered: str) -> tuple[str, str]:

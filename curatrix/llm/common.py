@@ -3,15 +3,13 @@
 from __future__ import annotations
 
 import contextlib
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_own_folder: str | None = None
+from ..storage import new_path
 
 #: Rows of an Arrow batch. Whole texts may be long, and the JVM and Python each hold a batch; Spark's own 10,000 rows of
 #: some kB take much of an executor.
@@ -21,16 +19,6 @@ BATCH_ROWS = 1000
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; one of our own only where that is unset (tests)."""
-    global _own_folder
-    if found := spark.conf.get("spark.checkpoint.dir", None):
-        return found
-    if _own_folder is None:
-        _own_folder = tempfile.mkdtemp(prefix="spark-shared-")
-    return _own_folder
-
-
 @contextlib.contextmanager
 def bounded_batches(spark: SparkSession) -> Iterator[None]:
     """Arrow batches of at most BATCH_ROWS rows within; a smaller setting stays, and the session's own returns afterwards.
@@ -50,7 +38,7 @@ def bounded_batches(spark: SparkSession) -> Iterator[None]:
 def stage(df: DataFrame, name: str, sorted_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: lineage ends here, and a lost executor loses nothing."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = new_path(spark, name)
     with bounded_batches(spark):
         (df.sortWithinPartitions(*sorted_by) if sorted_by else df).write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -60,6 +48,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows of a table that lies in a single file, which one or two tasks would read, dealt over all cores; any other as it is."""
+    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism) if len(rows.inputFiles()) == 1 else rows
+
+
 def content_key(*columns: str) -> Column:
     """128-bit key of a row's contents, the same in every run; nulls and empty texts differ."""
     shown = [F.coalesce(F.concat(F.lit("v"), F.col(c).cast("string")), F.lit("n")) for c in columns]

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import content_key, free_name, slices, small, stage, table, texts
+from .common import content_key, free_name, slices, small, spread, stage, table, texts
 
 WILDCARD = "<*>"
 LEAD = 3
@@ -119,5 +119,5 @@ def drop_template_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def op8_line_dedup(spark, sf_dir: str) -> DataFrame:
-    cut = drop_template_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    cut = drop_template_lines(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
     return cut.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))

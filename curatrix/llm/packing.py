@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import slices, stage, table, texts
+from .common import slices, spread, stage, table, texts
 from .tokens import encoder
 
 WINDOW = 4096
@@ -142,7 +142,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text
     """A row for each piece: where its ids lie in the document and in which sequence, at which offset.
 
     A null text is empty, which is the end id alone. Documents without an id, repeated rows and ties each
-    keep their own pieces. An empty table gives no rows. Other columns are left out.
+    keep their own pieces. An empty table gives no rows. Texts of any length are encoded whole, a text in one task, and cut
+    into pieces. Other columns are left out.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     found = stage(rows.mapInArrow(_pieces(tokenizer, end_id, window), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, shard int, nth long"), "pieces")
@@ -156,7 +157,11 @@ def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text
 
 
 def sequences(docs: DataFrame, packed: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, window: int = WINDOW, pad_id: int = 0) -> DataFrame:
-    """The packed sequences themselves: ``sequence_id``, ``ids`` (padded) and ``filled``. Document ids must be unique."""
+    """The packed sequences themselves: ``sequence_id``, ``ids`` (padded) and ``filled``, from ``pack_documents``' pieces.
+
+    Ids tell documents apart here: they must be unique and not null (pieces of others would be joined to the wrong text). A null or empty
+    text is its end id. A text's ids are one row, so that a text should fit a task. An empty table gives no rows.
+    """
 
     def encoded(batches):
         enc = encoder(tokenizer)
@@ -175,4 +180,4 @@ def sequences(docs: DataFrame, packed: DataFrame, tokenizer: str, id_col: str =
 def op10_packing(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return pack_documents(spread(table(spark, sf_dir, "documents")), public_tokenizers.path("word_bpe_49k.json"))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, stage, table, texts
+from .common import slices, spread, stage, table, texts
 
 #: Fixed patterns of the base kinds.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -114,5 +114,5 @@ def scan_secrets(docs: DataFrame, repository: Column, owner: Column, id_col: str
 
 def op5_secrets(spark, sf_dir: str) -> DataFrame:
     """A source is the owner, its texts of one language a repository."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     return scan_secrets(docs, F.concat_ws("/", "source", "lang"), F.col("source"))

@@ -169,7 +169,8 @@ def write_tokens(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
     """Encode each document, append ``end_id`` and write the records in ascending id order; returns the files as read back.
 
     A null text is empty (one id, the end); documents without an id come first; repeated rows each get a
-    record; an empty table gives an empty file; other columns are left out. The texts are range-partitioned
+    record; an empty table gives an empty file; other columns are left out. Texts of any length are encoded whole, a text in one
+    task. The texts are range-partitioned
     once; only a partition's own order and its running count of ids are kept in its task.
     """
     spark = docs.sparkSession

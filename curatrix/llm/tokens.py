@@ -15,7 +15,7 @@ from itertools import chain
 
 import numpy as np
 
-_ODD_SPACE = re.compile("[\x00\x0b\x0c\x1c-\x1f\x85\xa0  -​    　﻿]")
+_ODD_SPACE = re.compile(r"[\x00\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
 _PIECE = re.compile(r"[ \n\r\t]*[^ \n\r\t]+|[ \n\r\t]+")
 _MARK = "\x01"
 _START = "\x00"

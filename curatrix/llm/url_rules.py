@@ -121,11 +121,15 @@ def split_url(url: str | None) -> tuple[str, str]:
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
+#: Words of state (eight bytes each) that a batch of URLs holds.
+MOST_WORDS = 1 << 20
+
+
 def _judge(rules: tuple[Rule, ...], own: tuple[Rule, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = Automaton(rules + own)
         best = np.array([len(r.name or r.glob) for r in rules] + [0] * len(own))
-        for batch in slices(batches, 4096):
+        for batch in slices(batches, max(16, min(4096, MOST_WORDS // automaton.words))):
             parts = [split_url(u) for u in batch.column("url").to_pylist()]
             fits = automaton.run([f".{h}{p}" for h, p in parts])
             named = np.where(fits[:, : len(rules)], best[: len(rules)], -1)
@@ -147,7 +151,8 @@ def judge_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, own: tuple[Rul
     """Host, path, the longest rule that fits (else null) and a verdict for each row; no shuffle.
 
     A null or empty URL, and one without ``://``, has an empty host and path and is allowed unless a glob fits
-    that. Repeated rows are judged alike; an empty table gives no rows; other columns are left out.
+    that. Repeated rows are judged alike; an empty table gives no rows; other columns are left out. URLs of any length are
+    read whole: one character of all URLs of a batch is a step, and a batch has fewer URLs the more rules there are.
     """
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"))
     kind = rows.schema["page_id"].dataType.simpleString()
