@@ -7,14 +7,14 @@ shingle alone; only documents' shingles that are such a prefix make candidates.
 the window would begin: it must lie within the document (length bound), at one place (positional bound),
 and then all its words are compared.
 
-The benchmark goes to the executors in blocks of at most ``block`` windows, each a pass over the documents,
-so what is broadcast stays bounded however large the benchmark is.
+All of it is joins, on the benchmark's side as on the documents': nothing of either goes through the driver but a bit map of
+the benchmark's shingles, of bounded size, that keeps tasks from sending shingles which no item has. Shingles travel
+as hashes of 64 bits; words are compared as they are.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,12 +22,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import content_key, free_name, slices, stage, table, texts
+from .common import content_key, free_name, slices, small, spread, stage, table, texts
+from .substring_dedup import WordHashes, estimated, mixed, repeated_cells, rolling
 
 WINDOW = 13
 SHINGLE = 3
-#: Windows of the benchmark that are broadcast at once (about 1 kB each).
-BLOCK = 100_000
+#: Bits of a cell's number in the bit map: 16 cells a shingle, within these (64 MB at most).
+LEAST_BITS, MOST_BITS = 16, 28
+#: Candidates of a document that one row holds, and counted shingles that a task holds.
+HELD_CANDIDATES, HELD_SHINGLES = 1000, 2_000_000
+_BASE = np.uint64(0x9E3779B97F4A7C15)
 
 #: Words are runs of digits, letters (A-Z lower-cased) and all characters beyond ASCII; the rest separates.
 _WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -37,136 +41,152 @@ def words_of(text: str) -> list[bytes]:
     return text.encode().translate(_WORD_BYTES).split()
 
 
-def windows_of(text: str, window: int = WINDOW) -> list[tuple[bytes, ...]]:
-    words = words_of(text)
-    if not words:
-        return []
-    return [tuple(words[i : i + window]) for i in range(max(1, len(words) - window + 1))]
+def shingles_of(docs: list[list[bytes]], hashes: WordHashes, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all shingles of a size, documents laid end to end, and the places where they start."""
+    n = np.array([len(d) for d in docs], np.int64)
+    flat = [w for d in docs for w in d]
+    starts = np.flatnonzero(np.arange(len(flat)) + size <= np.repeat(np.cumsum(n), n))
+    return (mixed(rolling(hashes(flat), size, _BASE)) + np.uint64(size))[starts], starts
 
 
-def _grams(words: list[bytes] | tuple[bytes, ...], n: int):
-    return zip(*(words[k:] for k in range(n)))
+def _windows(window: int):
+    """(key, item, n, words, shingles) of each window of each item: the words joined by blanks, the shingles by place."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in slices(batches, 64):
+            keys, items, sizes, shown, grams = [], [], [], [], []
+            for item, text in zip(batch.column("item").to_pylist(), texts(batch, "text")):
+                words = words_of(text)
+                if not words:
+                    continue
+                n = min(window, len(words))
+                found = shingles_of([words], hashes, min(SHINGLE, n))[0].view(np.int64)
+                for i in range(len(words) - n + 1):
+                    joined = b" ".join(words[i : i + n])
+                    keys.append(hashlib.md5(joined).digest())
+                    items.append(item)
+                    sizes.append(n)
+                    shown.append(joined.decode())
+                    grams.append(found[i : i + n - min(SHINGLE, n) + 1])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(items, pa.string()), pa.array(sizes, pa.int32()), pa.array(shown, pa.string()), pa.array(grams, pa.list_(pa.int64()))], names=["key", "item", "n", "words", "shingles"])
+
+    return run
+
+
+def _twice(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    """Hashes, each given twice, so that a map of repeated cells has them all."""
+    for batch in batches:
+        yield np.repeat(batch.column(0).to_numpy().view(np.uint64), 2)
+
+
+def _map_of(shingles: DataFrame) -> np.ndarray:
+    size = shingles.count()
+    return repeated_cells(shingles, min(MOST_BITS, max(LEAST_BITS, (16 * size).bit_length())), _twice)
 
-def _block_of(rows, window: int) -> dict[tuple[bytes, ...], list[str]]:
-    """Distinct windows of some items, with the items that have each."""
-    found: dict[tuple[bytes, ...], set[str]] = defaultdict(set)
-    for item, text in rows:
-        for w in windows_of(text or "", window):
-            found[w].add(str(item))
-    return {w: sorted(items) for w, items in found.items()}
 
+def _counted(shared, sizes: list[int]):
+    """(shingle, n): how often this task's documents have each shingle that the map has."""
 
-def _gram_counts(grams: dict[tuple[bytes, ...], int]):
-    sizes = sorted({len(g) for g in grams})
+    def out(held: list[np.ndarray]) -> pa.RecordBatch:
+        found, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *held]), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n.astype(np.int64))], names=["shingle", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
+        hashes, held = WordHashes(), []
         for batch in slices(batches):
-            for text in texts(batch, "text"):
-                words = words_of(text)
-                for n in sizes:
-                    counts.update([g for g in _grams(words, n) if g in grams])
-        yield pa.RecordBatch.from_arrays([pa.array([grams[g] for g in counts], pa.int64()), pa.array(list(counts.values()), pa.int64())], names=["gram", "n"])
+            docs = [words_of(t) for t in texts(batch, "text")]
+            for size in sizes:
+                found, _ = shingles_of(docs, hashes, size)
+                held.append(found[estimated(shared.value, found)])
+            if sum(map(len, held)) > HELD_SHINGLES:
+                yield out(held)
+                held = []
+        yield out(held)
 
     return run
 
 
-def _matches(windows: list[tuple[bytes, ...]], items: list[list[str]], prefixes: dict[tuple[bytes, ...], list[tuple[int, int]]]):
-    sizes = sorted({len(g) for g in prefixes})
+_CANDIDATES = pa.list_(pa.struct([("at", pa.int64()), ("shingle", pa.int64()), ("lead", pa.int32()), ("context", pa.string())]))
+
+
+def _candidates(shared, sizes: list[int], window: int):
+    """Documents with their candidates: place, shingle, and the words around it, ``lead`` of them before. A document with many takes
+    several rows; the first one has ``first``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        row, hashes = TaskContext.get().partitionId() << 40, WordHashes()
         for batch in slices(batches):
-            n_words, n_hit, hits, found = [], [], [], []
-            for text in texts(batch, "text"):
-                words = words_of(text)
-                spans: list[tuple[int, int]] = []
-                ids: set[str] = set()
-                for size in sizes:
-                    for at, g in [(i, g) for i, g in enumerate(_grams(words, size)) if g in prefixes]:
-                        for w, place in prefixes[g]:
-                            whole, begin = windows[w], at - place
-                            if begin >= 0 and begin + len(whole) <= len(words) and tuple(words[begin : begin + len(whole)]) == whole:
-                                spans.append((begin, begin + len(whole)))
-                                ids.update(items[w])
-                spans.sort()
-                merged: list[list[int]] = []
-                for a, b in spans:
-                    if merged and a <= merged[-1][1]:
-                        merged[-1][1] = max(b, merged[-1][1])
-                    else:
-                        merged.append([a, b])
-                n_words.append(len(words))
-                n_hit.append(sum(b - a for a, b in merged))
-                hits.append([x for m in merged for x in m])
-                found.append(sorted(ids))
-            passed = [c for c in batch.schema.names if c != "text"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in passed), pa.array(n_words, pa.int64()), pa.array(hits, pa.list_(pa.int64())), pa.array(found, pa.list_(pa.string()))], names=[*passed, "n_words", "hits", "items"])
+            docs = [words_of(t) for t in texts(batch, "text")]
+            begins = np.cumsum([0, *map(len, docs)])
+            found: list[list[dict]] = [[] for _ in docs]
+            for size in sizes:
+                shingles, starts = shingles_of(docs, hashes, size)
+                hit = np.flatnonzero(estimated(shared.value, shingles))
+                owners = np.searchsorted(begins, starts[hit], side="right") - 1
+                for owner, place, value in zip(owners.tolist(), starts[hit].tolist(), shingles[hit].view(np.int64).tolist()):
+                    at = place - int(begins[owner])
+                    lead = min(at, window - 1)
+                    found[owner].append({"at": at, "shingle": value, "lead": lead, "context": b" ".join(docs[owner][at - lead : at + window]).decode()})
+            mine, rows, first, parts = [], [], [], []
+            for k, x in enumerate(found):
+                for a in range(0, max(1, len(x)), HELD_CANDIDATES):
+                    mine.append(k)
+                    rows.append(row + k)
+                    first.append(a == 0)
+                    parts.append(x[a : a + HELD_CANDIDATES])
+            row += len(docs)
+            take = pa.array(mine, pa.int64())
+            sizes_of = np.array([len(d) for d in docs], np.int64)[mine] if mine else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(take), batch.column("row_key").take(take), pa.array(rows, pa.int64()), pa.array(first, pa.bool_()), pa.array(sizes_of), pa.array(parts, _CANDIDATES)], names=["doc_id", "row_key", "row", "first", "n_words", "candidates"])
 
     return run
 
 
-def _summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Hit words and items of each row from the spans that its passes found."""
-    for batch in batches:
-        n_hit, shas, counts = [], [], []
-        for spans, items in zip(batch.column("hits").to_pylist(), batch.column("items").to_pylist()):
-            pairs = sorted(zip(spans[::2], spans[1::2]))
-            total, end = 0, 0
-            for a, b in pairs:
-                total += max(0, b - max(a, end))
-                end = max(end, b)
-            ids = sorted(set(items))
-            n_hit.append(total)
-            counts.append(len(ids))
-            shas.append(hashlib.sha256(",".join(ids).encode()).hexdigest())
-        passed = [c for c in batch.schema.names if c not in ("hits", "items")]
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in passed), pa.array(n_hit, pa.int64()), pa.array(counts, pa.int64()), pa.array(shas)], names=[*passed, "n_hit", "n_items", "items_sha256"])
-
-
-def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, block: int = BLOCK) -> DataFrame:
+def covered(spans):
+    """Words that lie in any of the spans (an array of begin and end, sorted)."""
+    step = lambda s, x: F.struct((s["n"] + F.greatest(F.lit(0).cast("long"), x["end"] - F.greatest(x["begin"], s["upto"]))).alias("n"), F.greatest(s["upto"], x["end"]).alias("upto"))
+    return F.aggregate(spans, F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("upto")), step)["n"]
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
     """n_words, n_hit, n_items, items_sha256 and contaminated for each document.
 
     Null and empty texts have no words and are never contaminated; items without words are never found; a
     null item id counts as the text ``None``. Rows that agree in id and text are judged alike and each keep a
-    row. An empty benchmark hits nothing; an empty document table gives no rows. Other columns are left out.
+    row. An empty benchmark hits nothing; an empty document table gives no rows. Texts and items of any length are read
+    whole; a text is held by one task, its candidates in rows of at most HELD_CANDIDATES. Other columns are left out.
     """
+    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("doc_id"), content_key(id_col, text_col).alias("row_key"), F.col(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    shape = f"doc_id {kind}, row_key binary, n_words long, hits array<long>, items array<string>"
-    passes, pending, size = [], [], 0
-
-    def one_pass(items_rows) -> DataFrame:
-        by_window = _block_of(items_rows, window)
-        windows = list(by_window)
-        grams = {g: k for k, g in enumerate({g for w in windows for g in _grams(w, min(SHINGLE, len(w)))})}
-        counts = Counter({r.gram: r.n for r in rows.select("text").mapInArrow(_gram_counts(grams), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()})  # at most the block's shingles
-        prefixes: dict[tuple[bytes, ...], list[tuple[int, int]]] = defaultdict(list)
-        for k, w in enumerate(windows):
-            _, place, gram = min((counts[grams[g]], p, g) for p, g in enumerate(_grams(w, min(SHINGLE, len(w)))))
-            if counts[grams[gram]]:  # a shingle that no document has rules the window out
-                prefixes[gram].append((k, place))
-        return rows.mapInArrow(_matches(windows, [by_window[w] for w in windows], dict(prefixes)), shape)
-
-    source = benchmark.select(F.col(item_col), F.col(item_text))
-    for item, text in source.toLocalIterator():
-        pending.append((item, text))
-        size += max(0, len(words_of(text or "")) - window + 1) + 1
-        if size >= block:
-            passes.append(one_pass(pending))
-            pending, size = [], 0
-    if pending or not passes:
-        passes.append(one_pass(pending))
-    found = passes[0]
-    if len(passes) > 1:  # a row for each document and pass; rows alike stay apart by their number
-        merged = None
-        for k, p in enumerate(passes):
-            p = p.groupBy("row_key").agg(F.first("hits").alias(f"hits{k}"), F.first("items").alias(f"items{k}"))
-            merged = p if merged is None else merged.join(p, "row_key")
-        n = len(passes)
-        merged = merged.select("row_key", F.concat(*(f"hits{k}" for k in range(n))).alias("all_hits"), F.concat(*(f"items{k}" for k in range(n))).alias("all_items"))
-        found = found.join(merged, "row_key").select("doc_id", "row_key", "n_words", F.col("all_hits").alias("hits"), F.col("all_items").alias("items"))
-    out = found.mapInArrow(_summary, f"doc_id {kind}, row_key binary, n_words long, n_hit long, n_items long, items_sha256 string")
+    items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("None")).alias("item"), F.col(item_text).alias("text"))
+    every = stage(items.mapInArrow(_windows(window), "key binary, item string, n int, words string, shingles array<long>"), "items")
+    windows = stage(every.groupBy("key").agg(*(F.any_value(c).alias(c) for c in ("n", "words", "shingles"))), "windows")
+    sizes = sorted(r[0] for r in windows.select(F.least("n", F.lit(SHINGLE))).distinct().collect())  # SHINGLE of them at most
+    shingles = windows.select("key", F.posexplode("shingles").alias("place", "shingle"))
+
+    known = spark.sparkContext.broadcast(_map_of(shingles.select("shingle").distinct()))
+    counts = rows.select("text").mapInArrow(_counted(known, sizes), "shingle long, n long").groupBy(F.col("shingle").alias("of_shingle")).agg(F.sum("n").alias("often"))
+    ranked = shingles.join(counts, F.col("shingle") == F.col("of_shingle"), "left")
+    # A window with a shingle that no document has is ruled out.
+    rarest = ranked.groupBy(F.col("key").alias("of_key")).agg(F.min(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "place", "shingle")).alias("x")).filter("x.often > 0").select("of_key", "x.place", "x.shingle")
+    prefixes = stage(windows.select("key", "n", "words").join(rarest, F.col("key") == F.col("of_key")).select("key", "n", "words", "place", F.col("shingle").alias("prefix")), "prefixes")
+
+    wanted = spark.sparkContext.broadcast(_map_of(prefixes.select("prefix").distinct()))
+    found = stage(rows.mapInArrow(_candidates(wanted, sizes, window), f"doc_id {kind}, row_key binary, row long, first boolean, n_words long, candidates array<struct<at:long,shingle:long,lead:int,context:string>>"), "candidates")
+    each = found.filter(F.size("candidates") > 0).select("row", "n_words", F.explode("candidates").alias("c")).select("row", "n_words", "c.*")
+    met = each.join(small(prefixes), F.col("shingle") == F.col("prefix")).withColumn("begin", F.col("at") - F.col("place"))
+    fits = (F.col("begin") >= 0) & (F.col("begin") + F.col("n") <= F.col("n_words"))
+    same = F.array_join(F.slice(F.split("context", " "), F.greatest(F.lit(1), F.col("lead") - F.col("place") + 1), F.col("n")), " ") == F.col("words")
+    hits = stage(met.filter(fits & same).select("row", "begin", (F.col("begin") + F.col("n")).alias("end"), "key").distinct(), "hits")
+    spans = hits.groupBy("row").agg(covered(F.array_sort(F.collect_set(F.struct("begin", "end")))).alias("n_hit"))
+    named = hits.select("row", "key").distinct().join(every.select(F.col("key").alias("of_key"), "item").distinct(), F.col("key") == F.col("of_key")).groupBy(F.col("row").alias("named_row")).agg(F.array_sort(F.collect_set("item")).alias("items"))
+    told = spans.join(named, F.col("row") == F.col("named_row")).select(F.col("row").alias("of_row"), "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"))
+    out = found.filter("first").select("doc_id", "row_key", "row", "n_words").join(small(stage(told, "told")), F.col("row") == F.col("of_row"), "left")
+    out = out.select("doc_id", "row_key", "n_words", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("n_hit", "n_items")), F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"))
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
 
@@ -178,7 +198,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
 
 
 def op3_decontaminate(spark, sf_dir: str) -> DataFrame:
-    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("row_key")
+    return contamination(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark")).drop("row_key")
 
 
 ORACLE = r"""

@@ -154,8 +154,9 @@ def test_token_output(spark, rows):
 BENCHMARK = [(1, " ".join(f"w{k}" for k in range(5, 25))), (2, "lone lone"), (3, None), (4, "..."), (12, "Data ALPHA, beta"), (5, "nowhere to be seen at all"), (6, "lone lone")]
 
 
-@pytest.mark.parametrize("block", [100_000, 3])
-def test_decontamination(spark, rows, block):
+@pytest.mark.parametrize("held", [1000, 3])
+def test_decontamination(spark, rows, held, monkeypatch):
+    monkeypatch.setattr(decontaminate, "HELD_CANDIDATES", held)
     split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate({c: c + 32 for c in range(65, 91)}))
     bench = spark.createDataFrame(BENCHMARK, "item_id long, text string")
     expected = collections.Counter()
@@ -171,9 +172,9 @@ def test_decontamination(spark, rows, block):
                     hit |= set(range(k, k + n))
                     items.add(str(item))
         expected[(i, len(w), len(hit), len(items), sha(",".join(sorted(items))), bool(hit) and 20 * len(hit) >= len(w))] += 1
-    got = decontaminate.contamination(table(spark, rows), bench, block=block)
+    got = decontaminate.contamination(table(spark, rows), bench)
     assert collections.Counter((r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in got.collect()) == expected
-    if block > 3:
+    if held > 3:
         kept = decontaminate.drop_contaminated(table(spark, rows), bench)
         assert kept.columns == table(spark, rows).columns and kept.count() == sum(n for k, n in expected.items() if not k[5])
         assert decontaminate.contamination(table(spark, rows), bench.filter("false")).agg(F.sum("n_hit")).first()[0] == 0
@@ -219,6 +220,35 @@ def test_secrets(spark, rows):
     assert secrets.scan_secrets(table(spark, []), F.col("source"), F.col("source")).count() == 0
 
 
+def test_secret_ownership_is_brute_force(spark):
+    """Spans and ownership of random tokens in documents of several owners and repositories."""
+    rng = random.Random(9)
+    token = lambda: "".join(rng.choice("aB3cD4+/_=-") for _ in range(rng.choice((20, 31, 32, 40, 60))))
+    pool = [token() for _ in range(30)]
+    docs = [(i, " ".join(rng.choice([lambda: rng.choice(pool), lambda: "plain é text", lambda: f"token={rng.choice(pool)}", lambda: "f" * 24, lambda: f"AKIA{'Q' * 16}x"])() for _ in range(rng.randrange(0, 6))), f"o{rng.randrange(4)}", f"r{rng.randrange(5)}") for i in range(80)]
+    docs += [(90, None, None, None), (91, "", "o1", None)]
+    spans, holders = {}, collections.defaultdict(set)
+    for i, t, owner, repo in docs:
+        mine = sorted((m.start(), k, m.end(), m[2] if k == 0 else m[0]) for k, p in ((0, secrets.ASSIGN), (1, secrets.ACCESS), (2, secrets.HEX)) for m in p.finditer(t or "") if k or len(m[2]) >= 6)
+        for m in re.finditer(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{32,}", t or ""):
+            v = m[0]
+            if re.search("[a-z]", v) and re.search("[A-Z]", v) and re.search("[0-9]", v) and not any(a < m.end() and m.start() < b for a, k, b, _ in mine if k < 3):
+                mine.append((m.start(), 3, m.end(), v))
+        spans[i] = sorted(mine)
+        for s in mine:
+            holders[s[3]].add((owner or "", f"{owner or ''}/{repo or ''}"))
+    figures = {v: (len({o for o, _ in x}), len({r for _, r in x})) for v, x in holders.items()}
+    live = {v: o < 3 and r < 4 for v, (o, r) in figures.items()}
+    assert {k for k in live.values()} == {True, False} and any(o < 3 <= 4 <= r for o, r in figures.values())
+    df = spark.createDataFrame(docs, "doc_id long, text string, owner string, repo string")
+    repo = F.concat(F.coalesce("owner", F.lit("")), F.lit("/"), F.coalesce("repo", F.lit("")))
+    got = {r.doc_id: r for r in secrets.scan_secrets(df, repo, F.col("owner"), example_repositories=4).collect()}
+    for i, mine in spans.items():
+        shown = ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b, v in mine if k < 3 or live[v])
+        most = [max((figures[v][n] for *_, v in mine), default=0) for n in (0, 1)]
+        assert (got[i].spans, got[i].n_live, got[i].n_examples, [got[i].most_owners, got[i].most_repositories]) == (shown, sum(live[s[3]] for s in mine), sum(not live[s[3]] for s in mine), most), i
+
+
 def brute_repeats(rows, n=35):
     seen = collections.Counter(tuple(w[k : k + n]) for w in (words(t) for _, t in rows) for k in range(len(w) - n + 1))
     out = collections.Counter()
@@ -238,7 +268,7 @@ def test_substring_dedup(spark, rows, monkeypatch):
 def test_rolling_and_anchors():
     rng = random.Random(2)
     docs = [[bytes([97 + rng.randrange(3)]) for _ in range(n)] for n in (0, 200, 34, 35, 0, 120, 1, 0)]
-    w = substring_dedup.Windows(docs, substring_dedup._WordHashes())
+    w = substring_dedup.Windows(docs, substring_dedup.WordHashes())
     h = [int(x) for x in w.h]
     base, m = int(substring_dedup._B1), 1 << 64
     hashes = substring_dedup.rolling(w.h, 35, substring_dedup._B1)
@@ -264,6 +294,10 @@ def test_url_rules(spark):
         assert (host, path, rule) == (h, p, max(fits)[1] if fits else None)
         if fits:
             assert verdict == max(fits)[2]
+    df = spark.createDataFrame([(1, "http://com/en/"), (1, "http://com/en/"), (None, None)], "page_id long, url string")
+    assert sorted((r.page_id or 0, r.verdict) for r in url_rules.judge_urls(df).collect()) == [(0, "allow"), (1, "block"), (1, "block")] and url_rules.judge_urls(df.filter("false")).count() == 0
+    many = tuple(url_rules.Rule("block", f"*.h{k}.*/x{k}**") for k in range(3000))
+    assert [r.verdict for r in url_rules.judge_urls(spark.createDataFrame([(1, "http://a.h7.org/x7y"), (2, "http://a.h7.org/x8")], "page_id long, url string"), (), many).orderBy("page_id").collect()] == ["block", "allow"]
     assert got[15][3] == "block" and got[17][3] == "block" and got[18][3] == "allow" and got[0] == ("", "", None, "allow") and got[13][:2] == ("b:", "//c.com/en/")
 
 
@@ -368,6 +402,26 @@ def test_packed_sequences(spark):
         assert zlib.crc32(np.array(part, "<u4").tobytes()) == p.ids_crc32
 
 
+def test_patterns_are_shortest_pack_first():
+    """Piece by piece, longest first, into the pack that holds least, gives packs of the same lengths."""
+    rng = random.Random(7)
+    assert packing.pack_histogram({70: 1, 50: 1, 20: 1}, 100) == [(1, (70,)), (1, (50, 20))]
+    for _ in range(150):
+        counts = {rng.randrange(1, 65): rng.randrange(1, 40) for _ in range(rng.randrange(1, 25))}
+        packs: list[list[int]] = []
+        for length in sorted(counts, reverse=True):
+            for _ in range(counts[length]):
+                room = [p for p in packs if sum(p) + length <= 64]
+                if room:
+                    min(room, key=sum).append(length)
+                else:
+                    packs.append([length])
+        filled = collections.Counter()
+        for n, lengths in packing.pack_histogram(counts, 64):
+            filled[sum(lengths)] += n
+        assert filled == collections.Counter(map(sum, packs))
+
+
 def test_histogram_packing_keeps_every_piece():
     rng = random.Random(6)
     for _ in range(50):
