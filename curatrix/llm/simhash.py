@@ -22,7 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, content_key, free_name, slices, stage, table, texts
+from ..storage import remove
+from .common import LOWER, content_key, free_name, slices, small, spread, stage, table, texts
 
 MOST_BITS = 3
 SHINGLE = 3
@@ -207,7 +208,8 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "of")
         small = large.join(least, F.col("u") == F.col("of"))
         small = small.select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")))).alias("e")).select("e.*").filter("u != v").distinct()
-        edges = stage(small, "edges")
+        done, edges = edges, stage(small, "edges")
+        remove(done)
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.count_distinct("u")).first()
         if state == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
@@ -253,16 +255,24 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
 
 def keep_first(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The first row of each component of ``found`` (doc_id, row_key, fp, component_id)."""
+    """The first row of each component of ``found`` (doc_id, row_key, fp, component_id).
+
+    Keys of rows that go, and of rows that occur more than once, are few as a rule: where they are, no text is shuffled.
+    """
     key, rank, of_key = (free_name(docs, x) for x in ("row_key", "row_rank", "of_key"))
     group = F.coalesce(F.concat(F.lit("c"), F.col("component_id").cast("string")), F.concat(F.lit("f"), F.col("fp").cast("string")))
-    first = found.groupBy(group.alias("group")).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")).alias("x"))
-    kept = first.select(F.col("x.row_key").alias(of_key)).distinct()
-    rows = docs.withColumn(key, content_key(id_col, text_col)).join(kept, F.col(key) == F.col(of_key), "left_semi")
-    once = Window.partitionBy(key).orderBy(key)
-    return rows.withColumn(rank, F.row_number().over(once)).filter(F.col(rank) == 1).select(*docs.columns)
+    grouped = stage(found.select(group.alias("group"), "doc_id", "row_key"), "grouped")
+    first = grouped.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")).alias("x"), F.count("*").alias("n"))
+    many = grouped.join(small(stage(first.filter("n > 1").select(F.col("group").alias("of_group"), F.col("x.row_key").alias("first_key")), "groups")), F.col("group") == F.col("of_group"))
+    # A key of a group of several rows: it goes, or it is the first one's, and may stand there more than once.
+    told = stage(many.groupBy(F.col("row_key").alias(of_key)).agg((F.count_if(F.col("row_key") == F.col("first_key")) == 0).alias("goes"), F.count("*").alias("n")), "told")
+    rows = docs.withColumn(key, content_key(id_col, text_col))
+    alone = rows.join(small(told.filter("goes OR n > 1").select(of_key)), F.col(key) == F.col(of_key), "left_anti")
+    again = rows.join(small(told.filter("NOT goes AND n > 1").select(of_key)), F.col(key) == F.col(of_key), "left_semi")
+    again = again.withColumn(rank, F.row_number().over(Window.partitionBy(key).orderBy(key))).filter(F.col(rank) == 1)
+    return alone.select(*docs.columns).union(again.select(*docs.columns))
 
 
 def op1_simhash(spark, sf_dir: str) -> DataFrame:
-    found = simhash_components(table(spark, sf_dir, "documents"))
+    found = simhash_components(spread(table(spark, sf_dir, "documents")))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
