@@ -38,6 +38,15 @@ def clear(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def remove(table: DataFrame) -> None:
+    """Remove a written table of this application that nothing reads any more."""
+    spark = table.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+        if f"/curatrix-{spark.sparkContext.applicationId}/" in folder:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` and read it back: what it took to make is not done again, however often the result is used."""
     path = new_path(df.sparkSession, name)
