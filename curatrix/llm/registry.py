@@ -10,9 +10,11 @@ from .packing import op10_packing
 from .quality import op9_quality
 from .secrets import op5_secrets
 from .simhash import op1_simhash
+from .spelling import op12_spelling
 from .substring_dedup import op6_substring_dedup
 from .token_output import op2_token_output
 from .url_rules import op7_url_rules
+from .whitening import op13_whitening
 
 
 def pipeline(spark, sf_dir: str):
@@ -32,6 +34,8 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_quality": op9_quality,
     "op10_packing": op10_packing,
+    "op12_spelling": op12_spelling,
+    "op13_whitening": op13_whitening,
     "pipeline": pipeline,
 }
 ORACLE_SQL = {"op3_decontaminate": decontaminate.ORACLE, "op4_chat_format": chat_format.ORACLE, "op6_substring_dedup": substring_dedup.ORACLE, "op7_url_rules": url_rules.ORACLE, "op9_quality": quality.oracle()}
