@@ -32,10 +32,21 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{run_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def qualified(spark: SparkSession, folder: str) -> str:
+    """The folder as a URI with a scheme, as file systems other than Spark's take it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return f"file:///{found.removeprefix('file:').lstrip('/')}" if found.startswith("file:") else found
+
+
+def drop_folder(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def clear(spark: SparkSession) -> None:
     """Remove all intermediate tables of this application; DataFrames that were made of them can't be read any more."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(run_folder(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    drop_folder(spark, run_folder(spark))
 
 
 def remove(table: DataFrame) -> None:
@@ -43,8 +54,7 @@ def remove(table: DataFrame) -> None:
     spark = table.sparkSession
     for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
         if f"/curatrix-{spark.sparkContext.applicationId}/" in folder:
-            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            drop_folder(spark, folder)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
