@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, quality, substring_dedup, url_rules
+from . import chat_format, decontaminate, quality, substring_dedup, url_rules, warc
 from .chat_format import op4_chat_format
 from .decontaminate import op3_decontaminate
 from .line_dedup import op8_line_dedup
@@ -14,6 +14,7 @@ from .spelling import op12_spelling
 from .substring_dedup import op6_substring_dedup
 from .token_output import op2_token_output
 from .url_rules import op7_url_rules
+from .warc import op11_warc
 from .whitening import op13_whitening
 
 
@@ -34,8 +35,9 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_quality": op9_quality,
     "op10_packing": op10_packing,
+    "op11_warc": op11_warc,
     "op12_spelling": op12_spelling,
     "op13_whitening": op13_whitening,
     "pipeline": pipeline,
 }
-ORACLE_SQL = {"op3_decontaminate": decontaminate.ORACLE, "op4_chat_format": chat_format.ORACLE, "op6_substring_dedup": substring_dedup.ORACLE, "op7_url_rules": url_rules.ORACLE, "op9_quality": quality.oracle()}
+ORACLE_SQL = {"op3_decontaminate": decontaminate.ORACLE, "op4_chat_format": chat_format.ORACLE, "op6_substring_dedup": substring_dedup.ORACLE, "op7_url_rules": url_rules.ORACLE, "op9_quality": quality.oracle(), "op11_warc": warc.ORACLE}
