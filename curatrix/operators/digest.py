@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scores
+from ..functions.contracts import parse_overview
 from ..functions.times import digest_date
+from .scoring import score
 
 #: Category labels and texts of the digest.
 LABELS = {"vulnerability": "漏洞披露", "exploit": "武器化 / PoC", "research": "研究分析", "product": "产品发布", "engineering": "工程实践", "tool": "工具项目", "incident": "安全事件", "discussion": "社区讨论", "other": "其他"}
 TITLES = {"security": "安全情报日报", "ai": "AI 情报日报"}
 OTHER_TITLE, CATEGORIES_LINE, NO_HIGH, NO_LOW = "情报日报", "情报日报", "暂无高价值情报。", "暂无。"
+SUMMARY = ("今日共采集 ", " 条情报，高价值 ", " 条。")
 
 
 def label(category: Column) -> Column:
@@ -43,12 +48,30 @@ def lower_value(chosen: DataFrame) -> DataFrame:
     return chosen.filter("NOT high").withColumn("rank", rank)
 
 
-def overview_input(chosen: DataFrame, n: int = 20) -> DataFrame:
-    """The first n high-value items of each day and domain in order of arrival, and the request's payload."""
+#: What a model reads of a high-value item for the overview.
+OVERVIEW_FIELDS = ("title", "category", "summary_zh", "insight_score", "action_suggestion")
+
+
+def digest_id(day: Column, domain: Column) -> Column:
+    return F.concat(day.cast("string"), F.lit(":"), domain)
+
+
+def overview_requests(chosen: DataFrame, n: int = 20) -> DataFrame:
+    """(id, day, domain, payload): one request for each digest, with its first n high-value items in order of arrival; a digest without any asks with
+    an empty list. Fields that are null are in the payload."""
     rank = F.row_number().over(Window.partitionBy("day", "domain").orderBy("doc_id", "id"))
     first = chosen.filter("high").withColumn("rank", rank).filter(F.col("rank") <= n)
-    entry = F.struct("rank", F.struct("id", "title", "category", F.col("insight_score").alias("score")).alias("item"))
-    return first.groupBy("day", "domain").agg(F.to_json(F.transform(F.sort_array(F.collect_list(entry)), lambda e: e["item"])).alias("payload"))
+    items = first.groupBy("day", "domain").agg(F.sort_array(F.collect_list(F.struct("rank", F.struct(*OVERVIEW_FIELDS).alias("item")))).alias("items"))
+    every = chosen.select("day", "domain").distinct().join(items, ["day", "domain"], "left")
+    listed = F.coalesce(F.transform("items", lambda x: x["item"]), F.array().cast(items.schema["items"].dataType.elementType["item"].dataType.simpleString().join(("array<", ">"))))
+    body = F.to_json(F.struct("domain", listed.alias("items")), {"ignoreNullFields": "false"})
+    return every.select(digest_id(F.col("day"), F.col("domain")).alias("id"), "day", "domain", body.alias("payload"))
+
+
+def overviews(chosen: DataFrame, scorer: Callable[[str], str], concurrency: int = 1, log: str | None = None, prompt_version: str = "", n: int = 20) -> DataFrame:
+    """(id, overview) of each digest whose response, or its repair, keeps the contract: the scorer is asked once a digest, not once an item."""
+    outcomes = score(overview_requests(chosen, n).select("id", "payload"), scorer, concurrency, parse_overview, log=log, prompt_version=prompt_version)
+    return outcomes.filter("outcome.error IS NULL").select("id", F.col("outcome.overview_zh").alias("overview"))
 
 
 def digest_counts(chosen: DataFrame) -> DataFrame:
@@ -59,9 +82,10 @@ def file_name(domain: Column, day: Column) -> Column:
     return F.concat(F.lit("intelligence-"), domain, F.lit("-"), day.cast("string"), F.lit(".md"))
 
 
-def render(chosen: DataFrame, totals: DataFrame, n: int = 5) -> DataFrame:
-    """One markdown text per day and domain (columns day, domain, content). totals: day, collected, analyzed, failed_sources.
+def render(chosen: DataFrame, totals: DataFrame, generated_at: str, overview: DataFrame | None = None, n: int = 5) -> DataFrame:
+    """One markdown text per day and domain: id, day, domain, title, summary, n_items, n_high, content and file.
 
+    totals: day, collected, analyzed, failed_sources. overview: optional (id, overview); a digest without one has a sentence of its counts.
     A digest names every item of its day below the high-value bound, so a text grows with its day's items.
     """
     h = highlights(chosen, n)
@@ -72,12 +96,18 @@ def render(chosen: DataFrame, totals: DataFrame, n: int = 5) -> DataFrame:
     low_line = F.concat(F.lit("- "), F.col("title"), F.lit(" (score "), F.col("insight_score"), F.lit(")"))
     low = lower_value(chosen).groupBy("day", "domain").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", low_line.alias("text")))), lambda x: x["text"]), "\n").alias("low_text"))
     rows = digest_counts(chosen).join(high, ["day", "domain"], "left").join(low, ["day", "domain"], "left").join(totals, "day", "left").na.fill(0, ["collected", "analyzed", "failed_sources"])
+    rows = rows.withColumn("id", digest_id(F.col("day"), F.col("domain")))
+    rows = rows.join(overview, "id", "left") if overview is not None else rows.withColumn("overview", F.lit(None).cast("string"))
     title = F.lit(OTHER_TITLE)
     for domain, text in TITLES.items():
         title = F.when(F.col("domain") == domain, F.lit(text)).otherwise(title)
     day = F.col("day").cast("string")
+    title = F.concat(title, F.lit(" · "), day)
+    counted = F.concat(F.lit(SUMMARY[0]), F.col("collected"), F.lit(SUMMARY[1]), F.col("n_high"), F.lit(SUMMARY[2]))
+    summary = F.coalesce(F.nullif("overview", F.lit("")), counted)
+    at = F.date_format(F.lit(generated_at).cast("timestamp_ntz"), "yyyy-MM-dd HH:mm:ss")
     content = F.concat(
-        F.lit("---\ntitle: "), title, F.lit(" · "), day, F.lit("\ntags:\n  - intelligence\n  - "), F.col("domain"), F.lit(f"\ncategories:\n  - {CATEGORIES_LINE}\n---\n\n## High Value\n\n"),
+        F.lit("---\ntitle: "), title, F.lit("\ndate: "), at, F.lit("\ntags:\n  - intelligence\n  - "), F.col("domain"), F.lit(f"\ncategories:\n  - {CATEGORIES_LINE}\n---\n\n## Overview\n\n"), summary, F.lit("\n\n## High Value\n\n"),
         F.coalesce("high_text", F.lit(NO_HIGH + "\n\n")), F.lit("## Lower-value Mentions\n\n"), F.coalesce("low_text", F.lit(NO_LOW)),
         F.lit("\n\n## Stats\n\n- Collected: "), F.col("collected"), F.lit("\n- Analyzed: "), F.col("analyzed"), F.lit("\n- High value: "), F.col("n_high"), F.lit("\n- Failed sources: "), F.col("failed_sources"), F.lit("\n"))
-    return rows.select("day", "domain", "n_items", "n_high", content.alias("content"), file_name(F.col("domain"), F.col("day")).alias("file"))
+    return rows.select("id", "day", "domain", title.alias("title"), summary.alias("summary"), "n_items", "n_high", content.alias("content"), file_name(F.col("domain"), F.col("day")).alias("file"))

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
+import uuid
 from collections.abc import Callable, Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import contracts, scores
-from ..storage import stored
+from ..storage import has_files, make_folder, new_path, qualified, stored
 
 STAGE2_FROM = 75
 #: What an outcome says of the model that gave it.
@@ -41,24 +45,86 @@ def stage2_requests(items: DataFrame, sources: DataFrame) -> DataFrame:
     return _with_source(items, sources).select("id", whole.alias("payload"))
 
 
-def score(payloads: DataFrame, scorer: Callable[[str], str], concurrency: int, contract: Callable, key: str = "id") -> DataFrame:
-    """Responses of a scorer to each payload, with one repair attempt where the contract breaks.
+#: Requests that are answered together: what a lost task repeats at most.
+CHUNK = 16
+LOG = "request string, prompt_version string, raw string"
 
-    The number of partitions bounds how many calls run at once. contract: a column function from the JSON payload of a response to
-    a struct with ``error``. Answers are written before anything looks at them, so that the scorer is called once for an
-    item and once for a repair (again only where a task failed), and an item has one answer wherever it is used.
+
+def request_key(payload: Column, prompt_version: str) -> Column:
+    """The key of a request: the same payload for another prompt is another request."""
+    return F.sha2(F.concat(F.lit(f"{prompt_version}\0"), payload), 256)
+
+
+def read_log(spark: SparkSession, log: str) -> DataFrame:
+    """The answers of a log, one for each request, however often it was written."""
+    if not has_files(spark, log):
+        return spark.createDataFrame([], LOG)
+    return spark.read.schema(LOG).parquet(log).groupBy("request").agg(F.any_value("prompt_version").alias("prompt_version"), F.any_value("raw").alias("raw"))
+
+
+def _answering(scorer: Callable[[str], str], folder: str, prompt_version: str, chunk: int):
+    """Rows (request, payload), sorted, are answered a chunk at a time; each chunk's answers are a file before the next one begins.
+
+    A chunk's file is named by its requests, and appears as a whole. A task that runs again finds the chunks of its lost attempt.
     """
 
-    def answer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            yield rows.assign(raw=rows["payload"].map(scorer))[[key, "raw"]]
+    def answered(rows: list[tuple[str, str]]) -> pa.Table:
+        system, base = fs.FileSystem.from_uri(folder)
+        path = f"{base}/chunk-{hashlib.sha256(' '.join(r for r, _ in rows).encode()).hexdigest()}.parquet"
+        if system.get_file_info(path).type == fs.FileType.File:
+            return pq.read_table(path, filesystem=system)
+        raw = [scorer(payload) for _, payload in rows]
+        table = pa.table([pa.array([r for r, _ in rows]), pa.array([prompt_version] * len(rows)), pa.array(raw, pa.string())], names=["request", "prompt_version", "raw"])
+        staged = f"{base}/_{uuid.uuid4().hex}"  # Spark passes over such names
+        pq.write_table(table, staged, filesystem=system)
+        system.move(staged, path)
+        return table
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[str, str]] = []
+        for batch in batches:
+            held += zip(*(batch.column(c).to_pylist() for c in ("request", "payload")))
+            while len(held) >= chunk:
+                yield from answered(held[:chunk]).to_batches()
+                held = held[chunk:]
+        if held:
+            yield from answered(held).to_batches()
+
+    return run
+
+
+def answers(payloads: DataFrame, scorer: Callable[[str], str], concurrency: int, log: str, prompt_version: str = "", chunk: int = CHUNK) -> DataFrame:
+    """(request, raw) for each different payload: from the log where it has the request, else from the scorer, whose answers are appended.
+
+    The number of partitions bounds how many calls run at once. Neither a second run nor a task that was lost asks again what a finished chunk holds.
+    """
+    spark = payloads.sparkSession
+    log = qualified(spark, log)
+    make_folder(spark, log)
+    wanted = payloads.select(request_key(F.col("payload"), prompt_version).alias("request"), "payload").groupBy("request").agg(F.any_value("payload").alias("payload"))
+    known = read_log(spark, log).select("request", "raw")
+    # Written first, so that a task's rows are the same whenever it runs.
+    asked = stored(wanted.join(known, "request", "left_anti"), "requests")
+    dealt = asked.repartition(concurrency, "request").sortWithinPartitions("request")
+    dealt.mapInArrow(_answering(scorer, log, prompt_version, chunk), LOG).write.format("noop").mode("overwrite").save()
+    return wanted.select("request").join(read_log(spark, log).select("request", "raw"), "request")
+
+
+def score(payloads: DataFrame, scorer: Callable[[str], str], concurrency: int, contract: Callable, key: str = "id", log: str | None = None, prompt_version: str = "") -> DataFrame:
+    """(key, raw, outcome): a scorer's response to each payload, with one repair attempt where the contract breaks.
+
+    contract: a column function from the JSON payload of a response to a struct with ``error``. log: a folder that keeps all
+    answers by the hash of payload and prompt version; without one, answers are kept for this run alone. So the scorer is called once for a
+    payload, and once for its repair.
+    """
+    log = log or new_path(payloads.sparkSession, "answers")
 
     def answered(asked: DataFrame) -> DataFrame:
-        raw = stored(asked.select(key, "payload").repartition(concurrency).mapInPandas(answer, f"{key} {kind}, raw string"), "answers")
+        keyed = asked.select(key, request_key(F.col("payload"), prompt_version).alias("request"))
+        raw = keyed.join(answers(asked, scorer, concurrency, log, prompt_version), "request").drop("request")
         return contracts.extract_objects(raw).withColumn("outcome", contract(F.col("payload")))
 
-    kind = payloads.schema[key].dataType.simpleString()
-    first = answered(payloads)
+    first = stored(answered(payloads), "outcomes")
     good, bad = first.filter("outcome.error IS NULL"), first.filter("outcome.error IS NOT NULL")
     again = payloads.join(bad.select(key), key, "left_semi").withColumn("payload", F.concat(F.lit("Answer with one JSON object only.\n"), "payload"))
     return good.unionByName(answered(again)).select(key, "raw", "outcome")

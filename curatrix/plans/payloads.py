@@ -163,10 +163,10 @@ def page_text(t: Tables):
 
 
 #: Put before and behind a page by its number: elements that nest, cross, stay open or close twice.
-_AROUND = (("", ""), ("<nav>a<nav>b</nav>c</nav>", ""), ("<footer>", "</footer>end"), ("</nav>x", ""), ("<nav>a<footer>b</nav>c</footer>", ""), ("a < b<noscript>1 < 2", ""))
+_AROUND = (("", ""), ("<nav>a<nav>b</nav>c</nav>", ""), ("<footer>", "</footer>end"), ("</nav></footer>", ""), ("<nav>a<footer>b</nav>c</footer>", ""), ("a < b<noscript>1 < 2", ""))
 
 
-@query("page_text_odd", f"""WITH t AS ({_page_text_sql()}) SELECT page_id, CASE page_id % 6 WHEN 0 THEN text WHEN 1 THEN text WHEN 2 THEN 'end' WHEN 3 THEN 'x' || text WHEN 4 THEN text WHEN 5 THEN 'a < b' END AS text FROM t""")
+@query("page_text_odd", f"""WITH t AS ({_page_text_sql()}) SELECT page_id, CASE page_id % 6 WHEN 0 THEN text WHEN 1 THEN text WHEN 2 THEN 'end' WHEN 3 THEN text WHEN 4 THEN text WHEN 5 THEN 'a < b' END AS text FROM t""")
 def page_text_odd(t: Tables):
     """Pages with hidden elements that nest, cross or stay open ahead of them; most leave the native path."""
     k = F.col("page_id") % len(_AROUND)

@@ -34,14 +34,30 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 def qualified(spark: SparkSession, folder: str) -> str:
     """The folder as a URI with a scheme, as file systems other than Spark's take it."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    system, path = _system(spark, folder)
+    found = system.makeQualified(path).toString()
     return f"file:///{found.removeprefix('file:').lstrip('/')}" if found.startswith("file:") else found
 
 
-def drop_folder(spark: SparkSession, folder: str) -> None:
+def _system(spark: SparkSession, folder: str):
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def make_folder(spark: SparkSession, folder: str) -> None:
+    system, path = _system(spark, folder)
+    system.mkdirs(path)
+
+
+def has_files(spark: SparkSession, folder: str) -> bool:
+    """Whether a folder holds anything that Spark would read."""
+    system, path = _system(spark, folder)
+    return system.exists(path) and any(not f.getPath().getName().startswith(("_", ".")) for f in system.listStatus(path))
+
+
+def drop_folder(spark: SparkSession, folder: str) -> None:
+    system, path = _system(spark, folder)
+    system.delete(path, True)
 
 
 def clear(spark: SparkSession) -> None:

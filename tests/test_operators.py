@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import collections
 import json
+import os
+import subprocess
+import sys
 
 import pytest
-from conftest import SMALL
+from conftest import ROOT, SMALL
 from pyspark.sql import functions as F
 
 from curatrix.bindings import NOW, Tables
@@ -123,34 +127,99 @@ def test_enqueue_twice(spark, t):
     assert {r.subject: r.status for r in again.collect()} == {"s1": "queued", "s2": "queued"}
 
 
-def test_digest_golden(spark):
-    data = [("i1", "A", "research", 92, "firm", "s", "act"), ("i2", "B", "vulnerability", 81, "confirmed", None, None), ("i3", "C", "tool", 55, None, None, None), ("i4", "D", "tool", 39, None, None, None)]
-    items = spark.createDataFrame([(i, k, "ai", x, n, c, s, conf, summary, action, 1) for k, (i, n, c, s, conf, summary, action) in enumerate(data) for x in ("src",)], "id string, doc_id int, domain string, source_id string, title string, category string, insight_score int, confidence string, summary_zh string, action_suggestion string, analysis_stage int").withColumn("stage1_analyzed_at", F.lit("2026-05-25 16:30:00").cast("timestamp_ntz"))
-    totals = spark.createDataFrame([("2026-05-26", 9, 4, 1)], "day string, collected long, analyzed long, failed_sources long").withColumn("day", F.to_date("day"))
-    got = digest.render(digest.digest_items(items), totals).first()
-    assert got.file == "intelligence-ai-2026-05-26.md" and (got.n_items, got.n_high) == (3, 2)
-    assert "- **A**\n  - score: 92\n  - source: src\n  - summary: s\n  - action: act\n" in got.content and got.content.index("漏洞披露") > got.content.index("研究分析")
-    assert "- C (score 55)" in got.content and "D" not in got.content.replace("AI 情报日报", "").split("---")[2] and "- Collected: 9\n- Analyzed: 4\n- High value: 2\n- Failed sources: 1\n" in got.content
+def digest_case(spark, rows, collected, analyzed, failed, domain="ai"):
+    items = spark.createDataFrame([(i, k, domain, x, n, c, s, conf, summary, action, 1) for k, (i, x, n, c, s, conf, summary, action) in enumerate(rows)], "id string, doc_id int, domain string, source_id string, title string, category string, insight_score int, confidence string, summary_zh string, action_suggestion string, analysis_stage int").withColumn("stage1_analyzed_at", F.lit("2026-05-25 16:30:00").cast("timestamp_ntz"))
+    totals = spark.createDataFrame([("2026-05-26", collected, analyzed, failed)], "day string, collected long, analyzed long, failed_sources long").withColumn("day", F.to_date("day"))
+    return digest.digest_items(items), totals
 
 
-def test_scorer_repairs_once(spark, tmp_path):
-    """One call an item and one a repair, however often the result is used."""
-    payloads = spark.createDataFrame([(str(i), json.dumps({"n": i})) for i in range(6)], "id string, payload string")
-    log = str(tmp_path / "calls")
+def test_digest_golden(spark):
+    """Line by line, with the overview that a scorer gave; it is asked once, for the high-value items only."""
+    rows = [("i1", "src", "Critical CVE", "vulnerability", 92, "confirmed", "高危漏洞。", "确认影响。"), ("i2", "p0", "Browser research", "research", 81, "firm", None, None), ("i3", "note", "Moderate note", "discussion", 55, None, None, None), ("i4", "low", "Low item", "discussion", 39, None, None, None), ("i5", "src", "Odd kind", "weird", 75, None, "", "")]
+    chosen, totals = digest_case(spark, rows, 9, 4, 1, "security")
+    requests = digest.overview_requests(chosen).collect()
+    assert len(requests) == 1 and requests[0].id == "2026-05-26:security"
+    assert json.loads(requests[0].payload) == {"domain": "security", "items": [{"title": t, "category": c, "summary_zh": s, "insight_score": n, "action_suggestion": a} for _, _, t, c, n, _, s, a in rows if n >= 75]}
+    said = digest.overviews(chosen, lambda p: json.dumps({"overview_zh": f" {len(json.loads(p)['items'])} 条。 "}))
+    got = digest.render(chosen, totals, "2026-05-26 08:06:00", said).first()
+    assert (got.id, got.file, got.title, got.summary, got.n_items, got.n_high) == ("2026-05-26:security", "intelligence-security-2026-05-26.md", "安全情报日报 · 2026-05-26", "3 条。", 4, 3)
+    assert got.content.split("\n") == [
+        "---", "title: 安全情报日报 · 2026-05-26", "date: 2026-05-26 08:06:00", "tags:", "  - intelligence", "  - security", "categories:", "  - 情报日报", "---", "", "## Overview", "", "3 条。", "", "## High Value", "",
+        "### 研究分析", "", "- **Browser research**", "  - score: 81", "  - source: p0", "", "### 漏洞披露", "", "- **Critical CVE**", "  - score: 92", "  - source: src", "  - summary: 高危漏洞。", "  - action: 确认影响。", "", "### weird", "", "- **Odd kind**", "  - score: 75", "  - source: src", "",
+        "## Lower-value Mentions", "", "- Moderate note (score 55)", "", "## Stats", "", "- Collected: 9", "- Analyzed: 4", "- High value: 3", "- Failed sources: 1", ""]
+
+
+def test_digest_without_overview(spark):
+    chosen, totals = digest_case(spark, [("i", "s", "Model update", "product", 76, None, "x", None)], 1, 1, 0)
+    broken = digest.overviews(chosen, lambda p: "no")
+    assert {digest.render(chosen, totals, "2026-05-26 08:00:00", o).first().summary for o in (None, broken)} == {"今日共采集 1 条情报，高价值 1 条。"}
+    none, totals = digest_case(spark, [("i", "s", "Low", "product", 20, None, "x", None)], 1, 1, 0)
+    assert digest.render(none, totals, "2026-05-26 08:00:00").count() == 0
+    lower, totals = digest_case(spark, [("i", "s", "Lower", "product", 45, None, "x", None)], 1, 1, 0)
+    assert json.loads(digest.overview_requests(lower).first().payload) == {"domain": "ai", "items": []}
+    assert "## High Value\n\n暂无高价值情报。\n\n## Lower-value Mentions\n\n- Lower (score 45)\n" in digest.render(lower, totals, "2026-05-26 08:00:00").first().content
+
+
+def counting(log, broken=lambda n, payload: False, dies=None):
+    """A scorer that notes each payload it is asked; ``dies`` names one at which the first call kills its task."""
 
     def scorer(p: str) -> str:
+        body = p[p.index("{") :]
+        n = json.loads(body)["n"]
         with open(log, "a") as f:
-            f.write("x")
-        if json.loads(p[p.index("{") :])["n"] % 2 and p[0] == "{":
-            return "sorry"
-        return json.dumps({"summary_zh": "x", "insight_score": 5})
+            f.write(f"{n} ")
+        if n == dies and not os.path.exists(f"{log}.died"):
+            open(f"{log}.died", "w").close()
+            os._exit(1)
+        return "sorry" if broken(n, p) else json.dumps({"summary_zh": "x", "insight_score": n % 100})
+
+    return scorer
+
+
+def payloads_of(spark, numbers):
+    return spark.createDataFrame([(str(i), json.dumps({"n": n})) for i, n in enumerate(numbers)], "id string, payload string")
 
+
+def test_scorer_repairs_once(spark, tmp_path):
+    """One call a payload and one a repair, however often the result is used."""
     from curatrix.functions.contracts import parse_stage1
 
-    scored = scoring.score(payloads, scorer, 2, parse_stage1)
+    log = str(tmp_path / "calls")
+    scored = scoring.score(payloads_of(spark, range(6)), counting(log, lambda n, p: n % 2 and p[0] == "{"), 2, parse_stage1)
     got = scored.collect()
     assert len(got) == 6 and all(r.outcome.error is None for r in got) and scored.count() == 6
-    assert len((tmp_path / "calls").read_text()) == 9
+    assert sorted((tmp_path / "calls").read_text().split()) == ["0", "1", "1", "2", "3", "3", "4", "5", "5"]
+
+
+def test_response_log(spark, tmp_path):
+    """A second run asks for what is new only, equal payloads are one request, and another prompt version is another one."""
+    from curatrix.functions.contracts import parse_stage1
+
+    calls, log = tmp_path / "calls", str(tmp_path / "log")
+    run = lambda numbers, version="v1": {r.id: r.outcome.insight_score for r in scoring.score(payloads_of(spark, numbers), counting(str(calls)), 3, parse_stage1, log=log, prompt_version=version).collect()}
+    assert run([1, 2, 3, 3, 2]) == {"0": 1, "1": 2, "2": 3, "3": 3, "4": 2} and sorted(calls.read_text().split()) == ["1", "2", "3"]
+    assert run([3, 4, 1]) == {"0": 3, "1": 4, "2": 1} and sorted(calls.read_text().split()) == ["1", "2", "3", "4"]
+    assert run([4], "v2") == {"0": 4} and sorted(calls.read_text().split()) == ["1", "2", "3", "4", "4"]
+    assert run([]) == {} and scoring.read_log(spark, log).count() == 5
+
+
+def test_lost_task_pays_once(tmp_path):
+    """A scorer that kills its worker once: every payload of a finished chunk is asked once, the others of the lost chunk twice at most."""
+    code = f"""
+import sys; sys.path[:0] = {sys.path[:1] + [ROOT]!r}
+from pyspark.sql import SparkSession
+from tests.test_operators import counting, payloads_of
+from curatrix.operators import scoring
+from curatrix.functions.contracts import parse_stage1
+spark = SparkSession.builder.master("local[2,3]").config(map={{"spark.ui.enabled": "false", "spark.checkpoint.dir": {str(tmp_path / "shared")!r}, "spark.sql.shuffle.partitions": "2", "spark.local.dir": {str(tmp_path / "local")!r}}}).getOrCreate()
+asked = payloads_of(spark, range(40))
+out = scoring.answers(asked, counting({str(tmp_path / "calls")!r}, dies=17), 1, {str(tmp_path / "log")!r}, chunk=4).collect()
+assert len(out) == 40, len(out)
+"""
+    subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True, timeout=240, env=os.environ | {"PYTHONPATH": f"{ROOT}:{ROOT}/tests"})
+    calls = collections.Counter((tmp_path / "calls").read_text().split())
+    assert (tmp_path / "calls.died").exists() and len(calls) == 40
+    assert calls["17"] == 2 and max(calls.values()) == 2 and sum(n == 2 for n in calls.values()) <= 4
 
 
 def test_readers(spark, tmp_path):
