@@ -19,8 +19,12 @@ def ratio(part: Column, whole: Column) -> Column:
     return F.coalesce(part / F.nullif(whole, F.lit(0)), F.lit(0.0))
 
 
+#: States in which a source is done.
+DONE = ("succeeded", "failed", "skipped")
+
+
 def progress(sources_done: Column, sources: Column, s1_done: Column, s1: Column, s2_done: Column, s2: Column, digest: Column) -> Column:
-    """Share of a run that is done: sources 0.3, stage one 0.4, stage two 0.2, digest 0.1."""
+    """Share of a run that is done: sources 0.3, stage one 0.4, stage two 0.2 (of both, what succeeded), digest 0.1."""
     done = F.when(digest.isin("succeeded", "partial"), 1.0).otherwise(0.0)
     return F.round(0.3 * ratio(sources_done, sources) + 0.4 * ratio(s1_done, s1) + 0.2 * ratio(s2_done, s2) + 0.1 * done, 2)
 
@@ -71,7 +75,7 @@ def stats_document(runs: DataFrame, results: DataFrame, digests: DataFrame) -> D
 
     runs: id, source_ids (those that the run was started with; a result of any other counts too), stage1_ and stage2_ total, ok and failed,
     dedup_skipped, retention_deleted. results: run_id, source_id, status, items, duration_s, error (null: left out). digests: run_id,
-    domain and DIGEST_FIELDS.
+    domain and DIGEST_FIELDS, of which those that are null are in the document, as a domain without a result is.
     """
     started = runs.select(F.col("id").alias("run_id"), F.explode("source_ids").alias("source_id")).distinct()
     entries = started.join(results, ["run_id", "source_id"], "full_outer")
@@ -84,8 +88,40 @@ def stats_document(runs: DataFrame, results: DataFrame, digests: DataFrame) -> D
     stage = lambda k: F.struct(F.col(f"{k}_total").alias("total"), F.col(f"{k}_ok").alias("succeeded"), F.col(f"{k}_failed").alias("failed"))
     rows = runs.join(by_source.withColumnRenamed("run_id", "id"), "id", "left").join(by_digest.withColumnRenamed("run_id", "id").withColumnRenamed("status", "digest_status"), "id", "left")
     digest = F.struct(F.coalesce("digest_status", F.lit("pending")).alias("status"), F.col("security"), F.col("ai"))
-    doc = F.to_json(F.struct(F.coalesce("sources", F.create_map().cast("map<string,struct<status:string,items:bigint,duration_s:double,error:string>>")).alias("sources"), stage("stage1").alias("stage1"), stage("stage2").alias("stage2"), "dedup_skipped", "retention_deleted", digest.alias("digest")))
-    return rows.select("id", doc.alias("stats_json"))
+    sources = F.to_json(F.coalesce("sources", F.create_map().cast("map<string,struct<status:string,items:bigint,duration_s:double,error:string>>")))
+    rest = F.to_json(F.struct(stage("stage1").alias("stage1"), stage("stage2").alias("stage2"), "dedup_skipped", "retention_deleted", digest.alias("digest")), {"ignoreNullFields": "false"})
+    return rows.select("id", F.concat(F.lit('{"sources":'), sources, F.lit(","), F.substring(rest, F.lit(2), F.length(rest))).alias("stats_json"))
+
+
+def document_sources(runs: DataFrame) -> DataFrame:
+    """(id, source_id, status, items, duration_s, error): the entries of sources in the stored documents of runs (id, stats_json)."""
+    docs = runs.select("id", F.try_parse_json("stats_json").alias("doc")).select("id", F.try_variant_get("doc", "$.sources", "variant").alias("sources"))
+    walked = runs.sparkSession.sql("SELECT d.id, s.key AS source_id, s.value FROM {docs} d, LATERAL variant_explode(d.sources) s", docs=docs)
+    get = lambda k, t: F.try_variant_get("value", f"$.{k}", t).alias(k)
+    return walked.select("id", "source_id", get("status", "string"), get("items", "bigint"), get("duration_s", "double"), get("error", "string"))
+
+
+def from_documents(runs: DataFrame) -> DataFrame:
+    """(id, progress, and what decides a run's status) of runs (id, stats_json), all of it read from the stored documents.
+
+    A document that is null or no JSON says nothing: no progress, no sources. Only successes of the two stages count as progress.
+    """
+    state = F.col("status")
+    tally = document_sources(runs).groupBy(F.col("id").alias("of_id")).agg(F.count("*").alias("sources"), F.count_if(state.isin(*DONE)).alias("sources_done"), F.count_if(state == "succeeded").alias("sources_ok"), F.count_if(state == "failed").alias("sources_failed"))
+    doc = F.try_parse_json("stats_json")
+    number = lambda stage, k: F.coalesce(F.try_variant_get(doc, f"$.{stage}.{k}", "bigint"), F.lit(0)).alias(f"{stage}_{k}")
+    told = runs.select("id", *(number(stage, k) for stage in ("stage1", "stage2") for k in ("total", "succeeded", "failed")), F.try_variant_get(doc, "$.digest.status", "string").alias("digest_status"))
+    rows = told.join(tally, F.col("id") == F.col("of_id"), "left").drop("of_id").na.fill(0, ["sources", "sources_done", "sources_ok", "sources_failed"])
+    c = F.col
+    done = progress(c("sources_done"), c("sources"), c("stage1_succeeded"), c("stage1_total"), c("stage2_succeeded"), c("stage2_total"), F.coalesce("digest_status", F.lit("")))
+    return rows.withColumn("progress", done)
+
+
+def status_from_documents(runs: DataFrame, fatal: Column, cleaned: Column) -> DataFrame:
+    """(id, final_status) by the stored documents. fatal, cleaned: columns of the runs, an error or null and whether the clean-up ended."""
+    c = F.col
+    rows = from_documents(runs).join(runs.select(c("id").alias("of_id"), fatal.alias("fatal"), cleaned.alias("cleaned")), c("id") == c("of_id"))
+    return rows.select("id", final_status(c("fatal"), c("cleaned"), c("sources_ok"), c("sources_failed"), c("stage1_total"), c("stage1_succeeded"), c("stage1_failed"), c("stage2_failed"), F.coalesce("digest_status", F.lit(""))).alias("final_status"))
 
 
 def finish(stored: DataFrame, finished: DataFrame) -> DataFrame:
@@ -95,10 +131,11 @@ def finish(stored: DataFrame, finished: DataFrame) -> DataFrame:
     return stored.join(ends, "id", "left").select(*(F.when(F.col("ended"), F.col(f"new_{c}")).otherwise(F.col(c)).alias(c) if f"new_{c}" in ends.columns else F.col(c) for c in stored.columns))
 
 
-def view(runs: DataFrame, progress: Column) -> DataFrame:
-    """What an API shows of a run."""
+def view(runs: DataFrame) -> DataFrame:
+    """What an API shows of a run (its progress comes from its document)."""
     times = ("window_start", "window_end", "started_at", "finished_at")
-    return runs.select("id", "kind", "status", *(iso(F.col(c)).alias(c) for c in times), progress.alias("progress"), "stats_json")
+    done = from_documents(runs).select(F.col("id").alias("of_id"), "progress")
+    return runs.join(done, F.col("id") == F.col("of_id")).select("id", "kind", "status", *(iso(F.col(c)).alias(c) for c in times), "progress", "stats_json")
 
 
 def latest_finished(runs: DataFrame) -> DataFrame:

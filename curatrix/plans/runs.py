@@ -20,30 +20,12 @@ def run_window(t: Tables):
     return window.select(*(F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) for c in window.columns))
 
 
-@query("run_progress", f"""
-SELECT id, round(0.3 * coalesce((sources_ok + sources_failed) * 1.0 / nullif(sources_total, 0), 0) + 0.4 * coalesce((stage1_ok + stage1_failed) * 1.0 / nullif(stage1_total, 0), 0)
-  + 0.2 * coalesce(stage2_ok * 1.0 / nullif(stage2_total, 0), 0) + 0.1 * CASE WHEN {_DIGEST} IN ('succeeded', 'partial') THEN 1 ELSE 0 END, 2) AS progress FROM b_runs""")
-def run_progress(t: Tables):
-    c = F.col
-    return ops.with_digest(t.runs).select("id", ops.progress(c("sources_ok") + c("sources_failed"), c("sources_total"), c("stage1_ok") + c("stage1_failed"), c("stage1_total"), c("stage2_ok"), c("stage2_total"), c("digest_status")).alias("progress"))
-
-
 @query("digest_status", f"SELECT id, {_DIGEST} AS digest_status FROM b_runs")
 def digest_status(t: Tables):
     results = t.runs.select("id", F.explode(F.array("digest_security", "digest_ai")).alias("status"))
     return ops.digest_status(results, "id")
 
 
-@query("run_status", f"""
-WITH d AS (SELECT *, {_DIGEST} AS ds FROM b_runs)
-SELECT id, CASE WHEN status = 'failed' OR sources_ok = 0 THEN 'failed' WHEN stage1_total > 0 AND stage1_ok = 0 THEN 'failed' WHEN ds = 'failed' THEN 'failed'
-  WHEN sources_failed > 0 OR stage1_failed > 0 OR stage2_failed > 0 OR ds = 'partial' THEN 'partial' WHEN ds = 'succeeded' THEN 'succeeded' ELSE 'partial' END AS final_status FROM d""")
-def run_status(t: Tables):
-    c = F.col
-    fatal = F.when(c("status") == "failed", "error")
-    return ops.with_digest(t.runs).select("id", ops.final_status(fatal, F.lit(True), c("sources_ok"), c("sources_failed"), c("stage1_total"), c("stage1_ok"), c("stage1_failed"), c("stage2_failed"), c("digest_status")).alias("final_status"))
-
-
 @query("run_cards", """
 SELECT id, sources_ok AS fetched_ok, sources_total AS fetched_total, sources_failed AS fetched_failed,
   CASE WHEN stage1_total = 0 THEN 'pending' WHEN stage1_ok = 0 THEN 'fail' WHEN stage1_failed > 0 THEN 'warn' ELSE 'ok' END AS stage1_state,
@@ -105,7 +87,11 @@ def _documents(t: Tables):
     return ops.stats_document(runs, fetch_stats(t.attempts, ("run_id", "source_id")), _digest_results(t))
 
 
-_DIGEST_JSON = """'{{"status":"' || digest_{d} || '"' || coalesce(',"digest_id":"' || digest_{d}_id || '"', '') || CASE WHEN digest_{d} = 'succeeded' THEN ',"hexo_path":"intelligence-{d}-' || CAST(r.day AS VARCHAR) || '.md"' ELSE '' END || CASE WHEN digest_{d} = 'failed' THEN ',"error":"digest_error"' ELSE '' END || '}}'"""
+def _text(value: str) -> str:
+    return f"""coalesce('"' || {value} || '"', 'null')"""
+
+
+_DIGEST_JSON = "'{{\"status\":\"' || digest_{d} || '\",\"digest_id\":' || " + _text("digest_{d}_id") + " || ',\"hexo_path\":' || " + _text("CASE WHEN digest_{d} = 'succeeded' THEN 'intelligence-{d}-' || CAST(r.day AS VARCHAR) || '.md' END") + " || ',\"oss_url\":null,\"error\":' || " + _text("CASE WHEN digest_{d} = 'failed' THEN 'digest_error' END") + " || '}}'"
 _DOCUMENTS = f"""s AS (SELECT run_id, source_id, CASE WHEN last(ok ORDER BY attempt_at, event_id) THEN 'succeeded' ELSE 'failed' END AS status, CAST(sum(n_items) AS BIGINT) AS items, round(last(duration_ds ORDER BY attempt_at, event_id) / 10, 3) AS duration_s, last(error ORDER BY attempt_at, event_id) AS error FROM b_fetch_attempts GROUP BY ALL
   UNION ALL SELECT DISTINCT run_id, 'silent', 'pending', 0, 0.0, NULL FROM b_fetch_attempts),
 m AS (SELECT run_id, string_agg('"' || source_id || '":{{"status":"' || status || '","items":' || items || ',"duration_s":' || CAST(CAST(duration_s AS DOUBLE) AS VARCHAR) || coalesce(',"error":"' || error || '"', '') || '}}', ',' ORDER BY source_id) AS body FROM s GROUP BY run_id),
@@ -118,15 +104,32 @@ def run_stats_document(t: Tables):
     return _documents(t)
 
 
-_PROGRESS = f"""round(0.3 * coalesce((sources_ok + sources_failed) * 1.0 / nullif(sources_total, 0), 0) + 0.4 * coalesce((stage1_ok + stage1_failed) * 1.0 / nullif(stage1_total, 0), 0)
-  + 0.2 * coalesce(stage2_ok * 1.0 / nullif(stage2_total, 0), 0) + 0.1 * CASE WHEN {_DIGEST} IN ('succeeded', 'partial') THEN 1 ELSE 0 END, 2)"""
+#: The rules on what the documents hold: every source counts, those of a run that never answered are not done; of stage one and two, what succeeded.
+_TOLD = f"""q AS (SELECT run_id, count(*) AS total, count(*) FILTER (WHERE status IN ('succeeded', 'failed', 'skipped')) AS done, count(*) FILTER (WHERE status = 'succeeded') AS ok, count(*) FILTER (WHERE status = 'failed') AS bad FROM s GROUP BY run_id),
+p AS (SELECT r.id, round(CAST(0.3 AS DOUBLE) * (q.done / q.total) + CAST(0.4 AS DOUBLE) * CASE WHEN stage1_total = 0 THEN 0 ELSE stage1_ok / stage1_total END + CAST(0.2 AS DOUBLE) * CASE WHEN stage2_total = 0 THEN 0 ELSE stage2_ok / stage2_total END + CAST(0.1 AS DOUBLE) * CASE WHEN {_DIGEST} IN ('succeeded', 'partial') THEN 1 ELSE 0 END, 2) AS progress,
+  CASE WHEN r.status = 'failed' OR q.ok = 0 OR (stage1_total > 0 AND stage1_ok = 0) OR {_DIGEST} = 'failed' THEN 'failed' WHEN q.bad > 0 OR stage1_failed > 0 OR stage2_failed > 0 OR {_DIGEST} = 'partial' THEN 'partial' WHEN {_DIGEST} = 'succeeded' THEN 'succeeded' ELSE 'partial' END AS final_status
+  FROM b_runs r JOIN q ON q.run_id = r.id)"""
+
+
+@query("run_progress", f"WITH {_DOCUMENTS}, {_TOLD} SELECT id, progress FROM p")
+def run_progress(t: Tables):
+    return ops.from_documents(_documents(t)).select("id", "progress")
+
+
+@query("run_status", f"WITH {_DOCUMENTS}, {_TOLD} SELECT id, final_status FROM p")
+def run_status(t: Tables):
+    runs = t.runs.select("id", "status").join(_documents(t), "id")
+    return ops.status_from_documents(runs, F.when(F.col("status") == "failed", "error"), F.lit(True))
+
+
+@query("run_document_sources", f"WITH {_DOCUMENTS} SELECT run_id AS id, source_id, status, items, CAST(duration_s AS DOUBLE) AS duration_s, error FROM s")
+def run_document_sources(t: Tables):
+    return ops.document_sources(_documents(t))
 
 
-@query("run_views", f"WITH {_DOCUMENTS} SELECT r.id, r.kind, r.status, " + ", ".join(f"strftime(r.{c}, '%Y-%m-%dT%H:%M:%S+00:00') AS {c}" for c in ("window_start", "window_end", "started_at", "finished_at")) + f", {_PROGRESS} AS progress, doc.stats_json FROM b_runs r LEFT JOIN doc ON doc.id = r.id")
+@query("run_views", f"WITH {_DOCUMENTS}, {_TOLD} SELECT r.id, r.kind, r.status, " + ", ".join(f"strftime(r.{c}, '%Y-%m-%dT%H:%M:%S+00:00') AS {c}" for c in ("window_start", "window_end", "started_at", "finished_at")) + ", p.progress, doc.stats_json FROM b_runs r JOIN p ON p.id = r.id LEFT JOIN doc ON doc.id = r.id")
 def run_views(t: Tables):
-    c = F.col
-    done = ops.progress(c("sources_ok") + c("sources_failed"), c("sources_total"), c("stage1_ok") + c("stage1_failed"), c("stage1_total"), c("stage2_ok"), c("stage2_total"), c("digest_status"))
-    return ops.view(ops.with_digest(t.runs).join(_documents(t), "id", "left"), done)
+    return ops.view(t.runs.join(_documents(t), "id", "left"))
 
 
 @query("run_lookup", "SELECT id, kind, status FROM b_runs WHERE id = 'run-2024-01-05'")

@@ -298,11 +298,28 @@ def test_stats_document_of_a_new_run(spark):
     results = made("run_id string, source_id string, status string, items long, duration_s double, error string", ("r", "b", "failed", 0, 1.5, "source_timeout"))
     digests = made("run_id string, domain string, status string, digest_id string, hexo_path string, oss_url string, error string", ("r", "ai", "succeeded", "d", None, None, None))
     doc = json.loads(runs.stats_document(run, results, digests).first().stats_json)
-    assert doc["sources"] == {"a": {"status": "pending", "items": 0, "duration_s": 0.0}, "b": {"status": "failed", "items": 0, "duration_s": 1.5, "error": "source_timeout"}} and doc["digest"] == {"status": "succeeded", "ai": {"status": "succeeded", "digest_id": "d"}}
+    assert doc["sources"] == {"a": {"status": "pending", "items": 0, "duration_s": 0.0}, "b": {"status": "failed", "items": 0, "duration_s": 1.5, "error": "source_timeout"}} and doc["digest"] == {"status": "succeeded", "security": None, "ai": {"status": "succeeded", "digest_id": "d", "hexo_path": None, "oss_url": None, "error": None}}
     empty = json.loads(runs.stats_document(run, results.filter("false"), digests.filter("false")).first().stats_json)
     assert empty["digest"]["status"] == "pending" and empty["sources"]["b"]["status"] == "pending" and empty["dedup_skipped"] == 0
 
 
+def test_progress_from_documents(spark):
+    """Failed items of stage one are no progress; a document that can't be read says nothing."""
+    source = lambda s: {"status": s, "items": 5, "duration_s": 1.5}
+    doc = {"sources": {"a": source("succeeded"), "b": source("pending")}, "stage1": {"total": 10, "succeeded": 5, "failed": 0}, "stage2": {"total": 2, "succeeded": 1, "failed": 0}, "digest": {"status": "partial", "security": None, "ai": None}}
+    failing = doc | {"stage1": {"total": 10, "succeeded": 5, "failed": 5}, "sources": {"a": source("failed"), "b": source("skipped")}, "digest": {"status": "succeeded"}}
+    new = {"sources": {"a": source("pending")}, "stage1": {"total": 0, "succeeded": 0, "failed": 0}, "stage2": {"total": 0, "succeeded": 0, "failed": 0}, "digest": {"status": "pending", "security": None, "ai": None}}
+    every = {"half": doc, "failing": failing, "new": new, "empty": {}}
+    df = spark.createDataFrame([*((k, json.dumps(v)) for k, v in every.items()), ("none", None), ("broken", "{")], "id string, stats_json string")
+    assert {r.id: r.progress for r in runs.from_documents(df).collect()} == {"half": 0.55, "failing": 0.7, "new": 0.0, "empty": 0.0, "none": 0.0, "broken": 0.0}
+    status = lambda fatal, cleaned: {r.id: r.final_status for r in runs.status_from_documents(df, F.lit(fatal).cast("string"), F.lit(cleaned)).collect()}
+    assert status(None, True) == {"half": "partial", "failing": "failed", "new": "failed", "empty": "failed", "none": "failed", "broken": "failed"}
+    assert set(status("x", True).values()) == set(status(None, False).values()) == {"failed"}
+    good = df.filter("id = 'half'").select("id", F.regexp_replace("stats_json", "partial|pending", "succeeded").alias("stats_json"))
+    assert runs.status_from_documents(good, F.lit(None).cast("string"), F.lit(True)).first().final_status == "succeeded"
+    assert sorted((r.source_id, r.status, r.items, r.duration_s, r.error) for r in runs.document_sources(good).collect()) == [("a", "succeeded", 5, 1.5, None), ("b", "succeeded", 5, 1.5, None)]
+
+
 def test_digest_sink_overwrites_one_partition(spark, tmp_path):
     make = lambda d, text: spark.createDataFrame([(d, "ai", "f", text)], "day string, domain string, file string, content string")
     for d, text in (("2024-01-01", "a"), ("2024-01-02", "b"), ("2024-01-01", "c")):
