@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.times import iso
+from .digest import file_name
 
 
 def run_window(runs: DataFrame, now: str, hours: int = 24) -> DataFrame:
@@ -142,25 +143,31 @@ def latest_finished(runs: DataFrame) -> DataFrame:
     return runs.filter("finished_at IS NOT NULL").orderBy(F.desc("finished_at"), "id").limit(1)
 
 
-def audit(runs: DataFrame, items: DataFrame, digests: DataFrame, results: DataFrame, least_items: int, least_analysed: int, least_digests: int, domains: tuple[str, ...] = ("security", "ai"), accepted: tuple[str, ...] = ("succeeded",)) -> DataFrame:
+def audit(runs: DataFrame, items: DataFrame, digests: DataFrame, results: DataFrame, least_items: int, least_analysed: int, least_digests: int, domains: tuple[str, ...] = ("security", "ai"), accepted: tuple[str, ...] = ("succeeded",), posts: DataFrame | None = None) -> DataFrame:
     """Each of the runs (id, status) with its evidence and its error codes, in a fixed order; without any run one row that says so.
 
     items: run_id, analysis_stage; digests: run_id, domain, id, has_content; results: what the run's document says of its digests,
-    run_id, domain, status, digest_id. A digest counts only with content.
+    run_id, domain, status, digest_id. A digest counts only with content. posts: optional table of the posts folder (file), in which each
+    digest (column day) must have its file.
     """
     found = items.groupBy(F.col("run_id").alias("id")).agg(F.count("*").alias("items"), F.count_if(F.col("analysis_stage") >= 1).alias("analysed"))
-    made = digests.filter("has_content").select(F.col("run_id").alias("id"), "domain", F.col("id").alias("made_id"))
+    file = file_name(F.col("domain"), F.col("day")) if posts is not None else F.lit(None).cast("string")
+    made = digests.filter("has_content").select(F.col("run_id").alias("id"), "domain", F.col("id").alias("made_id"), file.alias("post"))
+    if posts is not None:
+        there = posts.select(F.col("file").alias("of_post")).distinct()
+        made = made.join(there, F.col("post") == F.col("of_post"), "left").withColumn("post", F.when(F.col("of_post").isNull(), F.col("post"))).drop("of_post")
+    made = made.withColumnRenamed("post", "lost_post")
     told = results.select(F.col("run_id").alias("id"), "domain", F.col("status").alias("told_status"), F.col("digest_id").alias("told_id"))
     both = made.join(told, ["id", "domain"], "full_outer").groupBy("id")
     pick = lambda c, d: F.max(F.when(F.col("domain") == d, F.col(c))).alias(f"{c}_{d}")
-    evidence = both.agg(F.count_distinct(F.when(F.col("made_id").isNotNull(), F.col("domain"))).alias("digests"), *(pick(c, d) for d in domains for c in ("made_id", "told_status", "told_id")))
+    evidence = both.agg(F.count_distinct(F.when(F.col("made_id").isNotNull(), F.col("domain"))).alias("digests"), *(pick(c, d) for d in domains for c in ("made_id", "told_status", "told_id", "lost_post")))
     row = runs.select("id", "status").join(found, "id", "left").join(evidence, "id", "left").na.fill(0, ["items", "analysed", "digests"])
     few = lambda name, n, least: F.when(n < least, F.concat(F.lit(f"{name}_below_min:"), n, F.lit(f"<{least}")))
     errors = [F.when(~F.col("status").isin(*accepted), F.concat(F.lit("run_status_"), "status")), few("items", F.col("items"), least_items), few("analyzed", F.col("analysed"), least_analysed), few("digests", F.col("digests"), least_digests)]
     for d in domains:
         there = F.col(f"made_id_{d}").isNotNull()
         errors += [F.when(~there, F.lit(f"missing_digest:{d}")), F.when(there & ~F.coalesce(F.col(f"told_status_{d}") == "succeeded", F.lit(False)), F.lit(f"digest_not_succeeded:{d}")),
-                   F.when(there & (F.coalesce(F.col(f"told_id_{d}"), F.lit("")) != "") & (F.col(f"told_id_{d}") != F.col(f"made_id_{d}")), F.lit(f"digest_id_mismatch:{d}"))]
+                   F.when(there & (F.coalesce(F.col(f"told_id_{d}"), F.lit("")) != "") & (F.col(f"told_id_{d}") != F.col(f"made_id_{d}")), F.lit(f"digest_id_mismatch:{d}")), F.concat(F.lit("missing_hexo_file:"), F.col(f"lost_post_{d}"))]
     judged = row.select("id", "status", "items", "analysed", "digests", F.array_join(F.array_compact(F.array(*errors)), ",").alias("errors"))
     none = runs.agg(F.count("*").alias("n")).filter("n = 0").select(*(F.lit(None).cast(judged.schema[c].dataType).alias(c) for c in ("id", "status")), *(F.lit(0).cast("long").alias(c) for c in ("items", "analysed", "digests")), F.lit("no_finished_run").alias("errors"))
     return judged.unionByName(none)

@@ -29,6 +29,22 @@ def _content(name: str = "content_text"):
     return F.sha2(F.trim(name), 256).alias("content_sha256")
 
 
+def _spelled():
+    """A time by the document's number, spelled in one of seven ways: zones by name and offset, years of two digits, fractions, no seconds."""
+    at = F.lit("2024-01-05 10:00:00").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), (F.col("doc_id") * 37 % 40000).cast("int"))
+    show = lambda hours, form: F.date_format(at + F.make_dt_interval(F.lit(0), F.lit(hours)), form)
+    ways = [show(0, "EEE, dd MMM yyyy HH:mm:ss '+0000'"), show(-5, "dd MMM yy HH:mm 'EST'"), show(2, "yyyy-MM-dd'T'HH:mm:ss'.000000+02:00'"), show(0, "yyyy-MM-dd'T'HH:mm:ss'+0000'"), show(0, "yyyy-MM-dd'T'HH:mm:ss'Z'"), show(-7, "EEE, d MMM yyyy HH:mm:ss 'PDT'"), show(0, "yyyyMMdd'T'HHmmss")]
+    return F.element_at(F.array(*ways), (F.col("doc_id") % len(ways) + 1).cast("int"))
+
+
+#: The same time in the twins.
+_PUBLISHED = "strftime(TIMESTAMP '2024-01-05 10:00:00' + to_minutes(CAST(doc_id * 37 % 40000 AS BIGINT)), '%Y-%m-%d %H:%M:%S')"
+
+
+def _published():
+    return F.date_format(F.to_utc_timestamp("published_at", F.current_timezone()), "yyyy-MM-dd HH:mm:ss").alias("published")
+
+
 @query("api_items", "SELECT source AS source_id, CAST(doc_id AS VARCHAR) AS native_id, trim(substr(text, 1, 60)) AS title, 'https://x.example.org/' || doc_id AS canonical_url, sha256(trim(text)) AS content_sha256 FROM documents WHERE doc_id % 3 <> 2")
 def api_items(t: Tables):
     body = F.to_json(F.struct(F.col("doc_id").alias("id"), "title", F.concat(F.lit("https://x.example.org/"), "doc_id").alias("link"), F.col("text").alias("content")))
@@ -37,17 +53,17 @@ def api_items(t: Tables):
     return readers.records(grouped.withColumnRenamed("source", "source_id")).select("source_id", "native_id", F.trim("title").alias("title"), "canonical_url", _content())
 
 
-@query("nvd_items", """
+@query("nvd_items", f"""
 SELECT source AS source_id, 'CVE-2024-' || doc_id AS native_id, 'CVE-2024-' || doc_id || ': ' || substr(text, 1, 200) AS title, 'https://nvd.nist.gov/vuln/detail/CVE-2024-' || doc_id AS canonical_url, sha256(trim(text)) AS content_sha256,
-  CASE WHEN doc_id % 2 = 0 THEN CAST(doc_id % 10 AS DOUBLE) ELSE 5.5 END AS cvss FROM documents""")
+  CASE WHEN doc_id % 2 = 0 THEN CAST(doc_id % 10 AS DOUBLE) ELSE 5.5 END AS cvss, CASE WHEN doc_id % 7 NOT IN (0, 1, 5) THEN {_PUBLISHED} END AS published FROM documents""")
 def nvd_items(t: Tables):
     metric = lambda x: F.array(F.struct(F.struct(x.cast("double").alias("baseScore")).alias("cvssData")))
     even = F.col("doc_id") % 2 == 0
     metrics = F.struct(F.when(even, metric(F.col("doc_id") % 10)).alias("cvssMetricV31"), metric(F.lit(5.5)).alias("cvssMetricV2"))
     about = F.array(F.struct(F.lit("zh").alias("lang"), F.lit("x").alias("value")), F.struct(F.lit("en").alias("lang"), F.col("text").alias("value")))
-    cve = F.struct(F.concat(F.lit("CVE-2024-"), "doc_id").alias("id"), F.lit("2024-01-05T10:00:00.000").alias("published"), about.alias("descriptions"), metrics.alias("metrics"))
+    cve = F.struct(F.concat(F.lit("CVE-2024-"), "doc_id").alias("id"), F.when(~(F.col("doc_id") % 7).isin(0, 1, 5), _spelled()).alias("published"), about.alias("descriptions"), metrics.alias("metrics"))
     grouped = _docs(t).groupBy("source", "g").agg(F.to_json(F.struct(F.collect_list(F.struct(cve.alias("cve"))).alias("vulnerabilities"))).alias("payload"))
-    return readers.nvd(grouped.withColumnRenamed("source", "source_id")).select("source_id", "native_id", "title", "canonical_url", _content(), F.get_json_object("metadata", "$.cvss").cast("double").alias("cvss"))
+    return readers.nvd(grouped.withColumnRenamed("source", "source_id")).select("source_id", "native_id", "title", "canonical_url", _content(), F.get_json_object("metadata", "$.cvss").cast("double").alias("cvss"), _published())
 
 
 @query("advisory_items", """
@@ -97,13 +113,13 @@ def routed_items(t: Tables):
     return readers.read_all(every).select("source_id", "source_order", "native_id", _content())
 
 
-@query("feed_items_xml", """
-SELECT source AS source_id, CAST(doc_id AS VARCHAR) AS native_id, 'Item ' || doc_id AS title, 'https://f.example.org/' || doc_id AS canonical_url, '2024-01-05 10:00:00' AS published, 'by ' || lang AS author, lang AS tags, sha256(trim(text)) AS content_sha256 FROM documents""")
+@query("feed_items_xml", f"""
+SELECT source AS source_id, CAST(doc_id AS VARCHAR) AS native_id, 'Item ' || doc_id AS title, 'https://f.example.org/' || doc_id AS canonical_url, {_PUBLISHED} AS published, 'by ' || lang AS author, lang AS tags, sha256(trim(text)) AS content_sha256 FROM documents""")
 def feed_items_xml(t: Tables):
-    item = F.concat(F.lit("<item><title>Item "), "doc_id", F.lit("</title><link>https://f.example.org/"), "doc_id", F.lit("</link><guid>"), "doc_id", F.lit("</guid><pubDate>Fri, 05 Jan 2024 10:00:00 +0000</pubDate><dc:creator>by "), "lang", F.lit("</dc:creator><category> </category><category>"), "lang", F.lit("</category><description>"), _escaped("text"), F.lit("</description></item>"))
+    item = F.concat(F.lit("<item><title>Item "), "doc_id", F.lit("</title><link>https://f.example.org/"), "doc_id", F.lit("</link><guid>"), "doc_id", F.lit("</guid><pubDate>"), _spelled(), F.lit("</pubDate><dc:creator>by "), "lang", F.lit("</dc:creator><category> </category><category>"), "lang", F.lit("</category><description>"), _escaped("text"), F.lit("</description></item>"))
     grouped = t.table("documents").groupBy(F.col("source").alias("source_id"), F.floor(F.col("doc_id") / GROUP).alias("g")).agg(F.concat(F.lit("<rss><channel>"), F.array_join(F.collect_list(item), ""), F.lit("</channel></rss>")).alias("payload"))
     tags = F.array_join(F.from_json(F.get_json_object("metadata", "$.tags"), "array<string>"), ",")
-    return readers.feed(grouped).select("source_id", "native_id", "title", "canonical_url", F.date_format(F.to_utc_timestamp("published_at", F.current_timezone()), "yyyy-MM-dd HH:mm:ss").alias("published"), "author", tags.alias("tags"), _content())
+    return readers.feed(grouped).select("source_id", "native_id", "title", "canonical_url", _published(), "author", tags.alias("tags"), _content())
 
 
 def _escaped(column: str):
@@ -225,14 +241,19 @@ def paper_ids(t: Tables):
 
 
 @query("report_scan", """
-SELECT id AS stem, CASE n % 3 WHEN 0 THEN 'GHSA-' || n ELSE id END AS subject, CASE n % 3 WHEN 0 THEN 'paper' ELSE 'vuln_rca' END AS kind, CASE n % 3 WHEN 0 THEN 'm' || n END AS model FROM b_sources""")
+SELECT id AS stem, CASE n % 4 WHEN 0 THEN 'GHSA-' || n ELSE id END AS subject, CASE n % 4 WHEN 0 THEN 'paper' ELSE 'vuln_rca' END AS kind, CASE n % 4 WHEN 0 THEN 'm' || n END AS model, CASE n % 4 WHEN 0 THEN 'i' || n END AS item_id,
+  CASE n % 4 WHEN 0 THEN 'v' || n END AS vuln_commit, CASE n % 4 WHEN 0 THEN 'f' || n END AS fix_commit, CASE n % 4 WHEN 0 THEN 'ok' END AS status, CASE n % 4 WHEN 0 THEN n END AS first_attempt FROM b_sources""")
 def report_scan(t: Tables):
-    """A report file for each source, with a head that says what it is, one that is no JSON, or none."""
+    """A report file for each source, with a head that says what it is, one that is no JSON, one that a line stands before, or none."""
     n = F.col("n").cast("string")
-    head = F.when(F.col("n") % 3 == 0, F.concat(F.lit('<!-- {"ghsa":"GHSA-'), n, F.lit('","kind":"paper","model":"m'), n, F.lit('"} -->\n'))).when(F.col("n") % 3 == 1, F.lit("<!-- {bad} -->\n")).otherwise(F.lit(""))
+    meta = F.to_json(F.struct(F.concat(F.lit("GHSA-"), n).alias("ghsa"), F.lit("paper").alias("kind"), *(F.concat(F.lit(k[0]), n).alias(k) for k in ("model", "item_id", "vuln_commit", "fix_commit")), F.lit("ok").alias("status"), F.array(F.struct(F.col("n").alias("try"))).alias("attempts")))
+    good = F.concat(F.lit("<!-- "), meta, F.lit(" -->\n"))
+    kind = F.col("n") % 4
+    head = F.when(kind == 0, good).when(kind == 1, F.lit("<!-- {bad} -->\n")).when(kind == 2, F.concat(F.lit("\n"), good)).otherwise(F.lit(""))
     path = new_path(t.spark, "reports")
     write_text_files(t.sources.select(F.concat("id", F.lit(".md")).alias("file"), F.concat(head, F.lit("# Report\n\nof "), "name").alias("content")), path)
-    return readers.reports(t.spark, path).select("stem", "subject", "kind", "model")
+    found = readers.reports(t.spark, path)
+    return found.select("stem", "subject", "kind", "model", "item_id", "vuln_commit", "fix_commit", "status", F.get_json_object("attempts", "$[0].try").cast("int").alias("first_attempt"))
 
 
 @query("advisory_ids", "SELECT doc_id, CASE WHEN regexp_extract(advisory_text, '(?i)(GHSA(-[0-9a-z]{4}){3})', 1) <> '' THEN 'GHSA' || lower(substr(regexp_extract(advisory_text, '(?i)(GHSA(-[0-9a-z]{4}){3})', 1), 5)) END AS ghsa FROM b_candidates")

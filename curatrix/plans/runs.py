@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from ..bindings import NOW, Tables
 from ..operators import runs as ops
+from ..operators.digest import file_name
 from ..operators.sources import fetch_stats
 from ..registry import query
-from ..sources.sinks import append_runs
+from ..sources.readers import posts_in
+from ..sources.sinks import append_runs, write_text_files
 from ..storage import new_path
 
 _DIGEST = """CASE WHEN digest_security = 'succeeded' OR digest_ai = 'succeeded' THEN CASE WHEN digest_security = 'failed' OR digest_ai = 'failed' THEN 'partial' ELSE 'succeeded' END ELSE 'failed' END"""
@@ -176,6 +178,21 @@ def run_audits(t: Tables):
     return _audited(t, t.runs.filter("finished_at IS NOT NULL"))
 
 
+def _post(d: str, made: str) -> str:
+    return f"CASE WHEN strpos({made}, '-1') > 0 AND {made} LIKE '%0:{d}' THEN 'missing_hexo_file:intelligence-{d}-' || split_part({made}, ':', 1) || '.md' END"
+
+
+@query("run_audits_posts", f"WITH l AS (SELECT * FROM b_runs WHERE finished_at IS NOT NULL), {_AUDIT}".replace(_domain_errors("security", "sid"), f"{_domain_errors('security', 'sid')}, {_post('security', 'sid')}").replace(_domain_errors("ai", "aid"), f"{_domain_errors('ai', 'aid')}, {_post('ai', 'aid')}"))
+def run_audits_posts(t: Tables):
+    """The posts folder lacks the digests of days whose number ends in a zero, in months or days that have a one after a dash."""
+    digests = t.table("b_digests")
+    path = new_path(t.spark, "posts")
+    kept = digests.filter(~(F.col("id").contains("-1") & F.split("id", ":")[0].endswith("0")))
+    write_text_files(kept.select(file_name(F.col("domain"), F.col("day")).alias("file"), F.col("id").alias("content")), path)
+    found = digests.select("run_id", "domain", "id", "day", (F.col("n_items") > 1).alias("has_content"))
+    return ops.audit(t.runs.filter("finished_at IS NOT NULL"), t.items, found, _digest_results(t), 30, 20, 2, posts=posts_in(t.spark, path))
+
+
 @query("run_totals", """
 SELECT CAST(day AS VARCHAR) AS day, CAST(sum(n_items) AS BIGINT) AS collected, count(DISTINCT source_id) FILTER (WHERE NOT ok) AS failed_sources FROM (SELECT *, CAST(attempt_at AS DATE) AS day FROM b_fetch_attempts) GROUP BY day""")
 def run_totals(t: Tables):

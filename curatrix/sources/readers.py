@@ -108,13 +108,26 @@ def stories(lists: DataFrame, details: DataFrame, max_items: int, keywords: tupl
     return _raw(rows.filter(has_keyword(keywords, "title", "content_text", "canonical_url")), since)
 
 
+def posts_in(spark: SparkSession, folder: str, pattern: str = "*.md") -> DataFrame:
+    """(file, bytes) of a folder of posts, from its listing: no file is opened. A folder without any gives no rows."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
+    return files.select(F.col("_metadata.file_name").alias("file"), F.col("length").alias("bytes"))
+
+
+#: What a report's head may say, beside what it is about.
+REPORT_FIELDS = ("item_id", "repo", "vuln_commit", "fix_commit", "model", "status", "attempts")
+
+
 def reports(spark: SparkSession, path: str) -> DataFrame:
-    """Report files: the whole text, and what their leading comment of JSON says of them; bad JSON says nothing."""
+    """Report files: the whole text, and what their leading comment of JSON says of them (a value that is no string as its JSON).
+
+    The comment begins the file; bad JSON says nothing. A report without a subject is named by its file.
+    """
     files = spark.read.text(path, wholetext=True).select(F.col("value").alias("report_md"), F.col("_metadata.file_name").alias("file"))
-    head = F.regexp_extract("report_md", r"(?s)^\s*<!--\s*(\{.*?\})\s*-->", 1)
-    get = lambda k: _blank(F.get_json_object(F.when(F.try_parse_json(head).isNotNull(), head), f"$.{k}"))
+    head = F.regexp_extract("report_md", r"(?s)^<!--\s*(\{.*?\})\s*-->", 1)
+    get = lambda k: F.get_json_object(F.when(F.try_parse_json(head).isNotNull(), head), f"$.{k}")
     stem = F.regexp_replace("file", r"\.[^.]*$", "")
-    return files.select(stem.alias("stem"), F.coalesce(get("ghsa"), get("subject"), stem).alias("subject"), F.coalesce(get("kind"), F.lit("vuln_rca")).alias("kind"), get("repo").alias("repo"), get("model").alias("model"), "report_md")
+    return files.select(stem.alias("stem"), F.coalesce(_blank(get("ghsa")), _blank(get("subject")), stem).alias("subject"), F.coalesce(get("kind"), F.lit("vuln_rca")).alias("kind"), *(get(k).alias(k) for k in REPORT_FIELDS), "report_md")
 
 
 def landed_stories(payloads: DataFrame, since: str | None = None, max_items: int = 50) -> DataFrame:

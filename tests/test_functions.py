@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import datetime
+import email.utils
 import json
+import random
 
 import pytest
 from pyspark.sql import Row
@@ -69,6 +72,55 @@ def test_times(spark):
     assert str(one(spark, "2026-05-25 16:30:00", lambda c: times.digest_date(c.cast("timestamp_ntz")))) == "2026-05-26"
 
 
+def utc(spark, texts, parse):
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, x string").select("k", F.unix_micros(parse(F.col("x"))).alias("y"))
+    return [r.y for r in sorted(df.collect())]
+
+
+def micros(at):
+    at = at.replace(tzinfo=datetime.UTC) if at.tzinfo is None else at
+    return (at - datetime.datetime(1970, 1, 1, tzinfo=datetime.UTC)) // datetime.timedelta(microseconds=1)
+
+
+def test_feed_dates_as_python_reads_them(spark):
+    rng = random.Random(4)
+    texts = ["Fri, 05 Jan 2024 10:00:00 EST", "05 Jan 2024 10:00:00 GMT", "Fri, 5 Jan 24 10:00 PDT", "Friday, 05-Jan-99 10:00:00 UT", "Fri, 05 January 2024 10:00:00 +0530 (IST)", "5 Feb 2024 01:02:03 -0000", "Fri 05 Jan 2024 10:00:00 Z", "30 Feb 2024 10:00:00 GMT", "31 Dec 68 23:59 CST", "1 Jan 69 00:00 MDT", "soon", ""]
+    for _ in range(300):
+        at = datetime.datetime(1970, 1, 1) + datetime.timedelta(seconds=rng.randrange(3 * 10**9))
+        year = rng.choice(["%Y", "%Y", "%y" if 1969 <= at.year <= 2068 else "%Y"])
+        zone = rng.choice(["GMT", "EST", "EDT", "CST", "CDT", "MST", "MDT", "PST", "PDT", "UT", "UTC", "+0000", "-0000", "+0530", "-0330", "+1400", "-1130", ""])
+        texts.append(at.strftime(f"{rng.choice(['%a, ', '', '%A, '])}%d %b {year} %H:%M{rng.choice([':%S', ''])} {zone}").strip())
+
+    def expected(text):
+        try:
+            return micros(email.utils.parsedate_to_datetime(text))
+        except (ValueError, TypeError, IndexError):
+            return None
+
+    assert utc(spark, texts, times.parse_feed_date) == [expected(x) for x in texts]
+
+
+def test_iso_dates_as_python_reads_them(spark):
+    rng = random.Random(5)
+    texts = ["2024-01-05T10:00:00.123456Z", "2024-01-05T10:00:00+0000", "2024-01-05T10:00:00.1234567891+02", "2024-01-05 10:00", "2024-01-05", "20240105T101112", "20240105T1011-0330", "2024-02-30T00:00:00", "2024-01-05T25:00:00", "2024-01-05T10:00:61", "2024-01-05T10:00:00+01:02:03", "2024-1-5", "x", "2024-0105", " 2024-01-05T10:00:00Z "]
+    for _ in range(300):
+        at = datetime.datetime(1970, 1, 1) + datetime.timedelta(seconds=rng.randrange(3 * 10**9), microseconds=rng.randrange(10**6))
+        d, c = rng.choice([("-", ":"), ("-", ":"), ("", "")])
+        clock = rng.choice([f"%H{c}%M{c}%S.%f", f"%H{c}%M{c}%S", f"%H{c}%M", "%H"])
+        texts.append(at.strftime(f"%Y{d}%m{d}%d{rng.choice('T ')}{clock}") + rng.choice(["", "Z", "+00:00", "+0530", "-03:30", "+14"]))
+
+    def expected(text):
+        try:
+            return micros(datetime.datetime.fromisoformat(text.strip().replace("Z", "+00:00")))
+        except ValueError:
+            return None
+
+    for parse in (times.parse_iso, times.parse_feed_date):
+        assert utc(spark, texts, parse) == [expected(x) for x in texts]
+    assert utc(spark, ["1700000000", "-1.5", "1e30", "x", None], times.parse_unix) == [1700000000 * 10**6, -(10**6), None, None, None]
+    assert utc(spark, ["2024-01-05T10:00:00Z"], lambda c: times.parse_feed_date(F.lit(" "), c, F.lit("2020-01-01"))) == [1704448800 * 10**6]
+
+
 def outcome(spark, raw, parse=contracts.parse_stage1):
     return contracts.extract_objects(spark.createDataFrame([(raw,)], "raw string")).select(parse(F.col("payload")).alias("o")).first().o
 

@@ -288,6 +288,11 @@ def test_audit_codes(spark):
     told = made("run_id string, domain string, status string, digest_id string", ("r", "security", "failed", "d9"), ("r", "ai", "succeeded", "d2"))
     got = runs.audit(run, items, digests, told, 3, 2, 2).first()
     assert got.errors == "run_status_partial,items_below_min:2<3,analyzed_below_min:1<2,digests_below_min:1<2,digest_not_succeeded:security,digest_id_mismatch:security,missing_digest:ai"
+    dated = digests.withColumn("day", F.lit("2024-01-05"))
+    posts = lambda *names: made("file string", *((x,) for x in names))
+    lost = runs.audit(run, items, dated, told, 3, 2, 2, posts=posts("other.md")).first().errors
+    assert lost == got.errors.replace("mismatch:security", "mismatch:security,missing_hexo_file:intelligence-security-2024-01-05.md")
+    assert runs.audit(run, items, dated, told, 3, 2, 2, posts=posts("intelligence-security-2024-01-05.md")).first().errors == got.errors
     none = runs.audit(run.filter("false"), items, digests, told, 3, 2, 2).collect()
     assert [(r.id, r.errors) for r in none] == [(None, "no_finished_run")]
 
