@@ -4,10 +4,11 @@ A fixed-depth tree sorts lines: first by their number of tokens, then by their `
 variable fields (tokens with a digit) replaced by a wildcard throughout. Below a leaf, lines that stand in ``least`` texts as
 they are make templates of their own; the others have two: a token stays where lines of ``least`` texts of the leaf share it at
 its position, and where also SHARE of the leaf's do, so that the values of a variable word field go at every size; any other
-token becomes the wildcard. A template that stands in ``least`` or more different texts recurs, and its lines go, whatever
-stands around them. A document that was copied many times with an edit here and there consists of recurring lines for the most
-part: a text in which candidates hold more than ``most`` of the tokens doesn't count for a template (else all copies would
-lose everything), and is left to near-dedup; recurring templates still go from it.
+token becomes the wildcard. A line of variable fields alone stands for itself, as it is. A template that stands in ``least`` or more different texts recurs, and its lines go, whatever
+stands around them. A document that was copied many times with an edit here and there consists of recurring lines all but
+wholly: a text in which candidates hold more than ``most`` of the tokens doesn't count for a template (else all copies would
+lose everything), and is left to near-dedup; recurring templates still go from it. The share follows from what a near copy is: two texts
+of n tokens of a similarity of 0.8 or more share eight ninths of them.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ WILDCARD = "<*>"
 LEAD = 3
 LEAST_DOCS = 10
 #: Share of a text's tokens that recurring lines hold at most if the text is to count for their templates.
-MOST_RECURRING = 0.5
+MOST_RECURRING = 8 / 9
 #: Share of tokens that a generalised template keeps.
 LEAST_FIXED = 0.6
 #: Share of a leaf's lines that fix a token in the wider of a line's two templates.
@@ -37,26 +38,28 @@ _M = (1 << 63) - 1
 
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each line that has a token which is no variable field; ``size`` counts the tokens of the whole text."""
+    """A row for each line that has a token; ``size`` counts the tokens of the whole text."""
     from xxhash import xxh3_64_intdigest as h
 
     for batch in slices(batches):
         keys, numbers, tokens, sizes, leaves, hashes, masked = [], [], [], [], [], [], []
         for key, text in zip(batch.column("row_key").to_pylist(), texts(batch, "text")):
-            if _DIGIT.search(text):
+            plain = text.split("\n") if _DIGIT.search(text) else None
+            if plain:
                 text = _VARIABLE.sub(WILDCARD, text)
             split = [(number, found) for number, line in enumerate(text.split("\n")) if (found := line.split())]
             size = sum(len(found) for _, found in split)
             for number, found in split:
-                if any(x != WILDCARD for x in found):
-                    line = " ".join(found)
-                    keys.append(key)
-                    numbers.append(number)
-                    tokens.append(len(found))
-                    sizes.append(size)
-                    leaves.append(h(f"{len(found)} {' '.join(found[:LEAD])}") & _M)
-                    hashes.append(h(line) & _M)
-                    masked.append(line)
+                fixed = any(x != WILDCARD for x in found) or not plain
+                line = " ".join(found if fixed else plain[number].split())
+                leaf = f"{len(found)} {' '.join(found[:LEAD])}" if fixed else f"as it is {line}"
+                keys.append(key)
+                numbers.append(number)
+                tokens.append(len(found))
+                sizes.append(size)
+                leaves.append(h(leaf) & _M)
+                hashes.append(h(line if fixed else leaf) & _M)
+                masked.append(line)
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), *(pa.array(x, pa.int32()) for x in (numbers, tokens, sizes)), *(pa.array(x, pa.int64()) for x in (leaves, hashes)), pa.array(masked, pa.string())], names=["row_key", "line", "tokens", "size", "leaf", "own", "masked"])
 
 
@@ -103,7 +106,7 @@ def drop_template_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """All rows and columns, with the lines of recurring templates cut from the text, and the columns n_lines and n_dropped.
 
     A null text stays null and an empty one empty, with no lines. Repeated rows and copies of a text count once and are
-    cut alike. Blank lines and those of variable fields alone stay. Texts and lines of any length are judged whole; a text
+    cut alike. Blank lines stay; of those of variable fields alone the same line must recur. Texts and lines of any length are judged whole; a text
     is held by one task. An empty table gives no rows. Columns of the same names are kept under theirs; the new ones then
     end in ``_``.
     """

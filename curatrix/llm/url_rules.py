@@ -39,14 +39,13 @@ OWN_GLOBS = (Rule("block", "*.spam-*.**"), Rule("block", "*.ads.*.**"), Rule("bl
 
 
 class Automaton:
-    """All globs of a rule set over characters below 256; others fit only wildcards."""
+    """All globs of a rule set. Each character that stands in a glob has a class of its own, all others one class that only wildcards fit."""
 
     def __init__(self, rules: tuple[Rule, ...]):
         # A state per literal or ``?``, entered by that character; its loop is the wildcard that follows it.
         states: list[tuple[int, int | None, str]] = []  # (rule, character or None, loop)
         self.first: list[int] = []
         self.last: list[int] = []
-        self.head_loops: list[str] = []
         for k, rule in enumerate(rules):
             head, own, i = "", [], 0
             while i < len(rule.glob):
@@ -65,20 +64,23 @@ class Automaton:
             states.append((k, -1, head))  # the state before the first character
             states += own
             self.last.append(len(states) - 1)
-        self.words = -(-len(states) // 64)
-        self.allowed = np.zeros((257, self.words), np.uint64)
-        self.loops = np.zeros((257, self.words), np.uint64)
+        self.words = max(1, -(-len(states) // 64))
+        self.known = np.array(sorted({ord("/"), *(c for _, c, _ in states if c is not None and c >= 0)}), np.uint32)
+        class_of = {c: k + 1 for k, c in enumerate(self.known.tolist())}  # 0: any other character
+        slash = class_of[ord("/")]
+        self.allowed = np.zeros((len(self.known) + 1, self.words), np.uint64)
+        self.loops = np.zeros((len(self.known) + 1, self.words), np.uint64)
         for s, (_, char, loop) in enumerate(states):
             w, bit = s // 64, np.uint64(1) << np.uint64(s % 64)
             if char is None:
                 self.allowed[:, w] |= bit
-                self.allowed[ord("/"), w] &= ~bit
+                self.allowed[slash, w] &= ~bit
             elif char >= 0:
-                self.allowed[min(char, 256), w] |= bit
+                self.allowed[class_of[char], w] |= bit
             if loop:
                 self.loops[:, w] |= bit
                 if loop == "*":
-                    self.loops[ord("/"), w] &= ~bit
+                    self.loops[slash, w] &= ~bit
         self.start = np.zeros(self.words, np.uint64)
         for s in self.first:
             self.start[s // 64] |= np.uint64(1) << np.uint64(s % 64)
@@ -90,7 +92,8 @@ class Automaton:
         order = np.argsort(-lengths, kind="stable")
         lengths = lengths[order]
         codes = np.frombuffer("".join([urls[i] for i in order]).encode("utf-32-le"), np.uint32)
-        codes = np.minimum(codes, 256).astype(np.int64)
+        place = np.minimum(np.searchsorted(self.known, codes), len(self.known) - 1)
+        codes = np.where(self.known[place] == codes, place + 1, 0)
         firsts = np.cumsum(lengths) - lengths
         states = np.tile(self.start, (n, 1))
         top, one = np.uint64(63), np.uint64(1)
@@ -147,16 +150,35 @@ def _judge(rules: tuple[Rule, ...], own: tuple[Rule, ...]):
     return run
 
 
-def judge_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, own: tuple[Rule, ...] = OWN_GLOBS, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+#: Rules that a table may hold: with their globs' characters they make an automaton that each task builds (some 100 MB at most).
+MOST_RULES = 20_000
+
+
+def rules_of(rules: DataFrame, most: int = MOST_RULES) -> tuple[Rule, ...]:
+    """The rules of a table (verdict, glob, and optionally name), in order of glob and verdict; ValueError beyond ``most``, which are counted first.
+
+    Rows without a glob or without a verdict of block or allow are no rules; repeated rows are one.
+    """
+    name = F.col("name") if "name" in rules.columns else F.lit(None).cast("string")
+    kept = rules.filter(F.col("glob").isNotNull() & F.col("verdict").isin("block", "allow")).select("glob", "verdict", name.alias("name")).distinct()
+    found = kept.orderBy("glob", "verdict", "name").limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"more than {most} rules")
+    return tuple(Rule(r.verdict, r.glob, r.name) for r in found)
+
+
+def judge_urls(pages: DataFrame, rules: tuple[Rule, ...] | DataFrame = RULES, own: tuple[Rule, ...] | DataFrame = OWN_GLOBS, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """Host, path, the longest rule that fits (else null) and a verdict for each row; no shuffle.
 
     A null or empty URL, and one without ``://``, has an empty host and path and is allowed unless a glob fits
     that. Repeated rows are judged alike; an empty table gives no rows; other columns are left out. URLs of any length are
-    read whole: one character of all URLs of a batch is a step, and a batch has fewer URLs the more rules there are.
+    read whole: one character of all URLs of a batch is a step, and a batch has fewer URLs the more rules there are. Rules are given as they are
+    or as tables (``rules_of``).
     """
+    rules, own = (rules_of(x) if isinstance(x, DataFrame) else tuple(x) for x in (rules, own))
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"))
     kind = rows.schema["page_id"].dataType.simpleString()
-    return rows.mapInArrow(_judge(tuple(rules), tuple(own)), f"page_id {kind}, host string, path string, rule string, verdict string, glob string")
+    return rows.mapInArrow(_judge(rules, own), f"page_id {kind}, host string, path string, rule string, verdict string, glob string")
 
 
 def op7_url_rules(spark, sf_dir: str) -> DataFrame:
