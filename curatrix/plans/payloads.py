@@ -124,12 +124,42 @@ def feed_items_xml(t: Tables):
 
 def _escaped(column: str):
     """Text as it stands in XML; control characters, which XML has none of, as blanks."""
-    out = F.col(column)
+    out = F.regexp_replace(column, r"[\x00-\x08\x0B\x0C\x0E-\x1F]", " ")
     for char, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
         out = F.replace(out, F.lit(char), F.lit(name))
     return out
 
 
+_FEED_FILES = """WITH f AS (SELECT *, doc_id % 11 = 3 AS broken FROM documents)"""
+
+
+def _landed_feeds(t: Tables) -> str:
+    """A file for each group of documents: titles in CDATA that hold the item's end, prefixes, attributes, nested markup; some items are no XML."""
+    key = F.col("doc_id").cast("string")
+    item = F.concat(F.lit("<item rdf:about='x'><title><![CDATA[Item </item> "), key, F.lit("]]></title><link>https://f.example.org/"), key, F.lit("?a=1&amp;b=2</link><guid isPermaLink='false'>"), key, F.lit("</guid><pubDate>"), _spelled(), F.lit("</pubDate><dc:creator>by "), "lang", F.lit("</dc:creator><category domain='d'>"), "lang",
+                    F.lit("</category><description>short <b>one</b></description><content:encoded>"), _escaped("text"), F.lit("</content:encoded></item>"))
+    item = F.when(F.col("doc_id") % 11 == 3, F.concat(F.lit("<item><title>broken <b>"), key, F.lit("</title></item>"))).otherwise(item)
+    docs = t.table("documents").groupBy("source", F.floor(F.col("doc_id") / GROUP).alias("g")).agg(F.array_join(F.collect_list(item), "").alias("body"))
+    head = '<?xml version="1.0" encoding="UTF-8"?><rss xmlns:dc="http://purl.org/dc/elements/1.1/" xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns:content="http://purl.org/rss/1.0/modules/content/"><channel><!-- <item> -->'
+    path = new_path(t.spark, "feeds")
+    docs.select(F.col("source").alias("source_id"), F.regexp_replace(F.concat(F.lit(head), "body", F.lit("</channel></rss>")), r"\n", "&#10;").alias("value")).repartition("source_id", "value").write.option("maxRecordsPerFile", 1).partitionBy("source_id").text(path)
+    return path
+
+
+@query("feed_files", f"""{_FEED_FILES}
+SELECT source AS source_id, CAST(doc_id AS VARCHAR) AS native_id, 'Item </item> ' || doc_id AS title, 'https://f.example.org/' || doc_id || '?a=1&b=2' AS canonical_url, {_PUBLISHED} AS published, 'by ' || lang AS author, lang AS tags, sha256(trim(text)) AS content_sha256 FROM f WHERE NOT broken""")
+def feed_files(t: Tables):
+    """Landed files through Spark's XML source; a broken item costs its file no other one."""
+    tags = F.array_join(F.from_json(F.get_json_object("metadata", "$.tags"), "array<string>"), ",")
+    return readers.feed_files(t.spark, _landed_feeds(t)).select("source_id", "native_id", "title", "canonical_url", _published(), "author", tags.alias("tags"), _content())
+
+
+@query("feed_files_broken", f"{_FEED_FILES} SELECT source AS source_id, count(*) FILTER (WHERE NOT broken) AS read, count(*) FILTER (WHERE broken) AS broken FROM f GROUP BY source")
+def feed_files_broken(t: Tables):
+    entries = readers.feed_file_entries(t.spark, _landed_feeds(t))
+    return entries.groupBy("source_id").agg(F.count_if(F.col("e.broken").isNull()).alias("read"), F.count_if(F.col("e.broken").isNotNull()).alias("broken"))
+
+
 @query("atom_items", """
 SELECT source AS source_id, CASE WHEN doc_id % 2 = 0 THEN '2401.' || lpad(CAST(doc_id % 100000 AS VARCHAR), 5, '0') ELSE 'https://a.example.org/' || doc_id END AS native_id, 'https://a.example.org/' || doc_id AS canonical_url, 'N' || doc_id || ', M' AS author, lang AS tags, sha256(trim(text)) AS content_sha256 FROM documents""")
 def atom_items(t: Tables):
@@ -144,9 +174,9 @@ def atom_items(t: Tables):
 
 @query("paper_records", "SELECT doc_id AS key, 'A title of ' || doc_id AS title, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS summary, array_to_string([CAST(k AS VARCHAR) || lang FOR k IN range(0, least(12, doc_id % 15))], ',') AS authors, 'cs.' || lang AS categories FROM documents")
 def paper_records(t: Tables):
-    names = F.transform(F.sequence(F.lit(0), (F.col("doc_id") % 15).cast("int")), lambda k: F.concat(F.lit("<name> "), k.cast("string"), F.col("lang"), F.lit("</name>")))
+    names = F.transform(F.sequence(F.lit(0), (F.col("doc_id") % 15).cast("int")), lambda k: F.concat(F.lit("<author><name> "), k.cast("string"), F.col("lang"), F.lit("</name></author>")))
     names = F.array_join(F.slice(names, F.lit(1), (F.col("doc_id") % 15).cast("int")), "")
-    feed = F.concat(F.lit("<feed><title>Query</title><entry><title>A\n title of "), "doc_id", F.lit("</title><summary>"), "text", F.lit("</summary>"), names, F.lit('<category scheme="x" term="cs.'), "lang", F.lit('"/></entry></feed>'))
+    feed = F.concat(F.lit("<feed><title>Query</title><entry><title>A\n title of "), "doc_id", F.lit("</title><summary>"), _escaped("text"), F.lit("</summary>"), names, F.lit('<category scheme="x" term="cs.'), "lang", F.lit('"/></entry></feed>'))
     read = readers.papers(t.table("documents").select(F.col("doc_id").alias("key"), feed.alias("payload")))
     return read.withColumns({"authors": F.array_join("authors", ","), "categories": F.array_join("categories", ",")})
 

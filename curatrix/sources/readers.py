@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.ids import native_id
 from ..functions.times import parse_feed_date, parse_iso, parse_unix
 from ..operators.ingest import has_keyword
+from ..storage import stored
 
 RAW = ("source_id", "pos", "title", "canonical_url", "content_text", "author", "published_at", "native_id", "metadata")
 CATALOG = "id STRING, name STRING, domain STRING, type STRING, url STRING, authority STRING, fetch_strategy STRING, auth_mode STRING, status STRING, health STRING, is_active BOOLEAN"
@@ -36,22 +38,84 @@ def _raw(rows: DataFrame, since: str | None) -> DataFrame:
     return kept.select(*RAW)
 
 
-ENTRY = "title STRING, link STRING, guid STRING, pubDate STRING, updated STRING, published STRING, description STRING, summary STRING, content STRING, author STRING, creator STRING, category ARRAY<STRING>"
+#: What is read of an RSS item or an Atom entry; names without their namespaces' prefixes, attributes with an underscore.
+ENTRY = """title STRING, link ARRAY<STRUCT<_VALUE: STRING, _href: STRING, _rel: STRING>>, guid STRUCT<_VALUE: STRING>, id STRING, pubDate STRING, published STRING, updated STRING, date STRING, description STRING, summary STRING,
+  content STRING, encoded STRING, author ARRAY<STRUCT<_VALUE: STRING, name: STRING>>, name ARRAY<STRING>, creator ARRAY<STRING>, category ARRAY<STRUCT<_VALUE: STRING, _term: STRING>>, broken STRING"""
+_ENTRY_TYPE = f"STRUCT<{re.sub(r'(^|, )([A-Za-z]+) ', r'\1\2: ', re.sub(r'\s+', ' ', ENTRY))}>"
+_DOCUMENT = f"channel STRUCT<item: ARRAY<{_ENTRY_TYPE}>>, item ARRAY<{_ENTRY_TYPE}>, entry ARRAY<{_ENTRY_TYPE}>, broken STRING"
+_XML = {"ignoreNamespace": "true", "columnNameOfCorruptRecord": "broken", "mode": "PERMISSIVE"}
+
+
+def _blocks(text: Column, tag: str) -> Column:
+    """The elements of a tag as they stand in a text; what stands in a comment or a CDATA section neither begins nor ends one."""
+    return F.regexp_extract_all(text, F.lit(rf"(?s)<!--.*?-->|<!\[CDATA\[.*?\]\]>|(<{tag}[\s>](?:[^<]++|<!\[CDATA\[.*?\]\]>|<!--.*?-->|<(?!/{tag}\s*>))*+</{tag}\s*>)"), 1)
+
+
+def _cut(text: Column, tag: str) -> Column:
+    """Entries of a document that is no XML as a whole: each element is read for itself, and one that can't be is ``broken``."""
+    found = F.filter(_blocks(text, tag), lambda x: x != "")
+    return F.transform(found, lambda x: F.struct(x.alias("xml"), F.from_xml(x, ENTRY, _XML).alias("e")))
+
+
+def _named(names: Column) -> Column:
+    """Names that say something, in one text; null where none does."""
+    return _blank(F.array_join(F.filter(F.transform(names, lambda n: F.trim(n)), lambda n: n != ""), ", "))
+
+
+def _entry_items(entries: DataFrame, since: str | None, native: str) -> DataFrame:
+    """Raw items of entries (source_id, pos, e); broken ones are left out."""
+    rows = entries.filter("e.broken IS NULL")
+    links = F.coalesce("e.link", F.array())
+    href = F.filter(links, lambda x: _blank(x["_href"]).isNotNull())
+    # A link's text, or the address of the first that is no link to the feed itself.
+    link = F.coalesce(F.get(F.filter(F.transform(links, lambda x: _blank(x["_VALUE"])), lambda x: x.isNotNull()), F.lit(0)), _blank(F.get(F.filter(href, lambda x: F.coalesce(x["_rel"], F.lit("alternate")) == "alternate"), F.lit(0))["_href"]), _blank(F.get(href, F.lit(0))["_href"]))
+    author = _named(F.filter(F.transform("e.author", lambda a: a["_VALUE"]), lambda a: F.trim(a) != "?"))
+    who = F.coalesce(author, _named(F.col("e.creator")), _named(F.transform("e.author", lambda a: a["name"])))
+    own = F.coalesce(_blank(F.col("e.guid._VALUE")), _blank(F.col("e.id")), link)
+    terms = F.filter(F.transform(F.coalesce("e.category", F.array()), lambda c: F.coalesce(_blank(c["_term"]), _blank(c["_VALUE"]))), lambda c: c.isNotNull())
+    content = F.coalesce(*(_blank(F.col(f"e.{c}")) for c in ("encoded", "content", "summary", "description")))
+    at = parse_feed_date(F.col("e.pubDate"), F.col("e.published"), F.col("e.updated"), F.col("e.date"))
+    return _raw(rows.select("source_id", F.col("pos").cast("long").alias("pos"), F.trim("e.title").alias("title"), link.alias("canonical_url"), content.alias("content_text"), who.alias("author"),
+                            at.alias("published_at"), native_id(own, native).alias("native_id"), F.to_json(F.struct(terms.alias("tags"))).alias("metadata")), since)
+
+
+def feed_entries(payloads: DataFrame, tag: str = "item") -> DataFrame:
+    """(source_id, pos, e) of documents (source_id, payload): RSS items or Atom entries as ENTRY. An entry that can't be read has ``e.broken``, its text.
+
+    A document is read as XML; one that is none is cut into its elements, so that a broken entry costs no other one.
+    """
+    doc = F.from_xml("payload", _DOCUMENT, _XML)
+    read = payloads.select("source_id", "payload", doc.alias("doc")).withColumn("whole", F.coalesce("doc.channel.item", "doc.item") if tag == "item" else F.col("doc.entry"))
+    cut = F.transform(_cut(F.col("payload"), tag), lambda x: x["e"])
+    entries = F.when(F.col("doc.broken").isNull() & F.col("whole").isNotNull(), F.col("whole")).otherwise(cut)
+    return read.select("source_id", F.posexplode(entries).alias("pos", "e"))
 
 
 def feed(payloads: DataFrame, since: str | None = None, native: str = "plain", tag: str = "item") -> DataFrame:
-    """RSS items (or Atom entries, tag="entry") of payloads (source_id, payload): one XML document a row."""
-    block = F.regexp_extract_all("payload", F.lit(rf"(?s)(<{tag}[ >].*?</{tag}>)"), 1)
-    entries = payloads.select("source_id", F.posexplode(block).alias("pos", "xml"))
-    link = F.coalesce(_blank(F.regexp_extract("xml", r"<link[^>]*href=[\"']([^\"']*)[\"']", 1)), _blank(F.regexp_extract("xml", r"(?s)<link>(.*?)</link>", 1)))
-    e = F.from_xml(F.regexp_replace(F.regexp_replace("xml", r"<link[^>]*/>|(?s)<link>.*?</link>", ""), r"(</?)(?:dc|content|atom):", "$1"), ENTRY)
-    rows = entries.withColumn("link_", link).withColumn("e", e)
-    who = F.coalesce(F.when((_blank(F.col("e.author")) != "?") & ~F.col("e.author").contains("<"), _blank(F.col("e.author"))), _blank(F.col("e.creator")), _blank(F.array_join(F.regexp_extract_all("xml", F.lit(r"(?s)<name>(.*?)</name>"), 1), ", ")))
-    own = F.coalesce(_blank(F.col("e.guid")), _blank(F.regexp_extract("xml", r"(?s)<id>(.*?)</id>", 1)), F.col("link_"))
-    terms = F.concat(F.coalesce(F.filter("e.category", lambda c: F.trim(c) != ""), F.array().cast("array<string>")), F.regexp_extract_all("xml", F.lit(r"<category[^>]*term=[\"']([^\"']*)[\"']"), 1))
-    return _raw(rows.select("source_id", F.col("pos").cast("long").alias("pos"), F.trim("e.title").alias("title"), F.col("link_").alias("canonical_url"),
-                            F.coalesce(_blank(F.col("e.content")), _blank(F.col("e.summary")), _blank(F.col("e.description"))).alias("content_text"), who.alias("author"),
-                            parse_feed_date(F.col("e.pubDate"), F.col("e.published"), F.col("e.updated")).alias("published_at"), native_id(own, native).alias("native_id"), F.to_json(F.struct(terms.alias("tags"))).alias("metadata")), since)
+    """RSS items (or Atom entries, tag="entry") of payloads (source_id, payload): one document a row."""
+    return _entry_items(feed_entries(payloads, tag), since, native)
+
+
+def feed_file_entries(spark: SparkSession, path: str, tag: str = "item") -> DataFrame:
+    """(source_id, file, pos, e) of landed feed files below ``path``, read by Spark's XML source, an entry a row. Sources are folders ``source_id=...``.
+
+    ``pos`` grows in a file's order. Of a file that is no XML the source gives the whole text once; such files are cut into their elements.
+    """
+    reader = spark.read.format("xml").schema(ENTRY).options(rowTag=tag, **_XML)
+    # Written once: files are parsed once, and positions are the same wherever the rows are used.
+    rows = stored(reader.load(path).select("*", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("pos")), "entries")
+    fields = [c for c in spark.createDataFrame([], ENTRY).columns]
+    bad = rows.filter("broken IS NOT NULL").select("source_id", "file", "pos", F.col("broken").alias("text"))
+    names = bad.select(F.col("file").alias("bad_file")).distinct()  # the source may have read entries before it met the fault
+    good = rows.join(names, F.col("file") == F.col("bad_file"), "left_anti").select("source_id", "file", "pos", F.struct(*fields).alias("e"))
+    whole = bad.groupBy("source_id", "file").agg(F.min("pos").alias("first"), F.max_by("text", F.length("text")).alias("text"))
+    cut = whole.select("source_id", "file", "first", F.posexplode(F.transform(_cut(F.col("text"), tag), lambda x: x["e"])).alias("k", "e")).select("source_id", "file", (F.col("first") + F.col("k")).alias("pos"), "e")
+    return good.unionByName(cut)
+
+
+def feed_files(spark: SparkSession, path: str, since: str | None = None, native: str = "plain", tag: str = "item") -> DataFrame:
+    """Raw items of landed feed files; how many entries are broken says ``feed_file_entries``."""
+    return _entry_items(feed_file_entries(spark, path, tag).drop("file"), since, native)
 
 
 NVD = """vulnerabilities ARRAY<STRUCT<cve: STRUCT<id: STRING, published: STRING, vulnStatus: STRING, descriptions: ARRAY<STRUCT<lang: STRING, value: STRING>>,
@@ -142,11 +206,13 @@ MOST_AUTHORS = 12
 
 
 def papers(payloads: DataFrame) -> DataFrame:
-    """Of answers (key, payload: Atom, of which the first entry counts) a paper's title, summary, authors and categories."""
-    entry = F.coalesce(_blank(F.regexp_extract("payload", r"(?s)<entry>(.*?)</entry>", 1)), F.col("payload"))
-    pick = lambda tag: F.trim(F.regexp_replace(F.regexp_extract("entry", rf"(?s)<{tag}>(.*?)</{tag}>", 1), r"\s+", " "))
-    authors = F.slice(F.transform(F.regexp_extract_all("entry", F.lit(r"(?s)<name>(.*?)</name>"), 1), lambda a: F.trim(a)), 1, MOST_AUTHORS)
-    return payloads.withColumn("entry", entry).select("key", pick("title").alias("title"), pick("summary").alias("summary"), authors.alias("authors"), F.regexp_extract_all("entry", F.lit(r'<category[^>]*term="([^"]+)"'), 1).alias("categories"))
+    """Of answers (key, payload: Atom, of which the first entry counts) a paper's title, summary, authors and categories; of one that is no XML nulls."""
+    first = feed_entries(payloads.select(F.col("key").alias("source_id"), "payload"), "entry").filter("pos = 0").select(F.col("source_id").alias("of_key"), "e")
+    squeeze = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
+    authors = F.concat(F.coalesce(F.transform("e.author", lambda a: F.coalesce(a["name"], a["_VALUE"])), F.array()), F.coalesce("e.name", F.array()))
+    authors = F.slice(F.filter(F.transform(authors, lambda a: F.trim(a)), lambda a: a != ""), 1, MOST_AUTHORS)
+    terms = F.filter(F.transform(F.coalesce("e.category", F.array()), lambda c: _blank(c["_term"])), lambda c: c.isNotNull())
+    return payloads.select("key").join(first, F.col("key") == F.col("of_key"), "left").select("key", squeeze(F.col("e.title")).alias("title"), squeeze(F.col("e.summary")).alias("summary"), authors.alias("authors"), terms.alias("categories"))
 
 
 PARSERS: dict[str, Callable[..., DataFrame]] = {"nvd": nvd, "github": advisories, "hackernews": landed_stories, "rss": feed, "api": records}

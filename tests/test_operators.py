@@ -242,6 +242,32 @@ def test_readers(spark, tmp_path):
         readers.read_all(mixed.union(spark.createDataFrame([("q", "new", "[]")], mixed.schema))).collect()
 
 
+def test_feed_documents(spark, tmp_path):
+    """CDATA that holds an end tag, prefixes, attributes, nested markup, several links, broken entries; as payloads and as files."""
+    rss = """<?xml version="1.0"?><rss xmlns:dc="http://d/" xmlns:content="http://c/"><channel><title>feed</title><!-- <item><title>no</title></item> -->
+<item><title><![CDATA[A </item> <b>x</b>]]></title><link>https://e.org/1?a=1&amp;b=2</link><guid isPermaLink="false">g1</guid><dc:creator>Me</dc:creator><category> </category><category domain="d">c1</category><content:encoded><![CDATA[<p>hello</p>]]></content:encoded><description>desc</description></item>
+BROKEN<item><title>third</title><link>https://e.org/3</link><description>a <b>bold</b> word</description><author>?</author></item></channel></rss>"""
+    broken = "<item><title>broken <b>x</title><link>https://e.org/2</link></item>"
+    atom = """<feed xmlns="http://www.w3.org/2005/Atom"><entry><title type="html">T1</title><link rel="self" href="https://e.org/self"/><link rel="alternate" href="https://e.org/1"/><id>urn:1</id><updated>2024-01-05T10:00:00.25Z</updated><author><name>N1</name></author><author><name> N2 </name></author><summary type="xhtml"><div>in <i>it</i></div></summary><category term="k"/></entry></feed>"""
+    shown = lambda df: sorted((r.title, r.canonical_url, r.native_id, r.content_text, r.author, json.loads(r.metadata)["tags"]) for r in df.collect())
+    items = [("A </item> <b>x</b>", "https://e.org/1?a=1&b=2", "g1", "<p>hello</p>", "Me", ["c1"]), ("third", "https://e.org/3", "https://e.org/3", "a <b>bold</b> word", None, [])]
+    entries = [("T1", "https://e.org/1", "urn:1", "<div>in <i>it</i></div>", "N1, N2", ["k"])]
+    for k, text in enumerate((rss.replace("BROKEN", ""), rss.replace("BROKEN", broken), rss.replace("BROKEN", broken * 3).replace("</channel></rss>", ""))):
+        payloads = spark.createDataFrame([("s", text)], "source_id string, payload string")
+        assert shown(readers.feed(payloads)) == items
+        folder = tmp_path / str(k) / "source_id=s"
+        folder.mkdir(parents=True)
+        (folder / "a.xml").write_text(text)
+        (folder / "b.xml").write_text(rss.replace("BROKEN", "").replace("/1?", "/9?"))
+        assert shown(readers.feed_files(spark, str(tmp_path / str(k)))) == sorted([*items, *((t, u.replace("/1?", "/9?"), *x) for t, u, *x in items)])
+        told = [readers.feed_entries(payloads), readers.feed_file_entries(spark, str(tmp_path / str(k)))]
+        assert [t.filter("e.broken IS NOT NULL").count() for t in told] == [(0, 1, 3)[k]] * 2
+    assert shown(readers.feed(spark.createDataFrame([("s", atom)], "source_id string, payload string"), tag="entry")) == entries
+    assert readers.feed(spark.createDataFrame([("s", None), ("s", ""), ("s", "<rss/>"), ("s", "no xml")], "source_id string, payload string")).count() == 0
+    paper = readers.papers(spark.createDataFrame([(1, atom), (2, "none")], "key int, payload string")).orderBy("key").collect()
+    assert [(r.title, r.authors, r.categories) for r in paper] == [("T1", ["N1", "N2"], ["k"]), (None, [], [])]
+
+
 def test_links(spark):
     docs = spark.createDataFrame([(1, "https://github.com/a/b.git, https://github.com/topics/x https://github.com/c/d. https://github.com/c/d")], "id int, text string")
     assert [(r.target, r.n) for r in links.most_mentioned(docs, "id", "text").collect()] == [("c/d", 2)]
