@@ -50,13 +50,18 @@ def winners(items: DataFrame) -> DataFrame:
     return items.withColumn("nth", rank).filter("nth = 1").drop("nth")
 
 
+#: What is known of an item from its first sighting, and the type of the later ones.
+FACTS = ("id", "source_id", "domain", "authority", "title", "content_text", "canonical_url", "author", "published_at", "fetched_at")
+OCCURRENCES = "array<struct<source_id:string,url:string,seen_at:string>>"
+
+
 def merge_items(batch: DataFrame, stored: DataFrame | None = None) -> DataFrame:
     """The items table after a batch: new hashes insert, known ones from other sources add a sighting each (the first of its
     source and URL, with its time) and refresh the confidence of items at stage 2, the same source counts as a duplicate only.
 
     stored: the table as this function returns it; None for an empty one. Merging a batch twice changes nothing more.
     """
-    facts = ["id", "source_id", "domain", "authority", "title", "content_text", "canonical_url", "author", "published_at", "fetched_at"]
+    facts = FACTS
     own = F.struct("source_id", F.col("canonical_url").alias("url"), iso(F.col("fetched_at")).alias("seen_at"))
     rows = batch.filter("reject_reason IS NULL")
     seen = rows.select("dedup_hash", *facts, F.lit(1).alias("is_new"), F.lit(0).alias("analysis_stage"), F.lit(None).cast("string").alias("confidence"), F.struct("batch_id", "pos", "source_id").alias("at"), F.array(own).alias("seen"))

@@ -8,6 +8,8 @@ from ..bindings import NOW, Tables
 from ..functions.urls import canonicalize_url, dedup_hash
 from ..operators import ingest as ops
 from ..registry import query
+from ..sources.items_table import ItemsTable
+from ..storage import new_path
 
 
 def _canonical(url: str) -> str:
@@ -106,6 +108,15 @@ def merged_incrementally(t: Tables):
     return shown(stored)
 
 
+@query("merged_in_layers", _MERGED_ITEMS)
+def merged_in_layers(t: Tables):
+    """The batches one after the other into a table of buckets, which is compacted on the way; the first batch comes twice."""
+    table = ItemsTable(t.spark, new_path(t.spark, "items"), buckets=4, most_layers=2)
+    for k in (1, 1, 2, 3):
+        table.merge(_normal(t).filter(F.col("batch_id") == k))
+    return shown(table.read())
+
+
 @query("keyword_filter", "SELECT page_id FROM pages WHERE contains(lower(url), 'blog') OR contains(lower(url), '/en/1')")
 def keyword_filter(t: Tables):
     return t.table("pages").filter(ops.has_keyword(("Blog", "/en/1"), "url")).select("page_id")

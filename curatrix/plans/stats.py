@@ -9,6 +9,8 @@ from ..functions import scores
 from ..functions.times import iso
 from ..operators import stats as ops
 from ..registry import query
+from ..sources import retention
+from ..storage import new_path
 
 
 @query("day_rollup", f"""
@@ -162,3 +164,29 @@ SELECT id FROM e WHERE x IS NULL OR x >= TIMESTAMP '{TODAY} 00:00:00'""")
 def retention_delete(t: Tables):
     dated = t.items.withColumn("expires_at", scores.expires_at(F.col("insight_score"), F.col("stage1_analyzed_at")))
     return ops.retain(dated, f"{TODAY} 00:00:00").select("id")
+
+
+_EXPIRING = """e AS (SELECT id, CASE WHEN insight_score < 10 THEN stage1_analyzed_at WHEN insight_score < 30 THEN stage1_analyzed_at + to_days(5) WHEN insight_score < 50 THEN stage1_analyzed_at + to_days(10)
+    WHEN insight_score < 75 THEN stage1_analyzed_at + to_days(30) END AS x FROM b_items)"""
+#: A cutoff within a day, so that one folder is written anew.
+_CUTOFF = "2024-01-20 09:30:00"
+
+
+def _placed(t: Tables) -> str:
+    path = new_path(t.spark, "by-expiry")
+    retention.write_by_expiry(t.items.select("id", "insight_score", "stage1_analyzed_at").withColumn("expires_at", scores.expires_at(F.col("insight_score"), F.col("stage1_analyzed_at"))), path)
+    return path
+
+
+@query("retention_by_folder", f"WITH {_EXPIRING} SELECT id FROM e WHERE x IS NULL OR x >= TIMESTAMP '{_CUTOFF}'")
+def retention_by_folder(t: Tables):
+    """What is left of a table that lies by the day of expiry, after its expired folders were dropped."""
+    path = _placed(t)
+    retention.drop_expired(t.spark, path, _CUTOFF)
+    return retention.read_by_expiry(t.spark, path).select("id")
+
+
+@query("retention_deleted", f"WITH {_EXPIRING} SELECT strftime(x, '%Y-%m-%d') AS day, count(*) AS deleted FROM e WHERE x < TIMESTAMP '{_CUTOFF}' GROUP BY 1")
+def retention_deleted(t: Tables):
+    """How many items each day lost, by the footers of the files that went."""
+    return retention.drop_expired(t.spark, _placed(t), _CUTOFF)

@@ -55,6 +55,18 @@ def has_files(spark: SparkSession, folder: str) -> bool:
     return system.exists(path) and any(not f.getPath().getName().startswith(("_", ".")) for f in system.listStatus(path))
 
 
+def subfolders(spark: SparkSession, folder: str) -> list[str]:
+    """Names of the folders in a folder, from its listing; none where it isn't there."""
+    system, path = _system(spark, folder)
+    return [f.getPath().getName() for f in system.listStatus(path) if f.isDirectory()] if system.exists(path) else []
+
+
+def rename(spark: SparkSession, old: str, new: str) -> None:
+    system, path = _system(spark, old)
+    if not system.rename(path, _system(spark, new)[1]):
+        raise OSError(f"{old} can't be renamed to {new}")
+
+
 def drop_folder(spark: SparkSession, folder: str) -> None:
     system, path = _system(spark, folder)
     system.delete(path, True)

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from curatrix.bindings import NOW, Tables
 from curatrix.operators import digest, ingest, links, listing, queue, runs, scoring, sources
-from curatrix.sources import readers, sinks
+from curatrix.sources import readers, retention, sinks
+from curatrix.sources.items_table import ItemsTable
 from curatrix.streaming.ingest import RAW, ingest_stream, read_items
 
 
@@ -54,6 +55,66 @@ def test_first_sighting_keeps_its_time(spark):
         assert [(s.source_id, s.seen_at) for s in merged.first().also_seen_in] == [("b", "2024-01-02T00:00:00+00:00"), ("c", "2024-01-04T00:00:00+00:00")]
 
 
+def test_layers_of_buckets(spark, t, tmp_path):
+    """As the merge of whole tables; stored layers are not exchanged, and another session finds the table by its folder."""
+    table = ItemsTable(spark, str(tmp_path / "items"), buckets=3, most_layers=9)
+    assert table.read() is None
+    normal = ingest.normalize(t.raw_items, t.sources, NOW)
+    expected = None
+    for k in (1, 2, 3):
+        table.merge(normal.filter(F.col("batch_id") == k))
+        expected = ingest.merge_items(normal.filter(F.col("batch_id") == k), expected)
+        assert rows(table.read().select(*expected.columns)) == rows(expected)
+    before = rows(table.read())
+    table.merge(normal.filter("batch_id = 2"))
+    assert rows(table.read()) == before
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for plan in (table.read(), table.touched(normal.filter("batch_id = 3"))):
+            tree = plan._jdf.queryExecution().executedPlan().toString()
+            lines = tree.split("\n")
+            assert sum("Scan parquet spark_catalog.default.items_" in x for x in lines) >= 3, tree
+            for k, line in enumerate(lines):
+                if "Scan parquet spark_catalog.default.items_" in line:
+                    depth = len(line) - len(line.lstrip(" :+-*(0123456789)"))
+                    above = []
+                    for up in reversed(lines[:k]):
+                        d = len(up) - len(up.lstrip(" :+-*(0123456789)"))
+                        if d < depth:
+                            above, depth = [*above, up], d
+                        if "SortMergeJoin" in up and d <= depth:
+                            break
+                    assert not any("Exchange" in x for x in above), tree
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    for name in [x.name for x in spark.catalog.listTables() if x.name.startswith("items_")]:
+        spark.sql(f"DROP TABLE {name}")
+    again = ItemsTable(spark, str(tmp_path / "items"), buckets=3)
+    assert rows(again.read()) == before
+    again.compact()
+    assert rows(again.read()) == before and len(again.layers()) == 1
+
+
+def test_retention_drops_folders(spark, tmp_path):
+    """Whole days go unread (their files are made unreadable but for the footers), the cutoff's own day is cut, others and timeless items stay."""
+    items = spark.createDataFrame([(k, f"2024-01-{1 + k % 5:02d} {k % 24:02d}:00:00" if k % 7 else None) for k in range(200)], "id int, at string").withColumn("expires_at", F.col("at").cast("timestamp_ntz"))
+    path = str(tmp_path / "items")
+    retention.write_by_expiry(items, path)
+    for file in (tmp_path / "items").glob("expires_on=2024-01-0[12]/*.parquet"):
+        raw = bytearray(file.read_bytes())
+        end = len(raw) - 8 - int.from_bytes(raw[-8:-4], "little")
+        raw[4:end] = b"\0" * (end - 4)
+        file.write_bytes(raw)
+        (file.parent / f".{file.name}.crc").unlink()
+    cutoff = "2024-01-03 10:00:00"
+    told = {r.day: r.deleted for r in retention.drop_expired(spark, path, cutoff).collect()}
+    gone = [r.at[:10] for r in items.filter(F.col("expires_at") < F.lit(cutoff).cast("timestamp_ntz")).collect()]
+    assert told == dict(collections.Counter(gone)) and len(told) == 3
+    assert rows(retention.read_by_expiry(spark, path).select("id")) == rows(items.filter(~F.coalesce(F.col("expires_at") < F.lit(cutoff).cast("timestamp_ntz"), F.lit(False))).select("id"))
+    assert retention.drop_expired(spark, path, cutoff).count() == 0 and retention.drop_expired(spark, str(tmp_path / "none"), cutoff).count() == 0
+    assert {r.deleted for r in retention.drop_expired(spark, path, "2024-01-04 00:00:00").collect()} == {len([0 for r in items.collect() if r.at and "2024-01-03 10" <= r.at < "2024-01-04"])}
+
+
 def test_stream_equals_batch(spark, t, tmp_path):
     for k in (1, 2, 3):
         t.raw_items.filter(F.col("batch_id") == k).select(*(F.col(f.name).cast(f.dataType) for f in RAW.fields)).coalesce(1).write.mode("append").parquet(str(tmp_path / "landed"))
