@@ -26,6 +26,10 @@ def has_keyword(keywords: tuple[str, ...], *fields: str) -> Column:
     return out
 
 
+#: Why an item is rejected.
+REASONS = ("unknown_source", "empty", "future")
+
+
 def normalize(raw: DataFrame, sources: DataFrame, now: str, ahead_days: int = 7) -> DataFrame:
     """Raw items with their source's domain and authority, trimmed fields, canonical URL, hash, id and ``reject_reason`` (null: good).
     Where raw items don't say when they were fetched or by whom they are, that is ``now`` and nobody.

@@ -117,6 +117,18 @@ def merged_in_layers(t: Tables):
     return shown(table.read())
 
 
+@query("ingest_tallies", f"""WITH {_NORM}, k AS (SELECT *, CASE WHEN reason IS NULL THEN row_number() OVER (PARTITION BY hash, reason IS NULL ORDER BY batch_id, pos, source_id) END AS nth FROM h)
+SELECT CAST(batch_id AS VARCHAR) AS token, count(*) AS landed, count(*) FILTER (WHERE reason = 'unknown_source') AS unknown_source, count(*) FILTER (WHERE reason = 'empty') AS empty, count(*) FILTER (WHERE reason = 'future') AS future,
+  count(*) FILTER (WHERE nth = 1) AS inserted, count(*) FILTER (WHERE nth > 1) AS duplicates FROM k GROUP BY batch_id""")
+def ingest_tallies(t: Tables):
+    """What three merges counted while they wrote; a batch that comes again under its name is not merged."""
+    table = ItemsTable(t.spark, new_path(t.spark, "items"), buckets=4)
+    for k in (1, 2, 2, 3):
+        table.merge(_normal(t).filter(F.col("batch_id") == k), token=str(k))
+    get = lambda k: F.col("tallies")[k]
+    return table.tallies().select("token", get("landed").alias("landed"), *(get(f"reject_{r}").alias(r) for r in ops.REASONS), get("inserted").alias("inserted"), get("duplicates").alias("duplicates"))
+
+
 @query("keyword_filter", "SELECT page_id FROM pages WHERE contains(lower(url), 'blog') OR contains(lower(url), '/en/1')")
 def keyword_filter(t: Tables):
     return t.table("pages").filter(ops.has_keyword(("Blog", "/en/1"), "url")).select("page_id")

@@ -9,6 +9,8 @@ from ..functions import scores
 from ..operators import listing as ops
 from ..operators.stats import visible_items
 from ..registry import query
+from ..sources import layout
+from ..storage import new_path
 
 _KEY = "coalesce(insight_score, -1)"
 _SEEN = "domain IN ('security', 'ai') AND source_id IN (SELECT id FROM b_sources)"
@@ -28,6 +30,28 @@ def items_page_after(t: Tables):
     return ops.page(_seen(t), 50, ops.cursor(60, "src1:0")).select("id", "insight_score")
 
 
+def _laid_out(t: Tables, file_rows: int = 2000) -> str:
+    path = new_path(t.spark, "layout")
+    layout.write_layout(_seen(t).select("id", "insight_score", "category", "title"), path, file_rows)
+    return path
+
+
+@query("layout_page", f"SELECT id, insight_score FROM b_items WHERE {_SEEN} AND ({_KEY} < 60 OR ({_KEY} = 60 AND id > 'src1:0')) ORDER BY {_KEY} DESC, id LIMIT 51")
+def layout_page(t: Tables):
+    """A page of a table that lies in the listing's order, from one or two of its files."""
+    return layout.page(t.spark, _laid_out(t, 100), 50, ops.cursor(60, "src1:0")).select("id", "insight_score")
+
+
+@query("layout_page_filtered", f"SELECT id, insight_score FROM b_items WHERE {_SEEN} AND category = 'tool' ORDER BY {_KEY} DESC, id LIMIT 21")
+def layout_page_filtered(t: Tables):
+    return layout.page(t.spark, _laid_out(t, 100), 20, filters=lambda d: ops.filtered(d, category="tool")).select("id", "insight_score")
+
+
+@query("layout_lookup", f"SELECT id, title, category, insight_score FROM b_items WHERE {_SEEN} AND id = 'src0:0'")
+def layout_lookup(t: Tables):
+    return layout.lookup(t.spark, _laid_out(t), "src0:0").select("id", "title", "category", "insight_score")
+
+
 _HAY = "lower(concat_ws(chr(10), title, summary_zh, content_text))"
 
 

@@ -13,14 +13,14 @@ import json
 import re
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions.scores import derive_confidence
 from ..functions.times import iso
-from ..operators.ingest import FACTS, OCCURRENCES
-from ..storage import drop_folder, has_files, stored
+from ..operators.ingest import FACTS, OCCURRENCES, REASONS
+from ..storage import drop_folder, has_files, remove, stored
 
 KEY = "dedup_hash"
 #: Merges after which layers become a new base.
@@ -39,12 +39,16 @@ class ItemsTable:
             return None
         return self.spark.read.parquet(f"{self.path}/pointer").orderBy(F.desc("n")).first()
 
-    def _point(self, layers: list[str], schema: str) -> None:
+    def _point(self, layers: list[str], schema: str, token: str | None = None, tallies: dict[str, int] | None = None) -> None:
         state = self._state()
         n = state.n + 1 if state else 1
-        row = self.spark.createDataFrame([(n, layers, schema)], "n long, layers array<string>, schema string")
+        row = self.spark.createDataFrame([(n, layers, schema, token, tallies)], "n long, layers array<string>, schema string, token string, tallies map<string,long>")
         row.coalesce(1).write.mode("append").parquet(f"{self.path}/pointer")
 
+    def tallies(self) -> DataFrame:
+        """(n, token, tallies): what each merge counted while it wrote, in order."""
+        return self.spark.read.parquet(f"{self.path}/pointer").filter("tallies IS NOT NULL").select("n", "token", "tallies").orderBy("n")
+
     def _name(self, layer: str) -> str:
         return "items_" + re.sub(r"\W", "_", f"{self.path}_{layer}")[-100:]
 
@@ -96,17 +100,33 @@ class ItemsTable:
         newest = F.row_number().over(Window.partitionBy(KEY).orderBy(F.desc("age")))
         return out.withColumn("nth", newest).filter("nth = 1").drop("nth", "age")
 
-    def merge(self, batch: DataFrame) -> None:
-        """Merge normalised items (operators.ingest.normalize) as ``merge_items`` does; merging a batch twice changes nothing more."""
-        fresh = stored(first_and_sightings(batch), "batch")
+    def merge(self, batch: DataFrame, token: str | None = None) -> dict[str, int]:
+        """Merge normalised items (operators.ingest.normalize) as ``merge_items`` does; merging a batch twice changes nothing more.
+
+        Returns the batch's tallies: landed, rejected by reason (``reject_unknown_source`` ...), inserted and duplicates. They are observed on the
+        plans that write, so that no row is read for them, and stand in the pointer. token: the name of a batch; one that the pointer knows
+        is not merged again, and its tallies are those of the first time.
+        """
+        if token and self._state() and (told := self.tallies().filter(F.col("token") == token).first()):
+            return dict(told.tallies)
+        seen, made = Observation(), Observation()
+        reasons = {f"reject_{r}": F.count_if(F.coalesce("reject_reason", F.lit("")) == r).alias(f"reject_{r}") for r in REASONS}
+        normal = stored(batch.observe(seen, F.count(F.lit(1)).alias("landed"), *reasons.values()), "normalised")
+        fresh = stored(first_and_sightings(normal), "batch")
+        remove(normal)
         layers = self.layers()
-        changed = merged(fresh, self.touched(fresh) if layers else None)
+        changed = merged(fresh, self.touched(fresh) if layers else None, marked=True)
+        changed = changed.observe(made, F.count_if("is_new").alias("inserted")).drop("is_new")
         layer = f"layer-{uuid.uuid4().hex}"
         self._write(changed, layer, dealt=False)
+        remove(fresh)
+        tallies = {k: int(v) for k, v in (seen.get | made.get).items()}
+        tallies["duplicates"] = tallies["landed"] - tallies["inserted"] - sum(tallies[r] for r in reasons)
         state = self._state()
-        self._point([*(state.layers if state else []), layer], self.spark.table(self._name(layer)).schema.json())
+        self._point([*(state.layers if state else []), layer], self.spark.table(self._name(layer)).schema.json(), token, tallies)
         if len(layers) + 1 > self.most_layers:
             self.compact()
+        return tallies
 
     def compact(self) -> None:
         """Write the layers as one base and drop them. Each layer's rows stay in their buckets."""
@@ -133,11 +153,12 @@ def first_and_sightings(batch: DataFrame) -> DataFrame:
     return best.join(gathered, F.col(KEY) == F.col("of_hash")).select(KEY, "x.*", seen.cast(OCCURRENCES).alias("seen"))
 
 
-def merged(fresh: DataFrame, old: DataFrame | None) -> DataFrame:
-    """The items that ``fresh`` (first_and_sightings) makes or changes, given the stored ones of its hashes."""
+def merged(fresh: DataFrame, old: DataFrame | None, marked: bool = False) -> DataFrame:
+    """The items that ``fresh`` (first_and_sightings) makes or changes, given the stored ones of its hashes; marked: with ``is_new``."""
     others = lambda seen, source: F.filter(seen, lambda s: s["source_id"] != source)
     if old is None:
-        return fresh.select(KEY, *FACTS, F.lit(0).alias("analysis_stage"), F.lit(None).cast("string").alias("confidence"), others(F.col("seen"), F.col("source_id")).alias("also_seen_in"))
+        every = [F.lit(True).alias("is_new")] if marked else []
+        return fresh.select(KEY, *FACTS, F.lit(0).alias("analysis_stage"), F.lit(None).cast("string").alias("confidence"), others(F.col("seen"), F.col("source_id")).alias("also_seen_in"), *every)
     new = fresh.select(F.col(KEY).alias("new_hash"), *(F.col(c).alias(f"new_{c}") for c in FACTS), "seen")
     both = new.join(old, F.col("new_hash") == F.col(KEY), "left")
     known, there = F.col(KEY).isNotNull(), F.coalesce("also_seen_in", F.array().cast(OCCURRENCES))
@@ -147,4 +168,4 @@ def merged(fresh: DataFrame, old: DataFrame | None) -> DataFrame:
     seen = F.concat(there, added)
     confidence = F.when(stage < 2, F.col("confidence")).otherwise(derive_confidence(fact["authority"], F.size(seen)))
     made = {KEY: F.col("new_hash")} | fact | {"analysis_stage": stage, "confidence": confidence, "also_seen_in": seen}
-    return both.select(*((made[c] if c in made else F.col(c)).alias(c) for c in old.columns))
+    return both.select(*((made[c] if c in made else F.col(c)).alias(c) for c in old.columns), *([(~known).alias("is_new")] if marked else []))

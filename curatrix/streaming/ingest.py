@@ -6,39 +6,32 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.ingest import merge_items, normalize, not_before
-from ..storage import stored
-from ..sources.sinks import read_parts, write_parts
+from ..operators.ingest import normalize, not_before
+from ..sources.items_table import ItemsTable
 
-PART = "part"
 RAW = T.StructType([T.StructField("batch_id", T.IntegerType()), T.StructField("pos", T.LongType()), T.StructField("source_id", T.StringType()), T.StructField("title", T.StringType()), T.StructField("canonical_url", T.StringType()), T.StructField("content_text", T.StringType()), T.StructField("native_id", T.StringType()), T.StructField("author", T.StringType()), T.StructField("published_at", T.TimestampNTZType()), T.StructField("fetched_at", T.TimestampNTZType())])
 
 
-def ingest_stream(spark: SparkSession, landed: str, items: str, checkpoint: str, sources: DataFrame, now: str, since: str | None = None, files_per_batch: int = 1, digits: int = 2) -> int:
-    """Merge all files landed so far and stop; returns the number of batches. Future items are rejected and those before ``since``
+def ingest_stream(spark: SparkSession, landed: str, items: str, checkpoint: str, sources: DataFrame, now: str, since: str | None = None, files_per_batch: int = 1, buckets: int = 64) -> list[dict[str, int]]:
+    """Merge all files landed so far and stop; returns the tallies of each batch that ran. Future items are rejected and those before ``since``
     dropped as plain filters; state is the items table.
 
-    The table lies in parts by the first ``digits`` hexadecimal digits of the hash (256 by default). A batch reads and rewrites only the
-    parts that its items fall into. A batch that ran before a crash runs again: merging is idempotent.
+    The table lies in layers of buckets (sources.items_table): a batch is shuffled, what is stored is not, and appends a layer. A batch that ran before a
+    crash is known by its number and is not merged again.
     """
     stream = spark.readStream.schema(RAW).option("maxFilesPerTrigger", files_per_batch).parquet(landed)
     if since:
         stream = stream.filter(not_before(F.col("published_at"), since))
+    table, told = ItemsTable(spark, items, buckets), []
 
-    part = F.substring("dedup_hash", 1, digits).alias(PART)
-
-    def merge(batch: DataFrame, _: int) -> None:
-        fresh = stored(normalize(batch, sources, now).filter("reject_reason IS NULL"), "normalised")
-        touched = [r[0] for r in fresh.select(part).distinct().collect()]  # 16 ** digits at most
-        if touched:
-            before = read_parts(batch.sparkSession, items, PART, touched)
-            write_parts(merge_items(fresh, before).select("*", part), items, PART)
+    def merge(batch: DataFrame, number: int) -> None:
+        told.append(table.merge(normalize(batch, sources, now), token=f"{checkpoint}#{number}"))
 
     query = stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    return len(query.recentProgress)
+    return told
 
 
-def read_items(spark: SparkSession, items: str) -> DataFrame | None:
+def read_items(spark: SparkSession, items: str, buckets: int = 64) -> DataFrame | None:
     """The items table that streams merge into; None before the first batch."""
-    return read_parts(spark, items, PART)
+    return ItemsTable(spark, items, buckets).read()

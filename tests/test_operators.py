@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 
 from curatrix.bindings import NOW, Tables
 from curatrix.operators import digest, ingest, links, listing, queue, runs, scoring, sources
-from curatrix.sources import readers, retention, sinks
+from curatrix.sources import layout, readers, retention, sinks
 from curatrix.sources.items_table import ItemsTable
+from curatrix.streaming import rollups
 from curatrix.streaming.ingest import RAW, ingest_stream, read_items
 
 
@@ -115,12 +116,102 @@ def test_retention_drops_folders(spark, tmp_path):
     assert {r.deleted for r in retention.drop_expired(spark, path, "2024-01-04 00:00:00").collect()} == {len([0 for r in items.collect() if r.at and "2024-01-03 10" <= r.at < "2024-01-04"])}
 
 
+def test_tallies_are_observed_once(spark, t, tmp_path):
+    """A repeated task counts once; the raw rows are read once, and a batch of a known name is not merged."""
+    path = str(tmp_path / "raw")
+    t.raw_items.repartition(3).write.parquet(path)
+    calls = str(tmp_path / "calls")
+
+    def once_lost(batches):
+        from pyspark import TaskContext
+
+        if TaskContext.get().partitionId() == 0 and TaskContext.get().attemptNumber() == 0 and not os.path.exists(f"{calls}.lost"):
+            list(batches)
+            open(f"{calls}.lost", "w").close()
+        for batch in batches:
+            with open(calls, "a") as f:
+                f.write(f"{batch.num_rows}\n")
+            yield batch
+
+    raw = spark.read.parquet(path)
+    batch = ingest.normalize(raw.mapInArrow(once_lost, raw.schema), t.sources, NOW)
+    open(f"{calls}.lost", "w").close()
+    table = ItemsTable(spark, str(tmp_path / "items"), buckets=2)
+    told = table.merge(batch, token="a")
+    normal = ingest.normalize(raw, t.sources, NOW)
+    by = {r.reject_reason: r["count"] for r in normal.groupBy("reject_reason").count().collect()}
+    hashes = normal.filter("reject_reason IS NULL").select("dedup_hash").distinct().count()
+    assert told == {"landed": sum(by.values()), "inserted": hashes, "duplicates": by[None] - hashes} | {f"reject_{r}": by.get(r, 0) for r in ingest.REASONS}
+    assert sum(map(int, open(calls).read().split())) == raw.count()
+    assert table.merge(batch, token="a") == told and len(table.layers()) == 1
+    assert table.merge(batch, token="b") == told | {"inserted": 0, "duplicates": by[None]}
+    run = {"dedup_skipped": told["duplicates"], "inserted": told["inserted"]}
+    assert run["dedup_skipped"] + run["inserted"] == by[None]
+
+
+def scanned(df):
+    """Rows that the scan of a plan without exchanges gave."""
+    plan = df._jdf.queryExecution().executedPlan()
+    df_rows = plan.executeCollect()
+    return plan.collectLeaves().apply(0).metrics().apply("numOutputRows").value(), len(df_rows)
+
+
+def test_layout_reads_what_it_needs(spark, tmp_path):
+    items = spark.range(6000).select(F.concat(F.lit("s:"), F.xxhash64("id").cast("string")).alias("id"), F.when(F.col("id") % 17 != 0, (F.col("id") * 31 % 101).cast("int")).alias("insight_score"), (F.col("id") % 9).cast("string").alias("category"))
+    path = str(tmp_path / "layout")
+    layout.write_layout(items, path, file_rows=300)
+    files = spark.read.parquet(f"{path}/index").count()
+    assert files >= 15
+    whole = lambda after, keep=None: [r.id for r in listing.page(items.filter(keep) if keep else items, 50, after).collect()]
+    after = None
+    for k in range(130):
+        want = whole(after) if k % 16 == 0 else None
+        found = layout.page(spark, path, 50, after).collect()
+        assert want is None or [r.id for r in found] == want
+        assert len(layout.page_files(spark, path, 50, after)) <= 3
+        if len(found) <= 50:
+            break
+        after = listing.cursor(found[49].insight_score, found[49].id)
+    assert k == 119
+    rare = lambda d: d.filter("category = '7' AND insight_score < 20")
+    assert [r.id for r in layout.page(spark, path, 50, filters=rare).collect()] == whole(None, "category = '7' AND insight_score < 20")
+    assert layout.page(spark, path, 50, filters=lambda d: d.filter("false")).count() == 0
+    one = items.first().id
+    rows_read, found = scanned(layout.lookup(spark, path, one))
+    assert found == 1 and rows_read <= 900
+    assert scanned(layout.lookup(spark, path, "s:none"))[0] <= 600
+
+
+def test_rollup_keeps_up(spark, t, tmp_path):
+    """Equal to the counts of all items after inserts, late rows, new scores and deletions; only touched days are written."""
+    items = t.items.select("doc_id", "domain", "source_id", "fetched_at", "insight_score", "stage1_error")
+    path = str(tmp_path / "rollup")
+    raw = items.withColumn("insight_score", F.lit(80))
+    assert rollups.apply_change(spark, path, rollups.change(None, raw)) > 3
+    assert rollups.apply_change(spark, path, rollups.change(raw, items)) > 3
+    shown = lambda d: rows(d.filter("n <> 0").select(*rollups.KEYS, *rollups.COUNTS))
+    assert shown(rollups.read_rollup(spark, path)) == shown(rollups.rollup(items))
+    late = items.filter("doc_id % 50 = 7").limit(2)
+    assert rollups.apply_change(spark, path, rollups.change(None, late)) <= 2
+    assert shown(rollups.read_rollup(spark, path)) == shown(rollups.rollup(items.unionByName(late)))
+    assert rollups.apply_change(spark, path, rollups.change(late, late)) == 0
+    day = items.select(F.to_date("fetched_at").alias("d")).first().d
+    gone = items.unionByName(late).filter(F.to_date("fetched_at") == F.lit(day))
+    assert rollups.apply_change(spark, path, rollups.change(gone, gone.filter("false"))) == 1
+    assert shown(rollups.read_rollup(spark, path)) == shown(rollups.rollup(items.unionByName(late).filter(F.to_date("fetched_at") != F.lit(day))))
+
+
 def test_stream_equals_batch(spark, t, tmp_path):
     for k in (1, 2, 3):
         t.raw_items.filter(F.col("batch_id") == k).select(*(F.col(f.name).cast(f.dataType) for f in RAW.fields)).coalesce(1).write.mode("append").parquet(str(tmp_path / "landed"))
-    batches = ingest_stream(spark, str(tmp_path / "landed"), str(tmp_path / "items"), str(tmp_path / "checkpoint"), t.sources, NOW, digits=1)
-    streamed = read_items(spark, str(tmp_path / "items"))
-    assert batches >= 3
+    batches = ingest_stream(spark, str(tmp_path / "landed"), str(tmp_path / "items"), str(tmp_path / "checkpoint"), t.sources, NOW, buckets=4)
+    streamed = read_items(spark, str(tmp_path / "items"), 4)
+    assert len(batches) >= 3
+    normal = ingest.normalize(t.raw_items, t.sources, NOW)
+    assert sum(b["landed"] for b in batches) == normal.count() and sum(b["inserted"] for b in batches) == streamed.count()
+    for reason in ingest.REASONS:
+        assert sum(b[f"reject_{reason}"] for b in batches) == normal.filter(F.col("reject_reason") == reason).count()
+    assert ingest_stream(spark, str(tmp_path / "landed"), str(tmp_path / "items"), str(tmp_path / "checkpoint"), t.sources, NOW, buckets=4) == []
     batch = ingest.merge_items(ingest.normalize(t.raw_items, t.sources, NOW))
     shown = lambda d: rows(d.select("dedup_hash", "id", F.array_join(F.array_sort("also_seen_in.source_id"), ",")))
     assert shown(streamed) == shown(batch)
