@@ -156,7 +156,7 @@ BENCHMARK = [(1, " ".join(f"w{k}" for k in range(5, 25))), (2, "lone lone"), (3,
 
 @pytest.mark.parametrize("held", [1000, 3])
 def test_decontamination(spark, rows, held, monkeypatch):
-    monkeypatch.setattr(decontaminate, "HELD_CANDIDATES", held)
+    monkeypatch.setattr(decontaminate, "PIECE", held)
     split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate({c: c + 32 for c in range(65, 91)}))
     bench = spark.createDataFrame(BENCHMARK, "item_id long, text string")
     expected = collections.Counter()
