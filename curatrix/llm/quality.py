@@ -7,7 +7,9 @@ too little for that and are judged by the base rules alone.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import dataclasses
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import free_name, spread, table
@@ -24,8 +26,8 @@ MOST_WORD_DISTANCE = 0.34
 #: Character classes in the order in which they are counted; the rest is the last class.
 CLASSES = (r"\p{Ll}+", r"\p{Lu}+", r"[\x20\x09-\x0D]+", r"[0-9]+", r"""[.,;:!?'"()\-]+""", r"[#*$%&|<>]+")
 #: Each language's shares of characters that are small letters, capitals, blanks, digits, common punctuation, symbols and
-#: others, and its most common words with their shares of all words. Both were fitted on the 3,409 labelled documents of good quality
-#: in the test tables (sf0.1; the words without punctuation or word pieces among them); other corpora bring references of their own.
+#: others, and its most common words with their shares of all words. Both are what ``fit_references`` gives for the 3,409 labelled documents of
+#: good quality in the test tables (sf0.1), with these words as the vocabulary to choose from; for another corpus it makes others.
 #: A language's words sum to so much that a text without any of them lies beyond MOST_WORD_DISTANCE (0.359 or more).
 CLASS_SHARES = {
     "en": (0.7952, 0.0138, 0.1667, 0.0006, 0.0237, 0.0, 0.0),
@@ -45,10 +47,61 @@ COMMON_WORDS = {
 }
 
 
-def class_references() -> dict[str | None, list[float]]:
+@dataclasses.dataclass(frozen=True)
+class References:
+    """By language: shares of the character classes, and of the most common words."""
+
+    classes: dict[str, tuple[float, ...]]
+    words: dict[str, dict[str, float]]
+
+
+REFERENCES = References(CLASS_SHARES, COMMON_WORDS)
+#: Labelled documents that a fit reads at most (those of the least content hash); its result is a few numbers for each language.
+MOST_LABELLED = 1_000_000
+#: Languages that references have at most, those with the most labelled documents.
+MOST_LANGUAGES = 200
+
+
+def fit_references(docs: DataFrame, labels: DataFrame, good: Column | None = None, words: int = 20, vocabulary: dict[str, list[str]] | None = None, most_rows: int = MOST_LABELLED, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> References:
+    """References by language from documents that labels call good, in DataFrame operations.
+
+    labels: a row for each labelled document, with its id; good: a condition on them (``quality = 1`` unless given). A class's share is that of all
+    characters of a language's good documents, a word's that of all their words, in small letters; both are rounded to four places. Words are runs
+    between blanks that are letters throughout; vocabulary: those to choose from, by language, else any. Only ``most_rows`` documents are read where more
+    are labelled. Null, empty and unlabelled texts and null languages say nothing; repeated rows count each. Without any good document there
+    are no references.
+    """
+    labelled = labels.filter(F.expr("quality = 1") if good is None else good).select(F.col(id_col).alias("of_id")).distinct()
+    rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).filter((F.col("text") != "") & F.col("lang").isNotNull())
+    rows = rows.join(labelled, F.col("id") == F.col("of_id"), "left_semi")
+    rows = rows.orderBy(F.xxhash64("text", "id"), "id").limit(most_rows) if rows.count() > most_rows else rows
+    languages = {r.lang for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()}
+    rows = rows.filter(F.col("lang").isin(sorted(languages)))
+
+    left, counts = F.col("text"), []
+    for kind in CLASSES:
+        rest = F.regexp_replace(left, kind, "")
+        counts.append(F.length(left) - F.length(rest))
+        left = rest
+    counts.append(F.length(left))
+    sums = rows.groupBy("lang").agg(F.sum(F.length("text")).alias("chars"), *(F.sum(c).alias(f"c{k}") for k, c in enumerate(counts)))
+    classes = {r.lang: tuple(round(r[f"c{k}"] / r.chars, 4) for k in range(len(counts))) for r in sums.collect()}
+
+    every = rows.select("lang", F.explode(F.split(F.lower("text"), BLANKS)).alias("word")).filter("word <> ''").groupBy("lang", "word").agg(F.count("*").alias("n"))
+    total = every.groupBy(F.col("lang").alias("of_lang")).agg(F.sum("n").alias("total"))
+    chosen = every.filter(F.col("word").rlike(r"^\p{L}+$"))
+    if vocabulary is not None:
+        listed = [F.when(F.col("lang") == lang, F.col("word").isin(list(known))) for lang, known in vocabulary.items()]
+        chosen = chosen.filter(F.coalesce(*listed, F.lit(False)))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
+    top = chosen.withColumn("rank", rank).filter(F.col("rank") <= words).join(total, F.col("lang") == F.col("of_lang")).orderBy("lang", "rank").collect()  # some words a language
+    return References(classes, {lang: {r.word: round(r.n / r.total, 4) for r in top if r.lang == lang} for lang in sorted({r.lang for r in top})})
+
+
+def class_references(references: References = REFERENCES) -> dict[str | None, list[float]]:
     """Each language's distribution over the classes, and under None the mean of all for any other language."""
-    found = {k: [x / sum(v) for x in v] for k, v in CLASS_SHARES.items()}
-    return found | {None: [sum(x) / len(found) for x in zip(*found.values())]}
+    found = {k: [x / sum(v) for x in v] for k, v in references.classes.items()}
+    return found | {None: [sum(x) / len(found) for x in zip(*found.values())] if found else None}
 
 
 def _bind(value: Column, use) -> Column:
@@ -104,16 +157,17 @@ def _with_rest(shares: Column) -> Column:
     return F.concat(shares, F.array(F.greatest(F.lit(0.0), rest)))
 
 
-def judged(text: Column, lang: Column) -> Column:
+def judged(text: Column, lang: Column, references: References = REFERENCES) -> Column:
     """All figures and the verdict as one struct. Each costly value is bound once, so that a filter on the struct, which
     Spark pushes below projections, doesn't repeat it."""
-    every = sorted({w for known in COMMON_WORDS.values() for w in known})
+    every = sorted({w for known in references.words.values() for w in known})
     listed, shares = F.lit(None).cast("array<string>"), F.lit(None).cast("array<double>")
-    for name, known in COMMON_WORDS.items():
+    for name, known in references.words.items():
         listed = F.when(lang == name, F.array(*map(F.lit, known))).otherwise(listed)
         shares = F.when(lang == name, F.array(*map(F.lit, known.values()))).otherwise(shares)
-    every_class = class_references()
-    reference = F.array(*map(F.lit, every_class.pop(None)))
+    every_class = class_references(references)
+    mean = every_class.pop(None)
+    reference = F.array(*map(F.lit, mean)) if mean else F.lit(None).cast("array<double>")
     for name, known in every_class.items():
         reference = F.when(lang == name, F.array(*map(F.lit, known))).otherwise(reference)
     lines = F.filter(F.split(text, "\n"), lambda x: F.regexp_like(x, F.lit(r"[^\x20\x09-\x0D]")))
@@ -151,27 +205,27 @@ def judged(text: Column, lang: Column) -> Column:
 FIGURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "class_distance", "word_distance", "base_failed", "kept")
 
 
-def quality_rules(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def quality_rules(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", references: References = REFERENCES) -> DataFrame:
     """All columns of ``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, class_distance,
     word_distance, base_failed and kept; no shuffle.
 
     A null or empty text has no words and fails. Documents with fewer than COMPARED_WORDS words have null distances;
     those of a null or unknown language a null word_distance and a class_distance from the languages' mean; a null distance never
-    rejects. Repeated rows are judged alike. Texts of any length are judged whole, inside one row's task. An empty table gives no rows. If ``docs`` has a column of such a name already, the new one ends in ``_``.
+    rejects; without any references all distances are null. Repeated rows are judged alike. Texts of any length are judged whole, inside one row's task. An empty table gives no rows. If ``docs`` has a column of such a name already, the new one ends in ``_``.
     """
     found = free_name(docs, "quality_figures")
-    rows = docs.withColumn(found, _judged_row(docs, text_col, lang_col))
+    rows = docs.withColumn(found, _judged_row(docs, text_col, lang_col, references))
     return rows.select(*(F.col(f"`{c}`") for c in docs.columns), *(F.col(found)[k].alias(free_name(docs, k)) for k in FIGURES))
 
 
-def _judged_row(docs: DataFrame, text_col: str, lang_col: str) -> Column:
+def _judged_row(docs: DataFrame, text_col: str, lang_col: str, references: References) -> Column:
     lang = F.col(lang_col) if lang_col in docs.columns else F.lit(None).cast("string")
-    return judged(F.coalesce(F.col(text_col), F.lit("")), lang)
+    return judged(F.coalesce(F.col(text_col), F.lit("")), lang, references)
 
 
-def drop_low_quality(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def drop_low_quality(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", references: References = REFERENCES) -> DataFrame:
     """The rows that the rules keep, with their own columns."""
-    return docs.filter(_judged_row(docs, text_col, lang_col)["kept"])
+    return docs.filter(_judged_row(docs, text_col, lang_col, references)["kept"])
 
 
 def op9_quality(spark, sf_dir: str) -> DataFrame:
