@@ -6,6 +6,7 @@ The only difference between the dialects is how minutes are added and what a tim
 from __future__ import annotations
 
 import re
+import uuid
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -177,8 +178,12 @@ class Tables:
         return self._made[name]
 
     def _by_view(self, name: str) -> DataFrame:
-        self.table("documents").createOrReplaceTempView("curatrix_documents")
-        return self.spark.sql(re.sub(r"\bdocuments\b", "curatrix_documents", sql(name, "spark")))
+        view = f"curatrix_documents_{uuid.uuid4().hex}"  # its own: other tables of the session stay apart
+        self.table("documents").createTempView(view)
+        try:
+            return self.spark.sql(re.sub(r"\bdocuments\b", view, sql(name, "spark")))
+        finally:
+            self.spark.catalog.dropTempView(view)
 
     @cached_property
     def sources(self) -> DataFrame:

@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 
 
 def write_snapshot(table: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> str:
-    """Write the table's next version; returns its folder. The pointer is a one-row table, replaced by its own next version."""
+    """Write the table's next version; returns its folder. The pointer is a one-row table, replaced by its own next version.
+
+    One writer is assumed: of two at once, both versions are written and either pointer may be the later one.
+    """
     version = f"v{uuid.uuid4().hex}"
     writer = table.write.option("compression", "zstd")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(f"{path}/{version}")
