@@ -25,7 +25,7 @@ def extract_arxiv(*fields: Column) -> Column:
 
 
 def native_id(raw: Column, mode: str) -> Column:
-    """``plain`` as it is; ``arxiv`` after the last colon or slash, before the version; ``path`` the last path segment."""
+    """``plain`` as it is; ``arxiv`` after the last colon or slash, before the version; ``path`` the last path segment, without query and fragment."""
     if mode == "arxiv":
         return F.regexp_replace(F.regexp_extract(raw, r"([^:/]*)$", 1), r"v\d+$", "")
     if mode == "path":

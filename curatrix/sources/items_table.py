@@ -29,8 +29,9 @@ MOST_LAYERS = 8
 
 class ItemsTable:
     def __init__(self, spark: SparkSession, path: str, buckets: int = 64, most_layers: int = MOST_LAYERS):
-        """buckets: fixed when the table is made; some 256 MB of items each at its final size keep a bucket within a task."""
-        self.spark, self.path, self.buckets, self.most_layers = spark, path.rstrip("/"), buckets, most_layers
+        """buckets: of a new table; one that is there keeps its own. Some 256 MB of items each at its final size keep a bucket within a task."""
+        self.spark, self.path, self.most_layers = spark, path.rstrip("/"), most_layers
+        self.buckets = state.buckets if (state := self._state()) else buckets
 
     # Layers.
 
@@ -42,7 +43,7 @@ class ItemsTable:
     def _point(self, layers: list[str], schema: str, token: str | None = None, tallies: dict[str, int] | None = None) -> None:
         state = self._state()
         n = state.n + 1 if state else 1
-        row = self.spark.createDataFrame([(n, layers, schema, token, tallies)], "n long, layers array<string>, schema string, token string, tallies map<string,long>")
+        row = self.spark.createDataFrame([(n, layers, schema, self.buckets, token, tallies)], "n long, layers array<string>, schema string, buckets int, token string, tallies map<string,long>")
         row.coalesce(1).write.mode("append").parquet(f"{self.path}/pointer")
 
     def tallies(self) -> DataFrame:

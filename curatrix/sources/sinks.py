@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import make_folder, qualified, stored
+
 
 def write_snapshot(table: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> str:
     """Write the table's next version; returns its folder. The pointer is a one-row table, replaced by its own next version.
@@ -62,29 +66,43 @@ def read_parts(spark: SparkSession, path: str, part: str, only: list[str] | None
     return spark.read.parquet(*folders) if folders else None
 
 
-def write_text_files(texts: DataFrame, path: str) -> list[str]:
-    """Texts (file, content), one file each under its own name; a file that is there already is replaced. Returns the paths.
-
-    Spark writes the contents, which end in a line break; the driver only renames the finished files.
+def _writing(folder: str):
+    """Rows (file, content) that come by file, each written under a passing name and then given its own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, base = fs.FileSystem.from_uri(folder)
+        before = None
+        for batch in batches:
+            names, sizes = batch.column("file").to_pylist(), []
+            for name, text in zip(names, batch.column("content").to_pylist()):
+                if name == before:
+                    raise ValueError(f"more than one text for {name}")
+                before = name
+                data = (text if text.endswith("\n") else f"{text}\n").encode()
+                passing = f"{base}/_{uuid.uuid4().hex}"
+                with system.open_output_stream(passing) as out:
+                    out.write(data)
+                if system.get_file_info(f"{base}/{name}").type == fs.FileType.File:
+                    system.delete_file(f"{base}/{name}")
+                system.move(passing, f"{base}/{name}")
+                sizes.append(len(data))
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(sizes, pa.int64())], names=["file", "bytes"])
+
+    return run
+
+
+def write_text_files(texts: DataFrame, path: str) -> DataFrame:
+    """Texts (file, content), one file each under its own name; a file that is there already is replaced. Returns (file, bytes) of what was written.
+
+    Tasks write the files, which end in a line break; nothing of them goes through the driver. A task that runs again writes the same files. Null
+    texts are empty; two texts of one name are an error, and so is a name that is no plain one.
     """
-    spark = texts.sparkSession
-    staged = f"{path}/_staged-{uuid.uuid4().hex}"
-    texts.select("file", F.regexp_replace("content", r"\n\z", "").alias("value")).write.partitionBy("file").text(staged)
-    fs = spark._jvm.org.apache.hadoop.fs
-    at = lambda p: fs.Path(p)
-    system, out = at(path).getFileSystem(spark._jsc.hadoopConfiguration()), []
-    for folder in system.listStatus(at(staged)):
-        name = folder.getPath().getName()
-        if name.startswith("file="):
-            parts = [f.getPath() for f in system.listStatus(folder.getPath()) if f.getPath().getName().startswith("part-")]
-            if len(parts) != 1:
-                raise ValueError(f"more than one text for {name}")
-            target = at(f"{path}/{spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName(name[5:])}")
-            system.delete(target, False)
-            system.rename(parts[0], target)
-            out.append(target.toString())
-    system.delete(at(staged), True)
-    return sorted(out)
+    spark, folder = texts.sparkSession, qualified(texts.sparkSession, path)
+    make_folder(spark, folder)
+    plain = F.col("file").rlike(r"^[^/\\_.][^/\\]*$")
+    named = F.when(plain, F.col("file")).otherwise(F.raise_error(F.concat(F.lit("no plain file name: "), F.coalesce("file", F.lit("null")))).cast("string"))
+    rows = texts.select(named.alias("file"), F.coalesce("content", F.lit("")).alias("content"))
+    return stored(rows.repartition("file").sortWithinPartitions("file").mapInArrow(_writing(folder), "file string, bytes long"), "written")
 
 
 def write_digests(digests: DataFrame, path: str) -> None:

@@ -32,6 +32,6 @@ def ingest_stream(spark: SparkSession, landed: str, items: str, checkpoint: str,
     return told
 
 
-def read_items(spark: SparkSession, items: str, buckets: int = 64) -> DataFrame | None:
+def read_items(spark: SparkSession, items: str) -> DataFrame | None:
     """The items table that streams merge into; None before the first batch."""
-    return ItemsTable(spark, items, buckets).read()
+    return ItemsTable(spark, items).read()

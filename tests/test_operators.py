@@ -90,7 +90,8 @@ def test_layers_of_buckets(spark, t, tmp_path):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     for name in [x.name for x in spark.catalog.listTables() if x.name.startswith("items_")]:
         spark.sql(f"DROP TABLE {name}")
-    again = ItemsTable(spark, str(tmp_path / "items"), buckets=3)
+    again = ItemsTable(spark, str(tmp_path / "items"), buckets=5)
+    assert again.buckets == 3
     assert rows(again.read()) == before
     again.compact()
     assert rows(again.read()) == before and len(again.layers()) == 1
@@ -205,7 +206,7 @@ def test_stream_equals_batch(spark, t, tmp_path):
     for k in (1, 2, 3):
         t.raw_items.filter(F.col("batch_id") == k).select(*(F.col(f.name).cast(f.dataType) for f in RAW.fields)).coalesce(1).write.mode("append").parquet(str(tmp_path / "landed"))
     batches = ingest_stream(spark, str(tmp_path / "landed"), str(tmp_path / "items"), str(tmp_path / "checkpoint"), t.sources, NOW, buckets=4)
-    streamed = read_items(spark, str(tmp_path / "items"), 4)
+    streamed = read_items(spark, str(tmp_path / "items"))
     assert len(batches) >= 3
     normal = ingest.normalize(t.raw_items, t.sources, NOW)
     assert sum(b["landed"] for b in batches) == normal.count() and sum(b["inserted"] for b in batches) == streamed.count()
@@ -445,6 +446,11 @@ def test_parts_and_text_files(spark, tmp_path):
     for text in ("old\n", "new\n\nlines\n"):
         sinks.write_text_files(spark.createDataFrame([("a b=1.md", text), ("c.md", "x")], "file string, content string"), out)
     assert (tmp_path / "texts" / "a b=1.md").read_text() == "new\n\nlines\n" and (tmp_path / "texts" / "c.md").read_text() == "x\n"
+    assert {f.name for f in (tmp_path / "texts").iterdir() if not f.name.startswith(".")} == {"a b=1.md", "c.md"}
+    for wrong in ([("a.md", "x"), ("a.md", "y")], [("../a.md", "x")], [(None, "x")]):
+        with pytest.raises(Exception, match="more than one text|no plain file name"):
+            sinks.write_text_files(spark.createDataFrame(wrong, "file string, content string"), out)
+    assert sinks.write_text_files(spark.createDataFrame([], "file string, content string"), out).count() == 0
 
 
 def test_intermediate_tables_can_be_cleared(spark):
