@@ -196,7 +196,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     met = each.join(small(prefixes), F.col("shingle") == F.col("prefix")).withColumn("begin", F.col("at") - F.col("place"))
     fits = met.filter((F.col("begin") >= 0) & (F.col("begin") + F.col("n") - F.col("size") + 1 <= F.col("length")))
     fits = stage(fits.select(F.col("row").alias("of_row"), F.col("size").alias("of_size"), F.col("start").alias("of_start"), "begin", "n", "key", "window"), "candidates")
-    asked = runs.drop("shingles").join(small(fits), (F.col("row") == F.col("of_row")) & (F.col("size") == F.col("of_size")) & (F.col("start") == F.col("of_start")))
+    # Candidates grow with the corpus and carry their window: they meet the runs' words by shuffle, not by broadcast.
+    asked = runs.drop("shingles").join(fits, (F.col("row") == F.col("of_row")) & (F.col("size") == F.col("of_size")) & (F.col("start") == F.col("of_start")))
     same = F.array_join(F.slice(F.split("words", " "), F.col("begin") + 1, F.col("n")), " ") == F.col("window")
     begin = F.col("start") + F.col("begin")
     hits = stage(asked.filter(same).select("row", begin.alias("begin"), (begin + F.col("n")).alias("end"), "key").distinct(), "hits")
@@ -204,7 +205,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     spans = hits.groupBy("row").agg(covered(F.array_sort(F.collect_set(F.struct("begin", "end")))).alias("n_hit"))
     named = hits.select("row", "key").distinct().join(every.select(F.col("key").alias("of_key"), "item").distinct(), F.col("key") == F.col("of_key")).groupBy(F.col("row").alias("named_row")).agg(F.array_sort(F.collect_set("item")).alias("items"))
     told = spans.join(named, F.col("row") == F.col("named_row")).select(F.col("row").alias("of_row"), "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"))
-    out = found.filter(F.col("kind") == DOCUMENT).select("doc_id", "row_key", "row", "n_words").join(small(stage(told, "told")), F.col("row") == F.col("of_row"), "left")
+    out = found.filter(F.col("kind") == DOCUMENT).select("doc_id", "row_key", "row", "n_words").join(stage(told, "told"), F.col("row") == F.col("of_row"), "left")
     out = out.select("doc_id", "row_key", "n_words", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("n_hit", "n_items")), F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"))
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
