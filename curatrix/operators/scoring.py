@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import contracts, scores
-from ..storage import has_files, make_folder, new_path, qualified, stored
+from ..storage import has_files, make_folder, new_path, qualified, remove, stored
 
 STAGE2_FROM = 75
 #: What an outcome says of the model that gave it.
@@ -107,6 +107,7 @@ def answers(payloads: DataFrame, scorer: Callable[[str], str], concurrency: int,
     asked = stored(wanted.join(known, "request", "left_anti"), "requests")
     dealt = asked.repartition(concurrency, "request").sortWithinPartitions("request")
     dealt.mapInArrow(_answering(scorer, log, prompt_version, chunk), LOG).write.format("noop").mode("overwrite").save()
+    remove(asked)
     return wanted.select("request").join(read_log(spark, log).select("request", "raw"), "request")
 
 
