@@ -101,14 +101,14 @@ def answers(payloads: DataFrame, scorer: Callable[[str], str], concurrency: int,
     spark = payloads.sparkSession
     log = qualified(spark, log)
     make_folder(spark, log)
-    wanted = payloads.select(request_key(F.col("payload"), prompt_version).alias("request"), "payload").groupBy("request").agg(F.any_value("payload").alias("payload"))
-    known = read_log(spark, log).select("request", "raw")
+    wanted = payloads.select(request_key(F.col("payload"), prompt_version).alias("request"), "payload")
+    new = wanted.join(read_log(spark, log).select("request"), "request", "left_anti") if has_files(spark, log) else wanted
     # Written first, so that a task's rows are the same whenever it runs.
-    asked = stored(wanted.join(known, "request", "left_anti"), "requests")
+    asked = stored(new.groupBy("request").agg(F.any_value("payload").alias("payload")), "requests")
     dealt = asked.repartition(concurrency, "request").sortWithinPartitions("request")
     dealt.mapInArrow(_answering(scorer, log, prompt_version, chunk), LOG).write.format("noop").mode("overwrite").save()
     remove(asked)
-    return wanted.select("request").join(read_log(spark, log).select("request", "raw"), "request")
+    return read_log(spark, log).select("request", "raw").join(wanted.select("request"), "request", "left_semi")
 
 
 def score(payloads: DataFrame, scorer: Callable[[str], str], concurrency: int, contract: Callable, key: str = "id", log: str | None = None, prompt_version: str = "") -> DataFrame:
@@ -119,6 +119,7 @@ def score(payloads: DataFrame, scorer: Callable[[str], str], concurrency: int, c
     payload, and once for its repair.
     """
     log = log or new_path(payloads.sparkSession, "answers")
+    payloads = stored(payloads.select(key, "payload"), "payloads")  # what makes them runs once
 
     def answered(asked: DataFrame) -> DataFrame:
         keyed = asked.select(key, request_key(F.col("payload"), prompt_version).alias("request"))

@@ -90,6 +90,9 @@ def _totals(t: Tables):
 _LABEL = "CASE category " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in ops.LABELS.items()) + " END"
 
 
+#: A digest's overview: what the stand-in says, or, where it breaks the contract, a sentence of the digest's counts.
+_COUNTED = "'今日共采集 ' || CAST(coalesce(k.collected, 0) AS BIGINT) || ' 条情报，高价值 ' || n.high || ' 条。'"
+_SUMMARY = f"CASE WHEN coalesce(o.n, 0) BETWEEN 11 AND 14 THEN {_COUNTED} ELSE n.domain || ': ' || coalesce(o.n, 0) || ', first [' || coalesce(o.title, '') || '].' END"
 _MARKDOWN = f"""WITH {_C}, {_FIRST},
 o AS (SELECT day, domain, count(*) AS n, max(title) FILTER (WHERE rank = 1) AS title FROM f WHERE rank <= 20 GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY day, domain, category ORDER BY {_ORDER}) AS rank FROM c WHERE high),
@@ -103,13 +106,19 @@ n AS (SELECT day, domain, count(*) FILTER (WHERE high) AS high FROM c GROUP BY A
 SELECT CAST(n.day AS VARCHAR) AS day, n.domain, 'intelligence-' || n.domain || '-' || n.day || '.md' AS file,
   '---' || chr(10) || 'title: ' || CASE n.domain WHEN 'security' THEN '安全情报日报' WHEN 'ai' THEN 'AI 情报日报' ELSE '情报日报' END || ' · ' || n.day || chr(10) || 'date: {GENERATED}' || chr(10) || 'tags:' || chr(10) || '  - intelligence' || chr(10) || '  - ' || n.domain || chr(10)
   || 'categories:' || chr(10) || '  - 情报日报' || chr(10) || '---' || chr(10) || chr(10) || '## Overview' || chr(10) || chr(10)
-  || CASE WHEN coalesce(o.n, 0) BETWEEN 11 AND 14 THEN '今日共采集 ' || CAST(coalesce(k.collected, 0) AS BIGINT) || ' 条情报，高价值 ' || n.high || ' 条。' ELSE n.domain || ': ' || coalesce(o.n, 0) || ', first [' || coalesce(o.title, '') || '].' END || chr(10) || chr(10) || '## High Value' || chr(10) || chr(10) || coalesce(h.t, '暂无高价值情报。' || chr(10) || chr(10)) || '## Lower-value Mentions' || chr(10) || chr(10) || coalesce(l.t, '暂无。')
+  || {_SUMMARY} || chr(10) || chr(10) || '## High Value' || chr(10) || chr(10) || coalesce(h.t, '暂无高价值情报。' || chr(10) || chr(10)) || '## Lower-value Mentions' || chr(10) || chr(10) || coalesce(l.t, '暂无。')
   || chr(10) || chr(10) || '## Stats' || chr(10) || chr(10) || '- Collected: ' || CAST(coalesce(k.collected, 0) AS BIGINT) || chr(10) || '- Analyzed: ' || coalesce(a.analyzed, 0) || chr(10) || '- High value: ' || n.high || chr(10) || '- Failed sources: ' || coalesce(k.failed, 0) || chr(10) AS content
 FROM n LEFT JOIN h ON h.day = n.day AND h.domain = n.domain LEFT JOIN l ON l.day = n.day AND l.domain = n.domain LEFT JOIN k ON k.day = n.day LEFT JOIN a ON a.day = n.day LEFT JOIN o ON o.day = n.day AND o.domain = n.domain"""
 
 
-@query("digest_markdown", _MARKDOWN)
+@query("digest_markdown", _MARKDOWN.replace(_SUMMARY, _COUNTED))
 def digest_markdown(t: Tables):
+    """Digests that no model was asked for."""
+    return _day(ops.render(ops.digest_items(t.items), _totals(t), GENERATED).select("day", "domain", "file", "content"))
+
+
+@query("digest_markdown_overview", _MARKDOWN)
+def digest_markdown_overview(t: Tables):
     return _rendered(t)
 
 
