@@ -14,6 +14,9 @@ The first pass sketches, the second groups exactly:
   once a flush and no key is hot, and sends one binary of twelve bytes a window for each hash bucket. The
   bucket's task answers one bit for each of them, in their order, and the flush's documents take their bits in that
   order. Documents whose windows are all settled inside their flush, or that have none, wait for no answer.
+* Buckets grow with the corpus and a flush does not, so a task deals to ``FAN`` buckets at most. Where there are more, hashes are dealt
+  again, level by level: a task gathers what many flushes sent to one bucket, groups it, deals the rest to finer buckets and
+  hands their answers back. So a binary holds about as many hashes at every size of corpus.
 """
 
 from __future__ import annotations
@@ -249,6 +252,8 @@ def covered(starts: np.ndarray, n: int, window: int = WINDOW) -> np.ndarray:
 DONE, WAITING, HASHES, ORDER, ANSWER = range(5)
 #: Suspect windows and batches that a task holds before it groups them (about 60 MB).
 HELD, HELD_BATCHES = 2_000_000, 32
+#: Buckets that a task deals its hashes to: HELD hashes make binaries of some 24 kB.
+FAN = 1024
 _KEY = np.dtype([("one", "<u8"), ("two", "<u4")])
 _COLUMNS = (("kind", pa.int32()), ("flush", pa.int64()), ("row", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("text", pa.string()), ("known", pa.list_(pa.int32())), ("asked", pa.list_(pa.int32())), ("bucket", pa.int32()), ("data", pa.binary()))
 _SHAPE = "kind int, flush long, row long, n_words long, n_removed long, kept_sha256 string, text string, known array<int>, asked array<int>, bucket int, data binary"
@@ -268,15 +273,46 @@ def _kept(words: list[bytes], starts: np.ndarray, window: int) -> tuple[int, str
     return n, hashlib.sha256(rest).hexdigest(), rest.decode() if n else None
 
 
-def _flushed(flush: int, held: list[tuple], buckets: int, window: int) -> Iterator[pa.RecordBatch]:
-    """Group what is held, as a map-side combine: a window that repeats here is known to, and is sent once, for the others."""
-    one, two = (np.concatenate([x[k] for x in held]) for k in (4, 5))
+def _grouped(one: np.ndarray, two: np.ndarray, sure: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which hashes are there more than once (a sure one stands for several), and which are the first of their kind."""
     order = np.lexsort((two, one))
     new = np.ones(len(order), bool)
     new[1:] = (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])
-    many = np.bincount(np.cumsum(new) - 1, minlength=1)[np.cumsum(new) - 1] > 1 if len(order) else np.zeros(0, bool)
+    group = np.cumsum(new) - 1
     repeats, first = np.zeros(len(order), bool), np.zeros(len(order), bool)
-    repeats[order], first[order] = many, new
+    repeats[order], first[order] = (np.bincount(group, 1 + sure[order]) > 1)[group], new
+    return repeats, first
+
+
+def _dealt(one: np.ndarray, two: np.ndarray, repeats: np.ndarray, first: np.ndarray, buckets: int) -> tuple[bytes, list[int], list[bytes]]:
+    """The buckets of the hashes that ask, in their order; then each bucket that gets any, and its hashes.
+
+    A hash that repeats here doesn't ask; one of its kind is sent as a sure one, for the others. Those that ask come first in a bucket.
+    """
+    sent = np.concatenate([np.flatnonzero(~repeats), np.flatnonzero(repeats & first)])
+    asks = int((~repeats).sum())
+    bucket = (one[sent] >> np.uint64(64 - buckets.bit_length() + 1)).astype(np.int64) if buckets > 1 else np.zeros(len(sent), np.int64)
+    keys = np.zeros(len(sent), _KEY)
+    keys["one"], keys["two"] = one[sent], two[sent] | (np.arange(len(sent)) >= asks)
+    by = np.argsort(bucket, kind="stable")
+    full, edges = np.unique(bucket[by], return_index=True)
+    ends = [*edges[1:].tolist(), len(by)]
+    return bucket[:asks].astype("<u4").tobytes(), full.tolist(), [keys[by[a:z]].tobytes() for a, z in zip(edges.tolist(), ends)]
+
+
+def _in_order(order: np.ndarray, answers: dict[int, bytes]) -> np.ndarray:
+    """The buckets' answers in the order of the hashes that asked."""
+    bits, by = np.zeros(len(order), bool), np.argsort(order, kind="stable")
+    found, edges = np.unique(order[by], return_index=True)
+    for b, a, z in zip(found.tolist(), edges.tolist(), [*edges[1:].tolist(), len(by)]):
+        bits[by[a:z]] = np.unpackbits(np.frombuffer(answers[b], np.uint8), count=z - a).astype(bool)
+    return bits
+
+
+def _flushed(flush: int, held: list[tuple], buckets: int, window: int) -> Iterator[pa.RecordBatch]:
+    """Group what is held, as a map-side combine: a window that repeats here is known to, and is sent once, for the others."""
+    one, two = (np.concatenate([x[k] for x in held]) for k in (4, 5))
+    repeats, first = _grouped(one, two, np.zeros(len(one), bool))
     done, row = 0, 0
     for ids, n_words, starts, owner, _, _, plain, whole in held:
         mine = repeats[done : done + len(starts)]
@@ -297,22 +333,13 @@ def _flushed(flush: int, held: list[tuple], buckets: int, window: int) -> Iterat
             asked.append(_runs(ask) if len(ask) else None)
         yield _rows(len(n_words), ids, kind=kinds, flush=[flush] * len(n_words), row=np.arange(row, row + len(n_words)), n_words=n_words, n_removed=removed, kept_sha256=shas, text=shown, known=known, asked=asked)
         row += len(n_words)
-    # Those to be answered come first in each bucket, in the order of their documents.
-    sent = np.concatenate([np.flatnonzero(~repeats), np.flatnonzero(repeats & first)])
-    if len(sent):
-        none = pa.nulls(1, ids.type)
-        bucket = (one[sent] >> np.uint64(64 - buckets.bit_length() + 1)).astype(np.int64) if buckets > 1 else np.zeros(len(sent), np.int64)
-        asks = int((~repeats).sum())
-        yield _rows(1, none, kind=[ORDER], flush=[flush], row=[-2], bucket=[buckets], data=[bucket[:asks].astype("<u4").tobytes()])
-        keys = np.zeros(len(sent), _KEY)
-        keys["one"], keys["two"] = one[sent], two[sent] | (np.arange(len(sent)) >= asks)
-        by = np.argsort(bucket, kind="stable")
-        edges = np.searchsorted(bucket[by], np.arange(buckets + 1)).tolist()
-        full = [k for k in range(buckets) if edges[k] < edges[k + 1]]
-        yield _rows(len(full), pa.nulls(len(full), ids.type), kind=[HASHES] * len(full), flush=[flush] * len(full), row=[0] * len(full), bucket=full, data=[keys[by[edges[k] : edges[k + 1]]].tobytes() for k in full])
-
-
-def _suspects(shared, buckets: int, window: int):
+    if len(one):
+        order, full, data = _dealt(one, two, repeats, first, buckets)
+        yield _rows(1, pa.nulls(1, ids.type), kind=[ORDER], flush=[flush], row=[-2], data=[order])
+        yield _rows(len(full), pa.nulls(len(full), ids.type), kind=[HASHES] * len(full), flush=[flush] * len(full), row=[0] * len(full), bucket=full, data=data)
+
+
+def _suspects(shared, buckets: int, window: int, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -334,7 +361,7 @@ def _suspects(shared, buckets: int, window: int):
             shas = [None if s else hashlib.sha256(b" ".join(d)).hexdigest() for d, s in zip(docs, has)]
             held.append((batch.column("doc_id"), w.n, starts - w.first[owner], owner, one, (two >> np.uint64(33)).astype("<u4") << np.uint32(1), [t if s else None for t, s in zip(plain, has)], shas))
             del docs, plain, w
-            if sum(len(x[2]) for x in held) > HELD or len(held) >= HELD_BATCHES:
+            if sum(len(x[2]) for x in held) > most or len(held) >= HELD_BATCHES:
                 yield from _flushed(flush, held, buckets, window)
                 held, flush = [], flush + 1
         if held:
@@ -348,14 +375,8 @@ def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def answered(bucket: int, flushes: list[int], data: list[bytes]) -> pa.RecordBatch:
         keys = np.frombuffer(b"".join(data), _KEY)
-        one, two, sure = keys["one"], keys["two"] >> 1, (keys["two"] & 1).astype(bool)
-        order = np.lexsort((two, one))
-        new = np.ones(len(order), bool)
-        new[1:] = (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])
-        group = np.cumsum(new) - 1
-        twice = np.bincount(group, 1 + sure[order]) > 1
-        repeats = np.zeros(len(order), bool)
-        repeats[order] = twice[group]
+        sure = (keys["two"] & 1).astype(bool)
+        repeats, _ = _grouped(keys["one"], keys["two"] >> 1, sure)
         edges = np.cumsum([0, *(len(x) // _KEY.itemsize for x in data)]).tolist()
         bits = [np.packbits(repeats[a:b][~sure[a:b]]).tobytes() for a, b in zip(edges[:-1], edges[1:])]
         return pa.RecordBatch.from_arrays([pa.array([bucket] * len(flushes), pa.int32()), pa.array(flushes, pa.int64()), pa.array(bits, pa.binary())], names=["bucket", "flush", "data"])
@@ -373,6 +394,87 @@ def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield answered(now, flushes, data)
 
 
+_GROUPS = "kind int, flush long, bucket int, data binary, known binary, of array<long>, asks array<int>"
+
+
+def _regrouped(buckets: int, most: int):
+    """What many flushes sent to a bucket, of rows sorted by bucket, gathered into groups and dealt to finer buckets.
+
+    A group is to the next level what a flush is to this one. Its order tells, too, which of the hashes that asked it
+    repeat inside the group, and how many each flush asked.
+    """
+
+    def grouped(group: int, bucket: int, flushes: list[int], data: list[bytes]) -> pa.RecordBatch:
+        keys = np.frombuffer(b"".join(data), _KEY)
+        one, two, sure = keys["one"], keys["two"] & ~np.uint32(1), (keys["two"] & 1).astype(bool)
+        repeats, first = _grouped(one, two, sure)
+        edges = np.cumsum([0, *(len(x) // _KEY.itemsize for x in data)]).tolist()
+        asks = [int((~sure[a:b]).sum()) for a, b in zip(edges[:-1], edges[1:])]
+        order, full, sent = _dealt(one, two, repeats, first, buckets)
+        n = len(full)
+        columns = ([ORDER] + [HASHES] * n, [group] * (n + 1), [bucket, *full], [order, *sent], [np.packbits(repeats[~sure]).tobytes()] + [None] * n, [flushes] + [None] * n, [asks] + [None] * n)
+        types = (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()))
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, types)], names=["kind", "flush", "bucket", "data", "known", "of", "asks"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        group = TaskContext.get().partitionId() << 32
+        now, flushes, data, size = None, [], [], 0
+        for batch in batches:
+            for bucket, flush, raw in zip(*(batch.column(c).to_pylist() for c in ("bucket", "flush", "data"))):
+                if flushes and (bucket != now or size > most * _KEY.itemsize):
+                    yield grouped(group, now, flushes, data)
+                    group, flushes, data, size = group + 1, [], [], 0
+                now = bucket
+                flushes.append(flush)
+                data.append(raw)
+                size += len(raw)
+        if flushes:
+            yield grouped(group, now, flushes, data)
+
+    return run
+
+
+def _handed_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A group's answers as those of its bucket to each of its flushes. Rows come by group: its order, then the finer buckets' answers."""
+
+    def handed(order: dict, answers: dict[int, bytes]) -> pa.RecordBatch:
+        told = np.unpackbits(np.frombuffer(order["known"], np.uint8), count=sum(order["asks"])).astype(bool)
+        told[~told] = _in_order(np.frombuffer(order["data"], "<u4"), answers)
+        edges = np.cumsum([0, *order["asks"]]).tolist()
+        bits = [np.packbits(told[a:b]).tobytes() for a, b in zip(edges[:-1], edges[1:])]
+        return pa.RecordBatch.from_arrays([pa.array([order["bucket"]] * len(bits), pa.int32()), pa.array(order["of"], pa.int64()), pa.array(bits, pa.binary())], names=["bucket", "flush", "data"])
+
+    order, answers = None, {}
+    for batch in batches:
+        for row in batch.to_pylist():
+            if row["kind"] == ORDER:
+                if order:
+                    yield handed(order, answers)
+                order, answers = row, {}
+            else:
+                answers[row["bucket"]] = row["data"]
+    if order:
+        yield handed(order, answers)
+
+
+def _answered(hashes: DataFrame, dealt: int, buckets: int, fan: int, held: int) -> DataFrame:
+    """(bucket, flush, data): for each flush and bucket a bit for each hash that asks.
+
+    hashes: (bucket, flush, data) of ``dealt`` buckets. Where that is fewer than ``buckets``, they are dealt on, by as many tasks for a
+    bucket as it has finest ones.
+    """
+    if dealt >= buckets:
+        return hashes.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_answers, "bucket int, flush long, data binary")
+    finer = min(buckets, dealt * fan)
+    parts = hashes.repartition("bucket", F.pmod(F.xxhash64("flush"), F.lit(buckets // dealt))).sortWithinPartitions("bucket")
+    groups = stage(parts.mapInArrow(_regrouped(finer, held), _GROUPS), "groups")
+    back = _answered(groups.filter(F.col("kind") == HASHES).select("bucket", "flush", "data"), finer, buckets, fan, held)
+    waiting = groups.filter(F.col("kind") == ORDER).unionByName(back.withColumn("kind", F.lit(ANSWER)), allowMissingColumns=True)
+    return waiting.repartition("flush").sortWithinPartitions("flush", "kind").mapInArrow(_handed_back, "bucket int, flush long, data binary")
+
+
 def _finish(window: int):
     """Waiting documents with their answers. Rows come by flush: its order, then its answers, then its documents in order."""
 
@@ -390,10 +492,7 @@ def _finish(window: int):
                     answers[bucket] = data
                 else:
                     if bits is None:
-                        bits, by = np.zeros(len(order), bool), np.argsort(order, kind="stable")
-                        found, edges = np.unique(order[by], return_index=True)
-                        for b, a, z in zip(found.tolist(), edges.tolist(), [*edges[1:].tolist(), len(by)]):
-                            bits[by[a:z]] = np.unpackbits(np.frombuffer(answers[b], np.uint8), count=z - a).astype(bool)
+                        bits = _in_order(order, answers)
                     words = text.encode().split()
                     ask = np.flatnonzero(_flags(asked, len(words)))
                     told = bits[at : at + len(ask)]
@@ -410,12 +509,13 @@ def _finish(window: int):
     return run
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, fan: int = FAN, held: int = HELD) -> DataFrame:
     """n_words, n_removed, kept_sha256 and, where words were removed, kept_text for each row.
 
     Null and empty texts and those shorter than a window lose nothing. Repeated rows and copies count as two documents,
     so all their windows go. Texts of any length are judged whole; a text is held by one task. An empty table gives no rows.
-    Other columns are left out. window: ANCHOR + SPAN - 1 words at least.
+    Other columns are left out. window: ANCHOR + SPAN - 1 words at least. fan: buckets that a task deals to, a power of two; held: hashes
+    that it holds meanwhile.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
@@ -423,10 +523,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     sketch = repeated_cells(rows.select("text"), sketch_bits(size))
     # About a million hashes a bucket where every character of the text starts a word of a repeated window.
     buckets = 1 << max(6, (size // 4_000_000).bit_length())
+    dealt = min(buckets, fan)
     shared = docs.sparkSession.sparkContext.broadcast(sketch)
-    found = stage(rows.mapInArrow(_suspects(shared, buckets, window), f"{_SHAPE}, doc_id {kind}"), "windows")
+    found = stage(rows.mapInArrow(_suspects(shared, dealt, window, held), f"{_SHAPE}, doc_id {kind}"), "windows")
     hashes = found.filter(F.col("kind") == HASHES).select("bucket", "flush", "data")
-    answers = hashes.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_answers, "bucket int, flush long, data binary")
+    answers = _answered(hashes, dealt, buckets, fan, held)
     columns = ["kind", "flush", "row", "text", "known", "asked", "bucket", "data", "doc_id"]
     told = answers.select(F.lit(ANSWER).alias("kind"), "flush", F.lit(-1).cast("long").alias("row"), *(F.lit(None).cast(found.schema[c].dataType).alias(c) for c in ("text", "known", "asked")), "bucket", "data", F.lit(None).cast(kind).alias("doc_id"))
     waiting = found.filter(F.col("kind").isin(WAITING, ORDER)).select(columns).unionByName(told)
