@@ -252,8 +252,8 @@ def covered(starts: np.ndarray, n: int, window: int = WINDOW) -> np.ndarray:
 DONE, WAITING, HASHES, ORDER, ANSWER = range(5)
 #: Suspect windows and batches that a task holds before it groups them (about 60 MB).
 HELD, HELD_BATCHES = 2_000_000, 32
-#: Buckets that a task deals its hashes to: HELD hashes make binaries of some 24 kB.
-FAN = 1024
+#: Buckets that a task deals its hashes to: HELD hashes make binaries of some 3 kB, and two levels do for 2 ** 26 buckets (about 270 TB of text).
+FAN = 8192
 _KEY = np.dtype([("one", "<u8"), ("two", "<u4")])
 _COLUMNS = (("kind", pa.int32()), ("flush", pa.int64()), ("row", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("text", pa.string()), ("known", pa.list_(pa.int32())), ("asked", pa.list_(pa.int32())), ("bucket", pa.int32()), ("data", pa.binary()))
 _SHAPE = "kind int, flush long, row long, n_words long, n_removed long, kept_sha256 string, text string, known array<int>, asked array<int>, bucket int, data binary"
