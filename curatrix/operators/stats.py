@@ -117,7 +117,7 @@ def source_summary(sources: DataFrame, items: DataFrame, day: str, days: int = 1
     window = (F.col("fetched_at") >= F.date_sub(_day(day), days - 1)) & (F.col("fetched_at") < F.date_add(_day(day), 1))
     by_day = items.filter(window).groupBy("source_id", F.to_date("fetched_at").alias("day")).agg(F.count("*").alias("n"))
     most = by_day.agg(F.greatest(F.lit(1).cast("long"), F.coalesce(F.max("n"), F.lit(1))).alias("max_spark"))
-    return health_rollup(sources).join(most, how="inner")  # one row each
+    return health_rollup(sources).select("*", most.scalar().alias("max_spark"))
 
 
 def retain(items: DataFrame, cutoff: str) -> DataFrame:
