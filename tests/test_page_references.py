@@ -18,7 +18,7 @@ def page(title: str) -> str:
 def test_queries_follow_their_sql(spark, tmp_path):
     # Twice six ids, so that each title also stands in pages that page_text_odd leaves to the parser.
     rows = [(6 * k + r, "u", page(t)) for k, t in enumerate(TITLES) for r in range(6)] + [(1000, "u", None), (1002, "u", "")]
-    for folder, given, names in (("all", rows, ("page_text",)), ("odd", [r for r in rows if r[2]], ("page_text_odd",))):
+    for folder, given, names in (("all", rows, ("page_text", "page_text_routes")), ("odd", [r for r in rows if r[2]], ("page_text_odd",))):
         spark.createDataFrame(given, "page_id long, url string, html string").write.parquet(str(tmp_path / folder / "pages.parquet"))
         con = duckdb.connect()
         con.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path / folder / 'pages.parquet'}/*.parquet'")
