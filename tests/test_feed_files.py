@@ -24,6 +24,6 @@ def test_files_follow_bytes(spark, tmp_path, monkeypatch):
     assert 20 <= count <= 30 and 6 <= broken <= 8
     con = duckdb.connect()
     con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path / 'documents.parquet'}/*.parquet'")
-    for name in ("feed_files",):
+    for name in ("feed_files", "feed_files_broken"):
         found = sorted(tuple(r) for r in registry.queries()[name](spark, str(tmp_path)).collect())
         assert found == sorted(con.execute(registry.oracle_sql()[name]).fetchall()), name
