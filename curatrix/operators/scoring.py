@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-import hashlib
+import itertools
+import re
+import time
 import uuid
+from collections import deque
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -45,8 +48,9 @@ def stage2_requests(items: DataFrame, sources: DataFrame) -> DataFrame:
     return _with_source(items, sources).select("id", whole.alias("payload"))
 
 
-#: Requests that are answered together: what a lost task repeats at most.
-CHUNK = 16
+#: Requests that are answered together at least, and at most where they take less than SECONDS: what a lost task repeats at most. So a model's
+#: answers are kept sixteen at a time, and those of a scorer that takes no time don't make a file each sixteen.
+CHUNK, MOST_CHUNK, SECONDS = 16, 10_000, 1.0
 LOG = "request string, prompt_version string, raw string"
 
 
@@ -62,41 +66,48 @@ def read_log(spark: SparkSession, log: str) -> DataFrame:
     return spark.read.schema(LOG).parquet(log).groupBy("request").agg(F.any_value("prompt_version").alias("prompt_version"), F.any_value("raw").alias("raw"))
 
 
-def _answering(scorer: Callable[[str], str], folder: str, prompt_version: str, chunk: int):
+def _answering(scorer: Callable[[str], str], folder: str, prompt_version: str, chunk: int, most: int):
     """Rows (request, payload), sorted, are answered a chunk at a time; each chunk's answers are a file before the next one begins.
 
-    A chunk's file is named by its requests, and appears as a whole. A task that runs again finds the chunks of its lost attempt.
+    A chunk ends with ``most`` rows, or from ``chunk`` rows on when SECONDS have passed. Its file is named by its first request and
+    its length, and appears as a whole. A task that runs again finds the chunks of its lost attempt.
     """
 
-    def answered(rows: list[tuple[str, str]]) -> pa.Table:
-        system, base = fs.FileSystem.from_uri(folder)
-        path = f"{base}/chunk-{hashlib.sha256(' '.join(r for r, _ in rows).encode()).hexdigest()}.parquet"
-        if system.get_file_info(path).type == fs.FileType.File:
-            return pq.read_table(path, filesystem=system)
-        raw = [scorer(payload) for _, payload in rows]
-        table = pa.table([pa.array([r for r, _ in rows]), pa.array([prompt_version] * len(rows)), pa.array(raw, pa.string())], names=["request", "prompt_version", "raw"])
-        staged = f"{base}/_{uuid.uuid4().hex}"  # Spark passes over such names
-        pq.write_table(table, staged, filesystem=system)
-        system.move(staged, path)
-        return table
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[str, str]] = []
-        for batch in batches:
-            held += zip(*(batch.column(c).to_pylist() for c in ("request", "payload")))
-            while len(held) >= chunk:
-                yield from answered(held[:chunk]).to_batches()
-                held = held[chunk:]
-        if held:
-            yield from answered(held).to_batches()
+        system, base = fs.FileSystem.from_uri(folder)
+        names = (re.fullmatch(r"chunk-([0-9a-f]+)-(\d+)\.parquet", f.base_name) for f in system.get_file_info(fs.FileSelector(base)))
+        done: dict[str, int] = {}
+        for name in filter(None, names):
+            done[name[1]] = max(int(name[2]), done.get(name[1], 0))
+        rows = (row for batch in batches for row in zip(*(batch.column(c).to_pylist() for c in ("request", "payload"))))
+        held: deque[tuple[str, str]] = deque()
+        while held or (held := deque(itertools.islice(rows, 1))):
+            if n := done.get(held[0][0], 0):
+                held += itertools.islice(rows, max(0, n - len(held)))
+                table = pq.read_table(f"{base}/chunk-{held[0][0]}-{n}.parquet", filesystem=system)
+                if table.column("request").to_pylist() == [r for r, _ in itertools.islice(held, n)]:
+                    yield from table.to_batches()
+                    held = deque(itertools.islice(held, n, None))
+                    continue
+            asked, raw, began = [], [], time.monotonic()
+            while (held or (held := deque(itertools.islice(rows, 1)))) and len(raw) < most and (len(raw) < chunk or time.monotonic() - began < SECONDS):
+                request, payload = held.popleft()
+                raw.append(scorer(payload))
+                asked.append(request)
+            table = pa.table([pa.array(asked), pa.array([prompt_version] * len(asked)), pa.array(raw, pa.string())], names=["request", "prompt_version", "raw"])
+            staged = f"{base}/_{uuid.uuid4().hex}"  # Spark passes over such names
+            pq.write_table(table, staged, filesystem=system)
+            system.move(staged, f"{base}/chunk-{asked[0]}-{len(asked)}.parquet")
+            yield from table.to_batches()
 
     return run
 
 
-def answers(payloads: DataFrame, scorer: Callable[[str], str], concurrency: int, log: str, prompt_version: str = "", chunk: int = CHUNK) -> DataFrame:
+def answers(payloads: DataFrame, scorer: Callable[[str], str], concurrency: int, log: str, prompt_version: str = "", chunk: int | None = None) -> DataFrame:
     """(request, raw) for each different payload: from the log where it has the request, else from the scorer, whose answers are appended.
 
     The number of partitions bounds how many calls run at once. Neither a second run nor a task that was lost asks again what a finished chunk holds.
+    chunk: the requests of a chunk, where they shall be just so many; else CHUNK, or what is answered in SECONDS.
     """
     spark = payloads.sparkSession
     log = qualified(spark, log)
@@ -106,7 +117,7 @@ def answers(payloads: DataFrame, scorer: Callable[[str], str], concurrency: int,
     # Written first, so that a task's rows are the same whenever it runs.
     asked = stored(new.groupBy("request").agg(F.any_value("payload").alias("payload")), "requests")
     dealt = asked.repartition(concurrency, "request").sortWithinPartitions("request")
-    dealt.mapInArrow(_answering(scorer, log, prompt_version, chunk), LOG).write.format("noop").mode("overwrite").save()
+    dealt.mapInArrow(_answering(scorer, log, prompt_version, chunk or CHUNK, chunk or MOST_CHUNK), LOG).write.format("noop").mode("overwrite").save()
     remove(asked)
     return read_log(spark, log).select("request", "raw").join(wanted.select("request"), "request", "left_semi")
 
