@@ -1,10 +1,14 @@
-"""Near-duplicate groups by exact Jaccard similarity of five-word shingles, found by a prefix-filtered set join.
+"""Near-duplicate groups by exact Jaccard similarity of five-word shingles: operator 1's search, then a prefix-filtered set join.
+
+Candidates come first of operator 1's method: SimHash fingerprints of the sets, their segment popcounts, the range join on grids of unit
+cells, the Manhattan bound. Each is verified by the exact similarity. Many pairs of a similarity of 4/5 lie farther apart than fingerprints
+can be searched, so a set join finds the rest; it leaves out what the search has linked.
 
 In any one order of all shingles, two sets of similarity 4/5 or more share a shingle among the first n // 5 + 1 of each. The
 order is rarest first: shingles that a sample of the texts shows to be common come last, by their counts. Which shingles the
 sample finds changes the work, never the result. Shingles in two or more prefixes are cells; a count-min sketch of all prefixes
 keeps most others from being sent at all. First each set is verified against one pivot, the set that leads most of its cells,
-which joins a large group of copies in linear work. Sets of a cell that still lie in different components are compared
+which joins a large group of copies in linear work, save where the two are linked. Sets of a cell that still lie in different components are compared
 in pairs of bounded blocks, by size, position and a parity sketch as long as the set (the Hamming distance of two
 sketches never exceeds the number of shingles in which the sets differ): first each set with the nearest one only, and then all
 pairs that are left. Every pair that is left is verified by its exact
@@ -22,7 +26,7 @@ from pyspark.sql import functions as F
 
 from ..storage import remove
 from .common import LOWER, content_key, slices, small, stage, texts
-from .simhash import components, keep_first, label
+from .simhash import components, keep_first, label, within
 from .substring_dedup import estimated, repeated_cells
 
 SHINGLE = 5
@@ -79,6 +83,14 @@ def parity(found: np.ndarray) -> np.ndarray:
     return np.packbits(flips.astype(np.uint8)).view(np.uint64)
 
 
+def fingerprint(found: np.ndarray) -> int:
+    """The SimHash fingerprint of a set of hashes, as operator 1 has it of a text's: a bit is set if it is in over half of them."""
+    ones = np.zeros(64, np.int64)
+    for k in range(0, len(found), 65_536):
+        ones += np.unpackbits(found[k : k + 65_536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(found), bitorder="little").view("<i8")[0])
+
+
 def folded(sketches: np.ndarray) -> np.ndarray:
     """Rows of sketches at half their length."""
     half = sketches.shape[1] // 2
@@ -114,11 +126,12 @@ def _prefixes(common: np.ndarray, weight: np.ndarray, id_bits: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 256):
-            nodes, checks, sizes, sketches, shorts, prefixes = [], [], [], [], [], []
+            nodes, checks, bits, sizes, sketches, shorts, prefixes = [], [], [], [], [], [], []
             for found in shingle_sets(texts(batch, "text")):
                 node, check = _ids(found, id_bits)
                 nodes.append(node)
                 checks.append(check)
+                bits.append(fingerprint(found))
                 sizes.append(len(found))
                 sketch = parity(found)
                 sketches.append(sketch.tobytes())
@@ -127,7 +140,7 @@ def _prefixes(common: np.ndarray, weight: np.ndarray, id_bits: int):
                     at = np.minimum(np.searchsorted(common, found), len(common) - 1)
                     found = found[np.argsort(np.where(common[at] == found, weight[at], 0), kind="stable")]
                 prefixes.append(found[: len(found) // 5 + 1].view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row_key"), batch.column("text_key"), pa.array(nodes, pa.int64()), pa.array(checks, pa.int64()), pa.array(sizes, pa.int32()), pa.array(sketches, pa.binary()), pa.array(shorts, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))], names=["doc_id", "row_key", "text_key", "fp", "check", "size", "sketch", "short", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row_key"), batch.column("text_key"), pa.array(nodes, pa.int64()), pa.array(checks, pa.int64()), pa.array(bits, pa.int64()), pa.array(sizes, pa.int32()), pa.array(sketches, pa.binary()), pa.array(shorts, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))], names=["doc_id", "row_key", "text_key", "fp", "check", "bits", "size", "sketch", "short", "prefix"])
 
     return run
 
@@ -287,12 +300,25 @@ def _verified(pairs: DataFrame, rows: DataFrame, distinct: DataFrame) -> DataFra
     return checked
 
 
+def candidates(distinct: DataFrame) -> DataFrame:
+    """Pairs (a, b) of sets, no more than there are sets, that connect just those which fingerprints within operator 1's bound connect.
+
+    distinct: fp (a set's id) and bits (its fingerprint).
+    """
+    first = stage(distinct.groupBy("bits").agg(F.min("fp").alias("first")), "fingerprints")
+    ends = [first.select(F.col("bits").alias(f"bits_{c}"), F.col("first").alias(f"first_{c}")) for c in "ab"]
+    near = within(first.select(F.col("bits").alias("fp"))).join(ends[0], F.col("a") == F.col("bits_a")).join(ends[1], F.col("b") == F.col("bits_b"))
+    same = distinct.select("fp", "bits").join(first, "bits").filter("fp != first")
+    return near.select(F.col("first_a").alias("a"), F.col("first_b").alias("b")).union(same.select("fp", "first"))
+
+
 def links(rows: DataFrame, distinct: DataFrame, cells: DataFrame, block: int = BLOCK) -> DataFrame:
     """Links (a, b) that connect just those sets which pairs of similarity 4/5 or more connect.
 
-    rows: text_key and text; distinct: fp (a set's id), text_key (of one text that has it), sketch and short; cells: node (a fp), size,
+    rows: text_key and text; distinct: fp (a set's id), text_key (of one text that has it), bits, sketch and short; cells: node (a fp), size,
     and the place ``at`` of a shingle ``cell`` of its prefix, each once.
     """
+    searched = _verified(candidates(distinct), rows, distinct)
     lead = F.struct(F.xxhash64("node").alias("h"), "node", "size", "at")
     shared = cells.groupBy(F.col("cell").alias("of_cell")).agg(F.count("*").alias("n"), F.min(lead).alias("p")).filter("n > 1").withColumn("blocks", F.ceil(F.col("n") / block).cast("int")).drop("n")
     cells = stage(cells.join(shared, F.col("cell") == F.col("of_cell")).drop("of_cell"), "cells")
@@ -300,7 +326,12 @@ def links(rows: DataFrame, distinct: DataFrame, cells: DataFrame, block: int = B
     met = cells.filter(F.col("node") != F.col("p.node")).filter(_near(F.col("size"), F.col("at"), F.col("p.size"), F.col("p.at")))
     met = met.groupBy(F.col("node").alias("a"), F.col("p.node").alias("b")).agg(F.count("*").alias("n"))
     met = met.groupBy("a").agg(F.max(F.struct("n", F.xxhash64("b").alias("h"), "b")).alias("p")).select("a", F.col("p.b").alias("b"))
-    found = _verified(met, rows, distinct)
+    roots = stage(components(searched), "roots")
+    for c in "ab":
+        root = roots.select(F.col("node").alias("of"), F.col("root").alias(f"root_{c}"))
+        met = met.join(root, F.col(c) == F.col("of"), "left").drop("of")
+    met = met.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+    found = searched.union(_verified(met, rows, distinct))
 
     # Sets that their pivot left out go to the nearest one of another component (if a short sketch tells sets of their size apart);
     # then all pairs that are left are compared.
@@ -332,7 +363,7 @@ def _named(found: DataFrame) -> tuple[DataFrame, DataFrame]:
     clash = F.min("check") != F.max("check")
     turn = 0
     while True:
-        kept = (F.min("text_key").alias("text_key"), F.any_value("sketch").alias("sketch"), F.any_value("short").alias("short"), clash.alias("clash"))
+        kept = (F.min("text_key").alias("text_key"), F.any_value("bits").alias("bits"), F.any_value("sketch").alias("sketch"), F.any_value("short").alias("short"), clash.alias("clash"))
         distinct = stage(found.groupBy("fp").agg(*kept), "distinct")
         shared = distinct.filter("clash").select(F.col("fp").alias("of_fp"))
         if shared.isEmpty():
@@ -360,7 +391,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     top = counts.orderBy(F.desc("n"), "shingle").limit(MOST_COMMON).toArrow()  # bounded
     common, weight = top.column("shingle").to_numpy().view(np.uint64), top.column("n").to_numpy()
     order = np.argsort(common)
-    found = stage(rows.mapInArrow(_prefixes(common[order], weight[order], id_bits), "doc_id long, row_key binary, text_key binary, fp long, check long, size int, sketch binary, short binary, prefix array<long>"), "prefixes")
+    found = stage(rows.mapInArrow(_prefixes(common[order], weight[order], id_bits), "doc_id long, row_key binary, text_key binary, fp long, check long, bits long, size int, sketch binary, short binary, prefix array<long>"), "prefixes")
     found, distinct = _named(found)
     total = found.agg(F.sum(F.size("prefix"))).first()[0] or 0
     sketch = repeated_cells(found.select("prefix"), min(MOST_BITS, max(LEAST_BITS, (4 * total).bit_length())), _hashes)

@@ -229,11 +229,12 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return label(found)
 
 
-def _links(fingerprints: DataFrame) -> DataFrame:
+def within(fingerprints: DataFrame) -> DataFrame:
+    """Links of distinct fingerprints on the grids that suit their number."""
     return links(fingerprints, kind=FINER if fingerprints.count() >= FINER_FROM else COARSE)
 
 
-def label(found: DataFrame, find=_links) -> DataFrame:
+def label(found: DataFrame, find=within) -> DataFrame:
     """Add component_id to rows with doc_id and fp; ``find`` gives the links of distinct values of fp."""
     distinct = stage(found.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")), "distinct")
     roots = components(find(distinct.select("fp")))
