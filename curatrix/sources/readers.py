@@ -101,7 +101,8 @@ def feed_file_entries(spark: SparkSession, path: str, tag: str = "item") -> Data
 
     ``pos`` grows in a file's order. Of a file that is no XML the source gives the whole text once; such files are cut into their elements.
     """
-    reader = spark.read.format("xml").schema(ENTRY).options(rowTag=tag, **_XML)
+    # A source's name is a text, whatever all of them look like (007 is no 7).
+    reader = spark.read.format("xml").schema(f"{ENTRY}, source_id STRING").options(rowTag=tag, **_XML)
     # Written once: files are parsed once, and positions are the same wherever the rows are used.
     rows = stored(reader.load(path).select("*", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("pos")), "entries")
     fields = [c for c in spark.createDataFrame([], ENTRY).columns]
